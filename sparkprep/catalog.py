@@ -173,3 +173,352 @@ SELECT CAST(count(*) FILTER (WHERE amt IN ({SENTINEL_LIST})) AS BIGINT) AS maske
 def q_sentinel_count(spark, sf_dir):
     d = dirt.dirty_orders(spark, sf_dir)
     return clean.sentinel_count(d, ["o_orderkey", "amt"])
+
+
+# ============================================================ D1, D2
+@register("dedupe_docs", "SELECT DISTINCT text, lang FROM documents")
+def q_dedupe_docs(spark, sf_dir):
+    return clean.drop_duplicates(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@register("duplicate_count", V("""
+SELECT CAST((SELECT count(*) FROM dup_orders) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dup_orders) AS d)
+  AS BIGINT) AS duplicates""", "dup_orders"))
+def q_duplicate_count(spark, sf_dir):
+    return clean.duplicate_count(dirt.dup_orders(spark, sf_dir))
+
+
+@register("dedupe_orders", V("SELECT DISTINCT * FROM dup_orders", "dup_orders"))
+def q_dedupe_orders(spark, sf_dir):
+    return clean.drop_duplicates(dirt.dup_orders(spark, sf_dir))
+
+
+# ============================================================ P5, P6, P12, I6
+@register("drop_critical", V("SELECT o_orderkey, price_txt, amt FROM dirty_orders WHERE price_txt IS NOT NULL",
+                             "dirty_orders"))
+def q_drop_critical(spark, sf_dir):
+    d = dirt.dirty_orders(spark, sf_dir)
+    return clean.drop_on_critical(d, ["price_txt"]).select("o_orderkey", "price_txt", "amt")
+
+
+@register("complete_rows", V("""
+SELECT o_orderkey, price_txt, prio, amt FROM dirty_orders
+WHERE o_orderkey IS NOT NULL AND price_txt IS NOT NULL AND prio IS NOT NULL AND amt IS NOT NULL
+  AND NOT isnan(amt) AND o_orderdate IS NOT NULL""", "dirty_orders"))
+def q_complete_rows(spark, sf_dir):
+    return clean.complete_rows(dirt.dirty_orders(spark, sf_dir)).select("o_orderkey", "price_txt", "prio", "amt")
+
+
+@register("missing_cells", V("""
+SELECT CAST(count(*) FILTER (WHERE price_txt IS NULL) + count(*) FILTER (WHERE prio IS NULL)
+  + count(*) FILTER (WHERE amt IS NULL OR isnan(amt)) + count(*) FILTER (WHERE o_orderkey IS NULL)
+  + count(*) FILTER (WHERE o_orderdate IS NULL) AS BIGINT) AS missing FROM dirty_orders""", "dirty_orders"))
+def q_missing(spark, sf_dir):
+    return clean.missing_cells(dirt.dirty_orders(spark, sf_dir))
+
+
+# ============================================================ I4, I5, N11
+def _mode_sql(source: str, col: str) -> str:
+    return (f"(SELECT v FROM (SELECT CAST({col} AS VARCHAR) AS v, count(*) AS c FROM {source} "
+            f"WHERE {col} IS NOT NULL GROUP BY 1) AS m ORDER BY c DESC, v ASC LIMIT 1)")
+
+
+@register("mode_fill", V(f"""
+SELECT o_orderkey, coalesce(price_txt, {_mode_sql('dirty_orders', 'price_txt')}) AS price_txt,
+       coalesce(prio, {_mode_sql('dirty_orders', 'prio')}) AS prio
+FROM dirty_orders""", "dirty_orders"))
+def q_mode_fill(spark, sf_dir):
+    d = dirt.dirty_orders(spark, sf_dir)
+    filled, _ = impute.mode_fill(d, ["price_txt", "prio"])
+    return filled.select("o_orderkey", "price_txt", "prio")
+
+
+@register("mode_values", V(f"""
+SELECT 'price_txt' AS column_name, {_mode_sql('dirty_orders', 'price_txt')} AS mode
+UNION ALL SELECT 'prio', {_mode_sql('dirty_orders', 'prio')}""", "dirty_orders"))
+def q_mode_values(spark, sf_dir):
+    d = dirt.dirty_orders(spark, sf_dir)
+    return impute.modes(d, ["price_txt", "prio"]).withColumnRenamed("column", "column_name")
+
+
+@register("median_fill", V("""
+SELECT p_partkey,
+  coalesce(CAST(p_size AS DOUBLE), (SELECT quantile_cont(p_size, 0.5) FROM gappy_part)) AS p_size,
+  coalesce(p_retailprice, (SELECT quantile_cont(p_retailprice, 0.5) FROM gappy_part)) AS p_retailprice
+FROM gappy_part""", "gappy_part"))
+def q_median_fill(spark, sf_dir):
+    p = dirt.gappy_part(spark, sf_dir)
+    filled, _ = impute.median_fill(p, ["p_size", "p_retailprice"])
+    return filled.select("p_partkey", "p_size", "p_retailprice")
+
+
+# ============================================================ I2, I3 (T14)
+def _fill_sql(direction: str, by_user: bool) -> str:
+    part = "PARTITION BY user_id " if by_user else ""
+    if direction == "forward":
+        fn, frame = "last_value", "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    else:
+        fn, frame = "first_value", "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+    return V(f"""SELECT event_id, user_id, event_type,
+  {fn}(value IGNORE NULLS) OVER ({part}ORDER BY event_id {frame}) AS value FROM gappy_events""",
+             "gappy_events")
+
+
+def _fill_query(direction: str, by_user: bool):
+    def run(spark, sf_dir):
+        e = dirt.gappy_events(spark, sf_dir).select("event_id", "user_id", "event_type", "value")
+        groups = ["user_id"] if by_user else []
+        fn = impute.ffill if direction == "forward" else impute.bfill
+        return fn(e, "event_id", groups)
+    return run
+
+
+for _d, _n in (("forward", "ffill"), ("backward", "bfill")):
+    register(f"{_n}_events", _fill_sql(_d, False))(_fill_query(_d, False))
+    register(f"{_n}_events_by_user", _fill_sql(_d, True))(_fill_query(_d, True))
+
+
+# ============================================================ N6
+def _temporal_input(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.select(
+        F.when(k % 10 == 0, F.lit("n/a")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("d_iso"),
+        F.when(k % 2 == 0, F.date_format("o_orderdate", "dd/MM/yyyy"))
+         .otherwise(F.lit("pending")).alias("d_mixed"),
+        F.col("o_orderpriority").alias("prio"),
+        F.col("o_custkey").cast("string").alias("num"))
+
+
+_TEMPORAL_INPUT_SQL = """temporal_in AS (SELECT
+  CASE WHEN o_orderkey % 10 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d_iso,
+  CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE 'pending' END AS d_mixed,
+  o_orderpriority AS prio, CAST(o_custkey AS VARCHAR) AS num FROM orders)"""
+
+
+def _temporal_sql(sample: int | None) -> str:
+    fmts = [f[1] for f in impute.DATE_FORMATS]
+    sparks = [f[0] for f in impute.DATE_FORMATS]
+    cols = ["d_iso", "d_mixed", "prio", "num"]
+    longv = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS value FROM temporal_in WHERE {c} IS NOT NULL"
+                               for c in cols)
+    keep = (f"SELECT column_name, value FROM (SELECT *, row_number() OVER (PARTITION BY column_name "
+            f"ORDER BY value) AS rn FROM longv) AS r WHERE rn <= {sample}") if sample else \
+        "SELECT column_name, value FROM longv"
+    sums = ", ".join(f"sum(CASE WHEN try_strptime(value, '{f}') IS NOT NULL THEN 1 ELSE 0 END) AS f{i}"
+                     for i, f in enumerate(fmts))
+    best = "greatest(" + ", ".join(f"f{i}" for i in range(len(fmts))) + ")"
+    quoted = [s.replace("'", "''") for s in sparks]
+    pick = "CASE " + " ".join(f"WHEN f{i} = {best} THEN '{s}'" for i, s in enumerate(quoted)) + " END"
+    return f"""WITH {_TEMPORAL_INPUT_SQL}, longv AS ({longv}), sampled AS ({keep}),
+agg AS (SELECT column_name, count(*) AS sampled, {sums} FROM sampled GROUP BY column_name)
+SELECT column_name, CAST(sampled AS BIGINT) AS sampled, CAST({best} AS DOUBLE) / sampled AS best_ratio,
+  CASE WHEN {best} > 0 THEN {pick} END AS best_format,
+  CAST({best} AS DOUBLE) / sampled >= 0.8 AS is_temporal FROM agg"""
+
+
+def _temporal_query(sample):
+    def run(spark, sf_dir):
+        s = impute.temporal_scores(_temporal_input(spark, sf_dir), sample=sample)
+        return s.select(F.col("column").alias("column_name"), "sampled", "best_ratio", "best_format",
+                        (F.col("best_ratio") >= 0.8).alias("is_temporal"))
+    return run
+
+
+register("temporal_detect", _temporal_sql(50))(_temporal_query(50))
+register("temporal_scores_full", _temporal_sql(None))(_temporal_query(None))
+
+
+# ============================================================ O1-O7
+_Q_AMT = "(SELECT quantile_cont(amt, 0.25) AS q1, quantile_cont(amt, 0.75) AS q3 FROM dirty_orders) AS q"
+_IQR_FLAG = "coalesce(amt < q1 - 1.5 * (q3 - q1) OR amt > q3 + 1.5 * (q3 - q1), false)"
+
+
+@register("iqr_flags", V(f"SELECT o_orderkey, amt, {_IQR_FLAG} AS is_outlier FROM dirty_orders, {_Q_AMT}",
+                         "dirty_orders"))
+def q_iqr_flags(spark, sf_dir):
+    d = dirt.dirty_orders(spark, sf_dir).select("o_orderkey", "amt")
+    return outliers.iqr_flags(d, "amt")
+
+
+@register("zscore_flags", V("""
+SELECT o_orderkey, amt, coalesce(abs((amt - m) / s) > 3.0, false) AS is_outlier
+FROM dirty_orders, (SELECT avg(amt) AS m, stddev_pop(amt) AS s FROM dirty_orders) AS z""", "dirty_orders"))
+def q_zscore_flags(spark, sf_dir):
+    d = dirt.dirty_orders(spark, sf_dir).select("o_orderkey", "amt")
+    return outliers.zscore_flags(d, "amt", 3.0)
+
+
+@register("zscore_flags_lineitem", """
+SELECT l_orderkey, l_linenumber, coalesce(abs((l_extendedprice - m) / s) > 2.0, false) AS is_outlier
+FROM lineitem, (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem) AS z""")
+def q_zscore_lineitem(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return outliers.zscore_flags(li, "l_extendedprice", 2.0).drop("l_extendedprice")
+
+
+@register("cap_iqr", V(f"""
+SELECT o_orderkey, CASE WHEN amt < q1 - 1.5 * (q3 - q1) THEN q1 - 1.5 * (q3 - q1)
+  WHEN amt > q3 + 1.5 * (q3 - q1) THEN q3 + 1.5 * (q3 - q1) ELSE amt END AS amt
+FROM dirty_orders, {_Q_AMT}""", "dirty_orders"))
+def q_cap_iqr(spark, sf_dir):
+    d = dirt.dirty_orders(spark, sf_dir).select("o_orderkey", "amt")
+    return outliers.cap_iqr(d, "amt")
+
+
+@register("drop_outliers", V(f"SELECT o_orderkey, amt FROM dirty_orders, {_Q_AMT} WHERE NOT {_IQR_FLAG}",
+                             "dirty_orders"))
+def q_drop_outliers(spark, sf_dir):
+    d = dirt.dirty_orders(spark, sf_dir).select("o_orderkey", "amt")
+    return outliers.drop_outliers(outliers.iqr_flags(d, "amt"), "is_outlier").drop("is_outlier")
+
+
+@register("outlier_summary", V(f"""
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE {_IQR_FLAG}) AS BIGINT) AS outliers,
+  round(count(*) FILTER (WHERE {_IQR_FLAG}) * 100.0 / count(*), 2) AS pct
+FROM dirty_orders, {_Q_AMT}""", "dirty_orders"))
+def q_outlier_summary(spark, sf_dir):
+    d = dirt.dirty_orders(spark, sf_dir).select("o_orderkey", "amt")
+    return outliers.outlier_summary(outliers.iqr_flags(d, "amt"), "is_outlier")
+
+
+_LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+           "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _cap_sql(cols, source, keep=()):
+    qs = ", ".join(f"quantile_cont({c}, 0.25) AS {c}_q1, quantile_cont({c}, 0.75) AS {c}_q3" for c in cols)
+    exprs = []
+    for c in cols:
+        lo, hi = f"({c}_q1 - 1.5 * ({c}_q3 - {c}_q1))", f"({c}_q3 + 1.5 * ({c}_q3 - {c}_q1))"
+        exprs.append(f"CAST(CASE WHEN {c} < {lo} THEN {lo} WHEN {c} > {hi} THEN {hi} ELSE {c} END AS DOUBLE) AS {c}")
+    return f"SELECT {', '.join(list(keep) + exprs)} FROM {source}, (SELECT {qs} FROM {source}) AS q"
+
+
+@register("cap_all", _cap_sql(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "lineitem",
+                              ["l_orderkey AS k", "l_linenumber AS n"]))
+def q_cap_all(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    capped, _ = outliers.cap_all(li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), *cols),
+                                 cols)
+    return capped.select("k", "n", *[F.col(c).cast("double").alias(c) for c in cols])
+
+
+# ============================================================ E1, E2
+def _profile_sql(source: str, cols: list[tuple[str, str, bool]]) -> str:
+    parts = []
+    for c, dtype, flt in cols:
+        v = f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END" if flt else c
+        parts.append(f"""SELECT '{c}' AS feature, '{dtype}' AS dtype,
+  CAST(count(*) - count({v}) AS BIGINT) AS null_count,
+  round((count(*) - count({v})) * 100.0 / count(*), 2) AS null_pct,
+  CAST(count(DISTINCT {v}) AS BIGINT) AS unique_count,
+  coalesce(CAST(min({v}) AS VARCHAR), 'N/A') AS sample_value FROM {source}""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("profile_orders", V(_profile_sql("dirty_orders", [
+    ("o_orderkey", "int64", False), ("price_txt", "object", False), ("prio", "object", False),
+    ("amt", "float64", True), ("o_orderdate", "datetime64[ns]", False)]), "dirty_orders"))
+def q_profile_orders(spark, sf_dir):
+    return profile.profile(dirt.dirty_orders(spark, sf_dir))
+
+
+@register("overview_orders", V("""
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(5 AS BIGINT) AS columns,
+  CAST(count(*) FILTER (WHERE price_txt IS NULL) + count(*) FILTER (WHERE prio IS NULL)
+   + count(*) FILTER (WHERE amt IS NULL OR isnan(amt)) + count(*) FILTER (WHERE o_orderkey IS NULL)
+   + count(*) FILTER (WHERE o_orderdate IS NULL) AS BIGINT) AS missing,
+  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_orders) AS x) AS BIGINT) AS duplicates
+FROM dirty_orders""", "dirty_orders"))
+def q_overview(spark, sf_dir):
+    return profile.overview(dirt.dirty_orders(spark, sf_dir))
+
+
+# ============================================================ E3-E5, N10
+@register("describe_lineitem", _describe_sql("lineitem", _LI_NUM))
+def q_describe_lineitem(spark, sf_dir):
+    return profile.describe(table(spark, sf_dir, "lineitem"), _LI_NUM)
+
+
+@register("describe_dirty_amt", V(_describe_sql("dirty_orders", ["amt"]), "dirty_orders"))
+def q_describe_amt(spark, sf_dir):
+    return profile.describe(dirt.dirty_orders(spark, sf_dir), ["amt"])
+
+
+# ============================================================ E10, E11, O7
+def _hist_sql(source: str, col: str, stage: str) -> str:
+    return f"""SELECT CAST(bin AS INTEGER) AS bin, mn + bin * ((mx - mn) / 40) AS lo,
+  mn + (bin + 1) * ((mx - mn) / 40) AS hi, CAST(count(*) AS BIGINT) AS count, '{stage}' AS stage
+FROM (SELECT CASE WHEN mx = mn THEN 0 ELSE CAST(least(floor(({col} - mn) / (mx - mn) * 40), 39) AS INTEGER) END
+        AS bin, mn, mx
+      FROM {source}, (SELECT min({col}) AS mn, max({col}) AS mx FROM {source}) AS b
+      WHERE {col} IS NOT NULL) AS h
+GROUP BY bin, mn, mx"""
+
+
+@register("hist_before_after", V(f"""
+, capped AS (SELECT CASE WHEN amt < q1 - 1.5 * (q3 - q1) THEN q1 - 1.5 * (q3 - q1)
+  WHEN amt > q3 + 1.5 * (q3 - q1) THEN q3 + 1.5 * (q3 - q1) ELSE amt END AS amt FROM dirty_orders, {_Q_AMT})
+{_hist_sql('dirty_orders', 'amt', 'before')}
+UNION ALL
+{_hist_sql('capped', 'amt', 'after')}""", "dirty_orders"))
+def q_hist(spark, sf_dir):
+    d = dirt.dirty_orders(spark, sf_dir).select("amt")
+    before = profile.histogram(d, "amt", stage="before")
+    after = profile.histogram(outliers.cap_iqr(d, "amt"), "amt", stage="after")
+    return before.unionByName(after)
+
+
+@register("histogram_totalprice", _hist_sql("orders", "o_totalprice", "raw"))
+def q_hist_price(spark, sf_dir):
+    return profile.histogram(table(spark, sf_dir, "orders"), "o_totalprice", stage="raw")
+
+
+def _box_sql(source, cols):
+    parts = []
+    for c in cols:
+        parts.append(f"""SELECT '{c}' AS feature, q1, med AS median, q3, q3 - q1 AS iqr,
+  q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence,
+  min(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_low,
+  max(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_high,
+  CAST(count(*) FILTER (WHERE NOT (v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1))) AS BIGINT) AS outliers
+FROM (SELECT CAST({c} AS DOUBLE) AS v FROM {source}) AS t,
+     (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS med, quantile_cont({c}, 0.75) AS q3
+      FROM {source}) AS q
+GROUP BY q1, med, q3""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("box_stats", V(_box_sql("dirty_orders", ["amt"]) + "\nUNION ALL\n" + _box_sql("orders", ["o_totalprice"]),
+                         "dirty_orders"))
+def q_box(spark, sf_dir):
+    return (profile.box_stats(dirt.dirty_orders(spark, sf_dir), ["amt"])
+            .unionByName(profile.box_stats(table(spark, sf_dir, "orders"), ["o_totalprice"])))
+
+
+@register("box_outliers", V(f"SELECT o_orderkey, amt FROM dirty_orders, {_Q_AMT} WHERE {_IQR_FLAG}",
+                            "dirty_orders"))
+def q_box_outliers(spark, sf_dir):
+    d = dirt.dirty_orders(spark, sf_dir).select("o_orderkey", "amt")
+    return profile.box_outliers(d, "amt")
+
+
+# ============================================================ E19, E20
+@register("class_distribution", V("""
+SELECT prio AS class, CAST(count(*) AS BIGINT) AS count,
+  round(count(*) * 100.0 / (SELECT count(*) FROM dirty_orders), 2) AS pct
+FROM dirty_orders WHERE prio IS NOT NULL GROUP BY prio""", "dirty_orders"))
+def q_class_distribution(spark, sf_dir):
+    return profile.class_distribution(dirt.dirty_orders(spark, sf_dir), "prio")
+
+
+@register("train_stats", V("""
+SELECT CAST(count(*) AS BIGINT) AS total_rows,
+  CAST(count(*) FILTER (WHERE o_orderkey IS NOT NULL AND price_txt IS NOT NULL AND prio IS NOT NULL
+    AND amt IS NOT NULL AND NOT isnan(amt) AND o_orderdate IS NOT NULL) AS BIGINT) AS complete_rows,
+  CAST(4 AS BIGINT) AS features, CAST(count(DISTINCT prio) AS BIGINT) AS target_distinct
+FROM dirty_orders""", "dirty_orders"))
+def q_train_stats(spark, sf_dir):
+    return profile.train_stats(dirt.dirty_orders(spark, sf_dir), "prio")

@@ -56,6 +56,9 @@ def median_fill(df: DataFrame, cols=None, method: str = "auto"):
         return df, {}
     med = quantile_map(df, cols, [0.5], method)
     fills = {c: med[c].get(0.5) for c in cols}
+    # A numeric column with gaps is floating in the reference, so a median
+    # such as 25.5 is kept rather than truncated into an integer column.
+    df = df.select(*[F.col(c).cast("double").alias(c) if c in fills else F.col(c) for c in df.columns])
     return fill_constants(df, fills), fills
 
 
@@ -74,17 +77,28 @@ def bfill(df: DataFrame, order_by, partition_by=(), cols=None, buckets=None) ->
     return fill_ordered(df, cols, keys, groups, "backward", buckets)
 
 
-# Date formats tried by the temporal detector (each has a
-# separator, so bare numbers never look like dates).
+# Date formats tried by the temporal detector, as (Spark
+# pattern, strptime twin).  Each has a separator, so bare numbers never
+# look like dates.
 DATE_FORMATS = [
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd",
-    "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "MM-dd-yyyy", "yyyy.MM.dd", "dd.MM.yyyy",
-    "yyyy-MM-dd HH:mm", "MM/dd/yyyy HH:mm", "dd MMM yyyy", "MMM dd, yyyy", "yyyy-MM",
+    ("yyyy-MM-dd", "%Y-%m-%d"),
+    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
+    ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"),
+    ("yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M"),
+    ("yyyy/MM/dd", "%Y/%m/%d"),
+    ("dd/MM/yyyy", "%d/%m/%Y"),
+    ("MM/dd/yyyy", "%m/%d/%Y"),
+    ("dd-MM-yyyy", "%d-%m-%Y"),
+    ("MM-dd-yyyy", "%m-%d-%Y"),
+    ("yyyy.MM.dd", "%Y.%m.%d"),
+    ("dd.MM.yyyy", "%d.%m.%Y"),
+    ("dd MMM yyyy", "%d %b %Y"),
+    ("MMM dd, yyyy", "%b %d, %Y"),
 ]
 
 
-def temporal_scores(df: DataFrame, cols=None, sample: int = TEMPORAL_SAMPLE,
-                    formats=DATE_FORMATS) -> DataFrame:
+def temporal_scores(df: DataFrame, cols=None, sample: int | None = TEMPORAL_SAMPLE,
+                    formats=None) -> DataFrame:
     """(column, sampled, best_ratio, best_format) for text columns.
 
     Each column is judged on up to ``sample`` non-null values (the
@@ -93,6 +107,7 @@ def temporal_scores(df: DataFrame, cols=None, sample: int = TEMPORAL_SAMPLE,
     ``sample=None`` scores the whole column.
     """
     spark = df.sparkSession
+    formats = [f[0] for f in DATE_FORMATS] if formats is None else list(formats)
     cols = text_columns(df) if cols is None else list(cols)
     if not cols:
         return spark.createDataFrame([], "column string, sampled long, best_ratio double, best_format string")

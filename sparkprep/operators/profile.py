@@ -68,8 +68,7 @@ def distinct_counts(df: DataFrame, cols=None) -> DataFrame:
     cols = list(cols or df.columns)
     longv = (df.select(*[_clean(df, c).cast("string").alias(c) for c in cols])
              .unpivot([], cols, "column", "value").where(F.col("value").isNotNull()))
-    return (longv.groupBy("column", "value").agg()
-            .groupBy("column").agg(F.count(F.lit(1)).alias("d")))
+    return longv.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("d"))
 
 
 def overview(df: DataFrame) -> DataFrame:
