@@ -522,3 +522,61 @@ SELECT CAST(count(*) AS BIGINT) AS total_rows,
 FROM dirty_orders""", "dirty_orders"))
 def q_train_stats(spark, sf_dir):
     return profile.train_stats(dirt.dirty_orders(spark, sf_dir), "prio")
+
+
+# ============================================================ E6-E9, E12
+from .operators import correlate  # noqa: E402
+
+
+def _corr_sql(source: str, cols: list[str], ranked: bool = False) -> str:
+    if ranked:
+        rcols = ", ".join(
+            f"(rank() OVER (ORDER BY {c}) + rank() OVER (ORDER BY {c}) + count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+            f" AS {c}" for c in cols)
+        source = f"(SELECT {rcols} FROM {source}) AS rk"
+    parts = []
+    for i, a in enumerate(cols):
+        for j in range(i + 1, len(cols)):
+            b = cols[j]
+            parts.append(f"""SELECT '{a}' AS col_a, '{b}' AS col_b, {i} AS idx_a, {j} AS idx_b,
+  CAST(count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS BIGINT) AS n,
+  round(CASE WHEN stddev_pop({a}) = 0 OR stddev_pop({b}) = 0 THEN NULL
+        ELSE covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END, 4) AS r FROM {source}""")
+    return "\nUNION ALL\n".join(parts)
+
+
+_CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+@register("corr_pearson", _corr_sql("lineitem", _CORR_COLS))
+def q_corr_pearson(spark, sf_dir):
+    c = correlate.correlations(table(spark, sf_dir, "lineitem"), _CORR_COLS, "pearson")
+    return c.select("col_a", "col_b", "idx_a", "idx_b", "n", "r")
+
+
+@register("corr_spearman", _corr_sql("lineitem", _CORR_COLS, ranked=True))
+def q_corr_spearman(spark, sf_dir):
+    c = correlate.correlations(table(spark, sf_dir, "lineitem"), _CORR_COLS, "spearman")
+    return c.select("col_a", "col_b", "idx_a", "idx_b", "n", "r")
+
+
+@register("corr_pvalues")
+def q_corr_pvalues(spark, sf_dir):
+    return correlate.correlations(table(spark, sf_dir, "lineitem"), _CORR_COLS, "pearson")
+
+
+@register("significant_pairs")
+def q_significant(spark, sf_dir):
+    corr = correlate.correlations(table(spark, sf_dir, "lineitem"), _CORR_COLS, "pearson")
+    return correlate.significant_pairs(corr)
+
+
+@register("ols_by_group", """
+SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,
+  round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept,
+  round(regr_r2(l_extendedprice, l_quantity), 6) AS r2,
+  CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n
+FROM lineitem GROUP BY l_returnflag""")
+def q_ols(spark, sf_dir):
+    o = correlate.ols_by_group(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
+    return o.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")], "n")
