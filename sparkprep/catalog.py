@@ -580,3 +580,92 @@ FROM lineitem GROUP BY l_returnflag""")
 def q_ols(spark, sf_dir):
     o = correlate.ols_by_group(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
     return o.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")], "n")
+
+
+# ============================================================ I1, J1, M8, M14, M3
+from .operators import neighbors, split  # noqa: E402
+
+
+def _sql_hash(key: str, seed: int = 42) -> str:
+    return f"CAST(('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 6)) AS BIGINT)"
+
+
+_KNN_IMPUTE_SQL = V("""
+, base AS (SELECT p_partkey, CAST(p_partkey AS DOUBLE) AS f1, CAST(p_size AS DOUBLE) AS f2,
+                  CAST(p_retailprice AS DOUBLE) AS f3 FROM gappy_part),
+r AS (SELECT * FROM base WHERE f2 IS NULL OR f3 IS NULL),
+pairs AS (
+  SELECT r.p_partkey AS rk, d.p_partkey AS dk, r.f2 IS NULL AS need2, r.f3 IS NULL AS need3,
+    d.f2 AS v2, d.f3 AS v3,
+    sqrt(3.0 / (1 + CAST(r.f2 IS NOT NULL AND d.f2 IS NOT NULL AS INT) + CAST(r.f3 IS NOT NULL AND d.f3 IS NOT NULL AS INT))
+      * ((r.f1 - d.f1) * (r.f1 - d.f1)
+         + CASE WHEN r.f2 IS NOT NULL AND d.f2 IS NOT NULL THEN (r.f2 - d.f2) * (r.f2 - d.f2) ELSE 0 END
+         + CASE WHEN r.f3 IS NOT NULL AND d.f3 IS NOT NULL THEN (r.f3 - d.f3) * (r.f3 - d.f3) ELSE 0 END)) AS dist
+  FROM r, base AS d),
+t2 AS (SELECT rk, dist, v2 AS v FROM (SELECT *, row_number() OVER (PARTITION BY rk ORDER BY dist, dk) AS rn
+       FROM pairs WHERE need2 AND v2 IS NOT NULL) AS x WHERE rn <= 5),
+t3 AS (SELECT rk, dist, v3 AS v FROM (SELECT *, row_number() OVER (PARTITION BY rk ORDER BY dist, dk) AS rn
+       FROM pairs WHERE need3 AND v3 IS NOT NULL) AS x WHERE rn <= 5),
+f2 AS (SELECT rk, CASE WHEN count(*) FILTER (WHERE dist = 0) > 0 THEN avg(v) FILTER (WHERE dist = 0)
+                  ELSE sum(v / dist) / sum(1.0 / dist) END AS fill FROM t2 GROUP BY rk),
+f3 AS (SELECT rk, CASE WHEN count(*) FILTER (WHERE dist = 0) > 0 THEN avg(v) FILTER (WHERE dist = 0)
+                  ELSE sum(v / dist) / sum(1.0 / dist) END AS fill FROM t3 GROUP BY rk)
+SELECT b.p_partkey, round(coalesce(b.f2, f2.fill), 6) AS p_size, round(coalesce(b.f3, f3.fill), 6) AS p_retailprice
+FROM base AS b LEFT JOIN f2 ON f2.rk = b.p_partkey LEFT JOIN f3 ON f3.rk = b.p_partkey""", "gappy_part")
+
+
+@register("knn_impute_part", _KNN_IMPUTE_SQL)
+def q_knn_impute(spark, sf_dir):
+    p = dirt.gappy_part(spark, sf_dir).select("p_partkey", "p_size", "p_retailprice")
+    out = neighbors.knn_impute(p, "p_partkey", ["p_partkey", "p_size", "p_retailprice"], k=5)
+    return out.select("p_partkey", F.round("p_size", 6).alias("p_size"),
+                      F.round("p_retailprice", 6).alias("p_retailprice"))
+
+
+def _knn_model_sql(mode: str) -> str:
+    test = f"{_sql_hash('vec_id')} < {int(16777216 * 0.2)}"
+    top = f"""WITH tr AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings WHERE NOT ({test})),
+te AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE {test}),
+top AS (SELECT * FROM (SELECT te.vec_id, tr.vec_id AS rk, tr.label,
+          row_number() OVER (PARTITION BY te.vec_id ORDER BY list_distance(te.x, tr.x), tr.vec_id) AS rn
+        FROM te, tr) AS p WHERE rn <= 5)"""
+    if mode == "regress":
+        return top + "\nSELECT vec_id, round(avg(label), 6) AS prediction FROM top GROUP BY vec_id"
+    return top + """,
+votes AS (SELECT vec_id, label, count(*) AS v FROM top GROUP BY vec_id, label),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, label) AS r,
+                  sum(v) OVER (PARTITION BY vec_id) AS tot FROM votes)
+SELECT vec_id, label AS prediction, round(v * 1.0 / tot, 6) AS confidence FROM ranked WHERE r = 1"""
+
+
+@register("knn_classify", _knn_model_sql("classify"))
+def q_knn_classify(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    train, test = split.hash_split(e, "vec_id", 0.2, 42)
+    out = neighbors.knn_predict(train, test, "vec_id", "embedding", "label", 5, "classify")
+    return out.select("vec_id", "prediction", F.round("confidence", 6).alias("confidence"))
+
+
+@register("knn_regress", _knn_model_sql("regress"))
+def q_knn_regress(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    train, test = split.hash_split(e, "vec_id", 0.2, 42)
+    out = neighbors.knn_predict(train, test, "vec_id", "embedding", "label", 5, "regress")
+    return out.select("vec_id", F.round("prediction", 6).alias("prediction"))
+
+
+@register("split_hash", f"""
+SELECT o_orderkey, {_sql_hash('o_orderkey')} < {int(16777216 * 0.2)} AS is_test FROM orders""")
+def q_split_hash(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    return o.select("o_orderkey", (split.hash_unit("o_orderkey", 42) < int(16777216 * 0.2)).alias("is_test"))
+
+
+@register("split_stratified", f"""
+SELECT o_orderkey, o_orderpriority,
+  row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_sql_hash('o_orderkey')}, o_orderkey)
+    <= ceil(count(*) OVER (PARTITION BY o_orderpriority) * 0.2) AS is_test FROM orders""")
+def q_split_stratified(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    train, test = split.stratified_split(o, "o_orderkey", "o_orderpriority", 0.2, 42)
+    return (train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True))))
