@@ -669,3 +669,125 @@ def q_split_stratified(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     train, test = split.stratified_split(o, "o_orderkey", "o_orderpriority", 0.2, 42)
     return (train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True))))
+
+
+# ============================================================ F1-F6
+from .operators import encode, pca, scale  # noqa: E402
+from .plans.features import FeaturePlan  # noqa: E402
+
+
+@register("label_encode", """
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS o_orderstatus,
+  CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority FROM orders""")
+def q_label_encode(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return encode.fit_label_encoding(o, ["o_orderstatus", "o_orderpriority"]).apply(o)
+
+
+@register("label_encode_nulls", V("""
+SELECT o_orderkey, CASE WHEN prio IS NULL THEN (SELECT count(DISTINCT prio) FROM dirty_orders)
+  ELSE dense_rank() OVER (PARTITION BY prio IS NULL ORDER BY prio) - 1 END AS prio FROM dirty_orders""",
+                                  "dirty_orders"))
+def q_label_encode_nulls(spark, sf_dir):
+    d = dirt.dirty_orders(spark, sf_dir).select("o_orderkey", "prio")
+    return encode.fit_label_encoding(d, ["prio"]).apply(d).withColumn("prio", F.col("prio").cast("long"))
+
+
+@register("label_mapping", """
+SELECT 'o_orderstatus' AS column_name, v AS category, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+FROM (SELECT DISTINCT o_orderstatus AS v FROM orders) AS a
+UNION ALL
+SELECT 'o_orderpriority', v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER)
+FROM (SELECT DISTINCT o_orderpriority AS v FROM orders) AS b""")
+def q_label_mapping(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    enc = encode.fit_label_encoding(o, ["o_orderstatus", "o_orderpriority"])
+    return enc.table(spark).withColumnRenamed("column", "column_name")
+
+
+@register("onehot", """
+SELECT o_orderkey, o_totalprice,
+  CAST(o_orderstatus = 'F' AS INTEGER) AS o_orderstatus_F, CAST(o_orderstatus = 'O' AS INTEGER) AS o_orderstatus_O,
+  CAST(o_orderstatus = 'P' AS INTEGER) AS o_orderstatus_P FROM orders""")
+def q_onehot(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return encode.fit_onehot(o, ["o_orderstatus"]).apply(o)
+
+
+_SC_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _scale_sql(kind: str) -> str:
+    if kind == "minmax":
+        stats = ", ".join(f"min({c}) AS a_{c}, max({c}) AS b_{c}" for c in _SC_COLS)
+        exprs = ", ".join(f"round(CASE WHEN b_{c} = a_{c} THEN 0.0 ELSE ({c} - a_{c}) / (b_{c} - a_{c}) END, 6) AS {c}"
+                          for c in _SC_COLS)
+    else:
+        stats = ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS b_{c}" for c in _SC_COLS)
+        exprs = ", ".join(f"round(CASE WHEN b_{c} = 0 THEN 0.0 ELSE ({c} - a_{c}) / b_{c} END, 6) AS {c}"
+                          for c in _SC_COLS)
+    return f"SELECT l_orderkey AS k, l_linenumber AS n, {exprs} FROM lineitem, (SELECT {stats} FROM lineitem) AS s"
+
+
+def _scale_query(kind: str):
+    def run(spark, sf_dir):
+        li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"),
+                                                     F.col("l_linenumber").alias("n"), *_SC_COLS)
+        out = scale.fit_scaler(li, kind, _SC_COLS).apply(li)
+        return out.select("k", "n", *[F.round(c, 6).alias(c) for c in _SC_COLS])
+    return run
+
+
+register("minmax_scale", _scale_sql("minmax"))(_scale_query("minmax"))
+register("standard_scale", _scale_sql("standard"))(_scale_query("standard"))
+
+
+@register("feature_plan", """
+WITH enc AS (
+  SELECT o_orderkey, o_totalprice,
+    CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS DOUBLE) AS o_orderpriority,
+    CAST(CAST(o_orderstatus = 'F' AS INTEGER) AS DOUBLE) AS o_orderstatus_F,
+    CAST(CAST(o_orderstatus = 'O' AS INTEGER) AS DOUBLE) AS o_orderstatus_O,
+    CAST(CAST(o_orderstatus = 'P' AS INTEGER) AS DOUBLE) AS o_orderstatus_P FROM orders),
+s AS (SELECT min(o_totalprice) AS a1, max(o_totalprice) AS b1, min(o_orderpriority) AS a2, max(o_orderpriority) AS b2,
+  min(o_orderstatus_F) AS a3, max(o_orderstatus_F) AS b3, min(o_orderstatus_O) AS a4, max(o_orderstatus_O) AS b4,
+  min(o_orderstatus_P) AS a5, max(o_orderstatus_P) AS b5 FROM enc)
+SELECT o_orderkey,
+  round(CASE WHEN b1 = a1 THEN 0.0 ELSE (o_totalprice - a1) / (b1 - a1) END, 6) AS o_totalprice,
+  round(CASE WHEN b2 = a2 THEN 0.0 ELSE (o_orderpriority - a2) / (b2 - a2) END, 6) AS o_orderpriority,
+  round(CASE WHEN b3 = a3 THEN 0.0 ELSE (o_orderstatus_F - a3) / (b3 - a3) END, 6) AS o_orderstatus_F,
+  round(CASE WHEN b4 = a4 THEN 0.0 ELSE (o_orderstatus_O - a4) / (b4 - a4) END, 6) AS o_orderstatus_O,
+  round(CASE WHEN b5 = a5 THEN 0.0 ELSE (o_orderstatus_P - a5) / (b5 - a5) END, 6) AS o_orderstatus_P
+FROM enc, s""")
+def q_feature_plan(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
+    plan = FeaturePlan(label_cols=["o_orderpriority"], onehot_cols=["o_orderstatus"], scaler="minmax",
+                       exclude=["o_orderkey"]).fit(o)
+    out = plan.apply(o)
+    return out.select("o_orderkey", *[F.round(c, 6).alias(c) for c in out.columns if c != "o_orderkey"])
+
+
+# ============================================================ E13-E18
+_PCA_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("pca_evr")
+def q_pca_evr(spark, sf_dir):
+    return pca.run_pca(table(spark, sf_dir, "lineitem"), 3, _PCA_COLS).evr_frame(spark)
+
+
+@register("pca_loadings")
+def q_pca_loadings(spark, sf_dir):
+    return pca.run_pca(table(spark, sf_dir, "lineitem"), 3, _PCA_COLS).loadings_frame(spark)
+
+
+@register("pca_summary")
+def q_pca_summary(spark, sf_dir):
+    return pca.run_pca(table(spark, sf_dir, "lineitem"), 3, _PCA_COLS).summary_frame(spark)
+
+
+@register("pca_scores")
+def q_pca_scores(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    res = pca.run_pca(li, 3, _PCA_COLS)
+    return res.scores(li, keep=["l_orderkey", "l_linenumber", "l_returnflag"])
