@@ -791,3 +791,243 @@ def q_pca_scores(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     res = pca.run_pca(li, 3, _PCA_COLS)
     return res.scores(li, keep=["l_orderkey", "l_linenumber", "l_returnflag"])
+
+
+# ============================================================ M1, M19-M23, M28
+from .operators import metrics  # noqa: E402
+
+
+@register("detect_problem", """
+SELECT 'o_orderstatus' AS target, 'classification' AS problem
+UNION ALL SELECT 'o_custkey', CASE WHEN (SELECT count(DISTINCT o_custkey) FROM orders) <= 20 THEN 'classification' ELSE 'regression' END
+UNION ALL SELECT 'l_linenumber', CASE WHEN (SELECT count(DISTINCT l_linenumber) FROM lineitem) <= 20 THEN 'classification' ELSE 'regression' END
+UNION ALL SELECT 'l_quantity', CASE WHEN (SELECT count(DISTINCT l_quantity) FROM lineitem) <= 20 THEN 'classification' ELSE 'regression' END
+UNION ALL SELECT 'l_discount', CASE WHEN (SELECT count(DISTINCT l_discount) FROM lineitem) <= 20 THEN 'classification' ELSE 'regression' END""")
+def q_detect_problem(spark, sf_dir):
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    rows = [(t, split.detect_problem_type(df, t)) for df, t in
+            ((o, "o_orderstatus"), (o, "o_custkey"), (li, "l_linenumber"), (li, "l_quantity"), (li, "l_discount"))]
+    return spark.createDataFrame(rows, "target string, problem string")
+
+
+def _rule_binary(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select((F.col("o_orderstatus") == "F").cast("int").alias("actual"),
+                    (F.col("o_totalprice") > 250000).cast("int").alias("predicted"),
+                    F.col("o_totalprice").alias("score"))
+
+
+_RULE_BINARY_SQL = """rule AS (SELECT CAST(o_orderstatus = 'F' AS INTEGER) AS actual,
+  CAST(o_totalprice > 250000 AS INTEGER) AS predicted, o_totalprice AS score FROM orders)"""
+
+_RULE_MULTI_SQL = """rule AS (SELECT o_orderpriority AS actual,
+  CASE WHEN o_totalprice < 100000 THEN '1-URGENT' WHEN o_totalprice < 200000 THEN '2-HIGH'
+       WHEN o_totalprice < 300000 THEN '3-MEDIUM' WHEN o_totalprice < 400000 THEN '4-NOT SPECIFIED'
+       ELSE '5-LOW' END AS predicted FROM orders)"""
+
+
+def _rule_multi(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    p = F.col("o_totalprice")
+    pred = (F.when(p < 100000, "1-URGENT").when(p < 200000, "2-HIGH").when(p < 300000, "3-MEDIUM")
+            .when(p < 400000, "4-NOT SPECIFIED").otherwise("5-LOW"))
+    return o.select(F.col("o_orderpriority").alias("actual"), pred.alias("predicted"))
+
+
+@register("clf_metrics", f"""WITH {_RULE_BINARY_SQL},
+c AS (SELECT count(*) FILTER (WHERE actual = 1 AND predicted = 1) AS tp,
+             count(*) FILTER (WHERE actual = 0 AND predicted = 1) AS fp,
+             count(*) FILTER (WHERE actual = 1 AND predicted = 0) AS fn,
+             count(*) FILTER (WHERE actual = predicted) AS ok, count(*) AS n FROM rule),
+m AS (SELECT ok * 1.0 / n AS accuracy,
+        CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp * 1.0 / (tp + fp) END AS p,
+        CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp * 1.0 / (tp + fn) END AS r FROM c)
+SELECT round(accuracy, 4) AS accuracy, round(p, 4) AS precision, round(r, 4) AS recall,
+  round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 4) AS f1 FROM m""")
+def q_clf_metrics(spark, sf_dir):
+    return metrics.classification_metrics(_rule_binary(spark, sf_dir), "actual", "predicted", positive=1)
+
+
+@register("clf_metrics_macro", f"""WITH {_RULE_MULTI_SQL},
+labels AS (SELECT actual AS l FROM rule UNION SELECT predicted FROM rule),
+per AS (SELECT l,
+    count(*) FILTER (WHERE actual = l AND predicted = l) AS tp,
+    count(*) FILTER (WHERE predicted = l) AS pred, count(*) FILTER (WHERE actual = l) AS sup
+  FROM labels, rule GROUP BY l),
+pr AS (SELECT l, tp, CASE WHEN pred = 0 THEN 0.0 ELSE tp * 1.0 / pred END AS p,
+       CASE WHEN sup = 0 THEN 0.0 ELSE tp * 1.0 / sup END AS r FROM per)
+SELECT round(sum(tp) * 1.0 / (SELECT count(*) FROM rule), 4) AS accuracy, round(avg(p), 4) AS precision,
+  round(avg(r), 4) AS recall, round(avg(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END), 4) AS f1
+FROM pr""")
+def q_clf_metrics_macro(spark, sf_dir):
+    return metrics.classification_metrics(_rule_multi(spark, sf_dir), "actual", "predicted")
+
+
+@register("auc", f"""WITH {_RULE_BINARY_SQL},
+rk AS (SELECT actual, (rank() OVER (ORDER BY score) + rank() OVER (ORDER BY score)
+         + count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM rule)
+SELECT round((sum(r) FILTER (WHERE actual = 1) - count(*) FILTER (WHERE actual = 1) * (count(*) FILTER (WHERE actual = 1) + 1) / 2.0)
+  / (count(*) FILTER (WHERE actual = 1) * 1.0 * count(*) FILTER (WHERE actual = 0)), 6) AS auc FROM rk""")
+def q_auc(spark, sf_dir):
+    return metrics.roc_auc(_rule_binary(spark, sf_dir), "actual", "score", 1).select(F.round("auc", 6).alias("auc"))
+
+
+@register("reg_metrics", """
+SELECT round(avg(abs(a - p)), 4) AS mae, round(avg((a - p) * (a - p)), 4) AS mse,
+  round(sqrt(avg((a - p) * (a - p))), 4) AS rmse,
+  round(1 - sum((a - p) * (a - p)) / (var_pop(a) * count(a)), 4) AS r2
+FROM (SELECT l_extendedprice AS a, l_quantity * 2000 AS p FROM lineitem) AS t""")
+def q_reg_metrics(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("a"),
+                                                 (F.col("l_quantity") * 2000).alias("p"))
+    return metrics.regression_metrics(li, "a", "p")
+
+
+@register("confusion", f"""WITH {_RULE_MULTI_SQL},
+labels AS (SELECT actual AS l FROM rule UNION SELECT predicted FROM rule),
+counts AS (SELECT actual, predicted, count(*) AS n FROM rule GROUP BY 1, 2)
+SELECT a.l AS actual, b.l AS predicted, CAST(coalesce(n, 0) AS BIGINT) AS count
+FROM labels AS a, labels AS b LEFT JOIN counts ON counts.actual = a.l AND counts.predicted = b.l""")
+def q_confusion(spark, sf_dir):
+    return metrics.confusion(_rule_multi(spark, sf_dir), "actual", "predicted")
+
+
+# ============================================================ M2-M18, M22, M24-M29 (rows-only)
+from .plans.training import ModelTrainer, importance_frame  # noqa: E402
+
+
+def _clf_frame(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey",
+                                                 "o_orderpriority", "o_orderstatus")
+
+
+def _reg_frame(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_key"), "l_quantity", "l_discount", "l_tax",
+        "l_returnflag", "l_extendedprice")
+
+
+def _trained(spark, sf_dir, problem: str, models=None):
+    if problem == "classification":
+        tr = ModelTrainer(target="o_orderstatus", key="o_orderkey", fast=True, models=models)
+        prep = tr.prepare(_clf_frame(spark, sf_dir))
+    else:
+        tr = ModelTrainer(target="l_extendedprice", key="row_key", fast=True, models=models)
+        prep = tr.prepare(_reg_frame(spark, sf_dir))
+    return tr, prep, tr.train(prep)
+
+
+@register("model_compare_clf")
+def q_model_compare_clf(spark, sf_dir):
+    tr, prep, trained = _trained(spark, sf_dir, "classification")
+    return metrics.compare(tr.evaluate(prep, trained), "f1")
+
+
+@register("model_compare_reg")
+def q_model_compare_reg(spark, sf_dir):
+    tr, prep, trained = _trained(spark, sf_dir, "regression")
+    return metrics.compare(tr.evaluate(prep, trained), "rmse")
+
+
+@register("best_model")
+def q_best_model(spark, sf_dir):
+    tr, prep, trained = _trained(spark, sf_dir, "classification",
+                                 ["Logistic Regression", "Decision Tree", "Random Forest"])
+    res = tr.evaluate(prep, trained)
+    return metrics.best_model(res, "f1")
+
+
+@register("importance_top20")
+def q_importance(spark, sf_dir):
+    tr, prep, trained = _trained(spark, sf_dir, "regression", ["Random Forest"])
+    return importance_frame(spark, trained["Random Forest"], 20)
+
+
+@register("predictions")
+def q_predictions(spark, sf_dir):
+    tr, prep, trained = _trained(spark, sf_dir, "classification", ["Random Forest"])
+    return tr.results(prep, trained["Random Forest"])
+
+
+@register("training_summary")
+def q_training_summary(spark, sf_dir):
+    tr = ModelTrainer(target="o_orderstatus", key="o_orderkey", fast=True)
+    return tr.summary(tr.prepare(_clf_frame(spark, sf_dir)))
+
+
+# ============================================================ A1-A3, A5
+from .plans.cleaning import AutoClean, ManualClean, quality_report  # noqa: E402
+
+
+@register("auto_clean_orders")
+def q_auto_clean(spark, sf_dir):
+    out, _ = AutoClean(key="o_orderkey", k_neighbors=5).run(dirt.dirty_orders(spark, sf_dir))
+    return out
+
+
+@register("auto_clean_log")
+def q_auto_clean_log(spark, sf_dir):
+    _, log = AutoClean(key="o_orderkey", k_neighbors=5).run(dirt.dirty_orders(spark, sf_dir))
+    return log.frame(spark)
+
+
+@register("manual_clean_orders", V(f"""
+, conv AS (SELECT o_orderkey, {sql_coerce('price_txt')} AS price_txt, prio, amt, o_orderdate FROM dirty_orders),
+dd AS (SELECT DISTINCT * FROM conv),
+crit AS (SELECT * FROM dd WHERE price_txt IS NOT NULL)
+SELECT o_orderkey, price_txt,
+  coalesce(prio, {_mode_sql('crit', 'prio')}) AS prio,
+  coalesce(amt, (SELECT quantile_cont(amt, 0.5) FROM crit)) AS amt
+FROM crit""", "dirty_orders"))
+def q_manual_clean(spark, sf_dir):
+    out, _ = ManualClean(key="o_orderkey", critical=["price_txt"], method="median").run(
+        dirt.dirty_orders(spark, sf_dir))
+    return out.select("o_orderkey", "price_txt", "prio", "amt")
+
+
+@register("quality_report", V(f"""
+, conv AS (SELECT o_orderkey, {sql_coerce('price_txt')} AS price_txt, prio, amt, o_orderdate FROM dirty_orders),
+dd AS (SELECT DISTINCT * FROM conv),
+crit AS (SELECT * FROM dd WHERE price_txt IS NOT NULL),
+filled AS (SELECT o_orderkey, price_txt, coalesce(prio, {_mode_sql('crit', 'prio')}) AS prio,
+  coalesce(amt, (SELECT quantile_cont(amt, 0.5) FROM crit)) AS amt, o_orderdate FROM crit)
+SELECT CAST(count(*) AS BIGINT) AS rows,
+  CAST(count(*) FILTER (WHERE price_txt IS NULL) + count(*) FILTER (WHERE prio IS NULL)
+   + count(*) FILTER (WHERE amt IS NULL) AS BIGINT) AS missing,
+  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM filled) AS x) AS BIGINT) AS duplicates
+FROM filled""", "dirty_orders"))
+def q_quality_report(spark, sf_dir):
+    out, _ = ManualClean(key="o_orderkey", critical=["price_txt"], method="median").run(
+        dirt.dirty_orders(spark, sf_dir))
+    return quality_report(out)
+
+
+# ============================================================ S1-S10
+import uuid  # noqa: E402
+
+from .session import ensure_checkpoint_dir  # noqa: E402
+from .sources import sinks  # noqa: E402
+from .sources.stages import StageCatalog  # noqa: E402
+from .sources.tables import read_table  # noqa: E402
+
+
+@register("csv_roundtrip", """
+SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation""")
+def q_csv_roundtrip(spark, sf_dir):
+    # written under the shared checkpoint folder, never a machine-local one
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv_roundtrip_{uuid.uuid4().hex}"
+    sinks.write_csv(table(spark, sf_dir, "nation"), path)
+    return read_table(spark, path, "csv")
+
+
+@register("stage_resolve", "SELECT * FROM nation")
+def q_stage_resolve(spark, sf_dir):
+    cat = StageCatalog(spark, prefix=f"stage_{uuid.uuid4().hex[:8]}_")
+    cat.save("raw", table(spark, sf_dir, "region"))
+    cat.save("cleaned", table(spark, sf_dir, "nation"))
+    return cat.resolve("eda")[1]
+
+
+@register("preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
+def q_preview(spark, sf_dir):
+    return sinks.preview(table(spark, sf_dir, "orders"), 10, "o_orderkey")

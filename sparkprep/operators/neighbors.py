@@ -4,45 +4,89 @@ The distance between two rows is never smaller than their gap on any one
 coordinate both rows have (NaN-aware Euclidean scales the present part up,
 never down).  So:
 
-1. *Radius*: each query row looks at donors in nearby cells of a "band"
-   coordinate, widening geometrically until it has k eligible donors; the
-   k-th distance found is an upper bound D on its true k-th distance.
-2. *Exact*: a band join with half-width D (an equi-join on cell ids, the
-   query side exploded over the cells it covers) yields every donor that
-   can be among the k nearest; ``row_number() <= k`` per query (planned as
-   a map-side group limit) keeps the k nearest, ties broken by donor key.
-
-Pairs grow with the band density, not with the table squared.  The band
-coordinate must be present on every row (the column with no gaps and the
-widest spread is chosen); rows lacking it would need the all-pairs path and
-are rejected with a clear error.
+1. *Radius*: each query row looks at donors in nearby cells of a grid
+   over up to three "band" coordinates, widening geometrically until it
+   has k eligible donors; the k-th distance found is an upper bound D on
+   its true k-th distance.
+2. *Exact*: a grid join with half-width D (an equi-join on cell ids, the
+   query side exploded over the hypercube of cells it covers) yields every
+   donor that can be among the k nearest; ``row_number() <= k`` per query
+   (planned as a map-side group limit) keeps the k nearest, ties broken by
+   donor key.
+
+Pairs grow with the local density, not with the table squared, and a
+value shared by many rows on one coordinate is split by the others.  The
+band coordinates must be present on every row (columns with no gaps, the
+widest spreads first); without one the operator raises a clear error
+rather than falling back to all pairs.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nan_to_null
 
-_CELL = "__cell"
+MAX_GRID_DIMS = 3
+
+
+@dataclass
+class Grid:
+    dims: list           # band coordinate names (without side prefixes)
+    lo: list
+    width: list
+    cells: list          # highest cell index per dimension
+    span: float          # largest extent over the dimensions
+
+
+def make_grid(right: DataFrame, cols: list[str], prefix: str, k: int) -> Grid | None:
+    """Cells sized so the whole grid holds about 4k donors per cell."""
+    st = right.agg(F.count(F.lit(1)).alias("n"),
+                   *[F.min(prefix + c).alias(f"lo{i}") for i, c in enumerate(cols)],
+                   *[F.max(prefix + c).alias(f"hi{i}") for i, c in enumerate(cols)]).collect()[0]
+    n = st["n"]
+    if n == 0:
+        return None
+    per_dim = max(1, math.ceil((n / (4.0 * k)) ** (1.0 / len(cols))))
+    lo, width, cells, span = [], [], [], 0.0
+    for i in range(len(cols)):
+        a, b = float(st[f"lo{i}"]), float(st[f"hi{i}"])
+        w = (b - a) / per_dim if b > a else 1.0
+        lo.append(a)
+        width.append(w)
+        cells.append(per_dim)
+        span = max(span, b - a)
+    return Grid(list(cols), lo, width, cells, span)
 
 
 def _cell(x: Column, lo: float, width: float) -> Column:
     return F.floor((x - F.lit(lo)) / F.lit(width)).cast("long")
 
 
-def band_join(left: DataFrame, right: DataFrame, lx: str, rx: str, radius: Column,
-              lo: float, width: float, max_cells: int) -> DataFrame:
-    """Pairs with |left.lx - right.rx| <= radius (per left row), via cell equi-join."""
-    lcell_lo = F.greatest(_cell(F.col(lx) - radius, lo, width), F.lit(0))
-    lcell_hi = F.least(_cell(F.col(lx) + radius, lo, width), F.lit(max_cells))
-    l2 = left.withColumn(_CELL, F.explode(F.sequence(lcell_lo, lcell_hi)))
-    r2 = right.withColumn(_CELL, _cell(F.col(rx), lo, width))
-    return (l2.join(r2, on=_CELL).drop(_CELL)
-            .where(F.abs(F.col(lx) - F.col(rx)) <= radius))
+def grid_join(left: DataFrame, right: DataFrame, grid: Grid, radius: Column,
+              lprefix: str = "l_", rprefix: str = "r_") -> DataFrame:
+    """Pairs whose band coordinates all differ by at most ``radius`` (per left row).
+
+    The left row is exploded over every cell of its hypercube; the right
+    side carries its own cell; the join is an equi-join on the cell ids.
+    """
+    l2, r2, keys = left, right, []
+    for i, d in enumerate(grid.dims):
+        key = f"__c{i}"
+        x = F.col(lprefix + d)
+        lo_c = F.greatest(_cell(x - radius, grid.lo[i], grid.width[i]), F.lit(0))
+        hi_c = F.least(_cell(x + radius, grid.lo[i], grid.width[i]), F.lit(grid.cells[i]))
+        l2 = l2.withColumn(key, F.explode(F.sequence(lo_c, hi_c)))
+        r2 = r2.withColumn(key, _cell(F.col(rprefix + d), grid.lo[i], grid.width[i]))
+        keys.append(key)
+    near = F.lit(True)
+    for d in grid.dims:
+        near = near & (F.abs(F.col(lprefix + d) - F.col(rprefix + d)) <= radius)
+    return l2.join(r2, on=keys).drop(*keys).where(near)
 
 
 def nan_euclidean(lcols: list[str], rcols: list[str]) -> Column:
@@ -61,18 +105,8 @@ def array_euclidean(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(diff, F.lit(0.0), lambda acc, v: acc + v))
 
 
-def _grid(right: DataFrame, rx: str, k: int):
-    st = right.agg(F.min(rx).alias("lo"), F.max(rx).alias("hi"), F.count(F.lit(1)).alias("n")).collect()[0]
-    lo, hi, n = st["lo"], st["hi"], st["n"]
-    if n == 0:
-        return None
-    cells = max(1, math.ceil(n / (4.0 * k)))
-    width = (hi - lo) / cells if hi > lo else 1.0
-    return float(lo), float(width), int(cells), float(hi - lo), int(n)
-
-
-def radius_search(left: DataFrame, right: DataFrame, lkey: str, lx: str, rx: str, dist: Column,
-                  k: int, need: dict, grid) -> DataFrame:
+def radius_search(left: DataFrame, right: DataFrame, lkey: str, dist: Column,
+                  k: int, need: dict, grid: Grid) -> DataFrame:
     """(lkey, __radius): an upper bound on each left row's k-th eligible distance.
 
     ``need`` maps a target name to (left-needs predicate, pair-eligible
@@ -80,12 +114,12 @@ def radius_search(left: DataFrame, right: DataFrame, lkey: str, lx: str, rx: str
     target it needs has min(k, eligible) candidates; unsettled rows retry
     with a 4x wider window until the window spans the whole band.
     """
-    lo, width, cells, span, _ = grid
-    pending, settled, rad_cells = left, [], 1.0
+    span, unit = grid.span, max(grid.width)
+    pending, settled, rad = left, [], min(grid.width)
     while True:
-        full = rad_cells * width >= span
-        radius = F.lit(span + width if full else rad_cells * width)
-        pairs = band_join(pending, right, lx, rx, radius, lo, width, cells).withColumn("__d", dist)
+        full = rad >= span
+        radius = F.lit(span + unit if full else rad)
+        pairs = grid_join(pending, right, grid, radius).withColumn("__d", dist)
         wanted, found = [], []
         for t, (needs, eligible, n_elig) in need.items():
             want = min(k, n_elig)
@@ -100,7 +134,7 @@ def radius_search(left: DataFrame, right: DataFrame, lkey: str, lx: str, rx: str
                   .groupBy(lkey).agg(F.min(F.coalesce(F.col("__ok"), F.lit(False))).alias("__ok"),
                                      F.max("__kth").alias("__kth")))
         if full:
-            settled.append(status.select(lkey, F.coalesce(F.col("__kth"), F.lit(span + width))
+            settled.append(status.select(lkey, F.coalesce(F.col("__kth"), F.lit(span + unit))
                                          .alias("__radius")))
             break
         status = status.persist()
@@ -109,7 +143,7 @@ def radius_search(left: DataFrame, right: DataFrame, lkey: str, lx: str, rx: str
         if left_over.limit(1).count() == 0:
             break
         pending = pending.join(left_over, on=lkey, how="left_semi")
-        rad_cells *= 4.0
+        rad *= 4.0
     return _union(settled)
 
 
@@ -120,10 +154,12 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def pick_band(stats, complete: list[str]) -> str:
+def pick_bands(stats, complete: list[str]) -> list[str]:
+    """Up to MAX_GRID_DIMS complete columns with the widest spread."""
     if not complete:
         raise ValueError("exact k-NN needs one numeric column without gaps as band coordinate")
-    return max(complete, key=lambda c: stats[f"sd_{c}"] or 0.0)
+    ranked = sorted(complete, key=lambda c: -(stats[f"sd_{c}"] or 0.0))
+    return [c for c in ranked if (stats[f"sd_{c}"] or 0.0) > 0][:MAX_GRID_DIMS] or ranked[:1]
 
 
 def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, band: str | None = None) -> DataFrame:
@@ -143,18 +179,16 @@ def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, band: str |
     usable = [c for c in cols if st[c] > 0]
     if not targets:
         return df
-    band = band or pick_band(st, [c for c in usable if st[c] == n])
+    bands = [band] if band else pick_bands(st, [c for c in usable if st[c] == n])
     left = (base.where(F.greatest(*[F.col(c).isNull().cast("int") for c in targets]) == 1)
             .select(F.col("__key").alias("l_key"), *[F.col(c).alias(f"l_{c}") for c in usable]))
     right = base.select(F.col("__key").alias("r_key"), *[F.col(c).alias(f"r_{c}") for c in usable])
     dist = nan_euclidean([f"l_{c}" for c in usable], [f"r_{c}" for c in usable])
-    grid = _grid(right, f"r_{band}", k)
+    grid = make_grid(right, bands, "r_", k)
     need = {c: (F.col(f"l_{c}").isNull(), F.col(f"l_{c}").isNull() & F.col(f"r_{c}").isNotNull(), int(st[c]))
             for c in targets}
-    radius = radius_search(left, right, "l_key", f"l_{band}", f"r_{band}", dist, k, need, grid)
-    lo, width, cells, _, _ = grid
-    cand = (band_join(left.join(radius, on="l_key"), right, f"l_{band}", f"r_{band}",
-                      F.col("__radius"), lo, width, cells)
+    radius = radius_search(left, right, "l_key", dist, k, need, grid)
+    cand = (grid_join(left.join(radius, on="l_key"), right, grid, F.col("__radius"))
             .withColumn("__d", dist).where(F.col("__d").isNotNull()))
     per_col = []
     for c in targets:
@@ -184,24 +218,25 @@ def knn_predict(train: DataFrame, test: DataFrame, key: str, features: str, labe
     """k-NN classifier (majority vote, smallest label on ties; vote share as
     probability) or regressor (uniform mean) over an array<double> column.
 
-    Exact: the band is the array coordinate with the widest spread.
+    Exact: the grid uses the array coordinates with the widest spread.
     """
     tr = train.select(F.col(key).alias("r_key"), F.col(features).cast("array<double>").alias("r_x"),
                       F.col(label).alias("r_y"))
     te = test.select(F.col(key).alias("l_key"), F.col(features).cast("array<double>").alias("l_x"))
     dims = tr.select(F.size("r_x").alias("d")).agg(F.max("d")).collect()[0][0] or 0
     sds = tr.agg(*[F.stddev_pop(F.col("r_x")[i]).alias(f"s{i}") for i in range(dims)]).collect()[0]
-    bi = max(range(dims), key=lambda i: sds[f"s{i}"] or 0.0)
-    tr = tr.withColumn("r_b", F.col("r_x")[bi])
-    te = te.withColumn("l_b", F.col("l_x")[bi])
+    ranked = sorted(range(dims), key=lambda i: -(sds[f"s{i}"] or 0.0))
+    picked = [i for i in ranked if (sds[f"s{i}"] or 0.0) > 0][:MAX_GRID_DIMS] or ranked[:1]
+    for j, i in enumerate(picked):
+        tr = tr.withColumn(f"r_b{j}", F.col("r_x")[i])
+        te = te.withColumn(f"l_b{j}", F.col("l_x")[i])
     n_train = tr.count()
-    grid = _grid(tr, "r_b", k)
+    grid = make_grid(tr, [f"b{j}" for j in range(len(picked))], "r_", k)
     dist = array_euclidean("l_x", "r_x")
     need = {"y": (F.lit(True), F.lit(True), n_train)}
-    radius = radius_search(te, tr, "l_key", "l_b", "r_b", dist, k, need, grid)
-    lo, width, cells, _, _ = grid
+    radius = radius_search(te, tr, "l_key", dist, k, need, grid)
     w = Window.partitionBy("l_key").orderBy("__d", "r_key")
-    top = (band_join(te.join(radius, on="l_key"), tr, "l_b", "r_b", F.col("__radius"), lo, width, cells)
+    top = (grid_join(te.join(radius, on="l_key"), tr, grid, F.col("__radius"))
            .withColumn("__d", dist).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k))
     if mode == "regress":
         return top.groupBy("l_key").agg(F.avg("r_y").alias("prediction")).withColumnRenamed("l_key", key)

@@ -73,10 +73,11 @@ def distinct_counts(df: DataFrame, cols=None) -> DataFrame:
 
 def overview(df: DataFrame) -> DataFrame:
     """rows, columns, missing cells, duplicate rows."""
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    return (rows.crossJoin(missing_cells(df)).crossJoin(duplicate_count(df))
-            .select("rows", F.lit(len(df.columns)).cast("long").alias("columns"),
-                    "missing", "duplicates"))
+    rows = df.agg(F.count(F.lit(1)).alias("rows")).collect()[0]["rows"]
+    missing = missing_cells(df).collect()[0]["missing"]
+    dupes = duplicate_count(df).collect()[0]["duplicates"]
+    return df.sparkSession.createDataFrame([(rows, len(df.columns), missing, dupes)],
+                                           "rows long, columns long, missing long, duplicates long")
 
 
 def describe(df: DataFrame, cols=None, digits: int = 4, method: str = "auto") -> DataFrame:
@@ -162,11 +163,10 @@ def box_outliers(df: DataFrame, col: str, method: str = "auto") -> DataFrame:
 
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """Count and percent of all rows (nulls in the base) per class, descending."""
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
+    total = df.count()
     counts = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("count"))
-    return (counts.crossJoin(total)
-            .select(F.col(target).alias("class"), "count",
-                    F.round(F.col("count") * 100.0 / F.col("__total"), 2).alias("pct"))
+    return (counts.select(F.col(target).alias("class"), "count",
+                          F.round(F.try_divide(F.col("count") * 100.0, F.lit(total)), 2).alias("pct"))
             .orderBy(F.desc("count"), F.asc("class")))
 
 

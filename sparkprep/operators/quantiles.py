@@ -71,7 +71,7 @@ def _rank_walk(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("cnt")))
     walked = running_sum(freq, "cnt", "value", ["column"], out="before", cuts_per_group=True)
     n = freq.groupBy("column").agg(F.sum("cnt").alias("n"))
-    targets = (n.crossJoin(F.broadcast(spark.createDataFrame([(p,) for p in probs], "prob double")))
+    targets = (n.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs])))
                .withColumn("pos", F.col("prob") * (F.col("n") - 1))
                .withColumn("lo", F.floor("pos")).withColumn("hi", F.ceil("pos"))
                .withColumn("frac", F.col("pos") - F.col("lo")))
