@@ -180,7 +180,10 @@ def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, band: str |
     if not targets:
         return df
     bands = [band] if band else pick_bands(st, [c for c in usable if st[c] == n])
-    left = (base.where(F.greatest(*[F.col(c).isNull().cast("int") for c in targets]) == 1)
+    any_gap = F.lit(False)
+    for c in targets:
+        any_gap = any_gap | F.col(c).isNull()
+    left = (base.where(any_gap)
             .select(F.col("__key").alias("l_key"), *[F.col(c).alias(f"l_{c}") for c in usable]))
     right = base.select(F.col("__key").alias("r_key"), *[F.col(c).alias(f"r_{c}") for c in usable])
     dist = nan_euclidean([f"l_{c}" for c in usable], [f"r_{c}" for c in usable])
@@ -200,7 +203,8 @@ def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, band: str |
         agg = top.groupBy("l_key").agg(
             F.count_if(zero).alias("__z"),
             F.avg(F.when(zero, F.col("__v"))).alias("__zavg"),
-            F.try_divide(F.sum(F.col("__v") / F.col("__d")), F.sum(1.0 / F.col("__d"))).alias("__wavg"))
+            F.try_divide(F.sum(F.try_divide(F.col("__v"), F.col("__d"))),
+                         F.sum(F.try_divide(F.lit(1.0), F.col("__d")))).alias("__wavg"))
         per_col.append(agg.select("l_key", F.lit(c).alias("__col"),
                                   F.when(F.col("__z") > 0, F.col("__zavg")).otherwise(F.col("__wavg"))
                                   .alias("__fill")))

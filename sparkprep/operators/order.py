@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import shuffle_partitions
 
@@ -48,13 +49,6 @@ def _order(cols: list[str], ascending: bool) -> list[Column]:
     return [F.col(c).asc_nulls_first() if ascending else F.col(c).desc_nulls_last() for c in cols]
 
 
-def _join_carry(data: DataFrame, carry: DataFrame, keys: list[str], grouped: bool) -> DataFrame:
-    # Ungrouped: the carry has at most buckets+1 rows, a proven bound -> broadcast.
-    # Grouped: groups x buckets rows, joined by shuffle on the same keys the
-    # window already partitioned the data by.
-    return data.join(carry if grouped else F.broadcast(carry), on=keys, how="left")
-
-
 def fill_ordered(df: DataFrame, cols: list[str], order_by, partition_by=(),
                  direction: str = "forward", buckets: int | None = None) -> DataFrame:
     """Forward (last seen) or backward (next seen) fill of ``cols``.
@@ -75,15 +69,32 @@ def fill_ordered(df: DataFrame, cols: list[str], order_by, partition_by=(),
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = data.select(*[F.col(c) for c in data.columns if c not in cols],
                         *[F.last(c, ignorenulls=True).over(w).alias(c) for c in cols])
-    # Per bucket: the running value at its last row (in fill direction).
+    # Per bucket: its last non-null value in fill direction, from a partial
+    # aggregate over the raw rows (no window, no full shuffle).
     pos = F.struct(*[F.col(c) for c in order_cols])
     pick = F.max_by if asc else F.min_by
-    per_bucket = local.groupBy(*keys).agg(*[pick(F.col(c), pos).alias(c) for c in cols])
-    cw = (Window.partitionBy(*groups).orderBy(F.col(_B).asc() if asc else F.col(_B).desc())
-          .rowsBetween(Window.unboundedPreceding, -1))
-    carry = per_bucket.select(*keys, *[F.last(c, ignorenulls=True).over(cw).alias(f"__carry_{c}")
-                                       for c in cols])
-    joined = _join_carry(local, carry, keys, bool(groups))
+    per_bucket = data.groupBy(*keys).agg(
+        *[pick(F.col(c), F.when(F.col(c).isNotNull(), pos)).alias(c) for c in cols])
+    if groups:
+        cw = (Window.partitionBy(*groups).orderBy(F.col(_B).asc() if asc else F.col(_B).desc())
+              .rowsBetween(Window.unboundedPreceding, -1))
+        carry = per_bucket.select(*keys, *[F.last(c, ignorenulls=True).over(cw).alias(f"__carry_{c}")
+                                           for c in cols])
+        joined = local.join(carry, on=keys, how="left")
+    else:
+        # at most buckets+1 rows: prefix-combined on the driver, broadcast back
+        rows = sorted(per_bucket.collect(), key=lambda r: r[_B], reverse=not asc)
+        seen = {c: None for c in cols}
+        carried = []
+        for r in rows:
+            carried.append((r[_B], *[seen[c] for c in cols]))
+            for c in cols:
+                if r[c] is not None:
+                    seen[c] = r[c]
+        schema = T.StructType([T.StructField(_B, T.IntegerType())] +
+                              [T.StructField(f"__carry_{c}", df.schema[c].dataType) for c in cols])
+        carry = df.sparkSession.createDataFrame(carried, schema)
+        joined = local.join(F.broadcast(carry), on=keys, how="left")
     return joined.select(*[
         F.coalesce(F.col(c), F.col(f"__carry_{c}")).alias(c) if c in cols else F.col(c)
         for c in df.columns
@@ -98,7 +109,7 @@ def running_sum(df: DataFrame, value: str, order_by: str, partition_by=(), out:
     ``order_by`` must be unique within a group (e.g. distinct values with
     their counts).  With ``cuts_per_group`` each group gets its own cut
     points; the groups must then be few (e.g. one per column of a table),
-    since their cut arrays are broadcast.
+    since their cut arrays and carries are broadcast.
     """
     groups = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     nb = buckets or default_buckets(df)
@@ -116,17 +127,35 @@ def running_sum(df: DataFrame, value: str, order_by: str, partition_by=(), out:
     w = (Window.partitionBy(*keys).orderBy(F.col(order_by).asc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = data.withColumn("__run", F.sum(value).over(w))
-    totals = local.groupBy(*keys).agg(F.sum(value).alias("__tot"))
-    cw = (Window.partitionBy(*groups).orderBy(F.col(_B).asc())
-          .rowsBetween(Window.unboundedPreceding, -1))
-    carry = totals.select(*keys, F.coalesce(F.sum("__tot").over(cw), F.lit(0)).alias("__carry"))
-    joined = _join_carry(local, carry, keys, bool(groups) and not cuts_per_group)
+    totals = data.groupBy(*keys).agg(F.sum(value).alias("__tot"))      # partial aggregate
+    if groups and not cuts_per_group:
+        cw = (Window.partitionBy(*groups).orderBy(F.col(_B).asc())
+              .rowsBetween(Window.unboundedPreceding, -1))
+        carry = totals.select(*keys, F.coalesce(F.sum("__tot").over(cw), F.lit(0)).alias("__carry"))
+        joined = local.join(carry, on=keys, how="left")
+    else:
+        # (#groups x buckets) rows, bounded: prefix sums on the driver, broadcast back
+        rows = sorted(totals.collect(), key=lambda r: (tuple(r[g] for g in groups), r[_B]))
+        acc, carried = {}, []
+        for r in rows:
+            g = tuple(r[g] for g in groups)
+            carried.append((*g, r[_B], acc.get(g, 0)))
+            acc[g] = acc.get(g, 0) + (r["__tot"] or 0)
+        vtype = df.schema[value].dataType
+        schema = T.StructType([df.schema[g] for g in groups] + [T.StructField(_B, T.IntegerType()),
+                                                               T.StructField("__carry", _sum_type(vtype))])
+        carry = df.sparkSession.createDataFrame(carried, schema)
+        joined = local.join(F.broadcast(carry), on=keys, how="left")
     run = F.col("__run") + F.col("__carry")
     if not inclusive:
         run = run - F.col(value)
     return joined.withColumn(out, run).drop("__run", "__carry", _B)
 
 
+def _sum_type(dt):
+    return T.DoubleType() if isinstance(dt, (T.FloatType, T.DoubleType)) else T.LongType()
+
+
 def average_ranks(values: DataFrame, value: str, partition_by=(), out: str = "rank",
                   cuts_per_group: bool = False) -> DataFrame:
     """Distinct values of ``value`` (per group) with their average 1-based rank.

@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.constants import NUMBER_PATTERN
 from ..functions.text import na_tokens_to_null
@@ -31,12 +32,14 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
         return spark.read.parquet(path)
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("enforceSchema", False).option("multiLine", False)
-           .option("mode", "PERMISSIVE").csv(path))
     header = _raw_header(spark, path)
-    names = pandas_column_names(header) if header else raw.columns
-    raw = raw.toDF(*names)
+    if header is None:
+        return spark.createDataFrame([], "value string")
+    names = pandas_column_names(header)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    # all-string schema under the pandas-style names; the header line is skipped
+    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+           .option("nullValue", "\u0000never\u0000").csv(path))
     return infer_types(raw) if infer else raw
 
 
