@@ -1031,3 +1031,30 @@ def q_stage_resolve(spark, sf_dir):
 @register("preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
 def q_preview(spark, sf_dir):
     return sinks.preview(table(spark, sf_dir, "orders"), 10, "o_orderkey")
+
+
+# ============================================================ 2.13 fitted plan on a stream
+from .streaming.apply import fit_row_plan, run_to_table, stream_table  # noqa: E402
+
+
+@register("stream_clean_events", V("""
+SELECT event_id, coalesce(value, (SELECT quantile_cont(value, 0.5) FROM gappy_events)) AS value
+FROM gappy_events""", "gappy_events"))
+def q_stream_clean_events(spark, sf_dir):
+    static = dirt.gappy_events(spark, sf_dir).select("event_id", "value")
+    plan = fit_row_plan(static, key="event_id", sentinels=[], cap=False)
+    gap = (F.col("event_id") % 5).isin(0, 1)
+    stream = (stream_table(spark, sf_dir, "events")
+              .select("event_id", F.when(gap, F.lit(None)).otherwise(F.col("value")).alias("value")))
+    return run_to_table(plan.apply(stream))
+
+
+@register("tuned")
+def q_tuned(spark, sf_dir):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    from .plans.training import tune
+    tr = ModelTrainer(target="o_orderstatus", key="o_orderkey", fast=True)
+    prep = tr.prepare(_clf_frame(spark, sf_dir))
+    return tune(prep, "o_orderkey", DecisionTreeClassifier(seed=42), {"maxDepth": [3, 6], "minInstancesPerNode": [1, 20]},
+                folds=2)

@@ -135,17 +135,19 @@ def significant_pairs(corr: DataFrame, alpha: float = 0.05) -> DataFrame:
 def _ranked(df: DataFrame, cols: list[str], distinct_limit: int = 100_000) -> DataFrame:
     """Attach average ranks r_<col> to every row.
 
-    Each column's ranks come from value frequencies (distributed running
-    counts).  A rank table is broadcast only when its measured size is at
-    most ``distinct_limit``; otherwise it is joined by shuffle.
+    All columns are ranked in one pass over the unpivoted (column, value)
+    frequencies (distributed running counts, per-column cut points).  A
+    column's rank table is broadcast back only when its measured size is
+    at most ``distinct_limit``; otherwise it is joined by shuffle.
     """
+    from .quantiles import long_values
+    ranks = average_ranks(long_values(df, cols), "value", ["column"], out="rank", cuts_per_group=True)
+    ranks = ranks.select("column", "value", "rank").persist()
+    sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = df
     for c in cols:
-        ranks = average_ranks(df.select(nan_to_null(F.col(c).cast("double")).alias("__v")), "__v",
-                              out="__r").select("__v", "__r")
-        size = ranks.count()
-        ranks = ranks.withColumnRenamed("__v", f"__v_{c}").withColumnRenamed("__r", f"r_{c}")
-        right = F.broadcast(ranks) if size <= distinct_limit else ranks
+        rc = ranks.where(F.col("column") == c).select(F.col("value").alias(f"__v_{c}"), F.col("rank").alias(f"r_{c}"))
+        right = F.broadcast(rc) if sizes.get(c, 0) <= distinct_limit else rc
         out = (out.withColumn(f"__v_{c}", nan_to_null(F.col(c).cast("double")))
                .join(right, on=f"__v_{c}", how="left").drop(f"__v_{c}"))
     return out

@@ -111,8 +111,8 @@ class RandomFourierFeatures:
 def classifiers(fast: bool = False, seed: int = 42) -> dict:
     it = 20 if fast else 1000
     trees = 20 if fast else 100
-    boost = 5 if fast else 100
-    svm_it = 10 if fast else 100
+    boost = 3 if fast else 100
+    svm_it = 5 if fast else 100
     return {
         "Logistic Regression": lambda n, p: LogisticRegression(maxIter=it, regParam=1.0 / max(n, 1),
                                                                standardization=False),
@@ -129,7 +129,7 @@ def classifiers(fast: bool = False, seed: int = 42) -> dict:
 
 def regressors(fast: bool = False, seed: int = 42) -> dict:
     trees = 20 if fast else 100
-    boost = 5 if fast else 100
+    boost = 3 if fast else 100
     return {
         "Linear Regression": lambda n, p: LinearRegression(regParam=0.0),
         "Decision Tree": lambda n, p: DecisionTreeRegressor(maxDepth=12, seed=seed),

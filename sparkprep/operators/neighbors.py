@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nan_to_null
+from ..session import materialize
 
 MAX_GRID_DIMS = 3
 
@@ -137,14 +138,16 @@ def radius_search(left: DataFrame, right: DataFrame, lkey: str, dist: Column,
             settled.append(status.select(lkey, F.coalesce(F.col("__kth"), F.lit(span + unit))
                                          .alias("__radius")))
             break
-        status = status.persist()
+        # checkpoint each round: the loop's plan stays flat (no nesting of
+        # earlier rounds) and a lost executor re-reads files, not rounds
+        status = materialize(status)
         settled.append(status.where(F.col("__ok")).select(lkey, F.col("__kth").alias("__radius")))
         left_over = status.where(~F.col("__ok")).select(lkey)
         if left_over.limit(1).count() == 0:
             break
-        pending = pending.join(left_over, on=lkey, how="left_semi")
+        pending = materialize(left.join(left_over, on=lkey, how="left_semi"))
         rad *= 4.0
-    return _union(settled)
+    return materialize(_union(settled))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

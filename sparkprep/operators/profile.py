@@ -93,9 +93,11 @@ def describe(df: DataFrame, cols=None, digits: int = 4, method: str = "auto") ->
         v = nan_to_null(F.col(c).cast("double"))
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
                  F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                 sample_skewness(v).alias(f"k{i}"), sample_excess_kurtosis(v).alias(f"u{i}")]
+                 sample_skewness(v).alias(f"k{i}"), sample_excess_kurtosis(v).alias(f"u{i}"),
+                 F.approx_count_distinct(v, 0.05).alias(f"a{i}")]
     row = df.agg(*aggs).collect()[0]
-    q = quantile_map(df, cols, [0.25, 0.5, 0.75], method)
+    est = {c: row[f"a{i}"] for i, c in enumerate(cols)}
+    q = quantile_map(df, cols, [0.25, 0.5, 0.75], method, distinct_estimates=est)
     out = []
     for i, c in enumerate(cols):
         out.append((c, float(row[f"n{i}"]), row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"],

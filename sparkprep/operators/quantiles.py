@@ -1,23 +1,33 @@
 """Exact linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``).
 
-Spark's exact ``percentile`` keeps a value->count map that is merged in
-one task, so it is used only for columns whose distinct count is checked
-to be small.  Other columns go through a distributed rank walk: value
-frequencies (map-side combined), bucketed running counts, and a lookup of
-the two values around each target rank.
+Default (``auto``): Spark's exact ``percentile`` for columns whose
+distinct count is checked (HyperLogLog, 5%) to be at most 1M, so its
+single-task value map stays bounded; ``refine`` for the others: a GK sketch (``percentile_approx``, rank error
+n/accuracy) brackets every target rank; exact counts place the bracket;
+when a bracket holds at most ``max_collect`` rows its (value, count)
+pairs are collected and walked, otherwise the sketch is re-run inside the
+bracket, shrinking it by ~accuracy/4 per round.  Every pass is a parallel
+scan and the driver receives a bounded number of rows.
+
+Other methods: ``builtin`` (always Spark's exact ``percentile``: its value
+map is merged and sorted in one task), ``refine`` (always), ``distributed`` (value frequencies +
+bucketed running counts), ``approx`` (sketch values, not interpolated).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nan_to_null
 from .order import running_sum
 
-# Columns with at most this many (approximate) distinct values use the
-# built-in exact percentile aggregate; the rest use the rank walk.
-SMALL_DISTINCT = 100_000
+# Columns with at most this many (approximate, rsd 5%) distinct values use
+# the built-in exact percentile aggregate, whose single-task merge then
+# holds a bounded map (~32 MB); the rest use the distributed rank walk.
+SMALL_DISTINCT = 1_000_000
 
 
 def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -30,7 +40,8 @@ def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float],
-              method: str = "auto", small_distinct: int = SMALL_DISTINCT) -> DataFrame:
+              method: str = "auto", small_distinct: int = SMALL_DISTINCT,
+              distinct_estimates: dict | None = None) -> DataFrame:
     """Long table (column, prob, value) of exact quantiles.
 
     ``method``: ``auto`` picks per column, ``builtin`` forces Spark's
@@ -45,10 +56,13 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
         rows = [(c, p, (row[c] or [None] * len(probs))[i]) for c in cols for i, p in enumerate(probs)]
         return spark.createDataFrame(rows, "column string, prob double, value double")
     small, large = list(cols), []
+    if method == "refine":
+        return _refine(df, cols, probs)
     if method == "distributed":
         small, large = [], list(cols)
-    elif method == "auto":
-        est = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).collect()[0]
+    elif method in ("auto", "hybrid"):
+        est = distinct_estimates or \
+            df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).collect()[0].asDict()
         small = [c for c in cols if est[c] <= small_distinct]
         large = [c for c in cols if est[c] > small_distinct]
     parts = []
@@ -58,13 +72,122 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
         rows = [(c, p, (row[c] or [None] * len(probs))[i]) for c in small for i, p in enumerate(probs)]
         parts.append(spark.createDataFrame(rows, "column string, prob double, value double"))
     if large:
-        parts.append(_rank_walk(df, large, probs))
+        parts.append(_refine(df, large, probs) if method in ("auto", "hybrid") else _rank_walk(df, large, probs))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+ACCURACY = 10000
+MAX_COLLECT = 20_000
+
+
+def _refine(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = ACCURACY,
+            max_collect: int = MAX_COLLECT, max_rounds: int = 8) -> DataFrame:
+    spark = df.sparkSession
+    vals = df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
+    counts = vals.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(cols))]).collect()[0]
+    eps = 2.0 / accuracy
+    targets = []
+    for i, c in enumerate(cols):
+        n = counts[f"n{i}"]
+        for p in probs:
+            if n == 0:
+                targets.append(dict(col=i, name=c, prob=p, empty=True))
+                continue
+            pos = p * (n - 1)
+            lo, hi = math.floor(pos), math.ceil(pos)
+            targets.append(dict(col=i, name=c, prob=p, empty=False, lo=lo, hi=hi, frac=pos - lo,
+                                L=None, U=None, offset=0, n_in=n))
+
+    def inside(col: int, lo, up):
+        v = F.col(f"v{col}")
+        cond = v.isNotNull()
+        if lo is not None:
+            cond = cond & (v >= F.lit(lo))
+        if up is not None:
+            cond = cond & (v <= F.lit(up))
+        return cond
+
+    live = [t for t in targets if not t["empty"]]
+    for _ in range(max_rounds):
+        wide = [t for t in live if t["n_in"] > max_collect]
+        if not wide:
+            break
+        # one sketch per distinct bracket, covering every rank it must split
+        brackets: dict = {}
+        for t in wide:
+            key = (t["col"], t["L"], t["U"])
+            for r in (t["lo"], t["hi"]):
+                rel = (r - t["offset"]) / t["n_in"]
+                brackets.setdefault(key, set()).update({max(0.0, rel - eps), min(1.0, rel + eps)})
+        keys = list(brackets)
+        plist = {k: sorted(brackets[k]) for k in keys}
+        got = vals.agg(*[F.percentile_approx(F.when(inside(*k), F.col(f"v{k[0]}")), plist[k], accuracy)
+                         .alias(f"s{j}") for j, k in enumerate(keys)]).collect()[0]
+        props = {}
+        for t in wide:
+            k = (t["col"], t["L"], t["U"])
+            j = keys.index(k)
+            ps, qs = plist[k], got[f"s{j}"]
+            rel_lo = (t["lo"] - t["offset"]) / t["n_in"]
+            rel_hi = (t["hi"] - t["offset"]) / t["n_in"]
+            nl = qs[ps.index(max(0.0, rel_lo - eps))]
+            nu = qs[ps.index(min(1.0, rel_hi + eps))]
+            props[id(t)] = (k, nl, nu)
+        # exact placement: rows below and inside each proposed bracket (deduplicated)
+        uniq = sorted({(k, nl, nu) for k, nl, nu in props.values()}, key=repr)
+        aggs = []
+        for j, (k, nl, nu) in enumerate(uniq):
+            v = F.col(f"v{k[0]}")
+            aggs += [F.count_if(inside(*k) & (v < F.lit(nl))).alias(f"b{j}"),
+                     F.count_if(inside(k[0], nl, nu)).alias(f"i{j}")]
+        placed = vals.agg(*aggs).collect()[0]
+        for t in wide:
+            k, nl, nu = props[id(t)]
+            j = uniq.index((k, nl, nu))
+            off, n_in = t["offset"] + placed[f"b{j}"], placed[f"i{j}"]
+            if off <= t["lo"] and off + n_in > t["hi"] and n_in < t["n_in"]:
+                t.update(L=nl, U=nu, offset=off, n_in=n_in)
+            else:
+                t["n_in"] = max_collect          # sketch miss: the bracket is collected as it is
+    rows = []
+    if live:
+        # per column: rows inside any of its brackets -> (column, value, count); bounded collect
+        parts = []
+        for i in sorted({t["col"] for t in live}):
+            cond = None
+            for _, lo, up in {(t["col"], t["L"], t["U"]) for t in live if t["col"] == i}:
+                c = inside(i, lo, up)
+                cond = c if cond is None else cond | c
+            parts.append(vals.where(cond).groupBy(F.col(f"v{i}").alias("v"))
+                         .agg(F.count(F.lit(1)).alias("cnt")).withColumn("c", F.lit(i)))
+        got = parts[0]
+        for p in parts[1:]:
+            got = got.unionByName(p)
+        per_col: dict = {}
+        for r in got.collect():
+            per_col.setdefault(r["c"], []).append((r["v"], r["cnt"]))
+        for seq in per_col.values():
+            seq.sort()
+        for t in live:
+            rank, v_lo, v_hi = t["offset"], None, None
+            for value, cnt in per_col.get(t["col"], []):
+                if (t["L"] is not None and value < t["L"]) or (t["U"] is not None and value > t["U"]):
+                    continue
+                if v_lo is None and rank + cnt > t["lo"]:
+                    v_lo = value
+                if rank + cnt > t["hi"]:
+                    v_hi = value
+                    break
+                rank += cnt
+            val = None if v_lo is None or v_hi is None else v_lo + (v_hi - v_lo) * t["frac"]
+            rows.append((t["name"], t["prob"], val))
+    rows += [(t["name"], t["prob"], None) for t in targets if t["empty"]]
+    return spark.createDataFrame(rows, "column string, prob double, value double")
+
+
 def _rank_walk(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
     spark = df.sparkSession
     freq = (long_values(df, cols).groupBy("column", "value")
@@ -88,9 +211,10 @@ def _rank_walk(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
                          (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value"))
 
 
-def quantile_map(df: DataFrame, cols: list[str], probs: list[float], method: str = "auto") -> dict:
+def quantile_map(df: DataFrame, cols: list[str], probs: list[float], method: str = "auto",
+                 distinct_estimates: dict | None = None) -> dict:
     """{column: {prob: value}} on the driver (bounded: columns x probs)."""
     out: dict = {c: {} for c in cols}
-    for r in quantiles(df, cols, probs, method).collect():
+    for r in quantiles(df, cols, probs, method, distinct_estimates=distinct_estimates).collect():
         out[r["column"]][r["prob"]] = r["value"]
     return out
