@@ -106,21 +106,29 @@ def array_euclidean(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(diff, F.lit(0.0), lambda acc, v: acc + v))
 
 
-def radius_search(left: DataFrame, right: DataFrame, lkey: str, dist: Column,
-                  k: int, need: dict, grid: Grid) -> DataFrame:
+def radius_search(lanes: list, left: DataFrame, lkey: str, dist: Column, k: int, need: dict) -> DataFrame:
     """(lkey, __radius): an upper bound on each left row's k-th eligible distance.
 
-    ``need`` maps a target name to (left-needs predicate, pair-eligible
-    predicate, number of eligible donors).  A left row is settled once each
-    target it needs has min(k, eligible) candidates; unsettled rows retry
-    with a 4x wider window until the window spans the whole band.
+    ``lanes`` is a list of (left part, right part, grid): every (left,
+    right) pair belongs to exactly one lane, whose grid uses coordinates
+    both sides have.  ``need`` maps a target name to (left-needs predicate,
+    pair-eligible predicate, number of eligible donors).  A left row is
+    settled once each target it needs has min(k, eligible) candidates over
+    all its lanes; unsettled rows retry with a 4x wider window until the
+    window spans every grid.
     """
-    span, unit = grid.span, max(grid.width)
-    pending, settled, rad = left, [], min(grid.width)
+    # each lane widens on its own scale (any candidates give a valid bound)
+    span = max(g.span for _, _, g in lanes)
+    unit = max(max(g.width) for _, _, g in lanes)
+    step = 1.0
+    pending, settled = None, []
     while True:
-        full = rad >= span
-        radius = F.lit(span + unit if full else rad)
-        pairs = grid_join(pending, right, grid, radius).withColumn("__d", dist)
+        radii = [min(g.width) * step for _, _, g in lanes]
+        full = all(r >= g.span for r, (_, _, g) in zip(radii, lanes))
+        pairs = _union([grid_join(lp if pending is None else lp.join(pending, on=lkey, how="left_semi"),
+                                  rp, g, F.lit(g.span + max(g.width) if r >= g.span else r))
+                        for r, (lp, rp, g) in zip(radii, lanes)]).withColumn("__d", dist)
+        rows = left if pending is None else left.join(pending, on=lkey, how="left_semi")
         wanted, found = [], []
         for t, (needs, eligible, n_elig) in need.items():
             want = min(k, n_elig)
@@ -130,7 +138,7 @@ def radius_search(left: DataFrame, right: DataFrame, lkey: str, dist: Column,
                          .groupBy(lkey).agg(F.max("__d").alias("__kth"),
                                             (F.count(F.lit(1)) >= want).alias("__ok"))
                          .withColumn("__t", F.lit(t)))
-            wanted.append(pending.where(needs).select(lkey, F.lit(t).alias("__t")))
+            wanted.append(rows.where(needs).select(lkey, F.lit(t).alias("__t")))
         status = (_union(wanted).join(_union(found), on=[lkey, "__t"], how="left")
                   .groupBy(lkey).agg(F.min(F.coalesce(F.col("__ok"), F.lit(False))).alias("__ok"),
                                      F.max("__kth").alias("__kth")))
@@ -145,8 +153,8 @@ def radius_search(left: DataFrame, right: DataFrame, lkey: str, dist: Column,
         left_over = status.where(~F.col("__ok")).select(lkey)
         if left_over.limit(1).count() == 0:
             break
-        pending = materialize(left.join(left_over, on=lkey, how="left_semi"))
-        rad *= 4.0
+        pending = materialize(left_over)
+        step *= 4.0
     return materialize(_union(settled))
 
 
@@ -158,13 +166,51 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def pick_bands(stats, complete: list[str]) -> list[str]:
-    """Up to MAX_GRID_DIMS complete columns with the widest spread."""
+    """Up to MAX_GRID_DIMS of the given columns, widest spread first."""
     if not complete:
-        raise ValueError("exact k-NN needs one numeric column without gaps as band coordinate")
+        raise ValueError("exact k-NN needs a coordinate shared by both sides")
     ranked = sorted(complete, key=lambda c: -(stats[f"sd_{c}"] or 0.0))
     return [c for c in ranked if (stats[f"sd_{c}"] or 0.0) > 0][:MAX_GRID_DIMS] or ranked[:1]
 
 
+def _presence(prefix: str, cols: list[str]) -> Column:
+    bits = F.lit(0)
+    for i, c in enumerate(cols):
+        bits = bits + F.when(F.col(prefix + c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
+    return bits
+
+
+def _pattern_lanes(left: DataFrame, right: DataFrame, cols: list[str], st, k: int, band=None) -> list:
+    """One lane per (left presence pattern, right presence pattern) sharing a coordinate.
+
+    Patterns are bounded by the schema (at most 2^columns, in practice a
+    handful); each lane's grid uses the widest shared coordinates, so the
+    distance bound holds for every pair of the lane.
+    """
+    lp_col, rp_col = _presence("l_", cols), _presence("r_", cols)
+    lpats = [r["p"] for r in left.select(lp_col.alias("p")).distinct().collect()]
+    rpats = [r["p"] for r in right.select(rp_col.alias("p")).distinct().collect()]
+    # group donor patterns by the grid they get with each recipient pattern:
+    # one lane per (recipient pattern, grid dims); every pair is in exactly one lane
+    groups: dict = {}
+    for a in sorted(lpats):
+        for b in sorted(rpats):
+            common = [c for i, c in enumerate(cols) if (a >> i) & 1 and (b >> i) & 1]
+            if not common:
+                continue                 # no shared coordinate: distance undefined, never a donor
+            dims = tuple([band] if band in common else pick_bands(st, common))
+            groups.setdefault((a, dims), []).append(b)
+    lanes = []
+    for (a, dims), bs in groups.items():
+        rpart = right.where(rp_col.isin(*bs))
+        grid = make_grid(rpart, list(dims), "r_", k)
+        if grid is not None:
+            lanes.append((left.where(lp_col == a), rpart, grid))
+    if not lanes:
+        raise ValueError("no rows share a coordinate with any donor")
+    return lanes
+
+
 def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, band: str | None = None) -> DataFrame:
     """Fill gaps in ``cols`` from the k nearest rows.
 
@@ -182,7 +228,6 @@ def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, band: str |
     usable = [c for c in cols if st[c] > 0]
     if not targets:
         return df
-    bands = [band] if band else pick_bands(st, [c for c in usable if st[c] == n])
     any_gap = F.lit(False)
     for c in targets:
         any_gap = any_gap | F.col(c).isNull()
@@ -190,11 +235,11 @@ def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, band: str |
             .select(F.col("__key").alias("l_key"), *[F.col(c).alias(f"l_{c}") for c in usable]))
     right = base.select(F.col("__key").alias("r_key"), *[F.col(c).alias(f"r_{c}") for c in usable])
     dist = nan_euclidean([f"l_{c}" for c in usable], [f"r_{c}" for c in usable])
-    grid = make_grid(right, bands, "r_", k)
+    lanes = _pattern_lanes(left, right, usable, st, k, band)
     need = {c: (F.col(f"l_{c}").isNull(), F.col(f"l_{c}").isNull() & F.col(f"r_{c}").isNotNull(), int(st[c]))
             for c in targets}
-    radius = radius_search(left, right, "l_key", dist, k, need, grid)
-    cand = (grid_join(left.join(radius, on="l_key"), right, grid, F.col("__radius"))
+    radius = radius_search(lanes, left, "l_key", dist, k, need)
+    cand = (_union([grid_join(lp.join(radius, on="l_key"), rp, g, F.col("__radius")) for lp, rp, g in lanes])
             .withColumn("__d", dist).where(F.col("__d").isNotNull()))
     per_col = []
     for c in targets:
@@ -241,7 +286,7 @@ def knn_predict(train: DataFrame, test: DataFrame, key: str, features: str, labe
     grid = make_grid(tr, [f"b{j}" for j in range(len(picked))], "r_", k)
     dist = array_euclidean("l_x", "r_x")
     need = {"y": (F.lit(True), F.lit(True), n_train)}
-    radius = radius_search(te, tr, "l_key", dist, k, need, grid)
+    radius = radius_search([(te, tr, grid)], te, "l_key", dist, k, need)
     w = Window.partitionBy("l_key").orderBy("__d", "r_key")
     top = (grid_join(te.join(radius, on="l_key"), tr, grid, F.col("__radius"))
            .withColumn("__d", dist).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k))

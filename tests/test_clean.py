@@ -150,3 +150,42 @@ def test_constant_column(spark):
     assert d.skewness == 0.0 and d.skew_label == "Symmetric"
     corr = correlate.correlations(df, ["c", "x"]).collect()[0]
     assert corr.r is None
+
+
+def test_knn_no_complete_column_brute_force(spark):
+    """Every column has gaps: presence-pattern lanes must still equal brute force."""
+    import math
+    import random
+    rng = random.Random(11)
+    rows = []
+    for i in range(240):
+        x = None if i % 5 == 0 else rng.uniform(0, 100)
+        y = None if i % 7 == 0 else float(rng.randint(0, 5))       # heavy ties
+        z = None if i % 3 == 0 else rng.uniform(0, 10)
+        rows.append((i, x, y, z))
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    got = {r.id: (r.x, r.y, r.z) for r in neighbors.knn_impute(df, "id", ["x", "y", "z"], k=4).collect()}
+    cols = 3
+    means = [sum(r[c] for r in rows if r[c] is not None) / sum(1 for r in rows if r[c] is not None)
+             for c in (1, 2, 3)]
+    for r in rows:
+        for c in (1, 2, 3):
+            if r[c] is not None:
+                continue
+            cands = []
+            for d in rows:
+                if d[c] is None:
+                    continue
+                both = [j for j in (1, 2, 3) if r[j] is not None and d[j] is not None]
+                if not both:
+                    continue
+                dist = math.sqrt(cols / len(both) * sum((r[j] - d[j]) ** 2 for j in both))
+                cands.append((dist, d[0], d[c]))
+            top = sorted(cands)[:4]
+            if not top:
+                want = means[c - 1]
+            else:
+                zero = [v for dd, _, v in top if dd == 0]
+                want = (sum(zero) / len(zero) if zero else
+                        sum(v / dd for dd, _, v in top) / sum(1 / dd for dd, _, _ in top))
+            assert got[r[0]][c - 1] == pytest.approx(want, rel=1e-9, abs=1e-9), (r, c)
