@@ -11,7 +11,7 @@ ORACLE_SAMPLE = ["coerce_price", "classify_dirty_numeric", "title_case_priority"
                  "median_fill", "ffill_events_by_user", "bfill_events", "iqr_flags", "cap_all", "profile_orders",
                  "describe_lineitem", "corr_pearson", "corr_spearman", "knn_impute_part", "knn_classify",
                  "label_encode", "feature_plan", "clf_metrics_macro", "auc", "confusion", "split_stratified",
-                 "manual_clean_orders", "hist_before_after"]
+                 "manual_clean_orders", "hist_before_after", "stream_clean_events", "csv_roundtrip"]
 
 
 def _norm(rows):

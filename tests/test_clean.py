@@ -126,11 +126,20 @@ def test_iqr_distributed_matches_builtin(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     from sparkprep.operators.quantiles import quantile_map
     cols = ["l_extendedprice", "l_quantity", "l_discount"]
-    a = quantile_map(df, cols, [0.1, 0.25, 0.5, 0.75, 0.9], "builtin")
-    b = quantile_map(df, cols, [0.1, 0.25, 0.5, 0.75, 0.9], "distributed")
+    from sparkprep.operators.quantiles import _refine
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    a = quantile_map(df, cols, probs, "builtin")
+    b = quantile_map(df, cols, probs, "distributed")
+    c_ = quantile_map(df, cols, probs, "refine")
+    # tiny sketch and collect bound: forces several narrowing rounds
+    d = {r["column"]: {} for r in []}
+    for r in _refine(df, cols, probs, accuracy=50, max_collect=40).collect():
+        d.setdefault(r["column"], {})[r["prob"]] = r["value"]
     for c in cols:
         for p in a[c]:
             assert abs(a[c][p] - b[c][p]) < 1e-9
+            assert abs(a[c][p] - c_[c][p]) < 1e-9
+            assert abs(a[c][p] - d[c][p]) < 1e-9
 
 
 def test_zscore(spark):
