@@ -43,7 +43,7 @@ def sample_skewness(col) -> Column:
     c = _c(col)
     n = F.count(c).cast("double")
     g1 = F.skewness(c)
-    corrected = F.try_divide(g1 * F.sqrt(n * (n - 1)), n - 2)
+    corrected = g1 * F.sqrt(n * (n - 1)) / (n - 2)          # guarded: n >= 3 below
     return (F.when(n < 3, F.lit(None))
             .when(F.stddev_pop(c) == 0, F.lit(0.0))
             .otherwise(corrected))
@@ -57,7 +57,7 @@ def sample_excess_kurtosis(col) -> Column:
     c = _c(col)
     n = F.count(c).cast("double")
     g2 = F.kurtosis(c)
-    corrected = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
+    corrected = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)   # guarded: n >= 4 below
     return (F.when(n < 4, F.lit(None))
             .when(F.stddev_pop(c) == 0, F.lit(0.0))
             .otherwise(corrected))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import HISTOGRAM_BINS
-from ..functions.numeric import nan_to_null, sample_excess_kurtosis, sample_skewness, skew_label
+from ..functions.numeric import nan_to_null, skew_label
 from ..functions.types import is_floating, numeric_columns
 from .clean import duplicate_count, missing_cells
 from .quantiles import quantile_map
@@ -80,29 +82,68 @@ def overview(df: DataFrame) -> DataFrame:
                                            "rows long, columns long, missing long, duplicates long")
 
 
+# Columns per moments aggregate. One wide aggregate over many columns
+# generates a method too large for the JVM to compile, so it runs
+# interpreted; chunks keep every generated aggregate small.
+MOMENT_CHUNK = 4
+
+
+def moments(df: DataFrame, cols: list[str]) -> dict:
+    """{column: (n, mean, std n-1, min, max, g1, g2)}; g1, g2 population form.
+
+    Chunks of MOMENT_CHUNK columns, each one declarative (code-generated)
+    aggregate, exploded to one row per column and unioned into one job.
+    """
+    parts = []
+    for start in range(0, len(cols), MOMENT_CHUNK):
+        structs = []
+        for c in cols[start:start + MOMENT_CHUNK]:
+            v = nan_to_null(F.col(c).cast("double"))
+            structs.append(F.struct(F.lit(c).alias("feature"), F.count(v).alias("n"),
+                                    F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                                    F.min(v).alias("lo"), F.max(v).alias("hi"),
+                                    F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2")))
+        parts.append(df.agg(F.array(*structs).alias("m")).select(F.explode("m").alias("m")).select("m.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return {r["feature"]: (r["n"], r["mean"], r["std"], r["lo"], r["hi"], r["g1"], r["g2"])
+            for r in out.collect()}
+
+
+def _sample_skew(n: int, std, g1):
+    """Bias-corrected skewness G1 = g1 sqrt(n(n-1)) / (n-2); 0 for a constant column."""
+    if n < 3:
+        return None
+    if std == 0 or g1 is None:
+        return 0.0
+    return g1 * math.sqrt(n * (n - 1)) / (n - 2)
+
+
+def _sample_kurt(n: int, std, g2):
+    """Bias-corrected excess kurtosis (n-1)/((n-2)(n-3)) ((n+1) g2 + 6); 0 if constant."""
+    if n < 4:
+        return None
+    if std == 0 or g2 is None:
+        return 0.0
+    return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
+
+
 def describe(df: DataFrame, cols=None, digits: int = 4, method: str = "auto") -> DataFrame:
     """count, mean, std (n-1), min, quartiles, max, skewness, kurtosis, label.
 
-    Moments come from one aggregate over all columns; quartiles from the
-    exact quantile operator.
+    Moments come from chunked one-pass aggregates; quartiles from the exact
+    quantile operator. Bias corrections run on the per-column result row.
     """
     spark = df.sparkSession
     cols = numeric_columns(df) if cols is None else list(cols)
-    aggs = []
-    for i, c in enumerate(cols):
-        v = nan_to_null(F.col(c).cast("double"))
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                 sample_skewness(v).alias(f"k{i}"), sample_excess_kurtosis(v).alias(f"u{i}"),
-                 F.approx_count_distinct(v, 0.05).alias(f"a{i}")]
-    row = df.agg(*aggs).collect()[0]
-    est = {c: row[f"a{i}"] for i, c in enumerate(cols)}
-    q = quantile_map(df, cols, [0.25, 0.5, 0.75], method, distinct_estimates=est)
+    mom = moments(df, cols)
+    q = quantile_map(df, cols, [0.25, 0.5, 0.75], method)
     out = []
-    for i, c in enumerate(cols):
-        out.append((c, float(row[f"n{i}"]), row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"],
-                    q[c].get(0.25), q[c].get(0.5), q[c].get(0.75), row[f"hi{i}"],
-                    row[f"k{i}"], row[f"u{i}"]))
+    for c in cols:
+        n, mean, std, lo, hi, g1, g2 = mom[c]
+        out.append((c, float(n), mean, std, lo, q[c].get(0.25), q[c].get(0.5), q[c].get(0.75), hi,
+                    _sample_skew(n, std, g1), _sample_kurt(n, std, g2)))
     base = spark.createDataFrame(
         out, "feature string, count double, mean double, std double, min double, p25 double, "
              "p50 double, p75 double, max double, skewness double, kurtosis double")

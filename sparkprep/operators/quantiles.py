@@ -18,16 +18,20 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nan_to_null
 from .order import running_sum
 
-# Columns with at most this many (approximate, rsd 5%) distinct values use
-# the built-in exact percentile aggregate, whose single-task merge then
-# holds a bounded map (~32 MB); the rest use the distributed rank walk.
-SMALL_DISTINCT = 1_000_000
+# Columns with at most this many (approximate, rsd 5%) distinct values are
+# answered from their (value, count) table: a hash aggregate whose partial
+# counts merge across all reducers, so no single task receives one map per
+# scan task (as the global built-in ``percentile`` does); only the table,
+# bounded by this constant per column, reaches the driver. The rest use the
+# sketch-bracket refinement, which collects at most MAX_COLLECT rows.
+SMALL_DISTINCT = 20_000
 
 
 def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -44,9 +48,12 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
               distinct_estimates: dict | None = None) -> DataFrame:
     """Long table (column, prob, value) of exact quantiles.
 
-    ``method``: ``auto`` picks per column, ``builtin`` forces Spark's
-    ``percentile``, ``distributed`` forces the rank walk, ``approx`` uses
-    ``percentile_approx`` (returns data values, not interpolated).
+    ``method``: ``auto`` picks per column (value-count table up to
+    ``small_distinct`` distinct values, sketch-bracket refinement above),
+    ``frequency`` forces the value-count table (bounded), ``refine`` the
+    refinement, ``builtin`` Spark's global ``percentile``, ``distributed``
+    the rank walk; ``approx`` uses ``percentile_approx`` (returns data
+    values, not interpolated).
     """
     spark = df.sparkSession
     probs = [float(p) for p in probs]
@@ -58,6 +65,11 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
     small, large = list(cols), []
     if method == "refine":
         return _refine(df, cols, probs)
+    if method == "frequency":
+        rows = _frequency(df, cols, probs, small_distinct)
+        if rows is None:
+            raise ValueError(f"more than {small_distinct} distinct values per column")
+        return spark.createDataFrame(rows, "column string, prob double, value double")
     if method == "distributed":
         small, large = [], list(cols)
     elif method in ("auto", "hybrid"):
@@ -66,6 +78,13 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
         small = [c for c in cols if est[c] <= small_distinct]
         large = [c for c in cols if est[c] > small_distinct]
     parts = []
+    if small and method != "builtin":
+        rows = _frequency(df, small, probs, small_distinct)
+        if rows is None:                       # the estimate was too low: refine those too
+            large, small = small + large, []
+        else:
+            parts.append(spark.createDataFrame(rows, "column string, prob double, value double"))
+            small = []
     if small:
         row = df.agg(*[F.percentile(nan_to_null(F.col(c).cast("double")), probs).alias(c)
                        for c in small]).collect()[0]
@@ -79,14 +98,62 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
     return out
 
 
+def _interpolate(seq: list, n: int, p: float):
+    """Linear-interpolated quantile from sorted (value, count) pairs totalling n."""
+    if n == 0:
+        return None
+    pos = p * (n - 1)
+    lo, hi = math.floor(pos), math.ceil(pos)
+    rank, v_lo = 0, None
+    for value, cnt in seq:
+        if v_lo is None and rank + cnt > lo:
+            v_lo = value
+        if rank + cnt > hi:
+            return v_lo + (value - v_lo) * (pos - lo)
+        rank += cnt
+    return None
+
+
+def _frequency(df: DataFrame, cols: list[str], probs: list[float], cap: int):
+    """Exact quantiles from the distributed (column, value, count) table.
+
+    Returns rows (column, prob, value), or None when the table holds more
+    than ``cap`` (+25% for the estimate's error) rows per column.
+    """
+    limit = int(cap * 1.25) * len(cols)
+    got = (long_values(df, cols).groupBy("column", "value")
+           .agg(F.count(F.lit(1)).alias("cnt")).limit(limit + 1).collect())
+    if len(got) > limit:
+        return None
+    per_col: dict = {}
+    for r in got:
+        per_col.setdefault(r["column"], []).append((r["value"], r["cnt"]))
+    rows = []
+    for c in cols:
+        seq = sorted(per_col.get(c, []))
+        n = sum(cnt for _, cnt in seq)
+        rows += [(c, p, _interpolate(seq, n, p)) for p in probs]
+    return rows
+
+
 ACCURACY = 10000
 MAX_COLLECT = 20_000
 
 
 def _refine(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = ACCURACY,
             max_collect: int = MAX_COLLECT, max_rounds: int = 8) -> DataFrame:
-    spark = df.sparkSession
-    vals = df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
+    # several passes read the same narrow projection: keep it (spillable) for
+    # the rounds; lost blocks are recomputed from lineage
+    vals = (df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        return _refine_rounds(df.sparkSession, vals, cols, probs, accuracy, max_collect, max_rounds)
+    finally:
+        vals.unpersist()
+
+
+def _refine_rounds(spark, vals: DataFrame, cols: list[str], probs: list[float], accuracy: int,
+                   max_collect: int, max_rounds: int) -> DataFrame:
     counts = vals.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(cols))]).collect()[0]
     eps = 2.0 / accuracy
     targets = []

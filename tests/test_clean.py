@@ -131,6 +131,8 @@ def test_iqr_distributed_matches_builtin(spark):
     a = quantile_map(df, cols, probs, "builtin")
     b = quantile_map(df, cols, probs, "distributed")
     c_ = quantile_map(df, cols, probs, "refine")
+    f_ = quantile_map(df, cols, probs, "frequency")
+    h_ = quantile_map(df, cols, probs, "auto")
     # tiny sketch and collect bound: forces several narrowing rounds
     d = {r["column"]: {} for r in []}
     for r in _refine(df, cols, probs, accuracy=50, max_collect=40).collect():
@@ -138,6 +140,8 @@ def test_iqr_distributed_matches_builtin(spark):
     for c in cols:
         for p in a[c]:
             assert abs(a[c][p] - b[c][p]) < 1e-9
+            assert abs(a[c][p] - f_[c][p]) < 1e-9
+            assert abs(a[c][p] - h_[c][p]) < 1e-9
             assert abs(a[c][p] - c_[c][p]) < 1e-9
             assert abs(a[c][p] - d[c][p]) < 1e-9
 
