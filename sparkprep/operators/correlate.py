@@ -15,33 +15,46 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import nan_to_null
 from ..functions.types import numeric_columns
+from ..session import materialize
 from .order import average_ranks
 
 
+# Pairs per aggregate: one aggregate over every pair generates a method too
+# large for the JVM to compile (it then runs interpreted); chunks stay small.
+PAIR_CHUNK = 4
+
+
 def _pair_stats(df: DataFrame, cols: list[str]) -> list[tuple]:
     """[(i, j, a, b, n, r)] for i < j; r null when n < 3 or a side is constant.
 
-    One projection normalises NaN and masks each pair to its complete rows;
-    one aggregate then reads plain column references (cheap codegen).
+    Each pair is masked to its complete rows, NaN normalised; chunks of
+    PAIR_CHUNK pairs are one code-generated aggregate each, exploded to one
+    row per pair and unioned into a single job.
     """
-    proj, aggs, pairs = [], [], []
-    for i, a in enumerate(cols):
-        for j in range(i + 1, len(cols)):
-            b = cols[j]
-            k = len(pairs)
+    pairs = [(i, j, cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    if not pairs:
+        return []
+    parts = []
+    for start in range(0, len(pairs), PAIR_CHUNK):
+        proj, structs = [], []
+        for k in range(start, min(start + PAIR_CHUNK, len(pairs))):
+            _, _, a, b = pairs[k]
             va, vb = nan_to_null(F.col(a).cast("double")), nan_to_null(F.col(b).cast("double"))
             both = va.isNotNull() & vb.isNotNull()
             proj += [F.when(both, va).alias(f"x{k}"), F.when(both, vb).alias(f"y{k}")]
             x, y = F.col(f"x{k}"), F.col(f"y{k}")
-            aggs += [F.count(x).alias(f"n{k}"),
-                     F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"r{k}")]
-            pairs.append((i, j, a, b))
-    if not aggs:
-        return []
-    row = df.select(*proj).agg(*aggs).collect()[0]
+            structs.append(F.struct(F.lit(k).alias("k"), F.count(x).alias("n"),
+                                    F.try_divide(F.covar_pop(x, y),
+                                                 F.stddev_pop(x) * F.stddev_pop(y)).alias("r")))
+        parts.append(df.select(*proj).agg(F.array(*structs).alias("s"))
+                     .select(F.explode("s").alias("s")).select("s.*"))
+    got = parts[0]
+    for part in parts[1:]:
+        got = got.unionByName(part)
+    by_k = {r["k"]: (r["n"], r["r"]) for r in got.collect()}
     out = []
     for k, (i, j, a, b) in enumerate(pairs):
-        n, r = row[f"n{k}"], row[f"r{k}"]
+        n, r = by_k[k]
         if n < 3 or r is None or math.isnan(r):
             r = None
         out.append((i, j, a, b, int(n), r))
@@ -160,8 +173,12 @@ def _spearman_stats(df: DataFrame, cols: list[str]) -> list[tuple]:
     full = [c for c in cols if cnt[c] == cnt["n"]]
     out = []
     if len(full) >= 2:
-        ranked = _ranked(df.select(*full), full)
-        for i, j, a, b, n, r in _pair_stats(ranked, [f"r_{c}" for c in full]):
+        rcols = [f"r_{c}" for c in full]
+        ranked = _ranked(df.select(*full), full).select(*rcols)
+        if len(full) * (len(full) - 1) // 2 > PAIR_CHUNK:
+            # several pair chunks read the ranks: join once, cut the lineage
+            ranked = materialize(ranked)
+        for i, j, a, b, n, r in _pair_stats(ranked, rcols):
             out.append((cols.index(full[i]), cols.index(full[j]), full[i], full[j], n, r))
     done = {(a, b) for _, _, a, b, _, _ in out}
     for i, a in enumerate(cols):
