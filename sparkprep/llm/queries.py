@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, topk
+from . import packing, simhash, token_files, topk
+from .common import text_rows
+from .tokens import id_type, token_rows, tokenizer_file
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -24,6 +26,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TOKENIZER, VOCABULARY, END_ID = "word_bpe_49k.json", 49_408, 2
+
+
+@register("op1_token_files")
+def op1(spark, sf_dir):
+    found = token_files.round_trip(read(spark, sf_dir, "documents"), tokenizer_file(TOKENIZER), VOCABULARY, END_ID)
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 @register("op4_simhash_near_dedup")
 def op4(spark, sf_dir):
     return simhash.digest(read(spark, sf_dir, "documents"))
@@ -44,3 +55,17 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
 def op8(spark, sf_dir):
     vectors = topk.integer_vectors(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors, vectors.where(F.col("id") % 100 == 0), k=10)
+
+
+@register("op7_vector_packing")
+def op7(spark, sf_dir):
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """Whole texts as examples whose tokens all bear loss, cut and packed into 4,096 tokens."""
+    rows = token_rows(text_rows(docs, "doc_id", "text"), tokenizer_file(TOKENIZER), END_ID)
+    pieces = packing.pack(rows.select("id", "ids"), packing.Limits(tokens=4096, segments=256, loss=4096),
+                          id_type(VOCABULARY))
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32",
+                         F.col("tokens").alias("doc_tokens"), "sequence_id", "offset", "loss_tokens")
