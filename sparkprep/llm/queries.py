@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, token_files, topk
+from . import packing, secrets, simhash, token_files, topk
 from .common import text_rows
 from .tokens import id_type, token_rows, tokenizer_file
 
@@ -57,6 +57,39 @@ def op8(spark, sf_dir):
     return topk.top_k(vectors, vectors.where(F.col("id") % 100 == 0), k=10)
 
 
+def _sql_spans(kind: str, pattern: str, group: int, least: int) -> str:
+    """(doc_id, kind, start, end) of the counting matches, by what stands between matches."""
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, start + size AS stop, start FROM (
+    SELECT doc_id, CAST(list_sum(list_transform(b[1:i], lambda x: length(x)))
+           + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start,
+           length(m[i]) AS size, length(v[i]) AS worth
+    FROM (SELECT doc_id, b, m, v, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(t, $r${pattern}$r$) AS m, regexp_extract_all(t, $r${pattern}$r$, {group}) AS v,
+             string_split_regex(t, $r${pattern}$r$) AS b FROM d WHERE regexp_matches(t, $r${pattern}$r$)))
+  ) WHERE worth >= {least}"""
+
+
+def _sql_secrets() -> str:
+    rules = secrets.BASE_RULES + secrets.MORE_RULES
+    order = "CASE kind " + " ".join(f"WHEN '{r.kind}' THEN {i}" for i, r in enumerate(rules)) + " END"
+    spans = " UNION ALL ".join(_sql_spans(r.kind, r.pattern, r.group, r.least) for r in rules)
+    base = ", ".join(f"'{r.kind}'" for r in secrets.BASE_RULES)
+    one = "kind || ':' || start || ':' || stop"
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = '{r.kind}') AS BIGINT) AS n_{r.kind}" for r in secrets.BASE_RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({spans})
+SELECT d.doc_id, {counts},
+  sha256(coalesce(string_agg({one}, ',' ORDER BY start, {order}) FILTER (kind IN ({base})), '')) AS base_sha256,
+  coalesce(string_agg({one}, ',' ORDER BY start, {order}) FILTER (kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
+
+
+@register("op5_secret_ledger", _sql_secrets())
+def op5(spark, sf_dir):
+    return secrets.digest(read(spark, sf_dir, "documents"))
+
+
 @register("op7_vector_packing")
 def op7(spark, sf_dir):
     return pack_documents(read(spark, sf_dir, "documents"))
