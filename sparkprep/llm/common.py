@@ -53,6 +53,7 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
             F.max(F.when(F.col("id").isNull(), F.lit(2)).otherwise(F.col("n"))).alias("n")).first()["n"]
         if (most or 1) == 1:
             return df.withColumn(name, ident.cast("long")), name
+    name = free_name(df, "row_number")
     ordered = df.orderBy(ident.asc_nulls_last(), F.col(f"`{text_col}`"))
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
     numbered = ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, simhash, token_files, topk
+from . import lines, packing, secrets, simhash, token_files, topk
 from .common import text_rows
 from .tokens import id_type, token_rows, tokenizer_file
 
@@ -90,6 +90,11 @@ def op5(spark, sf_dir):
     return secrets.digest(read(spark, sf_dir, "documents"))
 
 
+@register("op6_fuzzy_lines")
+def op6(spark, sf_dir):
+    return lines.report(read(spark, sf_dir, "documents"))
+
+
 @register("op7_vector_packing")
 def op7(spark, sf_dir):
     return pack_documents(read(spark, sf_dir, "documents"))
