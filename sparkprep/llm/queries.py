@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, secrets, simhash, token_files, topk
+from . import lines, packing, secrets, simhash, substrings, token_files, topk
 from .common import text_rows
 from .tokens import id_type, token_rows, tokenizer_file
 
@@ -107,3 +107,8 @@ def pack_documents(docs: DataFrame) -> DataFrame:
                           id_type(VOCABULARY))
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32",
                          F.col("tokens").alias("doc_tokens"), "sequence_id", "offset", "loss_tokens")
+
+
+@register("op10_suffix_dedup")
+def op10(spark, sf_dir):
+    return substrings.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
