@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, secrets, simhash, substrings, token_files, topk
+from . import decontaminate, lines, packing, secrets, simhash, substrings, token_files, topk
 from .common import text_rows
 from .tokens import id_type, token_rows, tokenizer_file
 
@@ -109,6 +109,12 @@ def pack_documents(docs: DataFrame) -> DataFrame:
                          F.col("tokens").alias("doc_tokens"), "sequence_id", "offset", "loss_tokens")
 
 
+@register("op9_qgram_decontamination")
+def op9(spark, sf_dir):
+    found = decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_segments", "edits")
+
+
 @register("op10_suffix_dedup")
 def op10(spark, sf_dir):
     return substrings.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
