@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, packing, secrets, simhash, substrings, token_files, topk
+from . import decontaminate, lines, packing, quality, secrets, simhash, substrings, token_files, topk
 from .common import text_rows
 from .tokens import id_type, token_rows, tokenizer_file
 
@@ -35,6 +35,11 @@ def op1(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+@register("op3_quality_classifier")
+def op3(spark, sf_dir):
+    return quality.classify(read(spark, sf_dir, "documents")).select("doc_id", "pattern", "weak_good", "p_good", "keep")
+
+
 @register("op4_simhash_near_dedup")
 def op4(spark, sf_dir):
     return simhash.digest(read(spark, sf_dir, "documents"))
