@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .tokens import encode_batches
+
 WAITING = 512               # examples a task keeps to choose from
 TASK_SEQUENCES = 1 << 40    # sequence ids of a task start at its number times this
 
@@ -165,7 +167,29 @@ def pack(examples: DataFrame, limits: Limits = Limits(), id_type: str = "<u2") -
     the same when a task is run again on the same rows.
     """
     has_loss = "loss" in examples.columns
+    kind = examples.schema["id"].dataType.simpleString()
+    cols = ["id", "ids", "loss"] if has_loss else ["id", "ids"]
+    return examples.select(*cols).mapInArrow(_packed(limits, id_type, has_loss), f"id {kind}, {_PIECES}")
+
+
+def pack_texts(rows: DataFrame, tokenizer: str, end_id: int | None, limits: Limits = Limits(),
+               id_type: str = "<u2") -> DataFrame:
+    """``pack`` of the token ids of ``(key, id, text)``, made in the same task; all tokens bear loss."""
+    shared = rows.sparkSession.sparkContext.broadcast(tokenizer)
+    into = _packed(limits, id_type, False)
 
+    def run(batches):
+        encoded = encode_batches(batches, shared.value, end_id)
+        return into(pa.RecordBatch.from_arrays([b.column(1), b.column(3)], ["id", "ids"]) for b in encoded)
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("key", "id", "text").mapInArrow(run, f"id {kind}, {_PIECES}")
+
+
+_PIECES = ("start long, length long, ids_crc32 long, tokens long, loss_tokens long, sequence_id long, offset long")
+
+
+def _packed(limits: Limits, id_type: str, has_loss: bool):
     def run(batches):
         packer = Packer(limits, TaskContext.get().partitionId() * TASK_SEQUENCES)
         kind = None
@@ -191,8 +215,4 @@ def pack(examples: DataFrame, limits: Limits = Limits(), id_type: str = "<u2") -
         if packer.out:
             yield rows()
 
-    kind = examples.schema["id"].dataType.simpleString()
-    cols = ["id", "ids", "loss"] if has_loss else ["id", "ids"]
-    return examples.select(*cols).mapInArrow(
-        run, f"id {kind}, start long, length long, ids_crc32 long, tokens long, loss_tokens long, "
-             "sequence_id long, offset long")
+    return run

@@ -82,13 +82,13 @@ def decode(pattern: int) -> tuple[int, ...]:
 def expectation_maximisation(patterns: dict[int, int], rounds: int = 200) -> tuple[float, np.ndarray, dict[int, float]]:
     """(share of good documents, P(vote | class, it votes) as [class, labeller, vote], P(good | pattern)).
 
-    Starts from the belief that a vote for bad is rarer and weightier than one for good; every
-    estimate is smoothed by a few counts, so no probability is zero.  Class 0 is bad, 1 good.
+    Starts from the belief that whatever any labeller calls bad is bad; every estimate is
+    smoothed by half a count, so no probability is zero.  Class 0 is bad, 1 good.
     """
     keys = sorted(patterns)
     table = np.array([decode(k) for k in keys]).reshape(len(keys), len(LABELLERS))
     n = np.array([patterns[k] for k in keys], float)
-    good = 1 / (1 + np.exp(2.0 * (table == BAD).sum(axis=1) - 0.3 * (table == GOOD).sum(axis=1)))
+    good = np.where((table == BAD).any(axis=1), 0.02, 0.98)
     prior, rates = 0.5, np.full((2, len(LABELLERS), 3), 1 / 3)
     for _ in range(rounds):
         weight = np.stack([n * (1 - good), n * good])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, lines, packing, quality, secrets, simhash, substrings, token_files, topk
 from .common import text_rows
-from .tokens import id_type, token_rows, tokenizer_file
+from .tokens import id_type, tokenizer_file
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -107,9 +107,8 @@ def op7(spark, sf_dir):
 
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Whole texts as examples whose tokens all bear loss, cut and packed into 4,096 tokens."""
-    rows = token_rows(text_rows(docs, "doc_id", "text"), tokenizer_file(TOKENIZER), END_ID)
-    pieces = packing.pack(rows.select("id", "ids"), packing.Limits(tokens=4096, segments=256, loss=4096),
-                          id_type(VOCABULARY))
+    pieces = packing.pack_texts(text_rows(docs, "doc_id", "text"), tokenizer_file(TOKENIZER), END_ID,
+                                packing.Limits(tokens=4096, segments=256, loss=4096), id_type(VOCABULARY))
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32",
                          F.col("tokens").alias("doc_tokens"), "sequence_id", "offset", "loss_tokens")
 

@@ -58,10 +58,8 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return values
 
 
-def _squeeze(tokens: DataFrame, width: int) -> DataFrame:
-    """ids of ``tokens`` compressed for the scratch table and the shuffle (byte planes, then zstd)."""
-    kind = tokens.schema["id"].dataType.simpleString()
-
+def _squeeze(width: int):
+    """Compress ids for the scratch table and the shuffle (byte planes, then zstd)."""
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
@@ -70,7 +68,7 @@ def _squeeze(tokens: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(packed, pa.binary())],
                                              ["key", "id", "n", "ids"])
 
-    return tokens.mapInArrow(run, f"key long, id {kind}, n long, ids binary")
+    return run
 
 
 def _loosen(packed: bytes, n: int, width: int) -> np.ndarray:
@@ -107,7 +105,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: i
     """
     spark = docs.sparkSession
     width = np.dtype(id_type(vocabulary)).itemsize
-    tokens = save(_squeeze(token_rows(text_rows(docs, id_col, text_col), tokenizer, end_id), width), "tokens")
+    tokens = save(token_rows(text_rows(docs, id_col, text_col), tokenizer, end_id, _squeeze(width)), "tokens")
     ranking = frequency_ranks(tokens, vocabulary, width)
     rank_of = np.empty(vocabulary, np.uint32)
     rank_of[ranking] = np.arange(vocabulary, dtype=np.uint32)

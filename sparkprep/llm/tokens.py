@@ -17,7 +17,7 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 #: The split pattern for which cutting at white space is known to change nothing (fixed value).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 
 
 def id_type(vocabulary: int) -> str:
@@ -118,23 +118,32 @@ def tokenizer_file(name: str) -> str:
         return f.read()
 
 
-def token_rows(rows: DataFrame, content: str, end_id: int | None) -> DataFrame:
+def encode_batches(batches, content: str, end_id: int | None):
+    """Batches (key, id, n, ids) of batches (key, id, text)."""
+    enc = encoder(content)
+    end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
+    width = np.dtype(enc.dtype).itemsize
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            ids = [enc.encode(t) + end for t in part.column(2).cast(pa.binary()).to_pylist()]
+            enc.trim()
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array([len(x) // width for x in ids], pa.int64()),
+                 pa.array(ids, pa.binary())], ["key", "id", "n", "ids"])
+
+
+def token_rows(rows: DataFrame, content: str, end_id: int | None, then=None) -> DataFrame:
     """``(key, id, n, ids)`` of ``(key, id, text)``: ids of the whole text as little-endian
-    unsigned 16-bit (vocabularies over 65,536: 32-bit) integers, ``end_id`` appended."""
+    unsigned 16-bit (vocabularies over 65,536: 32-bit) integers, ``end_id`` appended.
+
+    ``then`` may change the batches within the same task; it keeps the columns.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(content)
 
     def run(batches):
-        enc = encoder(shared.value)
-        end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
-        width = np.dtype(enc.dtype).itemsize
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                ids = [enc.encode(t) + end for t in part.column(2).cast(pa.binary()).to_pylist()]
-                enc.trim()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(x) // width for x in ids], pa.int64()),
-                     pa.array(ids, pa.binary())], ["key", "id", "n", "ids"])
+        encoded = encode_batches(batches, shared.value, end_id)
+        return then(encoded) if then else encoded
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.select("key", "id", "text").mapInArrow(run, f"key long, id {kind}, n long, ids binary")
