@@ -27,6 +27,7 @@ ABSTAIN, GOOD, BAD = 0, 1, 2
 TRAINING_ROWS = 8_192      # documents that the scorer is fitted on, about
 DIMENSIONS = 1 << 14
 REGULARISATION = 3e-3
+FALSE_ALARMS = 0.002       # share of good documents that a labeller may call bad, at most
 BUCKETS = 8                # of each word feature
 
 #: Bytes that rarely stand in prose (fixed values).
@@ -83,7 +84,9 @@ def expectation_maximisation(patterns: dict[int, int], rounds: int = 200) -> tup
     """(share of good documents, P(vote | class, it votes) as [class, labeller, vote], P(good | pattern)).
 
     Starts from the belief that whatever any labeller calls bad is bad; every estimate is
-    smoothed by half a count, so no probability is zero.  Class 0 is bad, 1 good.
+    smoothed by half a count, so no probability is zero.  That a labeller calls good documents bad
+    at most at the rate FALSE_ALARMS is given: it keeps kinds of junk that only one labeller
+    sees from being explained as its errors.  Class 0 is bad, 1 good.
     """
     keys = sorted(patterns)
     table = np.array([decode(k) for k in keys]).reshape(len(keys), len(LABELLERS))
@@ -97,6 +100,8 @@ def expectation_maximisation(patterns: dict[int, int], rounds: int = 200) -> tup
             rates[:, :, v] = weight @ (table == v) + 0.5
         rates[:, :, ABSTAIN] = 0.0
         rates /= rates.sum(axis=2, keepdims=True)
+        rates[1, :, BAD] = np.minimum(rates[1, :, BAD], FALSE_ALARMS)
+        rates[1, :, GOOD] = 1 - rates[1, :, BAD]
         logs = np.log(np.where(np.arange(3) == ABSTAIN, 1.0, rates))      # no vote, no evidence
         each = np.stack([logs[c, np.arange(len(LABELLERS)), table].sum(axis=1) for c in (0, 1)])
         odds = each[0] - each[1] + math.log((1 - prior) / prior)
