@@ -1,28 +1,59 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a
+DataFrame; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkprep.llm import simhash
+from sparkprep.llm import decontaminate, lines, quality, queries, simhash
 from sparkprep.llm.common import save
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label quality classifier rejects go."""
+    return quality.keep_good(docs)
+
+
+def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats of a line, equal or similar, go from the texts; n_chars follows the new text."""
+    cut = lines.drop_duplicate_lines(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays (three-word shingles, at most two bits)."""
     return simhash.keep_one(docs, words_per_shingle=3, max_bits=2)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, queries.read(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 4,096 ids: one row for each piece of a document."""
+    return queries.pack_documents(docs)
+
+
 STAGES = [
+    ("quality_classifier", good_documents),
+    ("fuzzy_line_dedup", distinct_lines),
     ("simhash_near_dedup", one_of_each_group),
+    ("benchmark_decontamination", without_benchmark),
+    ("vector_packing", packed),
 ]
 
-#: No stage but the last could be put into SQL; the tests hold each stage against brute force.
+#: The stages (a fitted classifier, MinHash, SimHash, alignment, a tokenizer) are beyond SQL; the
+#: tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = queries.read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, packing, quality, secrets, simhash, substrings, token_files, topk
+from . import crossentropy, decontaminate, lines, packing, quality, secrets, simhash, substrings, token_files, topk
 from .common import text_rows
 from .tokens import id_type, tokenizer_file
 
@@ -35,6 +35,13 @@ def op1(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+@register("op2_cross_entropy_difference")
+def op2(spark, sf_dir):
+    """Target: the documents labelled good; background: all documents."""
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return crossentropy.score(read(spark, sf_dir, "documents"), good)
+
+
 @register("op3_quality_classifier")
 def op3(spark, sf_dir):
     return quality.classify(read(spark, sf_dir, "documents")).select("doc_id", "pattern", "weak_good", "p_good", "keep")
