@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, free_name, keyed, partitions, save, text_of
 
@@ -325,7 +326,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), "dropped")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     def cut(t, g):
         if g is None:
