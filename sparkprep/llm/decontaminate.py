@@ -87,6 +87,7 @@ class Searcher:
         self.budget = np.array([match.budget(m) for m in self.size])
         self.need = self.size + 1 - Q * (self.budget + 1)
         self.stride = int(self.budget.max()) + 1                    # diagonals of half a band
+        self.offset = match.segment + 2 * self.stride               # keeps band numbers positive
         self.near = int((self.size + self.budget).max())            # characters a match can span
 
     def close(self, codes: np.ndarray) -> np.ndarray:
@@ -122,24 +123,25 @@ class Searcher:
             each = np.repeat(np.arange(len(where)), n)
             post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.first[where][each]
             diagonal = places[lo:lo + 200_000][each] - self.pos[post]
-            band = (diagonal + GAP) // self.stride
+            band = (diagonal + self.offset) // self.stride
             key = self.seg[post].astype(np.int64) << 40 | band
             found.append(np.unique(np.r_[key, key - 1], return_counts=True))
         keys, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
         count = np.bincount(back, weights=np.concatenate([f[1] for f in found]))
         seg = keys >> 40
         ok = count >= self.need[seg]
-        return seg[ok], (keys[ok] & (1 << 40) - 1) * self.stride - GAP
+        return seg[ok], (keys[ok] & (1 << 40) - 1) * self.stride - self.offset
 
     def align(self, codes: np.ndarray, seg: np.ndarray, diagonal: np.ndarray):
         """Fewest edits of the segment within its band, and the end of that match in ``codes``."""
         width = 2 * self.stride
-        padded = np.r_[np.zeros(GAP + width, codes.dtype), codes, np.zeros(self.match.segment + 2 * width + GAP, codes.dtype)]
+        edge = np.zeros(self.offset + self.match.segment + 2 * width, codes.dtype)
+        padded = np.r_[edge, codes, edge]
         rows = np.zeros((len(seg), self.match.segment), codes.dtype)
         for i, s in enumerate(seg):
             rows[i, :self.size[s]] = self.segments[s][2]
         offsets = np.arange(width)
-        base = diagonal + GAP + width
+        base = diagonal + len(edge)
         cost = np.zeros((len(seg), width), np.int64)
         far = np.full((len(seg), 1), 1 << 20)
         best, end = np.full(len(seg), 1 << 20), np.zeros(len(seg), np.int64)
