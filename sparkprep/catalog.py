@@ -8,7 +8,7 @@ sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.constants import CURRENCY_PATTERN, DEFAULT_SENTINELS, NUMBER_PATTERN
@@ -296,37 +296,32 @@ _TEMPORAL_INPUT_SQL = """temporal_in AS (SELECT
   o_orderpriority AS prio, CAST(o_custkey AS VARCHAR) AS num FROM orders)"""
 
 
-def _temporal_sql(sample: int | None) -> str:
+def _temporal_sql() -> str:
     fmts = [f[1] for f in impute.DATE_FORMATS]
     sparks = [f[0] for f in impute.DATE_FORMATS]
     cols = ["d_iso", "d_mixed", "prio", "num"]
     longv = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS value FROM temporal_in WHERE {c} IS NOT NULL"
                                for c in cols)
-    keep = (f"SELECT column_name, value FROM (SELECT *, row_number() OVER (PARTITION BY column_name "
-            f"ORDER BY value) AS rn FROM longv) AS r WHERE rn <= {sample}") if sample else \
-        "SELECT column_name, value FROM longv"
     sums = ", ".join(f"sum(CASE WHEN try_strptime(value, '{f}') IS NOT NULL THEN 1 ELSE 0 END) AS f{i}"
                      for i, f in enumerate(fmts))
     best = "greatest(" + ", ".join(f"f{i}" for i in range(len(fmts))) + ")"
     quoted = [s.replace("'", "''") for s in sparks]
     pick = "CASE " + " ".join(f"WHEN f{i} = {best} THEN '{s}'" for i, s in enumerate(quoted)) + " END"
-    return f"""WITH {_TEMPORAL_INPUT_SQL}, longv AS ({longv}), sampled AS ({keep}),
-agg AS (SELECT column_name, count(*) AS sampled, {sums} FROM sampled GROUP BY column_name)
+    return f"""WITH {_TEMPORAL_INPUT_SQL}, longv AS ({longv}),
+agg AS (SELECT column_name, count(*) AS sampled, {sums} FROM longv GROUP BY column_name)
 SELECT column_name, CAST(sampled AS BIGINT) AS sampled, CAST({best} AS DOUBLE) / sampled AS best_ratio,
   CASE WHEN {best} > 0 THEN {pick} END AS best_format,
   CAST({best} AS DOUBLE) / sampled >= 0.8 AS is_temporal FROM agg"""
 
 
-def _temporal_query(sample):
-    def run(spark, sf_dir):
-        s = impute.temporal_scores(_temporal_input(spark, sf_dir), sample=sample)
-        return s.select(F.col("column").alias("column_name"), "sampled", "best_ratio", "best_format",
-                        (F.col("best_ratio") >= 0.8).alias("is_temporal"))
-    return run
+@register("temporal_detect", _temporal_sql())
+def q_temporal(spark, sf_dir):
+    s = impute.temporal_scores(_temporal_input(spark, sf_dir))
+    return s.select(F.col("column").alias("column_name"), "sampled", "best_ratio", "best_format",
+                    (F.col("best_ratio") >= 0.8).alias("is_temporal"))
 
 
-register("temporal_detect", _temporal_sql(50))(_temporal_query(50))
-register("temporal_scores_full", _temporal_sql(None))(_temporal_query(None))
+register("temporal_scores_full", _temporal_sql())(q_temporal)
 
 
 # ============================================================ O1-O7
@@ -892,6 +887,84 @@ def q_confusion(spark, sf_dir):
     return metrics.confusion(_rule_multi(spark, sf_dir), "actual", "predicted")
 
 
+# ============================================================ O1-O7, E11, I2-I3 on outliers, NaN and integers
+_Q_BOTH = """(SELECT quantile_cont(amt, 0.25) AS q1, quantile_cont(amt, 0.75) AS q3,
+  quantile_cont(qty, 0.25) AS p1, quantile_cont(qty, 0.75) AS p3,
+  avg(amt) AS m, stddev_pop(amt) AS s FROM extreme_orders) AS q"""
+_OUT_AMT = "coalesce(amt < q1 - 1.5 * (q3 - q1) OR amt > q3 + 1.5 * (q3 - q1), false)"
+
+
+def _known(amt="amt"):
+    return F.when(F.isnan(amt), F.lit(None)).otherwise(F.col(amt)).alias("amt")
+
+
+@register("iqr_flags_extreme", V(f"SELECT o_orderkey, {_OUT_AMT} AS is_outlier FROM extreme_orders, {_Q_BOTH}", "extreme_orders"))
+def q_iqr_extreme(spark, sf_dir):
+    return outliers.iqr_flags(dirt.extreme_orders(spark, sf_dir), "amt").select("o_orderkey", "is_outlier")
+
+
+@register("zscore_flags_extreme", V(f"""SELECT o_orderkey, coalesce(abs((amt - m) / s) > 3.0, false) AS is_outlier
+FROM extreme_orders, {_Q_BOTH}""", "extreme_orders"))
+def q_zscore_extreme(spark, sf_dir):
+    return outliers.zscore_flags(dirt.extreme_orders(spark, sf_dir), "amt", 3.0).select("o_orderkey", "is_outlier")
+
+
+@register("cap_extreme", V(f"""SELECT o_orderkey,
+  CASE WHEN amt < q1 - 1.5 * (q3 - q1) THEN q1 - 1.5 * (q3 - q1) WHEN amt > q3 + 1.5 * (q3 - q1) THEN q3 + 1.5 * (q3 - q1) ELSE amt END AS amt,
+  CASE WHEN qty < p1 - 1.5 * (p3 - p1) THEN p1 - 1.5 * (p3 - p1) WHEN qty > p3 + 1.5 * (p3 - p1) THEN p3 + 1.5 * (p3 - p1)
+       ELSE CAST(qty AS DOUBLE) END AS qty FROM extreme_orders, {_Q_BOTH}""", "extreme_orders"))
+def q_cap_extreme(spark, sf_dir):
+    capped, _ = outliers.cap_all(dirt.extreme_orders(spark, sf_dir), ["amt", "qty"])
+    return capped.select("o_orderkey", _known(), "qty")
+
+
+@register("drop_outliers_extreme", V(f"SELECT o_orderkey FROM extreme_orders, {_Q_BOTH} WHERE NOT {_OUT_AMT}", "extreme_orders"))
+def q_drop_extreme(spark, sf_dir):
+    flagged = outliers.iqr_flags(dirt.extreme_orders(spark, sf_dir), "amt")
+    return outliers.drop_outliers(flagged, "is_outlier").select("o_orderkey")
+
+
+@register("outlier_summary_extreme", V(f"""SELECT CAST(count(*) AS BIGINT) AS total,
+  CAST(count(*) FILTER (WHERE {_OUT_AMT}) AS BIGINT) AS outliers,
+  round(count(*) FILTER (WHERE {_OUT_AMT}) * 100.0 / count(*), 2) AS pct FROM extreme_orders, {_Q_BOTH}""", "extreme_orders"))
+def q_summary_extreme(spark, sf_dir):
+    return outliers.outlier_summary(outliers.iqr_flags(dirt.extreme_orders(spark, sf_dir), "amt"), "is_outlier")
+
+
+@register("box_outliers_extreme", V(f"SELECT o_orderkey, amt FROM extreme_orders, {_Q_BOTH} WHERE {_OUT_AMT}", "extreme_orders"))
+def q_box_extreme(spark, sf_dir):
+    return profile.box_outliers(dirt.extreme_orders(spark, sf_dir), "amt").select("o_orderkey", "amt")
+
+
+@register("ffill_nan", V("""SELECT o_orderkey, last_value(amt IGNORE NULLS) OVER (PARTITION BY CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END
+  ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS amt FROM extreme_orders""", "extreme_orders"))
+def q_ffill_nan(spark, sf_dir):
+    """NaN is a gap, and rows whose group is null are a group of their own."""
+    d = dirt.extreme_orders(spark, sf_dir).withColumn(
+        "o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, F.lit(None)).otherwise(F.col("o_orderstatus")))
+    return impute.ffill(d, "o_orderkey", "o_orderstatus", ["amt"]).select("o_orderkey", "amt")
+
+
+@register("ffill_text_order", V("""SELECT o_orderkey, last_value(prio IGNORE NULLS) OVER (ORDER BY strftime(o_orderdate, '%Y-%m-%d'), o_orderkey
+  ROWS UNBOUNDED PRECEDING) AS prio FROM dirty_orders""", "dirty_orders"))
+def q_ffill_text(spark, sf_dir):
+    """Rows in the order of a text date, as a CSV file has it."""
+    d = dirt.dirty_orders(spark, sf_dir).withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return impute.ffill(d, ["day", "o_orderkey"], cols=["prio"]).select("o_orderkey", "prio")
+
+
+@register("significant_pairs_linked", """
+WITH c AS (SELECT l_quantity AS a, l_quantity * 2 AS b, l_quantity + 100 * l_discount AS m FROM lineitem),
+r AS (SELECT CAST(count(*) AS BIGINT) AS n, round(corr(a, b), 4) AS ab, round(corr(a, m), 4) AS am, round(corr(b, m), 4) AS bm FROM c)
+SELECT 'l_quantity' AS col_a, 'doubled' AS col_b, n, ab AS r FROM r
+UNION ALL SELECT 'l_quantity', 'mixed', n, am FROM r UNION ALL SELECT 'doubled', 'mixed', n, bm FROM r""")
+def q_significant_linked(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_quantity") * 2).alias("doubled"),
+                                                (F.col("l_quantity") + 100 * F.col("l_discount")).alias("mixed"))
+    corr = correlate.correlations(li, ["l_quantity", "doubled", "mixed"])
+    return correlate.significant_pairs(corr).select("col_a", "col_b", "n", "r")
+
+
 # ============================================================ M2-M18, M22, M24-M29 (rows-only)
 from .plans.training import ModelTrainer, importance_frame  # noqa: E402
 
@@ -903,16 +976,22 @@ def _clf_frame(spark, sf_dir) -> DataFrame:
 
 def _reg_frame(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_key"), "l_quantity", "l_discount", "l_tax",
-        "l_returnflag", "l_extendedprice")
+        _row_key().alias("row_key"), "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
+
+
+def _row_key():
+    """Unique: (order, line) repeats in the given table, so the repeats are numbered."""
+    again = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
+        "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"))
+    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1024 + again
 
 
 def _trained(spark, sf_dir, problem: str, models=None):
     if problem == "classification":
-        tr = ModelTrainer(target="o_orderstatus", key="o_orderkey", fast=True, models=models)
+        tr = ModelTrainer(target="o_orderstatus", key="o_orderkey", models=models)
         prep = tr.prepare(_clf_frame(spark, sf_dir))
     else:
-        tr = ModelTrainer(target="l_extendedprice", key="row_key", fast=True, models=models)
+        tr = ModelTrainer(target="l_extendedprice", key="row_key", models=models)
         prep = tr.prepare(_reg_frame(spark, sf_dir))
     return tr, prep, tr.train(prep)
 
@@ -931,8 +1010,7 @@ def q_model_compare_reg(spark, sf_dir):
 
 @register("best_model")
 def q_best_model(spark, sf_dir):
-    tr, prep, trained = _trained(spark, sf_dir, "classification",
-                                 ["Logistic Regression", "Decision Tree", "Random Forest"])
+    tr, prep, trained = _trained(spark, sf_dir, "classification")
     res = tr.evaluate(prep, trained)
     return metrics.best_model(res, "f1")
 
@@ -949,9 +1027,13 @@ def q_predictions(spark, sf_dir):
     return tr.results(prep, trained["Random Forest"])
 
 
-@register("training_summary")
+@register("training_summary", f"""
+WITH h AS (SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_sql_hash('o_orderkey')}, o_orderkey)
+    <= ceil(count(*) OVER (PARTITION BY o_orderstatus) * 0.2) AS is_test FROM orders)
+SELECT CAST(count(*) FILTER (WHERE NOT is_test) AS BIGINT) AS train_rows, CAST(count(*) FILTER (WHERE is_test) AS BIGINT) AS test_rows,
+  '80/20' AS split, 3 AS n_features, 'o_totalprice, o_custkey, o_orderpriority' AS features, 'classification' AS problem FROM h""")
 def q_training_summary(spark, sf_dir):
-    tr = ModelTrainer(target="o_orderstatus", key="o_orderkey", fast=True)
+    tr = ModelTrainer(target="o_orderstatus", key="o_orderkey")
     return tr.summary(tr.prepare(_clf_frame(spark, sf_dir)))
 
 
@@ -1002,6 +1084,32 @@ def q_quality_report(spark, sf_dir):
     return quality_report(out)
 
 
+def _manual_order_sql(last: str, frame: str) -> str:
+    """Coerce, dedupe, critical drop, fill along the key, then the mode for what is left."""
+    fill = f"{last}({{0}} IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS {frame})"
+    return V(f"""
+, conv AS (SELECT o_orderkey, {sql_coerce('price_txt')} AS price_txt, prio, amt, o_orderdate FROM dirty_orders),
+dd AS (SELECT DISTINCT * FROM conv),
+crit AS (SELECT * FROM dd WHERE price_txt IS NOT NULL),
+filled AS (SELECT o_orderkey, price_txt, {fill.format('prio')} AS prio, {fill.format('amt')} AS amt FROM crit)
+SELECT o_orderkey, price_txt, coalesce(prio, {_mode_sql('filled', 'prio')}) AS prio, amt FROM filled""", "dirty_orders")
+
+
+def _manual(spark, sf_dir, method: str) -> DataFrame:
+    out, _ = ManualClean(key="o_orderkey", critical=["price_txt"], method=method).run(dirt.dirty_orders(spark, sf_dir))
+    return out.select("o_orderkey", "price_txt", "prio", "amt")
+
+
+@register("manual_clean_ffill", _manual_order_sql("last_value", "UNBOUNDED PRECEDING"))
+def q_manual_ffill(spark, sf_dir):
+    return _manual(spark, sf_dir, "ffill")
+
+
+@register("manual_clean_bfill", _manual_order_sql("first_value", "BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"))
+def q_manual_bfill(spark, sf_dir):
+    return _manual(spark, sf_dir, "bfill")
+
+
 # ============================================================ S1-S10
 import uuid  # noqa: E402
 
@@ -1020,6 +1128,16 @@ def q_csv_roundtrip(spark, sf_dir):
     return read_table(spark, path, "csv")
 
 
+@register("csv_roundtrip_documents", """
+SELECT doc_id, trim(text, chr(10) || ' ') AS text, lang FROM documents WHERE length(trim(text)) > 0""")
+def q_csv_documents(spark, sf_dir):
+    """Whole texts with commas, quotes and line breaks through a CSV file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").where(F.length(F.trim("text")) > 0)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv_documents_{uuid.uuid4().hex}"
+    sinks.write_csv(docs, path)
+    return read_table(spark, path, "csv").select("doc_id", F.trim("text", F.lit("\n ")).alias("text"), "lang")
+
+
 @register("stage_resolve", "SELECT * FROM nation")
 def q_stage_resolve(spark, sf_dir):
     cat = StageCatalog(spark, prefix=f"stage_{uuid.uuid4().hex[:8]}_")
@@ -1054,7 +1172,6 @@ def q_tuned(spark, sf_dir):
     from pyspark.ml.classification import DecisionTreeClassifier
 
     from .plans.training import tune
-    tr = ModelTrainer(target="o_orderstatus", key="o_orderkey", fast=True)
+    tr = ModelTrainer(target="o_orderstatus", key="o_orderkey")
     prep = tr.prepare(_clf_frame(spark, sf_dir))
-    return tune(prep, "o_orderkey", DecisionTreeClassifier(seed=42), {"maxDepth": [3, 6], "minInstancesPerNode": [1, 20]},
-                folds=2)
+    return tune(prep, "o_orderkey", DecisionTreeClassifier(seed=42), {"maxDepth": [3, 6], "minInstancesPerNode": [1, 20]})

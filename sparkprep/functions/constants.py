@@ -34,7 +34,6 @@ UNKNOWN_CATEGORY = "Unknown"
 IQR_FENCE = 1.5
 ZSCORE_THRESHOLD = 3.0
 TEMPORAL_MIN_RATIO = 0.80
-TEMPORAL_SAMPLE = 50
 
 # Problem-type rule (distinct numeric targets at or below
 # this count are classes), histogram bins, top-k importances.

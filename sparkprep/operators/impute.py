@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import TEMPORAL_MIN_RATIO, TEMPORAL_SAMPLE, UNKNOWN_CATEGORY
+from ..functions.constants import TEMPORAL_MIN_RATIO, UNKNOWN_CATEGORY
 from ..functions.numeric import nan_to_null
 from ..functions.types import numeric_columns, text_columns
 from .order import fill_ordered
@@ -97,14 +97,11 @@ DATE_FORMATS = [
 ]
 
 
-def temporal_scores(df: DataFrame, cols=None, sample: int | None = TEMPORAL_SAMPLE,
-                    formats=None) -> DataFrame:
+def temporal_scores(df: DataFrame, cols=None, formats=None) -> DataFrame:
     """(column, sampled, best_ratio, best_format) for text columns.
 
-    Each column is judged on up to ``sample`` non-null values (the
-    smallest ones, so the sample is deterministic); the best single format
-    is the one that parses most of them, as pandas infers one format.
-    ``sample=None`` scores the whole column.
+    Each column is judged on all its non-null values; the best single
+    format is the one that parses most of them, as pandas infers one format.
     """
     spark = df.sparkSession
     formats = [f[0] for f in DATE_FORMATS] if formats is None else list(formats)
@@ -112,8 +109,7 @@ def temporal_scores(df: DataFrame, cols=None, sample: int | None = TEMPORAL_SAMP
     if not cols:
         return spark.createDataFrame([], "column string, sampled long, best_ratio double, best_format string")
     longv = df.select(*cols).unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
-    sampled = _bottom_k(longv, sample) if sample else longv
-    parsed = sampled.select("column", *[
+    parsed = longv.select("column", *[
         F.try_to_timestamp(F.col("value"), F.lit(fmt)).isNotNull().cast("int").alias(f"f{i}")
         for i, fmt in enumerate(formats)])
     agg = parsed.groupBy("column").agg(F.count(F.lit(1)).alias("sampled"),
@@ -124,18 +120,6 @@ def temporal_scores(df: DataFrame, cols=None, sample: int | None = TEMPORAL_SAMP
                       F.when(best > 0, fmt_pick).alias("best_format"))
 
 
-def _bottom_k(longv: DataFrame, k: int) -> DataFrame:
-    """The k smallest values per column (duplicates kept).
-
-    ``row_number() <= k`` is planned as a map-side WindowGroupLimit, so each
-    task ships at most k rows per column to the final window.
-    """
-    w = Window.partitionBy("column").orderBy("value")
-    return (longv.withColumn("__rn", F.row_number().over(w))
-            .where(F.col("__rn") <= k).drop("__rn"))
-
-
-def detect_temporal(df: DataFrame, cols=None, min_ratio: float = TEMPORAL_MIN_RATIO,
-                    sample: int = TEMPORAL_SAMPLE) -> list[str]:
-    scores = temporal_scores(df, cols, sample).collect()
+def detect_temporal(df: DataFrame, cols=None, min_ratio: float = TEMPORAL_MIN_RATIO) -> list[str]:
+    scores = temporal_scores(df, cols).collect()
     return sorted(r["column"] for r in scores if r["sampled"] and r["best_ratio"] >= min_ratio)

@@ -62,8 +62,11 @@ class FittedModel:
             pred = knn_predict(tr, te, self.key, "__x", LABEL, self.k, mode)
             out = data.join(pred, on=self.key, how="left")
             if mode == "classify":
+                top = self.train.agg(F.max(LABEL)).first()[0] or 0.0
+                share = F.transform(F.sequence(F.lit(0), F.lit(int(top))),
+                                    lambda i: F.coalesce(F.element_at("votes", i.cast("double")), F.lit(0.0)))
                 out = out.withColumn("prediction", F.col("prediction").cast("double"))
-                return out.withColumn("probs", F.lit(None).cast("array<double>"))
+                return out.withColumn("probs", share).drop("votes")
             return out
         out = self.model.transform(data)
         if self.problem != "classification":
@@ -108,36 +111,40 @@ class RandomFourierFeatures:
         return df.withColumn(FEATURES, array_to_vector(F.array(*comps)))
 
 
-def classifiers(fast: bool = False, seed: int = 42) -> dict:
-    it = 20 if fast else 1000
-    trees = 20 if fast else 100
-    boost = 3 if fast else 100
-    svm_it = 5 if fast else 100
+@dataclass(frozen=True)
+class Sizes:
+    """Model sizes; the defaults are those every registered query runs with."""
+    iterations: int = 1000        # logistic regression, at most
+    trees: int = 100
+    depth: int = 30               # of a forest's trees: the library's own maximum
+    rounds: int = 100             # of boosting
+    svm_iterations: int = 100
+    fourier: int = 256            # dimensions of the kernel approximation
+
+
+def classifiers(sizes: Sizes = Sizes(), seed: int = 42) -> dict:
     return {
-        "Logistic Regression": lambda n, p: LogisticRegression(maxIter=it, regParam=1.0 / max(n, 1),
+        "Logistic Regression": lambda n, p: LogisticRegression(maxIter=sizes.iterations, regParam=1.0 / max(n, 1),
                                                                standardization=False),
-        "Decision Tree": lambda n, p: DecisionTreeClassifier(maxDepth=12, seed=seed),
-        "Random Forest": lambda n, p: RandomForestClassifier(numTrees=trees, maxDepth=12 if not fast else 8,
-                                                             seed=seed),
+        "Decision Tree": lambda n, p: DecisionTreeClassifier(maxDepth=sizes.depth, seed=seed),
+        "Random Forest": lambda n, p: RandomForestClassifier(numTrees=sizes.trees, maxDepth=sizes.depth, seed=seed),
         "KNN": "knn",
-        "SVM": lambda n, p: OneVsRest(classifier=LinearSVC(maxIter=svm_it, regParam=1.0 / max(n, 1)),
+        "SVM": lambda n, p: OneVsRest(classifier=LinearSVC(maxIter=sizes.svm_iterations, regParam=1.0 / max(n, 1)),
                                       parallelism=4),
-        "Gradient Boosted Trees": lambda n, p: OneVsRest(classifier=GBTClassifier(maxIter=boost, seed=seed),
-                                                         parallelism=4),
+        "Gradient Boosted Trees": lambda n, p: OneVsRest(
+            classifier=GBTClassifier(maxIter=sizes.rounds, maxDepth=3, seed=seed), parallelism=4),
     }
 
 
-def regressors(fast: bool = False, seed: int = 42) -> dict:
-    trees = 20 if fast else 100
-    boost = 3 if fast else 100
+def regressors(sizes: Sizes = Sizes(), seed: int = 42) -> dict:
     return {
         "Linear Regression": lambda n, p: LinearRegression(regParam=0.0),
-        "Decision Tree": lambda n, p: DecisionTreeRegressor(maxDepth=12, seed=seed),
-        "Random Forest": lambda n, p: RandomForestRegressor(numTrees=trees, maxDepth=12 if not fast else 8,
+        "Decision Tree": lambda n, p: DecisionTreeRegressor(maxDepth=sizes.depth, seed=seed),
+        "Random Forest": lambda n, p: RandomForestRegressor(numTrees=sizes.trees, maxDepth=sizes.depth,
                                                             featureSubsetStrategy="all", seed=seed),
         "KNN Regressor": "knn",
-        "SVR": lambda n, p: LinearRegression(loss="huber", maxIter=20 if fast else 100),
-        "Gradient Boosted Trees": lambda n, p: GBTRegressor(maxIter=boost, seed=seed),
+        "SVR": lambda n, p: LinearRegression(loss="huber", maxIter=sizes.svm_iterations),
+        "Gradient Boosted Trees": lambda n, p: GBTRegressor(maxIter=sizes.rounds, maxDepth=3, seed=seed),
     }
 
 

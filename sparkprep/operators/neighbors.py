@@ -15,10 +15,11 @@ never down).  So:
    donor key.
 
 Pairs grow with the local density, not with the table squared, and a
-value shared by many rows on one coordinate is split by the others.  The
-band coordinates must be present on every row (columns with no gaps, the
-widest spreads first); without one the operator raises a clear error
-rather than falling back to all pairs.
+value shared by many rows on one coordinate is split by the others.  Rows
+are taken by the coordinates they have, and each pair of such patterns is
+joined on coordinates both have, the widest spreads first.  The grid prunes
+on smooth, low-dimensional data; the models, which may have many
+dimensions, send training rows of checked size to the tasks instead.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.numeric import nan_to_null
 from ..session import materialize
@@ -79,8 +83,10 @@ def grid_join(left: DataFrame, right: DataFrame, grid: Grid, radius: Column,
     for i, d in enumerate(grid.dims):
         key = f"__c{i}"
         x = F.col(lprefix + d)
-        lo_c = F.greatest(_cell(x - radius, grid.lo[i], grid.width[i]), F.lit(0))
-        hi_c = F.least(_cell(x + radius, grid.lo[i], grid.width[i]), F.lit(grid.cells[i]))
+        # both ends within the grid: a query far outside it looks at the outermost cell alone
+        last = F.lit(grid.cells[i])
+        lo_c = F.least(F.greatest(_cell(x - radius, grid.lo[i], grid.width[i]), F.lit(0)), last)
+        hi_c = F.least(F.greatest(_cell(x + radius, grid.lo[i], grid.width[i]), F.lit(0)), last)
         l2 = l2.withColumn(key, F.explode(F.sequence(lo_c, hi_c)))
         r2 = r2.withColumn(key, _cell(F.col(rprefix + d), grid.lo[i], grid.width[i]))
         keys.append(key)
@@ -112,7 +118,8 @@ def radius_search(lanes: list, left: DataFrame, lkey: str, dist: Column, k: int,
     ``lanes`` is a list of (left part, right part, grid): every (left,
     right) pair belongs to exactly one lane, whose grid uses coordinates
     both sides have.  ``need`` maps a target name to (left-needs predicate,
-    pair-eligible predicate, number of eligible donors).  A left row is
+    pair-eligible predicate, number of donors within the left row's lanes,
+    a number or a column of the left row).  A left row is
     settled once each target it needs has min(k, eligible) candidates over
     all its lanes; unsettled rows retry with a 4x wider window until the
     window spans every grid.
@@ -131,16 +138,15 @@ def radius_search(lanes: list, left: DataFrame, lkey: str, dist: Column, k: int,
         rows = left if pending is None else left.join(pending, on=lkey, how="left_semi")
         wanted, found = [], []
         for t, (needs, eligible, n_elig) in need.items():
-            want = min(k, n_elig)
+            want = F.least(F.lit(k), n_elig if isinstance(n_elig, Column) else F.lit(n_elig))
             w = Window.partitionBy(lkey).orderBy("__d")
             found.append(pairs.where(eligible & F.col("__d").isNotNull())
-                         .withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= want)
-                         .groupBy(lkey).agg(F.max("__d").alias("__kth"),
-                                            (F.count(F.lit(1)) >= want).alias("__ok"))
+                         .withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
+                         .groupBy(lkey).agg(F.max("__d").alias("__kth"), F.count(F.lit(1)).alias("__have"))
                          .withColumn("__t", F.lit(t)))
-            wanted.append(rows.where(needs).select(lkey, F.lit(t).alias("__t")))
+            wanted.append(rows.where(needs).select(lkey, F.lit(t).alias("__t"), want.alias("__want")))
         status = (_union(wanted).join(_union(found), on=[lkey, "__t"], how="left")
-                  .groupBy(lkey).agg(F.min(F.coalesce(F.col("__ok"), F.lit(False))).alias("__ok"),
+                  .groupBy(lkey).agg(F.min(F.coalesce("__have", F.lit(0)) >= F.col("__want")).alias("__ok"),
                                      F.max("__kth").alias("__kth")))
         if full:
             settled.append(status.select(lkey, F.coalesce(F.col("__kth"), F.lit(span + unit))
@@ -206,11 +212,22 @@ def _pattern_lanes(left: DataFrame, right: DataFrame, cols: list[str], st, k: in
         grid = make_grid(rpart, list(dims), "r_", k)
         if grid is not None:
             lanes.append((left.where(lp_col == a), rpart, grid))
-    if not lanes:
-        raise ValueError("no rows share a coordinate with any donor")
     return lanes
 
 
+def _reachable(right: DataFrame, cols: list[str], target: str) -> Column:
+    """Donors with ``target`` that share a coordinate with the left row, by its presence pattern."""
+    bit = 1 << cols.index(target)
+    donors = {r["p"]: r["n"] for r in right.groupBy(_presence("r_", cols).alias("p")).agg(
+        F.count(F.lit(1)).alias("n")).collect()}          # at most 2^columns patterns
+    shared = _presence("l_", cols)
+    total = F.lit(0)
+    for p, n in donors.items():
+        if p & bit:
+            total = total + F.when(shared.bitwiseAND(F.lit(p)) != 0, F.lit(n)).otherwise(F.lit(0))
+    return total
+
+
 def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, band: str | None = None) -> DataFrame:
     """Fill gaps in ``cols`` from the k nearest rows.
 
@@ -236,8 +253,11 @@ def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, band: str |
     right = base.select(F.col("__key").alias("r_key"), *[F.col(c).alias(f"r_{c}") for c in usable])
     dist = nan_euclidean([f"l_{c}" for c in usable], [f"r_{c}" for c in usable])
     lanes = _pattern_lanes(left, right, usable, st, k, band)
-    need = {c: (F.col(f"l_{c}").isNull(), F.col(f"l_{c}").isNull() & F.col(f"r_{c}").isNotNull(), int(st[c]))
-            for c in targets}
+    if not lanes:                        # no row with a gap shares a coordinate with any other
+        return df.select(*[F.coalesce(nan_to_null(F.col(f"`{c}`").cast("double")), F.lit(st[f"mean_{c}"])).alias(c)
+                           if c in targets else F.col(f"`{c}`") for c in df.columns])
+    need = {c: (F.col(f"l_{c}").isNull(), F.col(f"l_{c}").isNull() & F.col(f"r_{c}").isNotNull(),
+                _reachable(right, usable, c)) for c in targets}
     radius = radius_search(lanes, left, "l_key", dist, k, need)
     cand = (_union([grid_join(lp.join(radius, on="l_key"), rp, g, F.col("__radius")) for lp, rp, g in lanes])
             .withColumn("__d", dist).where(F.col("__d").isNotNull()))
@@ -265,24 +285,58 @@ def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, band: str |
         for c in df.columns])
 
 
+# Training values (rows x dimensions) sent to every task at most; beyond that the grid join runs.
+MAX_SENT_VALUES = 8_000_000
+
+
+def _nearest_sent(tr: DataFrame, te: DataFrame, k: int, l_kind: str, y_kind: str) -> DataFrame:
+    """(l_key, r_y) of the k nearest training rows: the training rows, of checked size, go to the
+    tasks, and every test row is compared there; linear in the test rows, nothing is shuffled."""
+    rows = tr.orderBy("r_key").collect()
+    y_type = to_arrow_type(tr.schema["r_y"].dataType)
+    shared = tr.sparkSession.sparkContext.broadcast(
+        (np.array([r["r_x"] for r in rows], float).reshape(len(rows), -1), [r["r_y"] for r in rows]))
+
+    def run(batches):
+        x, y = shared.value
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            out_keys, out = [], []
+            for key, v in zip(keys, batch.column(1).to_pylist()):
+                if v is None or not len(y):
+                    continue
+                d = np.sqrt(((x - np.array(v, float)) ** 2).cumsum(axis=1)[:, -1]) if x.shape[1] else np.zeros(len(y))
+                near = np.argsort(d, kind="stable")[:k]          # training rows stand in key order
+                out_keys += [key] * len(near)
+                out += [y[i] for i in near]
+            yield pa.RecordBatch.from_arrays([pa.array(out_keys, batch.column(0).type), pa.array(out, y_type)], ["l_key", "r_y"])
+
+    return te.select("l_key", "l_x").mapInArrow(run, f"l_key {l_kind}, r_y {y_kind}")
+
+
 def knn_predict(train: DataFrame, test: DataFrame, key: str, features: str, label: str, k: int = 5,
                 mode: str = "classify") -> DataFrame:
-    """k-NN classifier (majority vote, smallest label on ties; vote share as
-    probability) or regressor (uniform mean) over an array<double> column.
+    """k-NN classifier (majority vote, smallest label on ties; vote shares by label as ``votes``)
+    or regressor (uniform mean) over an array<double> column.
 
-    Exact: the grid uses the array coordinates with the widest spread.
+    Exact.  Training rows of at most MAX_SENT_VALUES values are sent to the tasks; more are found
+    by a grid join over the array coordinates with the widest spread.  ``key`` must be unique in
+    the test rows.
     """
     tr = train.select(F.col(key).alias("r_key"), F.col(features).cast("array<double>").alias("r_x"),
                       F.col(label).alias("r_y"))
     te = test.select(F.col(key).alias("l_key"), F.col(features).cast("array<double>").alias("l_x"))
-    dims = tr.select(F.size("r_x").alias("d")).agg(F.max("d")).collect()[0][0] or 0
+    size = tr.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("r_x")).alias("d")).first()
+    n_train, dims = size["n"], size["d"] or 0
+    if n_train * max(1, dims) <= MAX_SENT_VALUES:
+        top = _nearest_sent(tr, te, k, te.schema["l_key"].dataType.simpleString(), tr.schema["r_y"].dataType.simpleString())
+        return _vote(top, key, mode)
     sds = tr.agg(*[F.stddev_pop(F.col("r_x")[i]).alias(f"s{i}") for i in range(dims)]).collect()[0]
     ranked = sorted(range(dims), key=lambda i: -(sds[f"s{i}"] or 0.0))
     picked = [i for i in ranked if (sds[f"s{i}"] or 0.0) > 0][:MAX_GRID_DIMS] or ranked[:1]
     for j, i in enumerate(picked):
         tr = tr.withColumn(f"r_b{j}", F.col("r_x")[i])
         te = te.withColumn(f"l_b{j}", F.col("l_x")[i])
-    n_train = tr.count()
     grid = make_grid(tr, [f"b{j}" for j in range(len(picked))], "r_", k)
     dist = array_euclidean("l_x", "r_x")
     need = {"y": (F.lit(True), F.lit(True), n_train)}
@@ -290,11 +344,17 @@ def knn_predict(train: DataFrame, test: DataFrame, key: str, features: str, labe
     w = Window.partitionBy("l_key").orderBy("__d", "r_key")
     top = (grid_join(te.join(radius, on="l_key"), tr, grid, F.col("__radius"))
            .withColumn("__d", dist).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k))
+    return _vote(top, key, mode)
+
+
+def _vote(top: DataFrame, key: str, mode: str) -> DataFrame:
     if mode == "regress":
         return top.groupBy("l_key").agg(F.avg("r_y").alias("prediction")).withColumnRenamed("l_key", key)
     votes = top.groupBy("l_key", "r_y").agg(F.count(F.lit(1)).alias("__votes"))
     best = votes.groupBy("l_key").agg(
         F.min(F.struct((-F.col("__votes")).alias("v"), F.col("r_y").alias("y"))).alias("__b"),
-        F.sum("__votes").alias("__tot"))
+        F.sum("__votes").alias("__tot"), F.collect_list(F.struct("r_y", "__votes")).alias("__all"))   # k at most
+    share = F.map_from_entries(F.transform("__all", lambda e: F.struct(
+        e["r_y"].cast("double").alias("y"), (e["__votes"] / F.col("__tot")).alias("s"))))
     return best.select(F.col("l_key").alias(key), F.col("__b.y").alias("prediction"),
-                       (-F.col("__b.v") / F.col("__tot")).alias("confidence"))
+                       (-F.col("__b.v") / F.col("__tot")).alias("confidence"), share.alias("votes"))

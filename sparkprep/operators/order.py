@@ -11,30 +11,47 @@ a recomputed task sees the same buckets.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numeric import nan_to_null
+from ..functions.types import is_floating
 from ..session import shuffle_partitions
 
 _B = "__bucket"
 
 
 def default_buckets(df: DataFrame) -> int:
-    return max(8, min(1024, 2 * shuffle_partitions(df.sparkSession)))
+    """Two for each shuffle partition, so a bucket shrinks as the cluster's setting grows."""
+    return max(8, 2 * shuffle_partitions(df.sparkSession))
+
 
+def cut_points(df: DataFrame, col: str, buckets: int, per_bucket: int = 100) -> list:
+    """Sorted distinct cut points of ``col`` (any ordered type), from a sampled ``per_bucket`` rows a bucket.
 
-def cut_points(df: DataFrame, col: str, buckets: int, accuracy: int = 10000) -> list:
-    """Sorted distinct approximate quantile cut points of ``col`` (driver: <= buckets values)."""
+    Only the evenness of the buckets hangs on the sample, never a result.  No sketch is merged:
+    the driver receives the sample, at most 4 * buckets * per_bucket values.
+    """
     if buckets <= 1:
         return []
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(col, probs, accuracy).alias("q")).collect()[0]
-    return sorted({v for v in (row["q"] or []) if v is not None})
+    value = nan_to_null(F.col(f"`{col}`")) if isinstance(df.schema[col].dataType, (T.FloatType, T.DoubleType)) else F.col(f"`{col}`")
+    known = df.select(value.alias("v")).where("v IS NOT NULL")
+    wanted = buckets * per_bucket
+    share = min(1.0, wanted / max(1, known.count()))
+    some = known if share == 1.0 else known.sample(fraction=share, seed=42)
+    values = sorted(r["v"] for r in some.limit(4 * wanted).collect())
+    return sorted({values[len(values) * i // buckets] for i in range(1, buckets)}) if values else []
 
 
 def bucket_of(col: Column, cuts: list) -> Column:
-    """Number of cut points <= value, as a balanced CASE tree; nulls -> -1."""
+    """Number of cut points <= value; nulls -> -1.
+
+    Few cuts are a balanced CASE tree.  Many are looked up in two steps, first the block of
+    cuts, then the place in it, so the work for a row grows with the root of their number.
+    """
 
     def search(lo: int, hi: int) -> Column:
         if lo >= hi:
@@ -42,7 +59,15 @@ def bucket_of(col: Column, cuts: list) -> Column:
         mid = (lo + hi) // 2
         return F.when(col < F.lit(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
 
-    return F.when(col.isNull(), F.lit(-1)).otherwise(search(0, len(cuts)))
+    if len(cuts) <= 256:
+        return F.when(col.isNull(), F.lit(-1)).otherwise(search(0, len(cuts)))
+    size = math.isqrt(len(cuts)) + 1
+    blocks = [cuts[i:i + size] for i in range(0, len(cuts), size)]
+    block = F.size(F.filter(F.array(*[F.lit(b[0]) for b in blocks]), lambda x: x <= col))
+    inside = F.element_at(F.array(*[F.array(*[F.lit(x) for x in b]) for b in blocks]), block)
+    place = F.size(F.filter(inside, lambda x: x <= col))
+    return (F.when(col.isNull(), F.lit(-1)).when(col < F.lit(cuts[0]), F.lit(0))
+            .otherwise((block - 1) * F.lit(size) + place))
 
 
 def _order(cols: list[str], ascending: bool) -> list[Column]:
@@ -63,7 +88,9 @@ def fill_ordered(df: DataFrame, cols: list[str], order_by, partition_by=(),
     asc = direction in ("forward", "ffill")
     nb = buckets or default_buckets(df)
     cuts = cut_points(df, order_cols[0], nb)
-    data = df.withColumn(_B, bucket_of(F.col(order_cols[0]), cuts))
+    # NaN is a missing value, as everywhere in this library
+    data = df.select(*[nan_to_null(F.col(f"`{c}`")).alias(c) if is_floating(df, c) else F.col(f"`{c}`") for c in df.columns])
+    data = data.withColumn(_B, bucket_of(F.col(f"`{order_cols[0]}`"), cuts))
     keys = groups + [_B]
     w = (Window.partitionBy(*keys).orderBy(*_order(order_cols, asc))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -78,9 +105,12 @@ def fill_ordered(df: DataFrame, cols: list[str], order_by, partition_by=(),
     if groups:
         cw = (Window.partitionBy(*groups).orderBy(F.col(_B).asc() if asc else F.col(_B).desc())
               .rowsBetween(Window.unboundedPreceding, -1))
-        carry = per_bucket.select(*keys, *[F.last(c, ignorenulls=True).over(cw).alias(f"__carry_{c}")
-                                           for c in cols])
-        joined = local.join(carry, on=keys, how="left")
+        carry = per_bucket.select(*[F.col(g).alias(f"__of_{i}") for i, g in enumerate(keys)],
+                                  *[F.last(c, ignorenulls=True).over(cw).alias(f"__carry_{c}") for c in cols])
+        same = F.lit(True)                    # a null group key is a group of its own
+        for i, g in enumerate(keys):
+            same = same & local[g].eqNullSafe(F.col(f"__of_{i}"))
+        joined = local.join(carry, same, "left")
     else:
         # at most buckets+1 rows: prefix-combined on the driver, broadcast back
         rows = sorted(per_bucket.collect(), key=lambda r: r[_B], reverse=not asc)

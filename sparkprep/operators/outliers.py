@@ -71,9 +71,13 @@ def zscore_flags(df: DataFrame, col: str, threshold: float = ZSCORE_THRESHOLD,
 
 
 def cap_columns(df: DataFrame, fences: dict[str, Fence]) -> DataFrame:
-    """Clip each fenced column to its fences in one projection."""
+    """Clip each fenced column to its fences in one projection.
+
+    A fence is a double, so a capped column is one too, as an integer column would cut it short.
+    """
     return df.select(*[
-        clip(F.col(c), fences[c].lower, fences[c].upper).cast(df.schema[c].dataType).alias(c)
+        F.when(F.isnan(c), F.col(c).cast("double"))      # NaN sorts above every fence, but is no outlier
+        .otherwise(clip(F.col(c).cast("double"), fences[c].lower, fences[c].upper)).alias(c)
         if c in fences and fences[c].q1 is not None else F.col(c) for c in df.columns])
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import CLASSIFICATION_MAX_DISTINCT
+from ..session import materialize
 
 _SCALE = 16777216  # 16^6: first six hex digits of the md5
 
@@ -30,19 +31,44 @@ def hash_split(df: DataFrame, key: str, test_ratio: float = 0.2, seed: int = 42)
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_ratio: float = 0.2, seed: int = 42):
-    """Per class, the ceil(ratio * class size) rows with the smallest hashes go to test.
+    """Per class, the ceil(ratio * class size) rows with the smallest (hash, key) go to test.
 
-    The per-class rank comes from a window partitioned by class; a hot
-    class is one window group, so for large data ``hash_split`` (which is
-    stratified in expectation) is preferred; this exact form is for parity.
+    When some class has a single row it cannot be on both sides, and the
+    split falls back to the plain one.  No class is gathered: rows are
+    counted per class and the upper, then the lower twelve bits of the hash
+    (4,096 rows a class at most), which gives the hash at which each class
+    is cut; only rows with exactly that hash are ranked by key.
     """
     h = hash_unit(key, seed)
-    w = Window.partitionBy(label).orderBy(h, F.col(key))
-    n = Window.partitionBy(label)
-    ranked = (df.withColumn("__rk", F.row_number().over(w))
-              .withColumn("__n", F.count(F.lit(1)).over(n)))
-    is_test = F.col("__rk") <= F.ceil(F.col("__n") * F.lit(test_ratio))
-    return (ranked.where(~is_test).drop("__rk", "__n"), ranked.where(is_test).drop("__rk", "__n"))
+    cls = F.col(f"`{label}`")
+    sizes = df.groupBy(cls.alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    if (sizes.agg(F.min("__n")).first()[0] or 0) == 1:
+        return hash_split(df, key, test_ratio, seed)
+    hashed = df.select(cls.alias("__c"), F.floor(h / 4096).alias("__hi"), (h % 4096).alias("__lo"))
+    wanted = sizes.withColumn("__left", F.ceil(F.col("__n") * F.lit(test_ratio))).select("__c", "__left")
+
+    def cut(counts: DataFrame, level: str, want: DataFrame) -> DataFrame:
+        """Per class the level at which the wanted rows are reached, and the rows still wanted in it."""
+        run = Window.partitionBy("__c").orderBy(level).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = counts.withColumn("__upto", F.sum("__k").over(run))
+        both = summed.join(want.withColumnRenamed("__c", "__w"), F.col("__c").eqNullSafe(F.col("__w")))
+        before = F.col("__upto") - F.col("__k")
+        return (both.where((before < F.col("__left")) & (F.col("__upto") >= F.col("__left")))
+                .select("__c", level, (F.col("__left") - before).alias("__left")))
+
+    top = materialize(cut(hashed.groupBy("__c", "__hi").agg(F.count(F.lit(1)).alias("__k")), "__hi", wanted))
+    at = top.select(F.col("__c").alias("__w"), F.col("__hi").alias("__at"))
+    inner = hashed.join(at, F.col("__c").eqNullSafe(F.col("__w")) & (F.col("__hi") == F.col("__at")))
+    low = cut(inner.groupBy("__c", "__lo").agg(F.count(F.lit(1)).alias("__k")), "__lo", top.select("__c", "__left"))
+    cuts = materialize(top.select(F.col("__c").alias("__w"), "__hi").join(low, F.col("__c").eqNullSafe(F.col("__w")))
+                       .select(F.col("__c").alias("__of"), (F.col("__hi") * 4096 + F.col("__lo")).alias("__cut"), "__left"))
+    placed = df.join(cuts, cls.eqNullSafe(F.col("__of")), "left").withColumn("__h", h)
+    rank = F.row_number().over(Window.partitionBy("__of", "__h").orderBy(F.col(f"`{key}`")))
+    edge = placed.where("__h = __cut").withColumn("__test", rank <= F.col("__left"))
+    rest = placed.where("__h <> __cut").withColumn("__test", F.col("__h") < F.col("__cut"))
+    done = rest.unionByName(edge)
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    return done.where("NOT __test").select(*cols), done.where("__test").select(*cols)
 
 
 def split_sizes(n: int, test_ratio: float) -> tuple[int, int]:

@@ -36,9 +36,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only set one when unset.
 
-    On a cluster that setting names a shared, fault-tolerant folder.  A
-    fresh local folder is created only when nothing is configured (tests,
-    local runs).
+    On a cluster that setting names a shared, fault-tolerant folder, and
+    without it this is an error: executors do not share local folders.  A
+    fresh local folder is created only for a local master (tests, bench).
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="sparkprep-ckpt-")
     sc.setCheckpointDir(configured)
     return configured

@@ -30,6 +30,16 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                     amt.alias("amt"), "o_orderdate")
 
 
+def extreme_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with outliers on both sides, NaN and null in a double, and outliers in an integer."""
+    o = table(spark, sf_dir, "orders")
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    amt = (F.when(k % 31 == 0, F.lit(None)).when(k % 37 == 0, F.lit(float("nan")))
+           .when(k % 41 == 0, price * 50).when(k % 43 == 0, price * -50).otherwise(price))
+    qty = F.when(k % 47 == 0, F.col("o_custkey") * 50).when(k % 53 == 0, F.col("o_custkey") * -50).otherwise(F.col("o_custkey"))
+    return o.select("o_orderkey", amt.alias("amt"), qty.alias("qty"), "o_orderstatus")
+
+
 def gappy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     gap = (F.col("event_id") % 5).isin(0, 1)
@@ -65,6 +75,15 @@ SELECT o_orderkey,
   o_orderdate
 FROM orders"""
 
+# NaN is a missing value to the operators, so the twin has null for it.
+EXTREME_ORDERS_SQL = """
+SELECT o_orderkey,
+  CASE WHEN o_orderkey % 31 = 0 OR o_orderkey % 37 = 0 THEN NULL WHEN o_orderkey % 41 = 0 THEN o_totalprice * 50
+       WHEN o_orderkey % 43 = 0 THEN o_totalprice * -50 ELSE o_totalprice END AS amt,
+  CASE WHEN o_orderkey % 47 = 0 THEN o_custkey * 50 WHEN o_orderkey % 53 = 0 THEN o_custkey * -50 ELSE o_custkey END AS qty,
+  o_orderstatus
+FROM orders"""
+
 GAPPY_EVENTS_SQL = """
 SELECT event_id, ts, user_id, event_type,
   CASE WHEN event_id % 5 IN (0, 1) THEN NULL ELSE value END AS value
@@ -83,7 +102,7 @@ SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 10 = 0"""
 def with_views(sql: str, *names: str) -> str:
     """Prefix a query with the named dirt views as CTEs."""
     bodies = {"dirty_orders": DIRTY_ORDERS_SQL, "gappy_events": GAPPY_EVENTS_SQL,
-              "gappy_part": GAPPY_PART_SQL, "dup_orders": DUP_ORDERS_SQL}
+              "gappy_part": GAPPY_PART_SQL, "dup_orders": DUP_ORDERS_SQL, "extreme_orders": EXTREME_ORDERS_SQL}
     ctes = ",\n".join(f"{n} AS ({bodies[n]})" for n in names)
     body = sql.lstrip()
     if body.startswith(","):          # caller continues the WITH list

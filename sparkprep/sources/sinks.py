@@ -10,9 +10,9 @@ from .tables import safe_name
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Headed UTF-8 CSV, one part file per task; no index column."""
+    """Headed UTF-8 CSV, one part file per task; no index column; quotes in a cell are doubled."""
     (df.write.mode(mode).option("header", True).option("encoding", "UTF-8")
-       .option("nullValue", "").option("emptyValue", "\"\"").csv(path))
+       .option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", "\"\"").csv(path))
     return path
 
 

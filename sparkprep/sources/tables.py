@@ -38,14 +38,19 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
     names = pandas_column_names(header)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     # all-string schema under the pandas-style names; the header line is skipped
-    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-           .option("nullValue", "\u0000never\u0000").csv(path))
+    raw = _csv(spark).schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
     return infer_types(raw) if infer else raw
 
 
+def _csv(spark: SparkSession):
+    """Quotes are doubled inside quoted cells, and a quoted cell may hold line breaks."""
+    return (spark.read.option("quote", '"').option("escape", '"').option("multiLine", True)
+            .option("nullValue", "\u0000never\u0000"))
+
+
 def _raw_header(spark: SparkSession, path: str) -> list[str] | None:
     """Header cells exactly as written (Spark renames duplicates/blanks)."""
-    first = (spark.read.option("header", False).csv(path).limit(1).collect())
+    first = _csv(spark).option("header", False).csv(path).limit(1).collect()
     if not first:
         return None
     return [v if v is not None else "" for v in first[0]]

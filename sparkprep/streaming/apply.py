@@ -67,14 +67,17 @@ def stream_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, query_name: str | None = None) -> DataFrame:
-    """Drain a stream into a memory table (tests, checks) and return it as a static frame."""
+    """Drain a stream into Parquet files in the shared folder and read them back.
+
+    Rows go from the executors to the files; none passes the driver.
+    """
     spark = stream.sparkSession
-    name = query_name or f"sparkprep_{uuid.uuid4().hex[:8]}"
-    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream_{name}"
-    q = (stream.writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    name = query_name or f"sparkprep_{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream_{name}"
+    q = (stream.writeStream.format("parquet").option("path", f"{folder}/data").outputMode("append")
+         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/data")
 
 
 def write_stream(stream: DataFrame, path: str, query_name: str):
