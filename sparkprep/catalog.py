@@ -671,6 +671,29 @@ from .operators import encode, pca, scale  # noqa: E402
 from .plans.features import FeaturePlan  # noqa: E402
 
 
+_WIDE_SQL = "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY concat(p_name, ' ', p_partkey)) - 1 AS INTEGER) AS {0} FROM part"
+
+
+def _wide_names(spark, sf_dir) -> DataFrame:
+    """A text column with more categories than a plan can hold as literals."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_partkey").alias("name"))
+
+
+@register("label_encode_wide", _WIDE_SQL.format("name"))
+def q_label_encode_wide(spark, sf_dir):
+    d = _wide_names(spark, sf_dir)
+    return encode.fit_label_encoding(d, ["name"]).apply(d)
+
+
+@register("onehot_wide", _WIDE_SQL.format("place"))
+def q_onehot_wide(spark, sf_dir):
+    """The place of the one in each sparse vector."""
+    from pyspark.ml.functions import vector_to_array
+    d = _wide_names(spark, sf_dir)
+    hot = encode.fit_onehot(d, ["name"]).apply(d)
+    return hot.select("p_partkey", (F.array_position(vector_to_array("name_onehot"), F.lit(1.0)) - 1).cast("int").alias("place"))
+
+
 @register("label_encode", """
 SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS o_orderstatus,
   CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority FROM orders""")

@@ -1,87 +1,135 @@
-"""Label and one-hot encoding (fit on one frame, apply to any)."""
+"""Label and one-hot encoding (fit on one frame, apply to any).
+
+A column's mapping is small (a literal in the plan) or wide: then it is a
+table in the shared scratch folder, ranked in a distributed way and joined
+back, so the number of categories has no limit.  Wide one-hot columns are
+sparse vectors.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Distinct values above this count are not expanded into 0/1 columns.
-MAX_ONEHOT_CATEGORIES = 1000
+from ..session import materialize
+from .order import running_sum
+
+# Up to this many categories a mapping is a literal of the plan, and a
+# one-hot column is as many 0/1 columns; above, a table and a sparse vector.
+SMALL_MAPPING = 1000
+# A mapping table of at most this many rows is broadcast when it is joined.
+BROADCAST_CATEGORIES = 100_000
 
 
 @dataclass
 class LabelEncoding:
-    """Codes in sorted order per column; nulls get the next code when ``keep_null``."""
-    mapping: dict = field(default_factory=dict)      # column -> [categories in code order]
+    """Codes in sorted order per column; null and unseen get the next code."""
+    mapping: dict = field(default_factory=dict)      # small columns: categories in code order
+    tables: dict = field(default_factory=dict)       # wide columns: (value, code) frame
+    sizes: dict = field(default_factory=dict)        # column -> number of categories
     null_as_text: bool = False
 
+    def _value(self, c: str):
+        v = F.col(f"`{c}`").cast("string")
+        return F.coalesce(v, F.lit("nan")) if self.null_as_text else v
+
     def apply(self, df: DataFrame) -> DataFrame:
+        joined, codes = df, {}
+        for i, (c, table) in enumerate(self.tables.items()):
+            if c not in df.columns:
+                continue
+            pair = table.select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__k{i}"))
+            if self.sizes[c] <= BROADCAST_CATEGORIES:
+                pair = F.broadcast(pair)
+            joined = joined.join(pair, self._value(c) == F.col(f"__v{i}"), "left")
+            codes[c] = F.coalesce(F.col(f"__k{i}"), F.lit(self.sizes[c]))
         out = []
         for c in df.columns:
             cats = self.mapping.get(c)
-            if cats is None:
-                out.append(F.col(c))
-                continue
-            v = F.col(c).cast("string")
-            if self.null_as_text:
-                v = F.coalesce(v, F.lit("nan"))
-            # one map lookup instead of a CASE chain; unseen / null -> extra last code
-            m = F.create_map(*[x for i, cat in enumerate(cats) for x in (F.lit(cat), F.lit(i))])
-            expr = F.coalesce(F.element_at(m, v) if cats else F.lit(None), F.lit(len(cats)))
-            out.append(expr.cast("int").alias(c))
-        return df.select(*out)
+            if cats is not None:
+                # one map lookup instead of a CASE chain; unseen / null -> extra last code
+                m = F.create_map(*[x for i, cat in enumerate(cats) for x in (F.lit(cat), F.lit(i))])
+                codes[c] = F.coalesce(F.element_at(m, self._value(c)) if cats else F.lit(None), F.lit(len(cats)))
+            out.append(codes[c].cast("int").alias(c) if c in codes else F.col(f"`{c}`"))
+        return joined.select(*out)
 
     def table(self, spark) -> DataFrame:
         rows = [(c, cat, i) for c, cats in self.mapping.items() for i, cat in enumerate(cats)]
-        return spark.createDataFrame(rows, "column string, category string, code int")
+        out = spark.createDataFrame(rows, "column string, category string, code int")
+        for c, t in self.tables.items():
+            out = out.unionByName(t.select(F.lit(c).alias("column"), F.col("value").alias("category"),
+                                           F.col("code").cast("int").alias("code")))
+        return out
 
 
-def fit_label_encoding(df: DataFrame, cols, null_as_text: bool = False,
-                       max_categories: int = 100_000) -> LabelEncoding:
-    """Sorted distinct values per column (one unpivoted distinct, bounded collect)."""
+def fit_label_encoding(df: DataFrame, cols, null_as_text: bool = False) -> LabelEncoding:
+    """Sorted distinct values per column: one unpivoted distinct, small columns to the driver,
+    wide ones ranked by bucketed running counts."""
     cols = [c for c in cols if c in df.columns]
     enc = LabelEncoding(null_as_text=null_as_text)
     if not cols:
         return enc
-    vals = df.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("nan")) if null_as_text
-                        else F.col(c).cast("string")).alias(c) for c in cols])
-    longv = vals.unpivot([], cols, "column", "value").where(F.col("value").isNotNull()).distinct()
-    sizes = {r["column"]: r["n"] for r in longv.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    too_big = [c for c, n in sizes.items() if n > max_categories]
-    if too_big:
-        raise ValueError(f"too many categories to collect for {too_big}; use StringIndexer instead")
+    vals = df.select(*[enc._value(c).alias(c) for c in cols])
+    longv = materialize(vals.unpivot([], [F.col(f"`{c}`") for c in cols], "column", "value")
+                        .where(F.col("value").isNotNull()).distinct())
+    found = {r["column"]: r["n"] for r in longv.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    enc.sizes = {c: found.get(c, 0) for c in cols}
+    small = [c for c in cols if enc.sizes[c] <= SMALL_MAPPING]
+    enc.mapping = {c: [] for c in small}
+    if small:
+        for r in longv.where(F.col("column").isin(small)).orderBy("column", "value").collect():
+            enc.mapping[r["column"]].append(r["value"])       # SMALL_MAPPING rows a column at most
     for c in cols:
-        enc.mapping[c] = []
-    for r in longv.orderBy("column", "value").collect():      # bounded by max_categories per column
-        enc.mapping[r["column"]].append(r["value"])
+        if c not in enc.mapping:
+            one = longv.where(F.col("column") == c).select("value", F.lit(1).alias("one"))
+            enc.tables[c] = materialize(running_sum(one, "one", "value", out="code").select("value", "code"))
     return enc
 
 
 @dataclass
 class OneHotEncoding:
-    """0/1 integer columns ``<col>_<value>`` in sorted value order; null -> all zeros."""
+    """0/1 integer columns ``<col>_<value>`` in sorted value order; null -> all zeros.
+
+    A column with more than SMALL_MAPPING values becomes one sparse vector ``<col>_onehot``.
+    """
     categories: dict = field(default_factory=dict)
+    wide: LabelEncoding = field(default_factory=LabelEncoding)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        keep = [F.col(c) for c in df.columns if c not in self.categories]
+        done = [c for c in (*self.categories, *self.wide.tables) if c in df.columns]
+        out = df
+        for c in self.wide.tables:
+            if c in df.columns:
+                out = self._sparse(out, c)
         new = []
         for c, cats in self.categories.items():
             if c not in df.columns:
                 continue
-            v = F.col(c).cast("string")
+            v = F.col(f"`{c}`").cast("string")
             new += [F.when(v == F.lit(cat), F.lit(1)).otherwise(F.lit(0)).cast("int").alias(f"{c}_{cat}")
                     for cat in cats]
-        return df.select(*keep, *new)
+        vectors = [F.col(f"`{c}_onehot`") for c in self.wide.tables if c in df.columns]
+        return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in done], *new, *vectors)
+
+    def _sparse(self, df: DataFrame, c: str) -> DataFrame:
+        one = LabelEncoding(tables={c: self.wide.tables[c]}, sizes=self.wide.sizes)
+        kept = df.withColumn("__kept", F.col(f"`{c}`"))
+        coded = one.apply(kept).withColumn("__code", F.col(f"`{c}`").cast("double"))
+        n = self.wide.sizes[c]
+        top = df.sparkSession.createDataFrame([(float(n - 1),)], "__code double")
+        # the last, invalid, index (null or unseen) is dropped: a vector of zeros
+        model = OneHotEncoder(inputCols=["__code"], outputCols=[f"{c}_onehot"], handleInvalid="keep").fit(top)
+        return model.transform(coded).withColumn(c, F.col("__kept")).drop("__code", "__kept")
 
     @property
     def new_columns(self) -> list[str]:
-        return [f"{c}_{cat}" for c, cats in self.categories.items() for cat in cats]
+        return [f"{c}_{cat}" for c, cats in self.categories.items() for cat in cats] + [
+            f"{c}_onehot" for c in self.wide.tables]
 
 
-def fit_onehot(df: DataFrame, cols, max_categories: int = MAX_ONEHOT_CATEGORIES) -> OneHotEncoding:
-    """Sorted distinct values per column; refuses above ``max_categories``
-    (use ``pyspark.ml.feature.OneHotEncoder`` sparse vectors there)."""
-    enc = fit_label_encoding(df, cols, max_categories=max_categories)
-    return OneHotEncoding(categories=dict(enc.mapping))
+def fit_onehot(df: DataFrame, cols) -> OneHotEncoding:
+    enc = fit_label_encoding(df, cols)
+    return OneHotEncoding(categories=dict(enc.mapping), wide=LabelEncoding(tables=enc.tables, sizes=enc.sizes))
