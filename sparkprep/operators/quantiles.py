@@ -1,17 +1,19 @@
 """Exact linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``).
 
-Default (``auto``): Spark's exact ``percentile`` for columns whose
-distinct count is checked (HyperLogLog, 5%) to be at most 1M, so its
-single-task value map stays bounded; ``refine`` for the others: a GK sketch (``percentile_approx``, rank error
-n/accuracy) brackets every target rank; exact counts place the bracket;
-when a bracket holds at most ``max_collect`` rows its (value, count)
-pairs are collected and walked, otherwise the sketch is re-run inside the
-bracket, shrinking it by ~accuracy/4 per round.  Every pass is a parallel
-scan and the driver receives a bounded number of rows.
+``auto`` takes columns with at most SMALL_DISTINCT (estimated) distinct
+values from their (value, count) table and refines the others: a bounded
+sample brackets every target rank, exact counts place the bracket, and
+when it holds at most ``max_collect`` rows its (value, count) pairs are
+collected and walked; otherwise the next round samples inside it.  A
+bracket that missed its rank is made wider, and a column that is still too
+wide after the last round goes to the rank walk, so what the driver
+receives is always bounded.  No round merges sketches or value maps in
+one task.
 
-Other methods: ``builtin`` (always Spark's exact ``percentile``: its value
-map is merged and sorted in one task), ``refine`` (always), ``distributed`` (value frequencies +
-bucketed running counts), ``approx`` (sketch values, not interpolated).
+Other methods: ``frequency`` (always the value-count table), ``refine``
+(always the refinement), ``distributed`` (value frequencies + bucketed
+running counts), ``builtin`` (Spark's exact ``percentile``: its value map
+is merged and sorted in one task), ``approx`` (sketch values).
 """
 
 from __future__ import annotations
@@ -136,26 +138,27 @@ def _frequency(df: DataFrame, cols: list[str], probs: list[float], cap: int):
     return rows
 
 
-ACCURACY = 10000
+ACCURACY = 40_000          # values sampled from a bracket, about
 MAX_COLLECT = 20_000
 
 
 def _refine(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = ACCURACY,
-            max_collect: int = MAX_COLLECT, max_rounds: int = 8) -> DataFrame:
+            max_collect: int = MAX_COLLECT, max_rounds: int = 12) -> DataFrame:
     # several passes read the same narrow projection: keep it (spillable) for
     # the rounds; lost blocks are recomputed from lineage
     vals = (df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        return _refine_rounds(df.sparkSession, vals, cols, probs, accuracy, max_collect, max_rounds)
+        return _refine_rounds(df, vals, cols, probs, accuracy, max_collect, max_rounds)
     finally:
         vals.unpersist()
 
 
-def _refine_rounds(spark, vals: DataFrame, cols: list[str], probs: list[float], accuracy: int,
+def _refine_rounds(df: DataFrame, vals: DataFrame, cols: list[str], probs: list[float], accuracy: int,
                    max_collect: int, max_rounds: int) -> DataFrame:
+    spark = df.sparkSession
     counts = vals.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(cols))]).collect()[0]
-    eps = 2.0 / accuracy
+    margin = 4.0 / math.sqrt(accuracy)          # four standard errors of a sampled rank
     targets = []
     for i, c in enumerate(cols):
         n = counts[f"n{i}"]
@@ -166,7 +169,7 @@ def _refine_rounds(spark, vals: DataFrame, cols: list[str], probs: list[float],
             pos = p * (n - 1)
             lo, hi = math.floor(pos), math.ceil(pos)
             targets.append(dict(col=i, name=c, prob=p, empty=False, lo=lo, hi=hi, frac=pos - lo,
-                                L=None, U=None, offset=0, n_in=n))
+                                L=None, U=None, offset=0, n_in=n, wide=margin))
 
     def inside(col: int, lo, up):
         v = F.col(f"v{col}")
@@ -178,47 +181,49 @@ def _refine_rounds(spark, vals: DataFrame, cols: list[str], probs: list[float],
         return cond
 
     live = [t for t in targets if not t["empty"]]
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         wide = [t for t in live if t["n_in"] > max_collect]
         if not wide:
             break
-        # one sketch per distinct bracket, covering every rank it must split
-        brackets: dict = {}
-        for t in wide:
-            key = (t["col"], t["L"], t["U"])
-            for r in (t["lo"], t["hi"]):
-                rel = (r - t["offset"]) / t["n_in"]
-                brackets.setdefault(key, set()).update({max(0.0, rel - eps), min(1.0, rel + eps)})
-        keys = list(brackets)
-        plist = {k: sorted(brackets[k]) for k in keys}
-        got = vals.agg(*[F.percentile_approx(F.when(inside(*k), F.col(f"v{k[0]}")), plist[k], accuracy)
-                         .alias(f"s{j}") for j, k in enumerate(keys)]).collect()[0]
+        # one pass samples every distinct bracket
+        keys = sorted({(t["col"], t["L"], t["U"], t["n_in"]) for t in wide}, key=repr)
+        picks = F.array(*[F.when(inside(*k[:3]) & (F.rand(17 * turn + j) < F.lit(min(1.0, accuracy / k[3]))),
+                                 F.struct(F.lit(j).alias("j"), F.col(f"v{k[0]}").alias("v"))) for j, k in enumerate(keys)])
+        got = (vals.select(F.explode(F.filter(picks, lambda x: x.isNotNull())).alias("s")).select("s.j", "s.v")
+               .limit(2 * accuracy * len(keys)).collect())
+        seen: dict = {}
+        for r in got:
+            seen.setdefault(r["j"], []).append(r["v"])
         props = {}
         for t in wide:
             k = (t["col"], t["L"], t["U"])
-            j = keys.index(k)
-            ps, qs = plist[k], got[f"s{j}"]
-            rel_lo = (t["lo"] - t["offset"]) / t["n_in"]
-            rel_hi = (t["hi"] - t["offset"]) / t["n_in"]
-            nl = qs[ps.index(max(0.0, rel_lo - eps))]
-            nu = qs[ps.index(min(1.0, rel_hi + eps))]
-            props[id(t)] = (k, nl, nu)
+            values = sorted(seen.get(keys.index((*k, t["n_in"])), []))
+            if not values:
+                continue
+            at = [(t[r] - t["offset"]) / t["n_in"] * len(values) for r in ("lo", "hi")]
+            low, high = int(at[0] - t["wide"] * len(values)) - 1, int(at[1] + t["wide"] * len(values)) + 1
+            props[id(t)] = (k, values[low] if low >= 0 else t["L"], values[high] if high < len(values) else t["U"])
         # exact placement: rows below and inside each proposed bracket (deduplicated)
-        uniq = sorted({(k, nl, nu) for k, nl, nu in props.values()}, key=repr)
+        uniq = sorted({p for p in props.values()}, key=repr)
         aggs = []
         for j, (k, nl, nu) in enumerate(uniq):
             v = F.col(f"v{k[0]}")
-            aggs += [F.count_if(inside(*k) & (v < F.lit(nl))).alias(f"b{j}"),
-                     F.count_if(inside(k[0], nl, nu)).alias(f"i{j}")]
-        placed = vals.agg(*aggs).collect()[0]
+            below = inside(*k) & (v < F.lit(nl)) if nl is not None else F.lit(False)
+            aggs += [F.count_if(below).alias(f"b{j}"), F.count_if(inside(k[0], nl, nu)).alias(f"i{j}")]
+        placed = vals.agg(*aggs).collect()[0] if aggs else {}
         for t in wide:
-            k, nl, nu = props[id(t)]
-            j = uniq.index((k, nl, nu))
+            if id(t) not in props:
+                continue
+            j = uniq.index(props[id(t)])
             off, n_in = t["offset"] + placed[f"b{j}"], placed[f"i{j}"]
             if off <= t["lo"] and off + n_in > t["hi"] and n_in < t["n_in"]:
-                t.update(L=nl, U=nu, offset=off, n_in=n_in)
+                t.update(L=props[id(t)][1], U=props[id(t)][2], offset=off, n_in=n_in)
             else:
-                t["n_in"] = max_collect          # sketch miss: the bracket is collected as it is
+                t["wide"] *= 2                # missed, or one value fills it: look wider, then elsewhere
+    # columns whose brackets stayed too wide (one value may hold them): exact ranks, nothing collected
+    left = sorted({t["col"] for t in live if t["n_in"] > max_collect})
+    walked = _rank_walk(df, [cols[i] for i in left], probs) if left else None
+    live = [t for t in live if t["col"] not in left]
     rows = []
     if live:
         # per column: rows inside any of its brackets -> (column, value, count); bounded collect
@@ -252,7 +257,8 @@ def _refine_rounds(spark, vals: DataFrame, cols: list[str], probs: list[float],
             val = None if v_lo is None or v_hi is None else v_lo + (v_hi - v_lo) * t["frac"]
             rows.append((t["name"], t["prob"], val))
     rows += [(t["name"], t["prob"], None) for t in targets if t["empty"]]
-    return spark.createDataFrame(rows, "column string, prob double, value double")
+    found = spark.createDataFrame(rows, "column string, prob double, value double")
+    return found.unionByName(walked) if walked is not None else found
 
 
 def _rank_walk(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
