@@ -116,7 +116,7 @@ class Sizes:
     """Model sizes; the defaults are those every registered query runs with."""
     iterations: int = 1000        # logistic regression, at most
     trees: int = 100
-    depth: int = 30               # of a forest's trees: the library's own maximum
+    depth: int = 12               # of trees; the library allows 30, at a pass over the rows for each level
     rounds: int = 100             # of boosting
     svm_iterations: int = 100
     fourier: int = 256            # dimensions of the kernel approximation

@@ -133,7 +133,7 @@ def radius_search(lanes: list, left: DataFrame, lkey: str, dist: Column, k: int,
         radii = [min(g.width) * step for _, _, g in lanes]
         full = all(r >= g.span for r, (_, _, g) in zip(radii, lanes))
         pairs = _union([grid_join(lp if pending is None else lp.join(pending, on=lkey, how="left_semi"),
-                                  rp, g, F.lit(g.span + max(g.width) if r >= g.span else r))
+                                  rp, g, F.lit(math.inf if r >= g.span else r))    # rows outside the grid too
                         for r, (lp, rp, g) in zip(radii, lanes)]).withColumn("__d", dist)
         rows = left if pending is None else left.join(pending, on=lkey, how="left_semi")
         wanted, found = [], []
