@@ -36,9 +36,9 @@ def drop_on_critical(df: DataFrame, critical_cols) -> DataFrame:
         return df
     cond = F.lit(True)
     for c in cols:
-        cond = cond & F.col(c).isNotNull()
+        cond = cond & F.col(f"`{c}`").isNotNull()
         if is_floating(df, c):
-            cond = cond & ~F.isnan(F.col(c))
+            cond = cond & ~F.isnan(F.col(f"`{c}`"))
     return df.where(cond)
 
 
@@ -65,9 +65,9 @@ def missing_cells(df: DataFrame) -> DataFrame:
     """One row: total null-or-NaN cells over all columns."""
     terms = []
     for c in df.columns:
-        m = F.col(c).isNull()
+        m = F.col(f"`{c}`").isNull()
         if is_floating(df, c):
-            m = m | F.isnan(F.col(c))
+            m = m | F.isnan(F.col(f"`{c}`"))
         terms.append(F.count_if(m))
     total = terms[0]
     for t in terms[1:]:
@@ -84,8 +84,8 @@ def mask_sentinels(df: DataFrame, cols=None, sentinels=None) -> DataFrame:
         return df
     lits = [F.lit(float(v)) for v in codes]
     return df.select(*[
-        F.when(F.col(c).cast("double").isin(*lits), F.lit(None)).otherwise(F.col(c)).alias(c)
-        if c in cols else F.col(c) for c in df.columns])
+        F.when(F.col(f"`{c}`").cast("double").isin(*lits), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c)
+        if c in cols else F.col(f"`{c}`") for c in df.columns])
 
 
 def sentinel_count(df: DataFrame, cols=None, sentinels=None) -> DataFrame:
@@ -96,7 +96,7 @@ def sentinel_count(df: DataFrame, cols=None, sentinels=None) -> DataFrame:
     lits = [F.lit(float(v)) for v in codes]
     total = None
     for c in cols:
-        t = F.count_if(F.col(c).cast("double").isin(*lits))
+        t = F.count_if(F.col(f"`{c}`").cast("double").isin(*lits))
         total = t if total is None else total + t
     return df.agg(total.cast("long").alias("masked"))
 
@@ -129,8 +129,8 @@ def classify_dirty_numerics(df: DataFrame, min_ratio: float = DIRTY_NUMERIC_MIN_
     cols = text_columns(df) if cols is None else cols
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
-        aggs.append(F.count(coerce_currency_number(F.col(c))).alias(f"p{i}"))
-        aggs.append(F.count(F.col(c)).alias(f"n{i}"))
+        aggs.append(F.count(coerce_currency_number(F.col(f"`{c}`"))).alias(f"p{i}"))
+        aggs.append(F.count(F.col(f"`{c}`")).alias(f"n{i}"))
     row = df.agg(*aggs).collect()[0]
     rows = row["__rows"]
     fit = DirtyNumericFit(rows=rows, threshold=max(1.0, rows * min_ratio))
@@ -143,7 +143,7 @@ def classify_dirty_numerics(df: DataFrame, min_ratio: float = DIRTY_NUMERIC_MIN_
 def convert_columns(df: DataFrame, cols) -> DataFrame:
     """Currency-strip and coerce the given text columns to double."""
     cols = set(cols)
-    return df.select(*[coerce_currency_number(F.col(c)).alias(c) if c in cols else F.col(c)
+    return df.select(*[coerce_currency_number(F.col(f"`{c}`")).alias(c) if c in cols else F.col(f"`{c}`")
                        for c in df.columns])
 
 
@@ -155,5 +155,5 @@ def convert_dirty_numerics(df: DataFrame, min_ratio: float = DIRTY_NUMERIC_MIN_R
 
 def title_case_columns(df: DataFrame, cols) -> DataFrame:
     cols = set(cols)
-    return df.select(*[title_case(F.col(c)).alias(c) if c in cols else F.col(c)
+    return df.select(*[title_case(F.col(f"`{c}`")).alias(c) if c in cols else F.col(f"`{c}`")
                        for c in df.columns])

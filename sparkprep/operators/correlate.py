@@ -145,7 +145,7 @@ def _ranked(df: DataFrame, cols: list[str], distinct_limit: int = 100_000) -> Da
     for c in cols:
         rc = ranks.where(F.col("column") == c).select(F.col("value").alias(f"__v_{c}"), F.col("rank").alias(f"r_{c}"))
         right = F.broadcast(rc) if sizes.get(c, 0) <= distinct_limit else rc
-        out = (out.withColumn(f"__v_{c}", nan_to_null(F.col(c).cast("double")))
+        out = (out.withColumn(f"__v_{c}", nan_to_null(F.col(f"`{c}`").cast("double")))
                .join(right, on=f"__v_{c}", how="left").drop(f"__v_{c}"))
     return out
 
@@ -153,7 +153,7 @@ def _ranked(df: DataFrame, cols: list[str], distinct_limit: int = 100_000) -> Da
 def _spearman_stats(df: DataFrame, cols: list[str]) -> list[tuple]:
     """Pearson on average ranks; a pair with gaps is ranked on its complete rows."""
     cnt = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.count(nan_to_null(F.col(c).cast("double"))).alias(c) for c in cols]).collect()[0]
+                 *[F.count(nan_to_null(F.col(f"`{c}`").cast("double"))).alias(c) for c in cols]).collect()[0]
     full = [c for c in cols if cnt[c] == cnt["n"]]
     out = []
     if len(full) >= 2:

@@ -22,8 +22,8 @@ def modes(df: DataFrame, cols) -> DataFrame:
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column string, mode string")
-    longv = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-             .unpivot([], list(cols), "column", "value").where(F.col("value").isNotNull()))
+    longv = (df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
+             .unpivot([], [F.col(f"`{c}`") for c in cols], "column", "value").where(F.col("value").isNotNull()))
     counts = longv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
     best = counts.groupBy("column").agg(F.min(F.struct((-F.col("cnt")).alias("k"), "value")).alias("b"))
     return best.select("column", F.col("b.value").alias("mode"))
@@ -39,9 +39,9 @@ def mode_fill(df: DataFrame, cols=None, fallback: str = UNKNOWN_CATEGORY):
 
 def fill_constants(df: DataFrame, fills: dict) -> DataFrame:
     return df.select(*[
-        F.coalesce(nan_to_null(F.col(c)) if _floating(df, c) else F.col(c),
+        F.coalesce(nan_to_null(F.col(f"`{c}`")) if _floating(df, c) else F.col(f"`{c}`"),
                    F.lit(fills[c]).cast(df.schema[c].dataType)).alias(c)
-        if c in fills and fills[c] is not None else F.col(c) for c in df.columns])
+        if c in fills and fills[c] is not None else F.col(f"`{c}`") for c in df.columns])
 
 
 def _floating(df: DataFrame, c: str) -> bool:
@@ -58,7 +58,7 @@ def median_fill(df: DataFrame, cols=None, method: str = "auto"):
     fills = {c: med[c].get(0.5) for c in cols}
     # A numeric column with gaps is floating in the reference, so a median
     # such as 25.5 is kept rather than truncated into an integer column.
-    df = df.select(*[F.col(c).cast("double").alias(c) if c in fills else F.col(c) for c in df.columns])
+    df = df.select(*[F.col(f"`{c}`").cast("double").alias(c) if c in fills else F.col(f"`{c}`") for c in df.columns])
     return fill_constants(df, fills), fills
 
 
@@ -108,7 +108,7 @@ def temporal_scores(df: DataFrame, cols=None, formats=None) -> DataFrame:
     cols = text_columns(df) if cols is None else list(cols)
     if not cols:
         return spark.createDataFrame([], "column string, sampled long, best_ratio double, best_format string")
-    longv = df.select(*cols).unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
+    longv = df.select(*[F.col(f"`{c}`") for c in cols]).unpivot([], [F.col(f"`{c}`") for c in cols], "column", "value").where(F.col("value").isNotNull())
     parsed = longv.select("column", *[
         F.try_to_timestamp(F.col("value"), F.lit(fmt)).isNotNull().cast("int").alias(f"f{i}")
         for i, fmt in enumerate(formats)])

@@ -75,7 +75,7 @@ def roc_auc(df: DataFrame, actual: str, score: str, positive=1) -> DataFrame:
 
 def roc_auc_ovr(df: DataFrame, actual: str, prob_cols: dict) -> DataFrame:
     """Macro one-vs-rest AUC: mean over classes of AUC(actual == c, prob_c)."""
-    parts = [roc_auc(df.select(F.col(actual), F.col(col).alias("__s")), actual, "__s", positive=c)
+    parts = [roc_auc(df.select(F.col(actual), F.col(f"`{col}`").alias("__s")), actual, "__s", positive=c)
              for c, col in prob_cols.items()]
     out = parts[0]
     for p in parts[1:]:

@@ -71,7 +71,7 @@ def bucket_of(col: Column, cuts: list) -> Column:
 
 
 def _order(cols: list[str], ascending: bool) -> list[Column]:
-    return [F.col(c).asc_nulls_first() if ascending else F.col(c).desc_nulls_last() for c in cols]
+    return [F.col(f"`{c}`").asc_nulls_first() if ascending else F.col(f"`{c}`").desc_nulls_last() for c in cols]
 
 
 def fill_ordered(df: DataFrame, cols: list[str], order_by, partition_by=(),
@@ -94,19 +94,19 @@ def fill_ordered(df: DataFrame, cols: list[str], order_by, partition_by=(),
     keys = groups + [_B]
     w = (Window.partitionBy(*keys).orderBy(*_order(order_cols, asc))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = data.select(*[F.col(c) for c in data.columns if c not in cols],
-                        *[F.last(c, ignorenulls=True).over(w).alias(c) for c in cols])
+    local = data.select(*[F.col(f"`{c}`") for c in data.columns if c not in cols],
+                        *[F.last(f"`{c}`", ignorenulls=True).over(w).alias(c) for c in cols])
     # Per bucket: its last non-null value in fill direction, from a partial
     # aggregate over the raw rows (no window, no full shuffle).
-    pos = F.struct(*[F.col(c) for c in order_cols])
+    pos = F.struct(*[F.col(f"`{c}`") for c in order_cols])
     pick = F.max_by if asc else F.min_by
     per_bucket = data.groupBy(*keys).agg(
-        *[pick(F.col(c), F.when(F.col(c).isNotNull(), pos)).alias(c) for c in cols])
+        *[pick(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), pos)).alias(c) for c in cols])
     if groups:
         cw = (Window.partitionBy(*groups).orderBy(F.col(_B).asc() if asc else F.col(_B).desc())
               .rowsBetween(Window.unboundedPreceding, -1))
         carry = per_bucket.select(*[F.col(g).alias(f"__of_{i}") for i, g in enumerate(keys)],
-                                  *[F.last(c, ignorenulls=True).over(cw).alias(f"__carry_{c}") for c in cols])
+                                  *[F.last(f"`{c}`", ignorenulls=True).over(cw).alias(f"__carry_{c}") for c in cols])
         same = F.lit(True)                    # a null group key is a group of its own
         for i, g in enumerate(keys):
             same = same & local[g].eqNullSafe(F.col(f"__of_{i}"))
@@ -126,7 +126,7 @@ def fill_ordered(df: DataFrame, cols: list[str], order_by, partition_by=(),
         carry = df.sparkSession.createDataFrame(carried, schema)
         joined = local.join(F.broadcast(carry), on=keys, how="left")
     return joined.select(*[
-        F.coalesce(F.col(c), F.col(f"__carry_{c}")).alias(c) if c in cols else F.col(c)
+        F.coalesce(F.col(f"`{c}`"), F.col(f"`__carry_{c}`")).alias(c) if c in cols else F.col(f"`{c}`")
         for c in df.columns
     ])
 

@@ -39,7 +39,7 @@ def iqr_fences(df: DataFrame, cols, method: str = "auto") -> dict[str, Fence]:
 
 
 def iqr_flag(col: str, fence: Fence) -> Column:
-    c = nan_to_null(F.col(col))
+    c = nan_to_null(F.col(f"`{col}`"))
     if fence.q1 is None:
         return F.lit(False)
     return F.coalesce((c < F.lit(fence.lower)) | (c > F.lit(fence.upper)), F.lit(False))
@@ -51,8 +51,8 @@ def iqr_flags(df: DataFrame, col: str, fence: Fence | None = None, out: str = "i
 
 
 def zscore_stats(df: DataFrame, cols) -> dict:
-    row = df.agg(*[F.avg(nan_to_null(F.col(c))).alias(f"m_{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(nan_to_null(F.col(c))).alias(f"s_{i}") for i, c in enumerate(cols)]).collect()[0]
+    row = df.agg(*[F.avg(nan_to_null(F.col(f"`{c}`"))).alias(f"m_{i}") for i, c in enumerate(cols)],
+                 *[F.stddev_pop(nan_to_null(F.col(f"`{c}`"))).alias(f"s_{i}") for i, c in enumerate(cols)]).collect()[0]
     return {c: (row[f"m_{i}"], row[f"s_{i}"]) for i, c in enumerate(cols)}
 
 
@@ -60,7 +60,7 @@ def zscore_flag(col: str, mean, std, threshold: float = ZSCORE_THRESHOLD) -> Col
     """|z| > threshold with population std; nulls and zero std never flag."""
     if mean is None or not std:
         return F.lit(False)
-    z = F.abs((nan_to_null(F.col(col)) - F.lit(mean)) / F.lit(std))
+    z = F.abs((nan_to_null(F.col(f"`{col}`")) - F.lit(mean)) / F.lit(std))
     return F.coalesce(z > F.lit(threshold), F.lit(False))
 
 
@@ -76,9 +76,9 @@ def cap_columns(df: DataFrame, fences: dict[str, Fence]) -> DataFrame:
     A fence is a double, so a capped column is one too, as an integer column would cut it short.
     """
     return df.select(*[
-        F.when(F.isnan(c), F.col(c).cast("double"))      # NaN sorts above every fence, but is no outlier
-        .otherwise(clip(F.col(c).cast("double"), fences[c].lower, fences[c].upper)).alias(c)
-        if c in fences and fences[c].q1 is not None else F.col(c) for c in df.columns])
+        F.when(F.isnan(f"`{c}`"), F.col(f"`{c}`").cast("double"))      # NaN sorts above every fence, but is no outlier
+        .otherwise(clip(F.col(f"`{c}`").cast("double"), fences[c].lower, fences[c].upper)).alias(c)
+        if c in fences and fences[c].q1 is not None else F.col(f"`{c}`") for c in df.columns])
 
 
 def cap_iqr(df: DataFrame, col: str, method: str = "auto") -> DataFrame:

@@ -28,7 +28,7 @@ def dtype_name(dt) -> str:
 
 
 def _clean(df: DataFrame, c: str):
-    return nan_to_null(F.col(c)) if is_floating(df, c) else F.col(c)
+    return nan_to_null(F.col(f"`{c}`")) if is_floating(df, c) else F.col(f"`{c}`")
 
 
 def profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
@@ -69,7 +69,7 @@ def distinct_counts(df: DataFrame, cols=None) -> DataFrame:
     """(column, d): exact distinct non-null counts via one unpivoted group-by."""
     cols = list(cols or df.columns)
     longv = (df.select(*[_clean(df, c).cast("string").alias(c) for c in cols])
-             .unpivot([], cols, "column", "value").where(F.col("value").isNotNull()))
+             .unpivot([], [F.col(f"`{c}`") for c in cols], "column", "value").where(F.col("value").isNotNull()))
     return longv.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("d"))
 
 
@@ -98,7 +98,7 @@ def moments(df: DataFrame, cols: list[str]) -> dict:
     for start in range(0, len(cols), MOMENT_CHUNK):
         structs = []
         for c in cols[start:start + MOMENT_CHUNK]:
-            v = nan_to_null(F.col(c).cast("double"))
+            v = nan_to_null(F.col(f"`{c}`").cast("double"))
             structs.append(F.struct(F.lit(c).alias("feature"), F.count(v).alias("n"),
                                     F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
                                     F.min(v).alias("lo"), F.max(v).alias("hi"),
@@ -154,7 +154,7 @@ def describe(df: DataFrame, cols=None, digits: int = 4, method: str = "auto") ->
 
 def histogram(df: DataFrame, col: str, bins: int = HISTOGRAM_BINS, stage: str | None = None) -> DataFrame:
     """Equal-width bins over [min, max]; the max falls in the last bin."""
-    v = nan_to_null(F.col(col).cast("double"))
+    v = nan_to_null(F.col(f"`{col}`").cast("double"))
     bounds = df.agg(F.min(v).alias("mn"), F.max(v).alias("mx")).collect()[0]
     mn, mx = bounds["mn"], bounds["mx"]
     spark = df.sparkSession
@@ -180,7 +180,7 @@ def box_stats(df: DataFrame, cols=None, method: str = "auto") -> DataFrame:
         if q1 is None:
             continue
         lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-        v = nan_to_null(F.col(c).cast("double"))
+        v = nan_to_null(F.col(f"`{c}`").cast("double"))
         inside = (v >= lo) & (v <= hi)
         aggs += [F.min(F.when(inside, v)).alias(f"wl{i}"), F.max(F.when(inside, v)).alias(f"wh{i}"),
                  F.count_if(~inside).alias(f"o{i}")]
@@ -217,9 +217,9 @@ def train_stats(df: DataFrame, target: str) -> DataFrame:
     """total rows, complete rows, feature count, distinct target values."""
     complete = F.lit(True)
     for c in df.columns:
-        m = F.col(c).isNotNull()
+        m = F.col(f"`{c}`").isNotNull()
         if is_floating(df, c):
-            m = m & ~F.isnan(F.col(c))
+            m = m & ~F.isnan(F.col(f"`{c}`"))
         complete = complete & m
     return df.agg(F.count(F.lit(1)).alias("total_rows"),
                   F.count_if(complete).alias("complete_rows"),

@@ -40,8 +40,8 @@ def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
     """Unpivot numeric ``cols`` to (column, value double), nulls/NaN dropped."""
     if not cols:
         raise ValueError("no columns")
-    casted = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
-    return (casted.unpivot([], cols, "column", "value")
+    casted = df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(c) for c in cols])
+    return (casted.unpivot([], [F.col(f"`{c}`") for c in cols], "column", "value")
             .where(F.col("value").isNotNull()))
 
 
@@ -60,7 +60,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
     spark = df.sparkSession
     probs = [float(p) for p in probs]
     if method == "approx":
-        row = df.agg(*[F.percentile_approx(nan_to_null(F.col(c).cast("double")), probs, 10000)
+        row = df.agg(*[F.percentile_approx(nan_to_null(F.col(f"`{c}`").cast("double")), probs, 10000)
                        .alias(c) for c in cols]).collect()[0]
         rows = [(c, p, (row[c] or [None] * len(probs))[i]) for c in cols for i, p in enumerate(probs)]
         return spark.createDataFrame(rows, "column string, prob double, value double")
@@ -76,7 +76,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
         small, large = [], list(cols)
     elif method in ("auto", "hybrid"):
         est = distinct_estimates or \
-            df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).collect()[0].asDict()
+            df.agg(*[F.approx_count_distinct(f"`{c}`", 0.05).alias(c) for c in cols]).collect()[0].asDict()
         small = [c for c in cols if est[c] <= small_distinct]
         large = [c for c in cols if est[c] > small_distinct]
     parts = []
@@ -88,7 +88,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
             parts.append(spark.createDataFrame(rows, "column string, prob double, value double"))
             small = []
     if small:
-        row = df.agg(*[F.percentile(nan_to_null(F.col(c).cast("double")), probs).alias(c)
+        row = df.agg(*[F.percentile(nan_to_null(F.col(f"`{c}`").cast("double")), probs).alias(c)
                        for c in small]).collect()[0]
         rows = [(c, p, (row[c] or [None] * len(probs))[i]) for c in small for i, p in enumerate(probs)]
         parts.append(spark.createDataFrame(rows, "column string, prob double, value double"))
@@ -146,7 +146,7 @@ def _refine(df: DataFrame, cols: list[str], probs: list[float], accuracy: int =
             max_collect: int = MAX_COLLECT, max_rounds: int = 12) -> DataFrame:
     # several passes read the same narrow projection: keep it (spillable) for
     # the rounds; lost blocks are recomputed from lineage
-    vals = (df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
+    vals = (df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
         return _refine_rounds(df, vals, cols, probs, accuracy, max_collect, max_rounds)

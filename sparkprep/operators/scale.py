@@ -25,10 +25,10 @@ class Scaler:
         out = []
         for c in df.columns:
             if c not in self.stats:
-                out.append(F.col(c))
+                out.append(F.col(f"`{c}`"))
                 continue
             a, b = self.stats[c]
-            v = nan_to_null(F.col(c).cast("double"))
+            v = nan_to_null(F.col(f"`{c}`").cast("double"))
             if a is None:
                 out.append(v.alias(c))
             elif self.kind == "minmax":
@@ -44,11 +44,11 @@ def fit_scaler(df: DataFrame, kind: str = "standard", cols=None) -> Scaler:
     if not cols:
         return Scaler(kind)
     if kind == "minmax":
-        aggs = [F.min(nan_to_null(F.col(c).cast("double"))) for c in cols] + \
-               [F.max(nan_to_null(F.col(c).cast("double"))) for c in cols]
+        aggs = [F.min(nan_to_null(F.col(f"`{c}`").cast("double"))) for c in cols] + \
+               [F.max(nan_to_null(F.col(f"`{c}`").cast("double"))) for c in cols]
     elif kind == "standard":
-        aggs = [F.avg(nan_to_null(F.col(c).cast("double"))) for c in cols] + \
-               [F.stddev_pop(nan_to_null(F.col(c).cast("double"))) for c in cols]
+        aggs = [F.avg(nan_to_null(F.col(f"`{c}`").cast("double"))) for c in cols] + \
+               [F.stddev_pop(nan_to_null(F.col(f"`{c}`").cast("double"))) for c in cols]
     else:
         raise ValueError(kind)
     row = df.agg(*[a.alias(f"s{i}") for i, a in enumerate(aggs)]).collect()[0]

@@ -91,3 +91,23 @@ def test_p_value_holds_for_any_number_of_rows():
         assert t_two_sided_p(1.959963984540054, df) == pytest.approx(0.05, abs=1e-6)
     assert t_two_sided_p(12.706204736, 1) == pytest.approx(0.05, abs=1e-9)
     assert t_two_sided_p(0.0, 5) == pytest.approx(1.0)
+
+
+def test_column_names_with_a_dot(spark):
+    from sparkprep.operators import clean, impute, outliers, profile
+    from sparkprep.operators.encode import fit_label_encoding, fit_onehot
+    from sparkprep.operators.scale import fit_scaler
+    rows = [(i, "u" if i % 3 else None, float(i) if i % 4 else -999.0, float(i * i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, `t.1` string, `a.1` double, `b.x` double")
+    assert profile.profile(df).count() == 4
+    masked = clean.mask_sentinels(df, ["a.1"], [-999])
+    assert masked.where("`a.1` IS NULL").count() == 8
+    assert impute.mode_fill(masked, ["t.1"])[0].where("`t.1` IS NULL").count() == 0
+    assert impute.median_fill(masked, ["a.1"])[0].where("`a.1` IS NULL").count() == 0
+    assert impute.ffill(masked, "id", cols=["a.1"]).where("`a.1` IS NULL").count() == 1
+    assert outliers.iqr_flags(df, "b.x").where("is_outlier").count() == 0
+    assert outliers.cap_all(df, ["b.x"])[0].columns == df.columns
+    assert fit_label_encoding(df, ["t.1"]).apply(df).columns == df.columns
+    assert "t.1_u" in fit_onehot(df, ["t.1"]).apply(df).columns
+    assert fit_scaler(df, "standard", ["a.1", "b.x"]).apply(df).columns == df.columns
+    assert impute.temporal_scores(df, ["t.1"]).count() == 1
