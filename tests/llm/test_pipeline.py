@@ -1,5 +1,7 @@
 import __spark_entry__
 import corpus_pipeline
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import words
@@ -46,3 +48,15 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert seen["vector_packing"] == seen["benchmark_decontamination"]
     whole = corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0]
     assert whole == frame.agg(F.sum("length")).first()[0]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql_twins(spark, name):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    found = queries.QUERIES[name](spark, folder)
+    want = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    assert sorted(map(tuple, found.select(*names).collect())) == sorted(want.fetchall())
