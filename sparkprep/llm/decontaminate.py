@@ -90,8 +90,9 @@ class Searcher:
         self.offset = match.segment + 2 * self.stride               # keeps band numbers positive
         self.near = int((self.size + self.budget).max())            # characters a match can span
 
-    def close(self, codes: np.ndarray) -> np.ndarray:
-        """Places of shared q-grams that have enough of their like within one match's span."""
+    def close(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of shared q-grams that have enough of their like within one match's span, and
+        which q-gram stands there."""
         grams = _grams(codes)
         hit = self.table[_slots(grams)]
         total = np.r_[0, np.cumsum(hit)]
@@ -99,7 +100,7 @@ class Searcher:
         starts = np.arange(len(hit))
         dense = total[np.minimum(starts + span, len(hit))] - total[starts] >= int(self.need.min())
         if not dense.any():
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         cover = np.zeros(len(hit) + 1, np.int64)
         at = np.flatnonzero(dense)
         np.add.at(cover, at, 1)
@@ -108,17 +109,16 @@ class Searcher:
         where = np.searchsorted(self.grams, grams[places])
         where[where == len(self.grams)] = 0
         real = self.grams[where] == grams[places]
-        self._where = where[real]
-        return places[real]
+        return places[real], where[real]
 
     def bands(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(segment, first diagonal) of the bands that meet the bound on shared q-grams."""
-        places = self.close(codes)
+        places, grams = self.close(codes)
         if not len(places):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         found = []
         for lo in range(0, len(places), 200_000):       # postings of some places at a time
-            where = self._where[lo:lo + 200_000]
+            where = grams[lo:lo + 200_000]
             n = self.counts[where]
             each = np.repeat(np.arange(len(where)), n)
             post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.first[where][each]
