@@ -23,7 +23,7 @@ from .common import connected_components, free_name, keyed, partitions, save, te
 SHINGLE = 8
 BANDS, ROWS = 12, 4
 SIMILARITY = 0.8
-GROUP = 128                # members of a cell that are compared with one another
+GROUP = 1024               # members of a cell that are compared with one another
 HOT = 64                   # lines of a band in one task from which the band is spread
 FLUSH = 1 << 22            # band entries a task holds before it sends them
 CHUNK = 1 << 16            # characters whose shingles are hashed at a time
@@ -44,6 +44,53 @@ def shingles(line: str) -> set[str]:
     return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
+def _sorted_shingles(line: str) -> np.ndarray | None:
+    """Distinct shingles as the numbers their eight bytes make, ascending; None if the line is
+    shorter than one or has characters that are no single byte in Latin-1."""
+    if len(line) < SHINGLE:
+        return None
+    try:
+        raw = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    found = np.concatenate([np.frombuffer(raw, "<u8", (len(raw) - first) // SHINGLE, first)
+                            for first in range(min(SHINGLE, len(raw) - SHINGLE + 1))])
+    found.sort()
+    new = np.empty(len(found), bool)
+    new[0] = True
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    return found[new]
+
+
+class _Compared:
+    """A line as ``similar`` wants it: sorted numbers where they are exact, a set otherwise."""
+
+    __slots__ = ("text", "numbers", "size", "_set")
+
+    def __init__(self, text: str):
+        self.text, self.numbers, self._set = text, _sorted_shingles(text), None
+        self.size = len(self.strings() if self.numbers is None else self.numbers)
+
+    def strings(self) -> set[str]:
+        if self._set is None:
+            self._set = shingles(self.text)
+        return self._set
+
+
+def similar(a: _Compared, b: _Compared) -> bool:
+    """Whether the exact Jaccard similarity of the shingle sets is SIMILARITY or more."""
+    small, large = sorted((a.size, b.size))
+    if small < SIMILARITY * large:
+        return False
+    if a.numbers is not None and b.numbers is not None:
+        both = np.concatenate((a.numbers, b.numbers))
+        both.sort()
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+    else:
+        common = len(a.strings() & b.strings())
+    return common >= SIMILARITY * (small + large - common)
+
+
 def signatures(lines: list[str]) -> np.ndarray:
     """(lines, 48) minima of the shingle hashes of non-empty normal lines."""
     out = np.empty((len(lines), BANDS * ROWS), np.uint32)
@@ -85,11 +132,6 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _line_key(line: bytes) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(line)
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-
 def occurrences(rows: DataFrame) -> DataFrame:
     """``(k1, k2, key, line)``: a 128-bit content key for each non-blank line of ``(key, text)``."""
     def run(batches):
@@ -224,7 +266,7 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def _verify(batches):
     """Links within each (band, cell): pairs of similarity SIMILARITY, enough to connect all such."""
     def solve(nodes, texts):
-        sets = [shingles(t) for t in texts]
+        lines = [_Compared(t) for t in texts] if len(texts) > 1 else []
         root = list(range(len(nodes)))
 
         def find(x):
@@ -238,11 +280,7 @@ def _verify(batches):
                 a, b = find(i), find(j)
                 if a == b:
                     continue
-                small, large = sorted((len(sets[i]), len(sets[j])))
-                if small < SIMILARITY * large:
-                    continue
-                both = len(sets[i] & sets[j])
-                if both >= SIMILARITY * (small + large - both):
+                if similar(lines[i], lines[j]):
                     root[a] = b
                     yield nodes[i], nodes[j]
 

@@ -81,3 +81,14 @@ def test_similar_lines_share_a_band():
         keys = lines.band_keys(lines.signatures([lines.normal(a), lines.normal(b)]))
         missed += not (keys[0] == keys[1]).any()
     assert missed <= 2
+
+
+@pytest.mark.parametrize("letters", ["abé", "ab漢é🙂"])
+def test_similarity_is_exact(letters):
+    rng = random.Random(9)
+    for n in (1, 7, 8, 9, 15, 16, 17, 60, 200):
+        for edits in (0, 1, 2, 5):
+            a = "".join(rng.choice(letters) for _ in range(n))
+            b = near(a, edits, n) if edits else a
+            one, two = lines.shingles(a), lines.shingles(b)
+            assert lines.similar(lines._Compared(a), lines._Compared(b)) == (len(one & two) >= 0.8 * len(one | two))

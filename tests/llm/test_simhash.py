@@ -58,10 +58,10 @@ def test_links_connect_every_pair_within_two_bits(spark):
 
 
 def test_components_of_path_star_and_loop(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(60)] + [(300, 300), (501, 500), (500, 501)]
+    edges = [(i, i + 1) for i in range(9)] + [(100, 100 + i) for i in range(30)] + [(300, 300), (501, 500), (500, 501)]
     df = spark.createDataFrame(edges, "a long, b long")
     got = dict(map(tuple, connected_components(df).collect()))
-    assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}, 500: 500, 501: 500}
+    assert got == {**{i: 0 for i in range(10)}, **{100 + i: 100 for i in range(30)}, 500: 500, 501: 500, 300: 300}
     assert connected_components(df.limit(0)).collect() == []
 
 
