@@ -30,9 +30,9 @@ LENGTH = 100               # bytes of a string that counts as repeated
 GRAM = 32                  # leading bytes by which suffixes first meet
 REACH = LENGTH - GRAM      # bytes before an anchor that a string around it can cover
 SPAN = REACH + LENGTH      # bytes of the surroundings
-CELL = 512                 # different surroundings compared in one cell
+CELL = 4096                # different surroundings compared in one cell
 SAMPLE = 200_000           # suffixes that the splitters are taken from, at most
-FLUSH = 1 << 20            # suffixes a task holds before it sends them
+FLUSH = 1 << 18            # suffixes a task holds before it sends them
 PIECE = 1 << 20            # bytes of text hashed at a time
 
 _ODD = 0x9E3779B97F4A7C15
@@ -80,39 +80,33 @@ def anchors(raw: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(key: int, raw: bytes):
-    """(lead, around, key, at, before, after) arrays of one document's anchors."""
+    """(lead, around, key, at, after) arrays of one document's anchors."""
     at = anchors(np.frombuffer(raw, np.uint8))
     n = len(raw)
     before = np.minimum(at, REACH)
     after = np.minimum(n - at, LENGTH)
-    digest = xxhash.xxh3_64_intdigest
-    lead = [digest(raw[a:a + GRAM]) for a in at.tolist()]
-    around = [digest(raw[a - b:a + c], b) for a, b, c in zip(at.tolist(), before.tolist(), after.tolist())]
-    return lead, around, key, at, before, after
+    digest = xxhash.xxh3_64_digest
+    lead = b"".join([digest(raw[a:a + GRAM]) for a in at.tolist()])
+    around = b"".join([digest(raw[a - b:a + c], b) for a, b, c in zip(at.tolist(), before.tolist(), after.tolist())])
+    return (np.frombuffer(lead, ">u8").astype(np.uint64), np.frombuffer(around, ">u8").astype(np.uint64),
+            np.full(len(at), key, np.int64), at, after.astype(np.uint8))
 
 
 def _collect(batches):
     """Chunks of concatenated arrays (lead, around, key, at, after) of at least FLUSH suffixes."""
-    lead, around, keys, ats, afters, held = [], [], [], [], [], 0
+    held, size = [], 0
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             buffer = text.as_buffer()
             if buffer is None or buffer.size < LENGTH:
                 continue
-            ld, ar, k, at, _, after = _suffixes(key, buffer.to_pybytes())
-            lead += ld
-            around += ar
-            keys.append(np.full(len(at), k, np.int64))
-            ats.append(at)
-            afters.append(after)
-            held += len(at)
-            if held >= FLUSH:
-                yield (np.array(lead, np.uint64), np.array(around, np.uint64), np.concatenate(keys),
-                       np.concatenate(ats), np.concatenate(afters).astype(np.uint8))
-                lead, around, keys, ats, afters, held = [], [], [], [], [], 0
-    if held:
-        yield (np.array(lead, np.uint64), np.array(around, np.uint64), np.concatenate(keys),
-               np.concatenate(ats), np.concatenate(afters).astype(np.uint8))
+            held.append(_suffixes(key, buffer.to_pybytes()))
+            size += len(held[-1][3])
+            if size >= FLUSH:
+                yield tuple(np.concatenate(c) for c in zip(*held))
+                held, size = [], 0
+    if size:
+        yield tuple(np.concatenate(c) for c in zip(*held))
 
 
 def splitters(rows: DataFrame, n: int) -> list[tuple[int, int, int, int]]:
