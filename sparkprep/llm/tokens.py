@@ -63,7 +63,7 @@ class TextEncoder:
         chars |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in chars)}
         self.chars = [chars[b] for b in range(256)]
         self.model = self.tokenizer.model.tokenize
-        self.words, self.letters = _Cache(self._word), _Cache(self._plain)
+        self.words = _Cache(self._word)
 
     @staticmethod
     def _independent_words(spec: dict) -> bool:
@@ -89,7 +89,9 @@ class TextEncoder:
         parts = SIMPLE.fullmatch(text)
         if not parts:
             return self.whole(text)
-        return self.letters[parts[1]] + (self.words[parts[2].encode()] if parts[2] else b"")
+        if parts[2]:
+            return self.words[parts[1].encode()] + self.words[parts[2].encode()]
+        return self._plain(text)
 
     def encode(self, text: bytes) -> bytes:
         if not self.by_word:
@@ -98,7 +100,6 @@ class TextEncoder:
 
     def trim(self) -> None:
         self.words.trim()
-        self.letters.trim()
 
 
 def encoder(content: str) -> TextEncoder:
