@@ -184,12 +184,12 @@ def fit_scorer(rows: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         return np.zeros(DIMENSIONS), 0.0
     share = min(1.0, TRAINING_ROWS / total)
     picked = rows.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1_000_000)) < F.lit(max(1, int(share * 1_000_000))))
-    sample = save(_features(picked).join(labels, "key").limit(2 * TRAINING_ROWS), "quality_sample")
+    sample = _features(picked).join(labels, "key").limit(2 * TRAINING_ROWS)
+    sample = save(sample.select("p_good", _vector("slots", "shares").alias("x")), "quality_sample")
     if sample.isEmpty():
         return np.zeros(DIMENSIONS), 0.0
-    both = sample.withColumn("x", _vector("slots", "shares"))
-    both = both.select("x", F.lit(1.0).alias("y"), F.col("p_good").alias("w")).union(
-        both.select("x", F.lit(0.0).alias("y"), (1 - F.col("p_good")).alias("w"))).where("w > 0.0001")
+    both = sample.select("x", F.lit(1.0).alias("y"), F.col("p_good").alias("w")).union(
+        sample.select("x", F.lit(0.0).alias("y"), (1 - F.col("p_good")).alias("w"))).where("w > 0.0001")
     if both.select("y").distinct().count() < 2:
         return np.zeros(DIMENSIONS), 1.0 if both.first()["y"] else -1.0
     model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=REGULARISATION, maxIter=60).fit(both)
