@@ -1,10 +1,11 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Benchmark items are cut into overlapping segments.  A document holds a segment of m characters
-with at most e edits only if the two share at least m + 1 - q (e + 1) character q-grams, all on
-e + 1 neighbouring diagonals.  So shared q-grams are found by table lookup, places where too few
-of them are close together are passed over, the rest are counted in overlapping bands of
-2 (e + 1) diagonals, and bands that meet the bound are verified by an alignment within the band.
+Every run of m characters of a benchmark item is a segment.  A document holds a segment with at
+most e edits only if the two share at least m + 1 - q (e + 1) character q-grams, all on e + 1
+neighbouring diagonals.  So shared q-grams are found by table lookup, places where too few of
+them are close together are passed over, the rest are counted in overlapping bands of 2 (e + 1)
+diagonals, by whole items and then by segments, and segments that meet the bound are verified by
+an alignment within the band.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ TABLE_BITS = 22
 BLOCK_CHARS = 2_000_000     # benchmark characters searched for at a time
 TEXT_CHARS = 1_500_000      # document characters looked at together, a document at least
 GAP = 64                    # characters that stand for nothing between documents
+POSTINGS = 4_000_000        # places of q-grams in items looked at together
+ROWS = 4096                 # segments aligned together
 
 
 @dataclass(frozen=True)
@@ -31,7 +34,7 @@ class Match:
     below ``least`` normal characters are not searched."""
 
     segment: int = 80
-    stride: int = 40
+    stride: int = 1
     edits: float = 0.1
     least: int = 24
 
@@ -65,29 +68,24 @@ class Searcher:
 
     def __init__(self, items: list[tuple[object, str]], match: Match):
         self.match = match
-        self.segments: list[tuple[int, int, np.ndarray]] = []      # item, start in it, characters
-        for i, (_, text) in enumerate(items):
-            n = len(text)
-            starts = range(0, max(1, n - match.segment + 1), match.stride)
-            for s in sorted({*starts, max(0, n - match.segment)}):
-                self.segments.append((i, s, _codes(text[s:s + match.segment])))
-        grams, seg, pos = [], [], []
-        for j, (_, _, codes) in enumerate(self.segments):
-            g = _grams(codes)
-            grams.append(g)
-            seg.append(np.full(len(g), j))
-            pos.append(np.arange(len(g)))
-        grams, seg, pos = np.concatenate(grams), np.concatenate(seg), np.concatenate(pos)
+        codes = [_codes(text) for _, text in items]
+        self.length = np.array([len(c) for c in codes])
+        self.start = np.cumsum(self.length) - self.length
+        self.codes = np.concatenate([*codes, np.zeros(match.segment, "<u4")])
+        grams = [_grams(c) for c in codes]
+        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        pos = np.concatenate([np.arange(len(g)) for g in grams])
+        grams = np.concatenate(grams)
         order = np.argsort(grams, kind="stable")
-        self.grams, self.first, counts = np.unique(grams[order], return_index=True, return_counts=True)
-        self.counts, self.seg, self.pos = counts, seg[order], pos[order]
+        self.grams, self.first, self.counts = np.unique(grams[order], return_index=True, return_counts=True)
+        self.item, self.pos = item[order], pos[order]
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[_slots(self.grams)] = True
-        self.size = np.array([len(c) for _, _, c in self.segments])
+        self.size = np.minimum(self.length, match.segment)          # of each segment of an item
         self.budget = np.array([match.budget(m) for m in self.size])
         self.need = self.size + 1 - Q * (self.budget + 1)
-        self.stride = int(self.budget.max()) + 1                    # diagonals of half a band
-        self.offset = match.segment + 2 * self.stride               # keeps band numbers positive
+        self.half = int(self.budget.max()) + 1                      # diagonals of half a band
+        self.offset = int(self.length.max()) + 2 * self.half        # keeps band numbers positive
         self.near = int((self.size + self.budget).max())            # characters a match can span
 
     def close(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,52 +109,104 @@ class Searcher:
         real = self.grams[where] == grams[places]
         return places[real], where[real]
 
-    def bands(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(segment, first diagonal) of the bands that meet the bound on shared q-grams."""
-        places, grams = self.close(codes)
-        if not len(places):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found = []
-        for lo in range(0, len(places), 200_000):       # postings of some places at a time
-            where = grams[lo:lo + 200_000]
+    def postings(self, places: np.ndarray, grams: np.ndarray):
+        """(item and half band as one number, place in the item) of shared q-grams, some at a time."""
+        upto = np.cumsum(self.counts[grams])
+        lo = 0
+        while lo < len(places):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + POSTINGS)))
+            where = grams[lo:hi]
             n = self.counts[where]
             each = np.repeat(np.arange(len(where)), n)
             post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.first[where][each]
-            diagonal = places[lo:lo + 200_000][each] - self.pos[post]
-            band = (diagonal + self.offset) // self.stride
-            key = self.seg[post].astype(np.int64) << 40 | band
-            found.append(np.unique(np.r_[key, key - 1], return_counts=True))
-        keys, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-        count = np.bincount(back, weights=np.concatenate([f[1] for f in found]))
-        seg = keys >> 40
-        ok = count >= self.need[seg]
-        return seg[ok], (keys[ok] & (1 << 40) - 1) * self.stride - self.offset
-
-    def align(self, codes: np.ndarray, seg: np.ndarray, diagonal: np.ndarray):
-        """Fewest edits of the segment within its band, and the end of that match in ``codes``."""
-        width = 2 * self.stride
-        edge = np.zeros(self.offset + self.match.segment + 2 * width, codes.dtype)
-        padded = np.r_[edge, codes, edge]
-        rows = np.zeros((len(seg), self.match.segment), codes.dtype)
-        for i, s in enumerate(seg):
-            rows[i, :self.size[s]] = self.segments[s][2]
-        offsets = np.arange(width)
-        base = diagonal + len(edge)
-        cost = np.zeros((len(seg), width), np.int64)
-        far = np.full((len(seg), 1), 1 << 20)
-        best, end = np.full(len(seg), 1 << 20), np.zeros(len(seg), np.int64)
-        for i in range(self.match.segment + 1):
-            done = self.size[seg] == i
-            if done.any():
-                k = cost[done].argmin(axis=1)
-                best[done], end[done] = cost[done][np.arange(len(k)), k], diagonal[done] + k + i
-            if i == self.match.segment:
+            pos = self.pos[post]
+            yield self.item[post] << 40 | (places[lo:hi][each] - pos + self.offset) // self.half, pos
+            lo = hi
+
+    def bands(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, start of the segment in it, first diagonal) of the bands that meet the bound on
+        shared q-grams: first by whole items, then by the segments of those that are left."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        places, grams = self.close(codes)
+        if not len(places):
+            return none
+        found = [np.unique(key, return_counts=True) for key, _ in self.postings(places, grams)]
+        halves, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+        count = np.r_[np.bincount(back, weights=np.concatenate([f[1] for f in found])), 0]
+
+        def held(keys):
+            at = np.searchsorted(halves, keys)
+            return np.where(halves[np.minimum(at, len(halves) - 1)] == keys, count[at], 0)
+
+        keys = np.sort(np.r_[halves, halves - 1])
+        keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
+        keys = keys[held(keys) + held(keys + 1) >= self.need[keys >> 40]]
+        if not len(keys):
+            return none
+        hits = []
+        for half, pos in self.postings(places, grams):
+            for key in (half, half - 1):
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                real = keys[at] == key
+                hits.append(at[real] * self.offset + pos[real])
+        hits = np.sort(np.concatenate(hits))
+        hits = hits[np.r_[True, hits[1:] != hits[:-1]]]
+        at, pos = hits // self.offset, hits % self.offset
+        # the q-grams from one to the need-th after it are within the segments that start in [lo, hi]
+        item = keys[at] >> 40
+        last = np.arange(len(hits)) + self.need[item] - 1
+        full = last < len(hits)
+        last = np.minimum(last, len(hits) - 1)
+        lo = np.maximum(pos[last] - (self.size[item] - Q), 0)
+        hi = np.minimum(pos, self.length[item] - self.size[item])
+        ok = full & (at[last] == at) & (lo <= hi)
+        at, item, lo, hi = at[ok], item[ok], lo[ok], hi[ok]
+        if not len(at):
+            return none
+        same = np.r_[False, at[1:] == at[:-1]]
+        lo = np.where(same, np.maximum(lo, np.r_[0, hi[:-1]] + 1), lo)
+        n = np.maximum(hi - lo + 1, 0)
+        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        at, item = np.repeat(at, n), np.repeat(item, n)
+        ok = (start % self.match.stride == 0) | (start == self.length[item] - self.size[item])
+        at, item, start = at[ok], item[ok], start[ok]
+        return item, start, (keys[at] & (1 << 40) - 1) * self.half - self.offset + start
+
+    def align(self, codes: np.ndarray, item: np.ndarray, start: np.ndarray, diagonal: np.ndarray):
+        """Fewest edits of each segment within its band, and the end of that match in ``codes``;
+        segments that pass their budget on the way are given up.  ``codes`` has an edge of
+        ``self.edge()`` characters at both ends, which diagonals do not count."""
+        width, size, budget = 2 * self.half, self.size[item], self.budget[item]
+        most = int(size.max())
+        text = codes[diagonal + self.edge() + np.arange(most + width)[:, None]]
+        rows = self.codes[self.start[item] + start + np.arange(most)[:, None]]
+        best, end = np.full(len(item), 1 << 14), np.zeros(len(item), np.int64)
+        kind = np.int8 if most + width < 127 else np.int32          # no cost is higher than that
+        live, cost = np.arange(len(item)), np.zeros((width, len(item)), kind)
+        ends = set(size.tolist())
+        for i in range(most + 1):
+            if i in ends:
+                done = np.flatnonzero(size[live] == i)
+                k = cost[:, done].argmin(axis=0)
+                best[live[done]], end[live[done]] = cost[k, done], diagonal[live[done]] + k + i
+            if i == most:
                 break
-            text = padded[(base + i)[:, None] + offsets]
-            step = np.minimum(cost + (text != rows[:, i:i + 1]), np.concatenate([cost[:, 1:], far], axis=1) + 1)
-            cost = np.minimum.accumulate(step - offsets, axis=1) + offsets
+            if i % 4 == 0 and i > self.half:
+                left = (cost.min(axis=0) <= budget[live]) & (size[live] > i)
+                if left.mean() < 0.8:
+                    live, cost, text, rows = live[left], cost[:, left], text[:, left], rows[:, left]
+                    if not len(live):
+                        break
+            step = cost + (text[i:i + width] != rows[i]).view(np.int8)
+            np.minimum(step[:-1], cost[1:] + 1, out=step[:-1])
+            for k in range(1, width):
+                np.minimum(step[k], step[k - 1] + 1, out=step[k])
+            cost = step
         return best, end
 
+    def edge(self) -> int:
+        return 2 * self.match.segment + 8 * self.half
+
     def search(self, texts: list[str]):
         """(text number, item, edits, start of the segment in the item) of every segment found."""
         gap = "\0" * GAP
@@ -164,13 +214,15 @@ class Searcher:
         starts = np.cumsum([0, *(len(t) + GAP for t in texts)])
         if len(codes) < Q:
             return
-        seg, diagonal = self.bands(codes)
-        for lo in range(0, len(seg), 20_000):
-            s, d = seg[lo:lo + 20_000], diagonal[lo:lo + 20_000]
-            best, end = self.align(codes, s, d)
-            for i in np.flatnonzero(best <= self.budget[s]):
-                text = int(np.searchsorted(starts, end[i] - 1, "right")) - 1
-                yield text, self.segments[s[i]][0], int(best[i]), self.segments[s[i]][1]
+        item, start, diagonal = self.bands(codes)
+        edge = np.zeros(self.edge(), codes.dtype)
+        padded = np.r_[edge, codes, edge]
+        for lo in range(0, len(item), ROWS):
+            i, s = item[lo:lo + ROWS], start[lo:lo + ROWS]
+            best, end = self.align(padded, i, s, diagonal[lo:lo + ROWS])
+            ok = best <= self.budget[i]
+            text = np.searchsorted(starts, end[ok] - 1, "right") - 1
+            yield from zip(text.tolist(), i[ok].tolist(), best[ok].tolist(), s[ok].tolist())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, match: Match = Match(), id_col: str = "doc_id",

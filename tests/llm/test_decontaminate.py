@@ -87,3 +87,17 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == [(False, 1), (False, 1), (True, 0)]
     assert sorted((r.doc_id or 0, r.text) for r in dec.drop_contaminated(frame(spark, docs), bench).collect()) == sorted(
         [(0, docs[1][1]), (1, docs[3][1])])
+
+
+def test_a_passage_is_found_wherever_it_starts(spark):
+    item = dec.normal(words(70, 31))[:300]
+    docs = [(a, words(6, 900 + a) + " " + item[a:a + 80] + " " + words(6, 1300 + a)) for a in range(len(item) - 79)]
+    docs.append((1000, words(6, 5) + " " + item[50:140] + " " + words(6, 6)))
+    got = result(spark, docs, [(1, item)])
+    assert {d for d, _ in got} == {d for d, _ in docs} and {e for _, e in got.values()} == {0}
+
+
+def test_edited_passages_equal_brute_force_at_every_start(spark):
+    item = dec.normal(words(50, 32))[:200]
+    docs = [(a, words(6, a) + " " + edit(item[a:a + 82], e, a) + " " + words(6, 50 + a)) for a, e in ((7, 4), (25, 6), (58, 8), (99, 9))]
+    assert result(spark, docs, [(1, item)]) == expected(docs, [(1, item)], dec.Match(stride=1))
