@@ -10,9 +10,11 @@ from .tables import safe_name
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Headed UTF-8 CSV, one part file per task; no index column; quotes in a cell are doubled."""
+    """Headed UTF-8 CSV, one part file per task; no index column; quotes in a cell are doubled, spaces and
+    line breaks at its ends stay."""
     (df.write.mode(mode).option("header", True).option("encoding", "UTF-8")
-       .option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", "\"\"").csv(path))
+       .option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", "\"\"")
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 

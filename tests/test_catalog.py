@@ -44,3 +44,13 @@ def test_oracle(spark, name):
     idx = [dcols.index(c) for c in cols]
     drows = [tuple(r[i] for i in idx) for r in res.fetchall()]
     assert _norm(srows) == _norm(drows)
+
+
+def test_csv_documents_keep_every_row_and_character(spark, tmp_path):
+    from sparkprep.catalog import q_csv_documents
+
+    texts = ["  indented\n    code", "ends in a line break\n", "\n", " ", "", None, "a\rb", "a\r\n", 'q"', '"', "\\", "a,b", "NA", "\ttab\t"]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    back = q_csv_documents(spark, str(tmp_path))
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
