@@ -37,13 +37,16 @@ def stratified_split(df: DataFrame, key: str, label: str, test_ratio: float = 0.
     split falls back to the plain one.  No class is gathered: rows are
     counted per class and the upper, then the lower twelve bits of the hash
     (4,096 rows a class at most), which gives the hash at which each class
-    is cut; only rows with exactly that hash are ranked by key.
+    is cut; only rows with exactly that hash are ranked by key.  A null key counts as
+    the empty text, rows of equal keys are ranked by all they hold, so that both parts agree on
+    them, and a class of which no row is wanted is all train.
     """
-    h = hash_unit(key, seed)
+    h = F.coalesce(hash_unit(F.col(f"`{key}`"), seed), hash_unit(F.lit(""), seed))
     cls = F.col(f"`{label}`")
     sizes = df.groupBy(cls.alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
     if (sizes.agg(F.min("__n")).first()[0] or 0) == 1:
-        return hash_split(df, key, test_ratio, seed)
+        is_test = h < F.lit(int(_SCALE * test_ratio))
+        return df.where(~is_test), df.where(is_test)
     hashed = df.select(cls.alias("__c"), F.floor(h / 4096).alias("__hi"), (h % 4096).alias("__lo"))
     wanted = sizes.withColumn("__left", F.ceil(F.col("__n") * F.lit(test_ratio))).select("__c", "__left")
 
@@ -63,9 +66,11 @@ def stratified_split(df: DataFrame, key: str, label: str, test_ratio: float = 0.
     cuts = materialize(top.select(F.col("__c").alias("__w"), "__hi").join(low, F.col("__c").eqNullSafe(F.col("__w")))
                        .select(F.col("__c").alias("__of"), (F.col("__hi") * 4096 + F.col("__lo")).alias("__cut"), "__left"))
     placed = df.join(cuts, cls.eqNullSafe(F.col("__of")), "left").withColumn("__h", h)
-    rank = F.row_number().over(Window.partitionBy("__of", "__h").orderBy(F.col(f"`{key}`")))
+    rank = F.row_number().over(Window.partitionBy("__of", "__h").orderBy(
+        F.col(f"`{key}`"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
     edge = placed.where("__h = __cut").withColumn("__test", rank <= F.col("__left"))
-    rest = placed.where("__h <> __cut").withColumn("__test", F.col("__h") < F.col("__cut"))
+    rest = (placed.where("__cut IS NULL OR __h <> __cut")
+            .withColumn("__test", F.coalesce(F.col("__h") < F.col("__cut"), F.lit(False))))
     done = rest.unionByName(edge)
     cols = [F.col(f"`{c}`") for c in df.columns]
     return done.where("NOT __test").select(*cols), done.where("__test").select(*cols)

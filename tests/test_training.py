@@ -111,3 +111,12 @@ def test_column_names_with_a_dot(spark):
     assert "t.1_u" in fit_onehot(df, ["t.1"]).apply(df).columns
     assert fit_scaler(df, "standard", ["a.1", "b.x"]).apply(df).columns == df.columns
     assert impute.temporal_scores(df, ["t.1"]).count() == 1
+
+
+def test_stratified_split_keeps_rows_with_a_null_key(spark):
+    rows = [(None if i % 3 else i, "ab"[i % 2], i) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, cls string, n long").repartition(5)
+    for ratio, wanted in ((0.25, 30), (0.9, 108), (0.0, 0)):
+        train, test = split.stratified_split(df, "id", "cls", ratio, 7)
+        tr, te = [r.n for r in train.collect()], [r.n for r in test.collect()]
+        assert sorted(tr + te) == list(range(120)) and len(te) == wanted
