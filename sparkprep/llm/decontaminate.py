@@ -10,6 +10,7 @@ an alignment within the band.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,8 @@ ROWS = 4096                 # segments aligned together
 @dataclass(frozen=True)
 class Match:
     """A segment counts as found with at most ``edits`` edits for each character of it; items
-    below ``least`` normal characters are not searched."""
+    below ``least`` normal characters count only verbatim and between word borders, and those
+    below Q are not searched."""
 
     segment: int = 80
     stride: int = 1
@@ -40,7 +42,7 @@ class Match:
 
     def budget(self, m: int) -> int:
         """Edits allowed in m characters; never so many that the bound on q-grams would vanish."""
-        return max(0, min(int(self.edits * m), (m - Q) // Q))
+        return 0 if m < self.least else max(0, min(int(self.edits * m), (m - Q) // Q))
 
 
 def normal(text: str) -> str:
@@ -68,6 +70,7 @@ class Searcher:
 
     def __init__(self, items: list[tuple[object, str]], match: Match):
         self.match = match
+        self.texts = [text for _, text in items]
         codes = [_codes(text) for _, text in items]
         self.length = np.array([len(c) for c in codes])
         self.start = np.cumsum(self.length) - self.length
@@ -204,6 +207,18 @@ class Searcher:
             cost = step
         return best, end
 
+    def whole(self, texts: list[str], starts: np.ndarray, item: np.ndarray, diagonal: np.ndarray):
+        """Short items that stand verbatim, between word borders, in a text near these diagonals."""
+        pairs = set()
+        for place in (diagonal, diagonal + 2 * self.half + self.size[item]):
+            text = np.searchsorted(starts, place, "right") - 1
+            pairs.update(zip(text.clip(0, len(texts) - 1).tolist(), item.tolist()))
+        for text, i in sorted(pairs):
+            x = self.texts[i]
+            before, after = r"(?<!\w)" if re.match(r"\w", x) else "", r"(?!\w)" if re.search(r"\w\Z", x) else ""
+            if re.search(before + re.escape(x) + after, texts[text]):
+                yield text, i, 0, 0
+
     def edge(self) -> int:
         return 2 * self.match.segment + 8 * self.half
 
@@ -215,6 +230,9 @@ class Searcher:
         if len(codes) < Q:
             return
         item, start, diagonal = self.bands(codes)
+        short = self.length[item] < self.match.least
+        yield from self.whole(texts, starts, item[short], diagonal[short])
+        item, start, diagonal = item[~short], start[~short], diagonal[~short]
         edge = np.zeros(self.edge(), codes.dtype)
         padded = np.r_[edge, codes, edge]
         for lo in range(0, len(item), ROWS):
@@ -248,7 +266,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, match: Match = Match(),
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
         held = [(r["item"], normal(r["text"])) for r in block]
-        held = [h for h in held if len(h[1]) >= max(match.least, Q)]
+        held = [h for h in held if len(h[1]) >= Q]
         if held:
             parts.append(named.mapInArrow(_search(spark.sparkContext.broadcast(held), match), schema))
     if not parts:

@@ -101,3 +101,12 @@ def test_edited_passages_equal_brute_force_at_every_start(spark):
     item = dec.normal(words(50, 32))[:200]
     docs = [(a, words(6, a) + " " + edit(item[a:a + 82], e, a) + " " + words(6, 50 + a)) for a, e in ((7, 4), (25, 6), (58, 8), (99, 9))]
     assert result(spark, docs, [(1, item)]) == expected(docs, [(1, item)], dec.Match(stride=1))
+
+
+def test_short_items_are_found_whole_between_word_borders(spark):
+    items = [(1, "What is 6 x 7?"), (2, "abcdefgh"), (3, "tiny"), (4, "(parens) here")]
+    docs = [(1, "Q: WHAT is\n6 x 7? 42"), (2, "what is 6 x 8?"), (3, "xabcdefgh abcdefghx"), (4, "an abcdefgh, abcdefghx"), (5, "tiny"),
+            (6, "see(parens) here."), (7, "abcdefgh"), (8, "no abcdefg")]
+    assert result(spark, docs, items) == {(1, 1): (1, 0), (4, 2): (1, 0), (6, 4): (1, 0), (7, 2): (1, 0)}
+    long = dec.normal(words(50, 32))[:200]
+    assert result(spark, [*docs, (9, "x " + long[33:120])], [*items, (5, long)])[9, 5][1] == 0
