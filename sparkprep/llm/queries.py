@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crossentropy, decontaminate, lines, packing, quality, secrets, simhash, substrings, token_files, topk
+from . import (
+    centroids, crossentropy, decontaminate, language, lines, packing, prefix_trie, quality, secrets, simhash, substrings,
+    token_files, topk,
+)
 from .common import text_rows
 from .tokens import id_type, tokenizer_file
 
@@ -129,3 +132,105 @@ def op9(spark, sf_dir):
 @register("op10_suffix_dedup")
 def op10(spark, sf_dir):
     return substrings.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
+def _sql_crc(text: str) -> str:
+    """crc32 of the digits of a number, bit by bit."""
+    step = ("list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], "
+            "lambda x, z: xor(x >> 1, (x & 1) * CAST(3988292384 AS BIGINT)))")
+    codes = f"list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+    return (f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {codes}), lambda c, b: {step}), "
+            "CAST(4294967295 AS BIGINT))")
+
+
+_TRIE_SQL = f"""
+WITH t AS (
+  SELECT conv_id AS c, turn, substr(sha256(length(r) || ':' || r || x), 1, 32) AS t,
+         len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS w
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+l AS (SELECT c, {_sql_crc('CAST(c AS VARCHAR)')} % 4 AS h, list({{'t': t, 'w': w}} ORDER BY turn NULLS FIRST, t) AS s FROM t GROUP BY c),
+b AS (SELECT l.c, list_concat(CASE WHEN o.c IS NULL THEN l.s[1:0] ELSE o.s[1:l.h] END, l.s[l.h + 1:]) AS s
+      FROM l LEFT JOIN l AS o ON o.c = l.c - l.c % 20),
+p AS (SELECT c, len(s) AS size, d, array_to_string(list_transform(s[1:d], lambda x: x['t']), ',') AS k,
+             array_to_string(list_transform(s[1:d - 1], lambda x: x['t']), ',') AS up, CASE WHEN d > 0 THEN s[d]['w'] ELSE 0 END AS w
+      FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM b)),
+n AS (SELECT d, k, min(CASE WHEN d > 0 THEN up END) AS up, min(c) AS c, min(w) AS w, count(*) AS n,
+             sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (size = d), '')) AS e FROM p GROUP BY d, k),
+k AS (SELECT d - 1 AS d, up AS k, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k USING (d, k)),
+s AS (SELECT p.d, p.k, count(*) FILTER (m.kids = 0) AS leaves, sum((m.n - 1) * m.w) AS saved
+      FROM m JOIN p ON p.c = m.c AND p.d <= m.d GROUP BY p.d, p.k)
+SELECT m.c AS conv_id, m.d AS depth, u.c AS parent_conv_id, m.n AS n_convs, m.kids AS n_children,
+       CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, m.e AS ends_sha256
+FROM m JOIN s USING (d, k) LEFT JOIN n AS u ON u.d = m.d - 1 AND u.k = m.up"""
+
+
+@register("op11_prefix_trie", _TRIE_SQL)
+def op11(spark, sf_dir):
+    return prefix_trie.digest(read(spark, sf_dir, "conversations"))
+
+
+_LANGUAGE_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, coalesce({_sql_crc('CAST(doc_id AS VARCHAR)')} % 5 = 0, false) AS held_out,
+         regexp_extract_all(lower(text), '[\\p{{L}}]+') AS words FROM documents),
+w AS (SELECT row, ' ' || word || ' ' AS p, count(*) AS n FROM (SELECT row, unnest(words) AS word FROM d) GROUP BY ALL),
+g AS (
+  SELECT row, gram, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT row, n, unnest(list_concat(
+      list_transform(range(2, length(p)), lambda i: substr(p, i, 1)),
+      list_transform(range(1, length(p)), lambda i: substr(p, i, 2)),
+      list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)))) AS gram FROM w)
+  GROUP BY row, gram),
+a AS (
+  SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) - 1 AS rank
+  FROM g JOIN d USING (row) WHERE lang IS NOT NULL AND doc_id IS NOT NULL AND NOT held_out GROUP BY lang, gram),
+l AS (SELECT lang, gram, rank FROM a WHERE rank < {language.PROFILE}),
+r AS (SELECT * FROM (SELECT row, gram, row_number() OVER (PARTITION BY row ORDER BY n DESC, gram) - 1 AS rank FROM g)
+      WHERE rank < {language.PROFILE}),
+m AS (SELECT row, count(*) AS grams FROM r GROUP BY row),
+x AS (
+  SELECT m.row, names.lang, m.grams, {language.PROFILE} * m.grams + coalesce(near, 0) AS distance
+  FROM m CROSS JOIN (SELECT DISTINCT lang FROM l) AS names
+  LEFT JOIN (SELECT r.row, l.lang, sum(abs(r.rank - l.rank) - {language.PROFILE}) AS near
+             FROM r JOIN l USING (gram) GROUP BY r.row, l.lang) AS c ON c.row = m.row AND c.lang = names.lang),
+best AS (SELECT row, min(struct_pack(distance, lang)) AS b, min(grams) AS grams FROM x GROUP BY row)
+SELECT doc_id, held_out, coalesce(b.lang, 'und') AS lang_pred,
+       coalesce(1 - CAST(b.distance AS DOUBLE) / CAST({language.PROFILE} * grams AS DOUBLE), 0) AS score
+FROM d LEFT JOIN best USING (row)"""
+
+
+@register("op12_language_id", _LANGUAGE_SQL)
+def op12(spark, sf_dir):
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
+def _sql_clusters(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """Every round in full: distances to all centroids, then floors of the means."""
+    parts = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, e) - 1 AS INTEGER) AS cluster, e AS c
+  FROM v ORDER BY cluster LIMIT {k})"""]
+    nearest = ("SELECT row, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(e, c), "
+               "lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), cluster := cluster)) AS b FROM v CROSS JOIN c{r} GROUP BY row")
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED ({nearest.format(r=r)})")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(m, c) AS c FROM c{r} LEFT JOIN (
+    SELECT cluster, list(m ORDER BY i) AS m FROM (
+      SELECT cluster, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+      FROM (SELECT b.cluster AS cluster, unnest(e) AS x, unnest(range(1, {size} + 1)) AS i FROM v JOIN a{r} USING (row))
+      GROUP BY cluster, i) GROUP BY cluster) USING (cluster))""")
+    return ",\n".join(parts) + f"""
+SELECT vec_id, b.cluster AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (row) JOIN c{rounds} AS f ON f.cluster = b.cluster"""
+
+
+@register("op13_centroid_clustering", _sql_clusters())
+def op13(spark, sf_dir):
+    return centroids.digest(read(spark, sf_dir, "embeddings"))
