@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import struct
+import zlib
 from collections import Counter
 
 import xxhash
@@ -154,3 +155,96 @@ def top_k(vectors, k=10):
             scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors if i != q)
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
     return out
+
+
+def rebuilt(rows):
+    """conv -> [(role, text)] of op11's rebuilt conversations, from (conv, turn, role, text) rows."""
+    own = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.sha256(f"{len(role)}:{role}{text}".encode()).digest()[:16]
+            own.setdefault(conv, []).append((turn is not None, turn or 0, digest, role, text))
+    turns = {c: [r[3:] for r in sorted(t)] for c, t in own.items()}
+    out = {}
+    for c, t in turns.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        out[c] = turns.get(c - c % 20, [])[:h] + t[h:]
+    return out
+
+
+def prefix_trie(convs):
+    """Contract rows of the trie of conv -> turns."""
+    members, children = {}, {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        below = children.get(node, [])
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", node[-1][1])) if node else 0
+        leaves[node] = sum(leaves[k] for k in below) or 1
+        saved[node] = sum(saved[k] for k in below) + (len(members[node]) - 1) * words
+    out = []
+    for node, of in members.items():
+        ends = ",".join(str(c) for c in sorted(of) if len(convs[c]) == len(node))
+        out.append((min(of), len(node), min(members[node[:-1]]) if node else None, len(of), len(children.get(node, [])),
+                    leaves[node], saved[node], hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def language_profile(texts, most=300):
+    counts = Counter()
+    for text in texts:
+        for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            padded = f" {word} "
+            counts.update(word)
+            counts.update(padded[i:i + 2] for i in range(len(padded) - 1))
+            counts.update(padded[i:i + 3] for i in range(len(padded) - 2))
+    return sorted(counts, key=lambda g: (-counts[g], g))[:most]
+
+
+def languages(docs):
+    """[(id, held_out, lang_pred, score)] of [(id, text, lang)]."""
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in docs]
+    texts = {}
+    for (i, text, lang), out in zip(docs, held):
+        if lang is not None and i is not None and not out:
+            texts.setdefault(lang, []).append(text)
+    profiles = {lang: p for lang, t in texts.items() if (p := language_profile(t))}
+    found = []
+    for (i, text, _), out in zip(docs, held):
+        own, best = language_profile([text]), None
+        for lang, profile in profiles.items():
+            rank = {g: r for r, g in enumerate(profile)}
+            distance = sum(abs(rank[g] - r) if g in rank else 300 for r, g in enumerate(own))
+            best = min(best or (distance, lang), (distance, lang))
+        found.append((i, out, best[1], 1 - best[0] / (300 * len(own))) if own and best else (i, out, "und", 0.0))
+    return found
+
+
+def clusters(rows, k=8, rounds=10):
+    """Contract rows of [(id, integer vector)], starts in order of hashed id."""
+    def start(row):
+        return (row[0] is None, hashlib.sha256(f"3:{row[0]}".encode()).hexdigest() if row[0] is not None else "", row[1])
+
+    centers = [list(v) for _, v in sorted(rows, key=start)[:k]]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(centers))
+
+    for _ in range(rounds):
+        own = [nearest(v)[1] for _, v in rows]
+        for j in range(len(centers)):
+            mine = [v for (_, v), o in zip(rows, own) if o == j]
+            if mine:
+                centers[j] = [sum(col) // len(mine) for col in zip(*mine)]
+    found = [(i, *nearest(v)[::-1]) for i, v in rows]
+    total = Counter()
+    for _, j, d in found:
+        total[j] += d
+    return [(i, j, d, total[j], sum(total.values()), hashlib.sha256(",".join(map(str, centers[j])).encode()).hexdigest())
+            for i, j, d in found]
