@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.constants import NUMBER_PATTERN
 from ..functions.text import na_tokens_to_null
+from . import csv_scan
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -21,11 +22,14 @@ _BOOL_FALSE = ("False", "FALSE", "false")
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
-               infer: bool = True) -> DataFrame:
+               infer: bool = True, ranges: bool = True) -> DataFrame:
     """Read a Parquet table or a headed CSV file/directory.
 
     CSV columns are read as strings (no ``inferSchema``: it makes ints and
     dates where pandas makes int64 and text), then typed by ``infer_types``.
+    Files are read in ranges, also where a quoted cell holds line breaks
+    (``csv_scan``).  ``ranges=False`` reads each file in one task, for files
+    whose records end in a lone carriage return.
     """
     fmt = fmt or ("csv" if path.rstrip("/").lower().endswith(".csv") else "parquet")
     if fmt == "parquet":
@@ -36,16 +40,23 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
     if header is None:
         return spark.createDataFrame([], "value string")
     names = pandas_column_names(header)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    # all-string schema under the pandas-style names; the header line is skipped
-    raw = _csv(spark).schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    if ranges:
+        fields = ", ".join(f"c{i} STRING" for i in range(len(names)))
+        cells = csv_scan.records(spark, path).select(F.from_csv("record", fields, {**_CSV, "mode": "PERMISSIVE"}).alias("r"))
+        raw = cells.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+    else:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        # all-string schema under the pandas-style names; the header line is skipped
+        raw = _csv(spark).schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
     return infer_types(raw) if infer else raw
 
 
+#: Quotes are doubled inside quoted cells, and a quoted cell may hold line breaks.
+_CSV = {"quote": '"', "escape": '"', "multiLine": "true", "nullValue": "\u0000never\u0000"}
+
+
 def _csv(spark: SparkSession):
-    """Quotes are doubled inside quoted cells, and a quoted cell may hold line breaks."""
-    return (spark.read.option("quote", '"').option("escape", '"').option("multiLine", True)
-            .option("nullValue", "\u0000never\u0000"))
+    return spark.read.options(**_CSV)
 
 
 def _raw_header(spark: SparkSession, path: str) -> list[str] | None:
