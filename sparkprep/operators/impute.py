@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,11 +99,32 @@ DATE_FORMATS = [
 ]
 
 
+_DIGIT_FIELDS = set("yudDHhKkmsSMLQq")
+
+
+def _shape(fmt: str) -> str:
+    """A pattern that every text of the date format ``fmt`` matches: a run of one letter is a field of
+    digits (letters for months and the like), the rest stands for itself."""
+    if "[" in fmt:                       # optional parts: any text may fit
+        return ""
+    out = []
+    for quoted, field, letter, other in re.findall(r"'([^']*)'|(([A-Za-z])\3*)|([^A-Za-z'])", fmt):
+        if not field:
+            out.append(re.escape(quoted or other))
+        elif letter not in _DIGIT_FIELDS or (letter in "MLQq" and len(field) > 2):
+            out.append(".+")
+        else:
+            out.append(r"[+-]?\d+")
+    return "^" + "".join(out) + "$"
+
+
 def temporal_scores(df: DataFrame, cols=None, formats=None) -> DataFrame:
     """(column, sampled, best_ratio, best_format) for text columns.
 
     Each column is judged on all its non-null values; the best single
     format is the one that parses most of them, as pandas infers one format.
+    Equal values are parsed once, and only in formats whose shape they have,
+    as a failing parse costs far more than a pattern.
     """
     spark = df.sparkSession
     formats = [f[0] for f in DATE_FORMATS] if formats is None else list(formats)
@@ -109,10 +132,12 @@ def temporal_scores(df: DataFrame, cols=None, formats=None) -> DataFrame:
     if not cols:
         return spark.createDataFrame([], "column string, sampled long, best_ratio double, best_format string")
     longv = df.select(*[F.col(f"`{c}`") for c in cols]).unpivot([], [F.col(f"`{c}`") for c in cols], "column", "value").where(F.col("value").isNotNull())
-    parsed = longv.select("column", *[
-        F.try_to_timestamp(F.col("value"), F.lit(fmt)).isNotNull().cast("int").alias(f"f{i}")
+    counted = longv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    parsed = counted.select("column", "n", *[
+        F.when(F.col("value").rlike(_shape(fmt)) & F.try_to_timestamp(F.when(F.col("value").rlike(_shape(fmt)), F.col("value")),
+                                                                      F.lit(fmt)).isNotNull(), F.col("n")).otherwise(0).alias(f"f{i}")
         for i, fmt in enumerate(formats)])
-    agg = parsed.groupBy("column").agg(F.count(F.lit(1)).alias("sampled"),
+    agg = parsed.groupBy("column").agg(F.sum("n").alias("sampled"),
                                        *[F.sum(f"f{i}").alias(f"f{i}") for i in range(len(formats))])
     best = F.greatest(*[F.col(f"f{i}") for i in range(len(formats))])
     fmt_pick = F.coalesce(*[F.when(F.col(f"f{i}") == best, F.lit(fmt)) for i, fmt in enumerate(formats)])
