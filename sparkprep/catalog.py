@@ -690,7 +690,7 @@ def q_onehot_wide(spark, sf_dir):
     """The place of the one in each sparse vector."""
     from pyspark.ml.functions import vector_to_array
     d = _wide_names(spark, sf_dir)
-    hot = encode.fit_onehot(d, ["name"]).apply(d)
+    hot = encode.fit_onehot(d, ["name"], sparse=True).apply(d)
     return hot.select("p_partkey", (F.array_position(vector_to_array("name_onehot"), F.lit(1.0)) - 1).cast("int").alias("place"))
 
 
@@ -1151,8 +1151,7 @@ def q_csv_roundtrip(spark, sf_dir):
     return read_table(spark, path, "csv")
 
 
-@register("csv_roundtrip_documents", """
-SELECT doc_id, trim(text, chr(10) || ' ') AS text, lang FROM documents WHERE length(trim(text)) > 0""")
+@register("csv_roundtrip_documents", "SELECT doc_id, text, lang FROM documents")
 def q_csv_documents(spark, sf_dir):
     """Whole texts with commas, quotes and line breaks through a CSV file, every row as it is: the
     cells are read as text, so none is taken for a missing value, and an empty text is not null."""

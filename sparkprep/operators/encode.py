@@ -2,8 +2,8 @@
 
 A column's mapping is small (a literal in the plan) or wide: then it is a
 table in the shared scratch folder, ranked in a distributed way and joined
-back, so the number of categories has no limit.  Wide one-hot columns are
-sparse vectors.
+back, so the number of categories has no limit.  One-hot columns are 0/1
+columns, or one sparse vector a column where that is asked for.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .order import running_sum
 
-# Up to this many categories a mapping is a literal of the plan, and a
-# one-hot column is as many 0/1 columns; above, a table and a sparse vector.
+# Up to this many categories a mapping is a literal of the plan; above, a table.
 SMALL_MAPPING = 1000
 # A mapping table of at most this many rows is broadcast when it is joined.
 BROADCAST_CATEGORIES = 100_000
@@ -93,32 +93,35 @@ def fit_label_encoding(df: DataFrame, cols, null_as_text: bool = False) -> Label
 class OneHotEncoding:
     """0/1 integer columns ``<col>_<value>`` in sorted value order; null -> all zeros.
 
-    A column with more than SMALL_MAPPING values becomes one sparse vector ``<col>_onehot``.
+    With ``sparse`` a column becomes one sparse vector ``<col>_onehot`` instead, whatever the
+    number of its values.  The form is asked for, never chosen by the data.
     """
     categories: dict = field(default_factory=dict)
-    wide: LabelEncoding = field(default_factory=LabelEncoding)
+    sparse: LabelEncoding | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
-        done = [c for c in (*self.categories, *self.wide.tables) if c in df.columns]
-        out = df
-        for c in self.wide.tables:
-            if c in df.columns:
-                out = self._sparse(out, c)
-        new = []
-        for c, cats in self.categories.items():
-            if c not in df.columns:
-                continue
-            v = F.col(f"`{c}`").cast("string")
-            new += [F.when(v == F.lit(cat), F.lit(1)).otherwise(F.lit(0)).cast("int").alias(f"{c}_{cat}")
-                    for cat in cats]
-        vectors = [F.col(f"`{c}_onehot`") for c in self.wide.tables if c in df.columns]
-        return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in done], *new, *vectors)
-
-    def _sparse(self, df: DataFrame, c: str) -> DataFrame:
-        one = LabelEncoding(tables={c: self.wide.tables[c]}, sizes=self.wide.sizes)
-        kept = df.withColumn("__kept", F.col(f"`{c}`"))
-        coded = one.apply(kept).withColumn("__code", F.col(f"`{c}`").cast("double"))
-        n = self.wide.sizes[c]
+        asked = self.categories if self.sparse is None else self.sparse.sizes
+        done = [c for c in asked if c in df.columns]
+        out, new = df, []
+        if self.sparse is not None:
+            for c in done:
+                out = self._vector(out, c)
+            new = [F.col(f"`{c}_onehot`") for c in done]
+        else:
+            for c in done:
+                v = F.col(f"`{c}`").cast("string")
+                new += [F.when(v == F.lit(cat), F.lit(1)).otherwise(F.lit(0)).cast("int").alias(f"{c}_{cat}")
+                        for cat in self.categories[c]]
+        return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in done], *new)
+
+    def _vector(self, df: DataFrame, c: str) -> DataFrame:
+        held = self.sparse
+        one = LabelEncoding({c: held.mapping[c]} if c in held.mapping else {},
+                            {c: held.tables[c]} if c in held.tables else {}, {c: held.sizes[c]})
+        coded = one.apply(df.withColumn("__kept", F.col(f"`{c}`"))).withColumn("__code", F.col(f"`{c}`").cast("double"))
+        n = held.sizes[c]
+        if not n:                            # no value seen: a vector without a place for any
+            return df.withColumn(f"{c}_onehot", array_to_vector(F.array().cast("array<double>")))
         top = df.sparkSession.createDataFrame([(float(n - 1),)], "__code double")
         # the last, invalid, index (null or unseen) is dropped: a vector of zeros
         model = OneHotEncoder(inputCols=["__code"], outputCols=[f"{c}_onehot"], handleInvalid="keep").fit(top)
@@ -126,10 +129,17 @@ class OneHotEncoding:
 
     @property
     def new_columns(self) -> list[str]:
-        return [f"{c}_{cat}" for c, cats in self.categories.items() for cat in cats] + [
-            f"{c}_onehot" for c in self.wide.tables]
+        if self.sparse is not None:
+            return [f"{c}_onehot" for c in self.sparse.sizes]
+        return [f"{c}_{cat}" for c, cats in self.categories.items() for cat in cats]
 
 
-def fit_onehot(df: DataFrame, cols) -> OneHotEncoding:
+def fit_onehot(df: DataFrame, cols, sparse: bool = False) -> OneHotEncoding:
+    """Learn the values of ``cols``.  Without ``sparse`` there is a column for each, so their names come to the driver."""
     enc = fit_label_encoding(df, cols)
-    return OneHotEncoding(categories=dict(enc.mapping), wide=LabelEncoding(tables=enc.tables, sizes=enc.sizes))
+    if sparse:
+        return OneHotEncoding(sparse=enc)
+    names = dict(enc.mapping)
+    for c, t in enc.tables.items():
+        names[c] = [r["value"] for r in t.orderBy("code").select("value").collect()]
+    return OneHotEncoding(categories={c: names[c] for c in enc.sizes})
