@@ -1,7 +1,7 @@
 """Model metrics from small aggregate tables (never from collected rows).
 
-Classification: the confusion table ``groupBy(actual, predicted).count()``
-has at most classes^2 rows; every metric is derived from it.  ROC AUC uses
+Classification: every metric is derived from the counted (actual, predicted)
+pairs, in Spark.  ROC AUC uses
 the rank-sum form over score frequencies with distributed running counts.
 """
 
@@ -13,38 +13,53 @@ from pyspark.sql import functions as F
 from .order import running_sum
 
 
+# The zero-filled matrix is built up to this many classes (a million cells).
+MAX_GRID_CLASSES = 1000
+
+
+def confusion_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """(actual, predicted, count) of the pairs that occur."""
+    return (df.groupBy(F.col(f"`{actual}`").alias("actual"), F.col(f"`{predicted}`").alias("predicted"))
+            .agg(F.count(F.lit(1)).alias("count")))
+
+
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """(actual, predicted, count) over the union of labels, zeros included."""
-    counts = df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")) \
-        .agg(F.count(F.lit(1)).alias("count"))
-    labels = sorted(r["l"] for r in counts.select(F.col("actual").alias("l"))
-                    .union(counts.select(F.col("predicted").alias("l"))).distinct().collect())
-    # the label set is bounded by the number of classes; the full grid is
-    # the confusion matrix itself (zeros included).
-    dtype = counts.schema["actual"].dataType.simpleString()
-    grid = df.sparkSession.createDataFrame([(a, b) for a in labels for b in labels],
-                                           f"actual {dtype}, predicted {dtype}")
-    return (grid.join(counts, on=["actual", "predicted"], how="left")
-            .select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
+    """(actual, predicted, count) over the union of labels, zeros included.
+
+    More than ``MAX_GRID_CLASSES`` labels are an error, as the matrix grows with their square;
+    ``confusion_counts`` gives the cells that are not zero for any number.
+    """
+    counts = confusion_counts(df, actual, predicted)
+    labels = (counts.select(F.explode(F.array("actual", "predicted")).alias("label")).where("label IS NOT NULL").distinct())
+    if labels.limit(MAX_GRID_CLASSES + 1).count() > MAX_GRID_CLASSES:
+        raise ValueError(f"more than {MAX_GRID_CLASSES} classes: use confusion_counts")
+    every = labels.agg(F.array_sort(F.collect_list("label")).alias("labels"))       # one row, bounded above
+    cells = (every.select(F.explode("labels").alias("actual"), "labels")
+             .select("actual", F.explode("labels").alias("predicted"), F.lit(0).cast("long").alias("count")))
+    return (cells.unionByName(counts.where("actual IS NOT NULL AND predicted IS NOT NULL"))
+            .groupBy("actual", "predicted").agg(F.sum("count").alias("count")))
 
 
 def classification_metrics(df: DataFrame, actual: str, predicted: str, positive=None,
                            average: str | None = None, digits: int = 4) -> DataFrame:
     """accuracy, precision, recall, f1: binary on ``positive`` (default 1) when the
-    actual column has two classes, macro otherwise; zero division -> 0."""
-    cm = confusion(df, actual, predicted)
-    per = cm.groupBy(F.col("actual").alias("label")).agg(
-        F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(0)).alias("tp"),
-        F.sum("count").alias("support"))
-    pred_tot = cm.groupBy(F.col("predicted").alias("label")).agg(F.sum("count").alias("pred"))
-    per = per.join(pred_tot, on="label")
+    actual column has two classes, macro otherwise; zero division -> 0.
+
+    Works on the counted pairs, so any number of classes goes; rows without a label are left out."""
+    counts = confusion_counts(df, actual, predicted).where("actual IS NOT NULL AND predicted IS NOT NULL")
+    none = F.lit(0).cast("long")
+    sides = counts.select(F.explode(F.array(
+        F.struct(F.col("actual").alias("label"), F.col("count").alias("support"), none.alias("pred"),
+                 F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(none).alias("tp")),
+        F.struct(F.col("predicted").alias("label"), none.alias("support"), F.col("count").alias("pred"),
+                 none.alias("tp")))).alias("s")).select("s.*")
+    per = sides.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("pred").alias("pred"))
     per = per.select("label", "tp", "support", "pred",
                      F.coalesce(F.try_divide(F.col("tp"), F.col("pred")), F.lit(0.0)).alias("p"),
                      F.coalesce(F.try_divide(F.col("tp"), F.col("support")), F.lit(0.0)).alias("r"))
     per = per.withColumn("f", F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")),
                                          F.lit(0.0)))
-    classes = df.select(actual).distinct().count()
-    mode = average or ("binary" if classes == 2 else "macro")
+    mode = average or ("binary" if counts.select("actual").distinct().limit(3).count() == 2 else "macro")
     if mode == "binary":
         pos = 1 if positive is None else positive
         # the positive class may be absent from the table: its metrics are then 0
