@@ -8,12 +8,15 @@ sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.constants import CURRENCY_PATTERN, DEFAULT_SENTINELS, NUMBER_PATTERN
 from .functions.text import coerce_currency_number, title_case
 from .operators import clean, impute, outliers, profile
+from .session import ensure_checkpoint_dir
 from .sources import dirt
 from .sources.tables import table
 
@@ -668,7 +671,7 @@ def q_split_stratified(spark, sf_dir):
 
 # ============================================================ F1-F6
 from .operators import encode, pca, scale  # noqa: E402
-from .plans.features import FeaturePlan  # noqa: E402
+from .plans.features import FeatureEncoder, FeaturePlan  # noqa: E402
 
 
 _WIDE_SQL = "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY concat(p_name, ' ', p_partkey)) - 1 AS INTEGER) AS {0} FROM part"
@@ -785,6 +788,39 @@ def q_feature_plan(spark, sf_dir):
     return out.select("o_orderkey", *[F.round(c, 6).alias(c) for c in out.columns if c != "o_orderkey"])
 
 
+@register("feature_encoder", f"""
+WITH d AS (SELECT o_orderkey, o_totalprice, o_orderpriority, o_orderstatus,
+    {_sql_hash('o_orderkey')} < {int(16777216 * 0.2)} AS is_test FROM orders),
+p AS (SELECT o_orderpriority, row_number() OVER (ORDER BY o_orderpriority) - 1 AS code
+      FROM (SELECT DISTINCT o_orderpriority FROM d WHERE NOT is_test) AS x),
+s AS (SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderstatus) - 1 AS place
+      FROM (SELECT DISTINCT o_orderstatus FROM d WHERE NOT is_test) AS x),
+e AS (SELECT d.*, CAST(coalesce(code, (SELECT count(*) FROM p)) AS DOUBLE) AS c FROM d LEFT JOIN p USING (o_orderpriority)),
+m AS (SELECT avg(o_totalprice) AS a1, stddev_pop(o_totalprice) AS b1, avg(c) AS a2, stddev_pop(c) AS b2 FROM e WHERE NOT is_test)
+SELECT o_orderkey, round(CASE WHEN b1 = 0 THEN 0.0 ELSE (o_totalprice - a1) / b1 END, 6) AS o_totalprice,
+  round(CASE WHEN b2 = 0 THEN 0.0 ELSE (c - a2) / b2 END, 6) AS o_orderpriority, CAST(place AS INTEGER) AS status_place,
+  CAST(2 + (SELECT count(*) FROM s) AS INTEGER) AS width
+FROM e LEFT JOIN s USING (o_orderstatus), m WHERE is_test""")
+def q_feature_encoder(spark, sf_dir):
+    """Codes, a sparse one-hot vector and scaling, fitted in a pipeline on the training rows, saved, loaded, applied
+    to the test rows."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    from .operators.split import hash_split
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
+    train, test = hash_split(o, "o_orderkey", 0.2)
+    encoder = FeatureEncoder(labelCols=["o_orderpriority"], oneHotCols=["o_orderstatus"], sparse=True, scaler="standard",
+                             excludeCols=["o_orderkey"], outputCol="features")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/feature_encoder_{uuid.uuid4().hex}"
+    Pipeline(stages=[encoder]).fit(train).write().save(path)
+    out = PipelineModel.load(path).transform(test)
+    x = vector_to_array("features")
+    return out.select("o_orderkey", F.round(x[0], 6).alias("o_totalprice"), F.round(x[1], 6).alias("o_orderpriority"),
+                      (F.array_position(F.slice(x, 3, F.size(x)), F.lit(1.0)) - 1).cast("int").alias("status_place"),
+                      F.size(x).alias("width"))
+
+
 # ============================================================ E13-E18
 _PCA_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -1134,9 +1170,6 @@ def q_manual_bfill(spark, sf_dir):
 
 
 # ============================================================ S1-S10
-import uuid  # noqa: E402
-
-from .session import ensure_checkpoint_dir  # noqa: E402
 from .sources import sinks  # noqa: E402
 from .sources.stages import StageCatalog  # noqa: E402
 from .sources.tables import read_table  # noqa: E402
@@ -1191,11 +1224,40 @@ def q_stream_clean_events(spark, sf_dir):
     return run_to_table(plan.apply(stream))
 
 
+from .plans import search  # noqa: E402
+
+
+def _tree_search() -> search.Search:
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    return search.Search("o_orderstatus", "o_orderkey", "classification", lambda params: DecisionTreeClassifier(seed=42, **params))
+
+
 @register("tuned")
 def q_tuned(spark, sf_dir):
-    from pyspark.ml.classification import DecisionTreeClassifier
+    """Grid: every combination, cross-validated, the encoder fitted in each fold."""
+    found = _tree_search().run(_clf_frame(spark, sf_dir), search.grid({"maxDepth": [3, 6], "minInstancesPerNode": [1, 20]}))[1]
+    return found.select("params", F.col("score").alias("f1"), "kept")
 
-    from .plans.training import tune
-    tr = ModelTrainer(target="o_orderstatus", key="o_orderkey")
-    prep = tr.prepare(_clf_frame(spark, sf_dir))
-    return tune(prep, "o_orderkey", DecisionTreeClassifier(seed=42), {"maxDepth": [3, 6], "minInstancesPerNode": [1, 20]})
+
+@register("tuned_halving")
+def q_tuned_halving(spark, sf_dir):
+    """Nine draws from distributions, three rungs of a ninth, a third and all rows."""
+    space = {"maxDepth": search.Integers(2, 10), "minInstancesPerNode": search.Integers(1, 200),
+             "minInfoGain": search.LogUniform(1e-6, 1e-2)}
+    return _tree_search().run(_clf_frame(spark, sf_dir), search.draws(space, 9), rungs=3)[1]
+
+
+def _budget_sql(folds: int = 3, rungs: int = 3, factor: int = 3) -> str:
+    of = f"{_sql_hash('o_orderkey', 43)} % {folds}"
+    parts = []
+    for r, share in enumerate(search.shares(rungs, factor)):
+        limit = -int(-search.SCALE * share // 1)
+        parts.append(f"""SELECT {r} AS rung, f AS fold, CAST(count(*) FILTER (fold <> f AND h < {limit}) AS BIGINT) AS train_rows,
+  CAST(count(*) FILTER (fold = f) AS BIGINT) AS held_out_rows FROM d, (SELECT unnest(range({folds})) AS f) AS x GROUP BY f""")
+    return (f"WITH d AS (SELECT {of} AS fold, {_sql_hash('o_orderkey', 44)} AS h FROM orders)\n" + "\nUNION ALL\n".join(parts))
+
+
+@register("search_budgets", _budget_sql())
+def q_search_budgets(spark, sf_dir):
+    return search.budget_rows(table(spark, sf_dir, "orders"), "o_orderkey")
