@@ -116,7 +116,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     rounds' labels are then composed.  All tables go through the scratch folder, so both sides of
     each join are plain scans and Spark can split the rows of a hub; no neighbourhood is gathered.
     """
-    ends = edges.select(_scrambled(F.col(a)).alias("a"), _scrambled(F.col(b)).alias("b"))
+    # written, as both the loops and the edges proper are read from it
+    ends = save(edges.select(_scrambled(F.col(a)).alias("a"), _scrambled(F.col(b)).alias("b")), "cc_ends")
     loops = save(ends.where("a = b").select("a").distinct(), "cc_loops")
     current = save(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
                    "cc_edges")
