@@ -58,15 +58,26 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return values
 
 
-def _squeeze(width: int):
-    """Compress ids for the scratch table and the shuffle (byte planes, then zstd)."""
+def _squeeze(width: int, vocabulary: int):
+    """Compress ids for the scratch table and the shuffle (byte planes, then zstd); a last row of each
+    task, with n = -1, holds how often it met every id."""
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
+        total, last = np.zeros(vocabulary, np.int64), None
         for b in batches:
-            packed = [press.compress(np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, width).T.tobytes())
-                      for x in b.column(3)]
+            packed = []
+            for x in b.column(3):
+                raw = np.frombuffer(x.as_buffer(), np.uint8)
+                packed.append(press.compress(raw.reshape(-1, width).T.tobytes()))
+            all_ids = np.frombuffer(b"".join([x.as_buffer().to_pybytes() for x in b.column(3)]), f"<u{width}")
+            total += np.bincount(all_ids, minlength=vocabulary)
+            last = b
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(packed, pa.binary())],
                                              ["key", "id", "n", "ids"])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None], pa.int64()), pa.nulls(1, last.column(1).type), pa.array([-1], pa.int64()),
+                 pa.array([press.compress(total.tobytes())], pa.binary())], ["key", "id", "n", "ids"])
 
     return run
 
@@ -76,20 +87,18 @@ def _loosen(packed: bytes, n: int, width: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}")
 
 
-def frequency_ranks(tokens: DataFrame, vocabulary: int, width: int) -> np.ndarray:
-    """rank -> id over all documents: most frequent first, ties by id.  At most one row for each
-    id of the vocabulary reaches the driver."""
+def frequency_ranks(counts: DataFrame, vocabulary: int) -> np.ndarray:
+    """rank -> id over all documents: most frequent first, ties by id.  ``counts`` are the tasks'
+    own; at most one row for each id of the vocabulary reaches the driver."""
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total += np.bincount(_loosen(x, n, width), minlength=vocabulary) if n > vocabulary // 8 else 0
-                if n <= vocabulary // 8:
-                    np.add.at(total, _loosen(x, n, width), 1)
+            for x in b.column(0).to_pylist():
+                total += np.frombuffer(zstandard.decompress(x), np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["token", "n"])
 
-    counted = tokens.select("n", "ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = counts.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     count = np.zeros(vocabulary, np.int64)
     for r in counted.collect():
         count[r["token"]] = r["n"]
@@ -105,8 +114,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: i
     """
     spark = docs.sparkSession
     width = np.dtype(id_type(vocabulary)).itemsize
-    tokens = save(token_rows(text_rows(docs, id_col, text_col), tokenizer, end_id, _squeeze(width)), "tokens")
-    ranking = frequency_ranks(tokens, vocabulary, width)
+    saved = save(token_rows(text_rows(docs, id_col, text_col), tokenizer, end_id, _squeeze(width, vocabulary)), "tokens")
+    tokens = saved.where("n >= 0")
+    ranking = frequency_ranks(saved.where("n < 0"), vocabulary)
     rank_of = np.empty(vocabulary, np.uint32)
     rank_of[ranking] = np.arange(vocabulary, dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)          # vocabulary x 4 bytes
