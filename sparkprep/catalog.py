@@ -1100,13 +1100,61 @@ def q_training_summary(spark, sf_dir):
 from .plans.cleaning import AutoClean, ManualClean, quality_report  # noqa: E402
 
 
-@register("auto_clean_orders")
-def q_auto_clean(spark, sf_dir):
-    out, _ = AutoClean(key="o_orderkey", k_neighbors=5).run(dirt.dirty_orders(spark, sf_dir))
-    return out
+def _auto_stage_sql() -> str:
+    """Distinct rows, coerced, title-cased and masked."""
+    return f"""
+, masked AS (
+  SELECT o_orderkey, CASE WHEN p IN ({SENTINEL_LIST}) THEN NULL ELSE p END AS price_txt, {sql_title('prio')} AS prio,
+    CASE WHEN amt IN ({SENTINEL_LIST}) THEN NULL ELSE amt END AS amt, o_orderdate, price_txt AS raw_price, p, amt AS raw_amt
+  FROM (SELECT *, {sql_coerce('price_txt')} AS p FROM (SELECT DISTINCT * FROM dirty_orders) AS x) AS y)"""
+
+
+def _auto_sql() -> str:
+    """The five nearest rows by brute force for every row with a gap, then the mode and the caps."""
+    def fill(n):
+        return f"""f{n} AS (SELECT rk, CASE WHEN count(*) FILTER (WHERE dist = 0) > 0 THEN avg(v) FILTER (WHERE dist = 0)
+    ELSE sum(v / dist) / sum(1.0 / dist) END AS fill FROM (
+      SELECT rk, dist, v{n} AS v, row_number() OVER (PARTITION BY rk ORDER BY dist, dk) AS rn FROM pairs WHERE need{n} AND v{n} IS NOT NULL) AS x
+    WHERE rn <= 5 GROUP BY rk)"""
+
+    def capped(c, q):
+        return (f"CASE WHEN {c} < {q}1 - 1.5 * ({q}3 - {q}1) THEN {q}1 - 1.5 * ({q}3 - {q}1) "
+                f"WHEN {c} > {q}3 + 1.5 * ({q}3 - {q}1) THEN {q}3 + 1.5 * ({q}3 - {q}1) ELSE {c} END")
+
+    gap = " + ".join(f"CASE WHEN r.f{i} IS NOT NULL AND d.f{i} IS NOT NULL THEN (r.f{i} - d.f{i}) * (r.f{i} - d.f{i}) ELSE 0 END" for i in (1, 2, 3))
+    both = " + ".join(f"CAST(r.f{i} IS NOT NULL AND d.f{i} IS NOT NULL AS INT)" for i in (1, 2, 3))
+    return V(_auto_stage_sql() + f""",
+base AS (SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) AS f1, price_txt AS f2, amt AS f3, prio, o_orderdate FROM masked),
+r AS (SELECT * FROM base WHERE f2 IS NULL OR f3 IS NULL),
+pairs AS (SELECT r.o_orderkey AS rk, d.o_orderkey AS dk, r.f2 IS NULL AS need2, r.f3 IS NULL AS need3, d.f2 AS v2, d.f3 AS v3,
+  sqrt(3.0 / ({both}) * ({gap})) AS dist FROM r, base AS d WHERE d.f2 IS NOT NULL OR d.f3 IS NOT NULL),
+{fill(2)}, {fill(3)},
+filled AS (SELECT b.o_orderkey, coalesce(b.f2, f2.fill) AS price_txt, coalesce(prio, {_mode_sql('masked', 'prio')}) AS prio,
+  coalesce(b.f3, f3.fill) AS amt, o_orderdate
+  FROM base AS b LEFT JOIN f2 ON f2.rk = b.o_orderkey LEFT JOIN f3 ON f3.rk = b.o_orderkey),
+q AS (SELECT quantile_cont(price_txt, 0.25) AS p1, quantile_cont(price_txt, 0.75) AS p3,
+             quantile_cont(amt, 0.25) AS a1, quantile_cont(amt, 0.75) AS a3 FROM filled)
+SELECT o_orderkey, round({capped('price_txt', 'p')}, 4) AS price_txt, prio, round({capped('amt', 'a')}, 4) AS amt, o_orderdate
+FROM filled, q""", "dirty_orders")
 
 
-@register("auto_clean_log")
+@register("auto_clean_orders", _auto_sql())
+def q_auto_clean(spark, sf_dir):
+    out, _ = AutoClean(key="o_orderkey", k_neighbors=5).run(dirt.dirty_orders(spark, sf_dir))
+    return out.select("o_orderkey", F.round("price_txt", 4).alias("price_txt"), "prio", F.round("amt", 4).alias("amt"), "o_orderdate")
+
+
+@register("auto_clean_log", V(_auto_stage_sql() + f""",
+n AS (SELECT (SELECT count(*) FROM dirty_orders) - count(*) AS removed, count(raw_price) - count(p) AS lost,
+  count(*) FILTER (p IN ({SENTINEL_LIST})) + count(*) FILTER (raw_amt IN ({SENTINEL_LIST}))
+    + count(*) FILTER (CAST(o_orderkey AS DOUBLE) IN ({SENTINEL_LIST})) AS masked,
+  3 * count(*) - count(price_txt) - count(prio) - count(amt) AS missing FROM masked)
+SELECT 0 AS position, 'dedupe' AS step, '*' AS target, 'removed' AS metric, CAST(removed AS VARCHAR) AS value FROM n
+UNION ALL SELECT 1, 'title_case', 'prio', 'columns', '1'
+UNION ALL SELECT 2, 'coerce_numeric', 'price_txt', 'lost_cells', CAST(lost AS VARCHAR) FROM n
+UNION ALL SELECT 3, 'sentinel_mask', 'o_orderkey,price_txt,amt', 'masked', CAST(masked AS VARCHAR) FROM n
+UNION ALL SELECT 4, 'impute', '*', 'missing_before', CAST(missing AS VARCHAR) FROM n
+UNION ALL SELECT 5, 'iqr_cap', 'price_txt,amt', 'columns', '2'""", "dirty_orders"))
 def q_auto_clean_log(spark, sf_dir):
     _, log = AutoClean(key="o_orderkey", k_neighbors=5).run(dirt.dirty_orders(spark, sf_dir))
     return log.frame(spark)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import DEFAULT_SENTINELS, DIRTY_NUMERIC_MIN_RATIO
@@ -18,6 +18,11 @@ def drop_duplicates(df: DataFrame, subset=None) -> DataFrame:
     return df.dropDuplicates(list(subset) if subset else None)
 
 
+def counted_distinct(df: DataFrame, name: str) -> DataFrame:
+    """Distinct rows, with how often each occurs as ``name``; the same shuffle as ``drop_duplicates``."""
+    return df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias(name))
+
+
 def duplicate_count(df: DataFrame, subset=None) -> DataFrame:
     """One row: number of rows that repeat an earlier identical row.
 
@@ -61,18 +66,18 @@ def require_rows(df: DataFrame, n: int, message: str | None = None) -> DataFrame
     return df
 
 
-def missing_cells(df: DataFrame) -> DataFrame:
-    """One row: total null-or-NaN cells over all columns."""
-    terms = []
+def missing_expr(df: DataFrame) -> Column:
+    """Aggregate: null-or-NaN cells over all columns."""
+    total = F.lit(0)
     for c in df.columns:
         m = F.col(f"`{c}`").isNull()
-        if is_floating(df, c):
-            m = m | F.isnan(F.col(f"`{c}`"))
-        terms.append(F.count_if(m))
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return df.agg(total.cast("long").alias("missing"))
+        total = total + F.count_if(m | F.isnan(F.col(f"`{c}`")) if is_floating(df, c) else m)
+    return total.cast("long")
+
+
+def missing_cells(df: DataFrame) -> DataFrame:
+    """One row: total null-or-NaN cells over all columns."""
+    return df.agg(missing_expr(df).alias("missing"))
 
 
 # ---------------------------------------------------------------- sentinels
@@ -88,17 +93,21 @@ def mask_sentinels(df: DataFrame, cols=None, sentinels=None) -> DataFrame:
         if c in cols else F.col(f"`{c}`") for c in df.columns])
 
 
+def sentinel_expr(cols, codes) -> Column:
+    """Aggregate: cells of ``cols`` that hold a placeholder code."""
+    lits = [F.lit(float(v)) for v in codes]
+    total = F.lit(0)
+    for c in cols:
+        total = total + F.count_if(F.col(f"`{c}`").cast("double").isin(*lits))
+    return total.cast("long")
+
+
 def sentinel_count(df: DataFrame, cols=None, sentinels=None) -> DataFrame:
     codes = list(DEFAULT_SENTINELS if sentinels is None else sentinels)
     cols = any_numeric_columns(df) if cols is None else cols
     if not codes or not cols:
         return df.sparkSession.createDataFrame([(0,)], "masked long")
-    lits = [F.lit(float(v)) for v in codes]
-    total = None
-    for c in cols:
-        t = F.count_if(F.col(f"`{c}`").cast("double").isin(*lits))
-        total = t if total is None else total + t
-    return df.agg(total.cast("long").alias("masked"))
+    return df.agg(sentinel_expr(cols, codes).alias("masked"))
 
 
 # ---------------------------------------------------------------- dirty numerics
@@ -123,21 +132,28 @@ class DirtyNumericFit:
         return self.non_null[col] - self.parsed[col]
 
 
+def dirty_exprs(cols) -> dict[str, Column]:
+    """Aggregates of ``classify_dirty_numerics``: rows, and parsed and present cells of each column."""
+    aggs = {"rows": F.count(F.lit(1))}
+    for i, c in enumerate(cols):
+        aggs[f"p{i}"] = F.count(coerce_currency_number(F.col(f"`{c}`")))
+        aggs[f"n{i}"] = F.count(F.col(f"`{c}`"))
+    return aggs
+
+
+def dirty_fit(cols, found: dict, min_ratio: float = DIRTY_NUMERIC_MIN_RATIO) -> DirtyNumericFit:
+    """The classification that follows from the values of ``dirty_exprs``."""
+    rows = found["rows"] or 0
+    return DirtyNumericFit(rows, max(1.0, rows * min_ratio), {c: found[f"p{i}"] for i, c in enumerate(cols)},
+                           {c: found[f"n{i}"] for i, c in enumerate(cols)})
+
+
 def classify_dirty_numerics(df: DataFrame, min_ratio: float = DIRTY_NUMERIC_MIN_RATIO,
                             cols=None) -> DirtyNumericFit:
     """One aggregate over all text columns: parsed cells vs ``max(1, ratio*rows)``."""
     cols = text_columns(df) if cols is None else cols
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(cols):
-        aggs.append(F.count(coerce_currency_number(F.col(f"`{c}`"))).alias(f"p{i}"))
-        aggs.append(F.count(F.col(f"`{c}`")).alias(f"n{i}"))
-    row = df.agg(*aggs).collect()[0]
-    rows = row["__rows"]
-    fit = DirtyNumericFit(rows=rows, threshold=max(1.0, rows * min_ratio))
-    for i, c in enumerate(cols):
-        fit.parsed[c] = row[f"p{i}"]
-        fit.non_null[c] = row[f"n{i}"]
-    return fit
+    row = df.agg(*[expr.alias(name) for name, expr in dirty_exprs(cols).items()]).collect()[0]
+    return dirty_fit(cols, row.asDict(), min_ratio)
 
 
 def convert_columns(df: DataFrame, cols) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -54,14 +57,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+    """Write ``df`` below ``spark.checkpoint.dir`` and read it back, which cuts its lineage.
 
     Used where a fitted plan reads the same intermediate several times; a
-    lost executor then re-reads checkpoint files instead of recomputing
-    every upstream shuffle.
+    lost executor then re-reads files instead of recomputing every upstream
+    shuffle.  The plan runs once (a reliable ``checkpoint()`` runs it
+    twice).  Columns are named by their place in the files, so any names go.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage_{uuid.uuid4().hex}"
+    fields = [T.StructField(f"c{i}", T.StringType() if isinstance(f.dataType, T.NullType) else f.dataType)
+              for i, f in enumerate(df.schema.fields)]
+    named = df.toDF(*[f.name for f in fields])
+    named.select(*[F.col(f.name).cast(f.dataType) if isinstance(g.dataType, T.NullType) else F.col(f.name)
+                   for f, g in zip(fields, df.schema.fields)]).write.parquet(path)
+    return spark.read.schema(T.StructType(fields)).parquet(path).toDF(*df.columns)
+
+
+def observed(df: DataFrame, **aggregates) -> tuple[DataFrame, Observation]:
+    """``df`` with named aggregates that the action which writes it also computes.
+
+    Place it after the last shuffle: a task that has to run again further up would be counted twice.
+    """
+    seen = Observation()
+    return df.observe(seen, *[expr.alias(name) for name, expr in aggregates.items()]), seen
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
