@@ -18,7 +18,7 @@ from .functions.text import coerce_currency_number, title_case
 from .operators import clean, impute, outliers, profile
 from .session import ensure_checkpoint_dir
 from .sources import dirt
-from .sources.tables import table
+from .sources.tables import read_table, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -588,6 +588,23 @@ def _sql_hash(key: str, seed: int = 42) -> str:
     return f"CAST(('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 6)) AS BIGINT)"
 
 
+@register("scatter_bins", """
+WITH e AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lineitem)
+SELECT l_returnflag, CAST(least(floor((l_quantity - x0) / (x1 - x0) * 50), 49) AS INTEGER) AS x_bin,
+  CAST(least(floor((l_extendedprice - y0) / (y1 - y0) * 50), 49) AS INTEGER) AS y_bin, count(*) AS n
+FROM lineitem, e GROUP BY ALL""")
+def q_scatter_bins(spark, sf_dir):
+    return correlate.scatter_bins(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
+
+
+@register("scatter_sample", """
+SELECT o_orderstatus, o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_totalprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey) AS rn
+  FROM orders) AS x WHERE rn <= 200""")
+def q_scatter_sample(spark, sf_dir):
+    return correlate.scatter_sample(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+
+
 _KNN_IMPUTE_SQL = V("""
 , base AS (SELECT p_partkey, CAST(p_partkey AS DOUBLE) AS f1, CAST(p_size AS DOUBLE) AS f2,
                   CAST(p_retailprice AS DOUBLE) AS f3 FROM gappy_part),
@@ -1024,7 +1041,34 @@ def q_significant_linked(spark, sf_dir):
     return correlate.significant_pairs(corr).select("col_a", "col_b", "n", "r")
 
 
-# ============================================================ M2-M18, M22, M24-M29 (rows-only)
+def _z_sql(c: str) -> str:
+    return f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()"
+
+
+@register("pca_correlation", "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) + 0.0 AS r FROM lineitem" for a in _PCA_COLS for b in _PCA_COLS))
+def q_pca_correlation(spark, sf_dir):
+    """All components together give back the correlations: the sum over components of variance and two loadings."""
+    found = pca.run_pca(table(spark, sf_dir, "lineitem"), len(_PCA_COLS), _PCA_COLS)
+    p = len(found.features)
+    rows = [(a, b, round(sum(found.explained[c] * p * found.loadings[c][i] * found.loadings[c][j] for c in range(p)), 6) + 0.0)
+            for i, a in enumerate(found.features) for j, b in enumerate(found.features)]
+    return spark.createDataFrame(rows, "col_a string, col_b string, r double")
+
+
+@register("pca_score_norms", f"""
+SELECT l_returnflag, k, round(z1 * z1 + z2 * z2 + z3 * z3 + z4 * z4, 5) AS norm FROM (
+  SELECT l_returnflag, l_orderkey AS k, {', '.join(f'{_z_sql(c)} AS z{i + 1}' for i, c in enumerate(_PCA_COLS))} FROM lineitem) AS x""")
+def q_pca_score_norms(spark, sf_dir):
+    """A rotation keeps lengths: squared scores of all components sum to the squared standardised values; a category
+    travels with its row."""
+    li = table(spark, sf_dir, "lineitem").withColumn("k", F.col("l_orderkey"))
+    scores = pca.run_pca(li, len(_PCA_COLS), _PCA_COLS).scores(li, ["l_returnflag", "k"])
+    total = sum((F.col(f"PC{i + 1}") * F.col(f"PC{i + 1}") for i in range(len(_PCA_COLS))), F.lit(0.0))
+    return scores.select("l_returnflag", "k", F.round(total, 5).alias("norm"))
+
+
+# ============================================================ M2-M18, M22, M24-M29
 from .plans.training import ModelTrainer, importance_frame  # noqa: E402
 
 
@@ -1086,6 +1130,26 @@ def q_predictions(spark, sf_dir):
     return tr.results(prep, trained["Random Forest"])
 
 
+_ROW_KEY_SQL = """(l_orderkey * 8 + l_linenumber) * 1024 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+  ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate)"""
+
+
+@register("predictions_csv", f"""
+WITH d AS (SELECT {_ROW_KEY_SQL} AS row_key, l_quantity, l_extendedprice FROM lineitem),
+h AS (SELECT *, {_sql_hash('row_key')} < {int(16777216 * 0.2)} AS is_test FROM d),
+m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM h WHERE NOT is_test)
+SELECT row_key, l_extendedprice AS actual, l_quantity, round(a + b * l_quantity, 2) AS prediction FROM h, m WHERE is_test""")
+def q_predictions_csv(spark, sf_dir):
+    """Linear regression on the training rows; its predictions file, written and read back."""
+    frame = _reg_frame(spark, sf_dir).select("row_key", "l_quantity", "l_extendedprice")
+    tr = ModelTrainer(target="l_extendedprice", key="row_key", problem="regression", models=["Linear Regression"], test_ratio="80/20")
+    prep = tr.prepare(frame)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/predictions_{uuid.uuid4().hex}"
+    paths = tr.write_predictions(prep, tr.train(prep), folder)
+    back = read_table(spark, paths["Linear Regression"], "csv")
+    return back.select("row_key", "actual", F.col("l_quantity").cast("double").alias("l_quantity"), F.round("prediction", 2).alias("prediction"))
+
+
 @register("training_summary", f"""
 WITH h AS (SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_sql_hash('o_orderkey')}, o_orderkey)
     <= ceil(count(*) OVER (PARTITION BY o_orderstatus) * 0.2) AS is_test FROM orders)
@@ -1220,7 +1284,6 @@ def q_manual_bfill(spark, sf_dir):
 # ============================================================ S1-S10
 from .sources import sinks  # noqa: E402
 from .sources.stages import StageCatalog  # noqa: E402
-from .sources.tables import read_table  # noqa: E402
 
 
 @register("csv_roundtrip", """
@@ -1257,7 +1320,7 @@ def q_preview(spark, sf_dir):
 
 
 # ============================================================ 2.13 fitted plan on a stream
-from .streaming.apply import fit_row_plan, run_to_table, stream_table  # noqa: E402
+from .streaming.apply import ScoringPlan, fit_row_plan, run_to_table, stream_table  # noqa: E402
 
 
 @register("stream_clean_events", V("""
@@ -1272,6 +1335,47 @@ def q_stream_clean_events(spark, sf_dir):
     return run_to_table(plan.apply(stream))
 
 
+
+
+@register("stream_predictions", f"""
+WITH o AS (SELECT o_orderkey, o_totalprice AS y, CAST(o_custkey AS DOUBLE) AS c, o_orderpriority,
+    {_sql_hash('o_orderkey')} < {int(16777216 * 0.2)} AS is_test FROM orders),
+p AS (SELECT o_orderpriority, CAST(row_number() OVER (ORDER BY o_orderpriority) - 1 AS DOUBLE) AS code
+      FROM (SELECT DISTINCT o_orderpriority FROM o WHERE NOT is_test) AS x),
+e AS (SELECT o.*, coalesce(code, (SELECT count(*) FROM p)) AS q FROM o LEFT JOIN p USING (o_orderpriority)),
+s AS (SELECT avg(c) AS mc, stddev_pop(c) AS sc, avg(q) AS mq, stddev_pop(q) AS sq FROM e WHERE NOT is_test),
+z AS (SELECT e.*, (c - mc) / sc AS z1, (q - mq) / sq AS z2 FROM e, s),
+m AS (SELECT var_pop(z1) AS v1, var_pop(z2) AS v2, covar_pop(z1, z2) AS v12, covar_pop(z1, y) AS y1, covar_pop(z2, y) AS y2,
+             avg(z1) AS a1, avg(z2) AS a2, avg(y) AS ay FROM z WHERE NOT is_test),
+b AS (SELECT *, (v2 * y1 - v12 * y2) / (v1 * v2 - v12 * v12) AS b1, (v1 * y2 - v12 * y1) / (v1 * v2 - v12 * v12) AS b2 FROM m)
+SELECT o_orderkey, round(z1, 6) AS o_custkey, round(z2, 6) AS o_orderpriority,
+  round(ay + b1 * (z1 - a1) + b2 * (z2 - a2), 2) AS prediction FROM z, b""")
+def q_stream_predictions(spark, sf_dir):
+    """A model trained on a table scores a stream: codes and scaling learned on the training rows, then regression."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderpriority")
+    tr = ModelTrainer(target="o_totalprice", key="o_orderkey", problem="regression", scaler="standard", models=["Linear Regression"])
+    prep = tr.prepare(o)
+    plan = ScoringPlan(encoder=prep.encoder, model=tr.train(prep)["Linear Regression"])
+    stream = stream_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    scored = plan.apply(stream).select("o_orderkey", "o_custkey", "o_orderpriority", "prediction")
+    return run_to_table(scored).select("o_orderkey", F.round("o_custkey", 6).alias("o_custkey"),
+                                       F.round("o_orderpriority", 6).alias("o_orderpriority"), F.round("prediction", 2).alias("prediction"))
+
+
+@register("cached_source", V("""
+SELECT (SELECT count(*) FROM dirty_orders) AS row_count, (SELECT count(DISTINCT prio) FROM dirty_orders) AS priorities,
+  true AS held, false AS held_after""", "dirty_orders"))
+def q_cached_source(spark, sf_dir):
+    """Two reports from one read of a source that is then let go."""
+    from .sources.cache import cached
+    source = cached(dirt.dirty_orders(spark, sf_dir))
+    with source as d:
+        rows = source.fill()
+        found = d.agg(F.count_distinct("prio").alias("n")).first()["n"]
+        held = source.held and source.size_bytes() > 0
+    return spark.createDataFrame([(rows, found, held, source.held)], "row_count long, priorities long, held boolean, held_after boolean")
+
+
 from .plans import search  # noqa: E402
 
 

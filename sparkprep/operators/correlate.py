@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nan_to_null
@@ -177,6 +177,42 @@ def _spearman_stats(df: DataFrame, cols: list[str]) -> list[tuple]:
     return sorted(out)
 
 
+def scatter_bins(df: DataFrame, x: str, y: str, group: str | None = None, bins: int = 50) -> DataFrame:
+    """([group], x_bin, y_bin, n): the points of a scatter plot, counted in a grid over the extent of both columns.
+
+    All rows with both values are counted; at most bins * bins cells a group, whatever the number of rows.
+    """
+    xs, ys = nan_to_null(F.col(f"`{x}`").cast("double")), nan_to_null(F.col(f"`{y}`").cast("double"))
+    names = [group] if group else []
+    points = df.select(*[F.col(f"`{g}`") for g in names], xs.alias("__x"), ys.alias("__y")).where("__x IS NOT NULL AND __y IS NOT NULL")
+    low = points.agg(*[f(c).alias(f"{n}{c}") for c in ("__x", "__y") for n, f in (("lo", F.min), ("hi", F.max))]).first()
+
+    def cell(c):
+        lo, hi = low[f"lo{c}"], low[f"hi{c}"]
+        if lo is None or lo == hi:
+            return F.lit(0)
+        return F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1)).cast("int")
+
+    return points.groupBy(*names, cell("__x").alias("x_bin"), cell("__y").alias("y_bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def scatter_sample(df: DataFrame, key: str, x: str, y: str, group: str | None = None, size: int = 200, seed: int = 42) -> DataFrame:
+    """([group], key, x, y): the ``size`` points of each group whose keys hash lowest.
+
+    The same points on every run and partitioning; each task passes on at most ``size`` rows a group.
+    Equal hashes go by key.
+    """
+    xs, ys = nan_to_null(F.col(f"`{x}`").cast("double")), nan_to_null(F.col(f"`{y}`").cast("double"))
+    points = df.select(*([F.col(f"`{group}`").alias("__g")] if group else [F.lit(0).alias("__g")]), F.col(f"`{key}`").alias("__k"),
+                       xs.alias("__x"), ys.alias("__y"),
+                       F.md5(F.concat(F.col(f"`{key}`").cast("string"), F.lit(f":{seed}"))).alias("__h"))
+    order = Window.partitionBy("__g").orderBy("__h", "__k")
+    kept = (points.where("__x IS NOT NULL AND __y IS NOT NULL").withColumn("__rn", F.row_number().over(order))
+            .where(F.col("__rn") <= size))
+    return kept.select(*([F.col("__g").alias(group)] if group else []), F.col("__k").alias(key), F.col("__x").alias(x),
+                       F.col("__y").alias(y))
+
+
 def ols_by_group(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFrame:
     """OLS line per colour group: slope, intercept, r2, n (pairwise complete)."""
     xs, ys = nan_to_null(F.col(x).cast("double")), nan_to_null(F.col(y).cast("double"))

@@ -59,6 +59,27 @@ def fit_row_plan(df: DataFrame, key: str | None = None, sentinels=None, cap: boo
     return RowPlan(fit.dirty, codes, nums, medians, modes, fences)
 
 
+@dataclass
+class ScoringPlan:
+    """Cleaning, encoding, scaling and prediction as one fitted plan for batches and streams.
+
+    Every part is a projection, or a join of the stream with a static mapping of a wide column, so
+    no state is kept.  A k-NN model compares rows with the training table and cannot run on a stream.
+    """
+    rows: RowPlan | None = None
+    encoder: object = None               # FeatureEncoderModel
+    model: object = None                 # FittedModel
+
+    def __post_init__(self):
+        if self.model is not None and self.model.kind == "knn":
+            raise ValueError("a k-NN model joins its training rows and cannot score a stream")
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        out = self.rows.apply(df) if self.rows else df
+        out = self.encoder.transform(out) if self.encoder else out
+        return self.model.predict(out) if self.model else out
+
+
 def stream_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """A streaming read of one Parquet table file in ``directory``."""
     schema = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet").schema
