@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, text_of
+from .common import free_name, keyed, text_of
 
 Q = 8
 TABLE_BITS = 22
@@ -313,5 +313,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, match: Match = Matc
     """Rows of ``docs``, all columns, that hold no part of a benchmark item."""
     rows, key = keyed(docs, id_col, text_col)
     found = contaminated(rows, benchmark, match, id_col=key, text_col=text_col)
-    gone = found.select(F.col(key).alias("__gone")).distinct()
-    return rows.join(gone, F.col(key) == F.col("__gone"), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    name = free_name(rows, "__gone")
+    gone = found.select(F.col(key).alias(name)).distinct()
+    return rows.join(gone, F.col(key) == F.col(name), "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -20,7 +20,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, save, text_of
+from .common import free_name, keyed, save, text_of
 
 LABELLERS = ("symbols", "capitals", "echo", "vocabulary", "lines", "sentence_ends", "word_length")
 ABSTAIN, GOOD, BAD = 0, 1, 2
@@ -89,7 +89,7 @@ def expectation_maximisation(patterns: dict[int, int], rounds: int = 200) -> tup
     sees from being explained as its errors.  Class 0 is bad, 1 good.
     """
     keys = sorted(patterns)
-    table = np.array([decode(k) for k in keys]).reshape(len(keys), len(LABELLERS))
+    table = np.array([decode(k) for k in keys], np.int64).reshape(len(keys), len(LABELLERS))
     n = np.array([patterns[k] for k in keys], float)
     good = np.where((table == BAD).any(axis=1), 0.02, 0.98)
     prior, rates = 0.5, np.full((2, len(LABELLERS), 3), 1 / 3)
@@ -243,5 +243,6 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs``, all columns, that the classifier keeps."""
     rows, key = keyed(docs, id_col, text_col)
-    bad = (classify(rows, key, text_col, threshold).where("NOT keep").select(F.col("key").alias("__gone")))
-    return rows.join(bad, F.col(key) == F.col("__gone"), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    gone = free_name(rows, "__gone")
+    bad = classify(rows, key, text_col, threshold).where("NOT keep").select(F.col("key").alias(gone))
+    return rows.join(bad, F.col(key) == F.col(gone), "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, hex64, keyed, save, text_of, text_rows
+from .common import connected_components, free_name, hex64, keyed, save, text_of, text_rows
 
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 
@@ -129,10 +129,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null ids come last; of repeated rows with the first id one stays.
     """
     rows, key = keyed(docs, id_col, text_col)
+    first = free_name(rows, "__first")
     named = rows.select(F.col(key).alias("key"), F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
     firsts = (_labelled(named, words_per_shingle, max_bits, seed).where("key = component_key")
-              .select(F.col("component_key").alias("__first")))
-    return rows.join(firsts, F.col(key) == F.col("__first"), "left_semi").select(*[f"`{c}`" for c in docs.columns])
+              .select(F.col("component_key").alias(first)))
+    return rows.join(firsts, F.col(key) == F.col(first), "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
