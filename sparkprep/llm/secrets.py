@@ -41,8 +41,9 @@ BASE_RULES = (
 )
 #: Rules that the scan adds to the base.
 MORE_RULES = (
-    Rule("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("login", "[a-z][a-z0-9+.-]{1,20}://[^\\x20\\x09-\\x0D/:@]{1,100}:[^\\x20\\x09-\\x0D/:@]{1,100}@"),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", version=2),
+    # of a scheme's name at most the last 40 characters belong to the span, whatever its length
+    Rule("login", "[a-z0-9+.-]{1,40}://[^\\x20\\x09-\\x0D/:@]+:[^\\x20\\x09-\\x0D/:@]+@", version=2),
 )
 LEDGER = "blob string, rule string, version int, spans array<struct<start:int,end:int>>"
 
