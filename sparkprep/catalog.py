@@ -558,6 +558,38 @@ def q_corr_spearman(spark, sf_dir):
     return c.select("col_a", "col_b", "idx_a", "idx_b", "n", "r")
 
 
+def _gappy_lineitem_sql() -> str:
+    return """g AS (SELECT CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_quantity END AS a,
+  CASE WHEN l_orderkey % 7 < 2 THEN NULL ELSE l_extendedprice END AS b, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_discount END AS c,
+  l_tax AS d, CAST(l_suppkey AS DOUBLE) AS e FROM lineitem)"""
+
+
+def _gappy_lineitem(spark, sf_dir) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    nan = F.lit(float("nan"))
+    return li.select(F.when(F.col("l_orderkey") % 5 != 0, F.col("l_quantity")).alias("a"),
+                     F.when(F.col("l_orderkey") % 7 < 2, nan).otherwise(F.col("l_extendedprice")).alias("b"),
+                     F.when(F.col("l_partkey") % 3 != 0, F.col("l_discount")).alias("c"), F.col("l_tax").alias("d"),
+                     F.col("l_suppkey").cast("double").alias("e"))
+
+
+def _corr_gaps_sql() -> str:
+    """Each pair ranked by itself on its complete rows."""
+    names, parts = "abcde", []
+    for i, x in enumerate(names):
+        for j in range(i + 1, len(names)):
+            y = names[j]
+            parts.append(f"""SELECT '{x}' AS col_a, '{y}' AS col_b, count(*) AS n, round(corr(rx, ry), 4) AS r FROM (
+  SELECT rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS rx,
+         rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2.0 AS ry FROM g WHERE {x} IS NOT NULL AND {y} IS NOT NULL) AS x""")
+    return f"WITH {_gappy_lineitem_sql()}\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("corr_spearman_gaps", _corr_gaps_sql())
+def q_corr_spearman_gaps(spark, sf_dir):
+    return correlate.correlations(_gappy_lineitem(spark, sf_dir), method="spearman").select("col_a", "col_b", "n", "r")
+
+
 @register("corr_pvalues")
 def q_corr_pvalues(spark, sf_dir):
     return correlate.correlations(table(spark, sf_dir, "lineitem"), _CORR_COLS, "pearson")

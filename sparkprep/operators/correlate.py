@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import nan_to_null
 from ..functions.types import numeric_columns
 from ..session import materialize
-from .order import average_ranks
+from .order import running_sums
 
 
 # Pairs per aggregate: one aggregate over every pair generates a method too
@@ -27,21 +27,25 @@ PAIR_CHUNK = 4
 
 
 def _pair_stats(df: DataFrame, cols: list[str]) -> list[tuple]:
-    """[(i, j, a, b, n, r)] for i < j; r null when n < 3 or a side is constant.
+    """[(i, j, a, b, n, r)] for i < j; r null when n < 3 or a side is constant."""
+    pairs = [(i, j, cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    found = _pearson(df, [(F.col(f"`{a}`"), F.col(f"`{b}`")) for _, _, a, b in pairs])
+    return [(*pair, *stats) for pair, stats in zip(pairs, found)]
+
+
+def _pearson(df: DataFrame, pairs: list) -> list[tuple]:
+    """[(n, r)] of pairs of expressions, each over the rows where both have a value (NaN is none).
 
-    Each pair is masked to its complete rows, NaN normalised; chunks of
-    PAIR_CHUNK pairs are one code-generated aggregate each, exploded to one
+    Chunks of PAIR_CHUNK pairs are one code-generated aggregate each, exploded to one
     row per pair and unioned into a single job.
     """
-    pairs = [(i, j, cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if not pairs:
         return []
     parts = []
     for start in range(0, len(pairs), PAIR_CHUNK):
         proj, structs = [], []
         for k in range(start, min(start + PAIR_CHUNK, len(pairs))):
-            _, _, a, b = pairs[k]
-            va, vb = nan_to_null(F.col(a).cast("double")), nan_to_null(F.col(b).cast("double"))
+            va, vb = (nan_to_null(e.cast("double")) for e in pairs[k])
             both = va.isNotNull() & vb.isNotNull()
             proj += [F.when(both, va).alias(f"x{k}"), F.when(both, vb).alias(f"y{k}")]
             x, y = F.col(f"x{k}"), F.col(f"y{k}")
@@ -53,14 +57,8 @@ def _pair_stats(df: DataFrame, cols: list[str]) -> list[tuple]:
     got = parts[0]
     for part in parts[1:]:
         got = got.unionByName(part)
-    by_k = {r["k"]: (r["n"], r["r"]) for r in got.collect()}
-    out = []
-    for k, (i, j, a, b) in enumerate(pairs):
-        n, r = by_k[k]
-        if n < 3 or r is None or math.isnan(r):
-            r = None
-        out.append((i, j, a, b, int(n), r))
-    return out
+    by_k = {r["k"]: (int(r["n"]), r["r"]) for r in got.collect()}
+    return [(n, None if n < 3 or r is None or math.isnan(r) else r) for n, r in (by_k[k] for k in range(len(pairs)))]
 
 
 def t_statistic(r, n):
@@ -129,52 +127,51 @@ def significant_pairs(corr: DataFrame, alpha: float = 0.05) -> DataFrame:
     return corr.where((F.col("idx_a") < F.col("idx_b")) & (F.col("p") < alpha))
 
 
-def _ranked(df: DataFrame, cols: list[str], distinct_limit: int = 100_000) -> DataFrame:
-    """Attach average ranks r_<col> to every row.
+def _ranked(df: DataFrame, cols: list[str], gapped: list[str], distinct_limit: int = 100_000) -> DataFrame:
+    """Rows of rank arrays r0, r1, ..., one a column: the average ranks of its value among all rows that
+    have it, and among those that also have each of the ``gapped`` columns.
 
-    All columns are ranked in one pass over the unpivoted (column, value)
-    frequencies (distributed running counts, per-column cut points).  A
-    column's rank table is broadcast back only when its measured size is
-    at most ``distinct_limit``; otherwise it is joined by shuffle.
+    Frequencies are counted once per (column, value) with one counter for each gapped column, and all
+    counters run along the values together (distributed, per-column cut points), so every pairwise-complete
+    subset is ranked in the same pass.  A column's rank table is broadcast back only when its measured
+    size is at most ``distinct_limit``; otherwise it is joined by shuffle.
     """
-    from .quantiles import long_values
-    ranks = average_ranks(long_values(df, cols), "value", ["column"], out="rank", cuts_per_group=True)
-    ranks = materialize(ranks.select("column", "value", "rank"))      # read once per column
+    values = [nan_to_null(F.col(f"`{c}`").cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]
+    wide = df.select(*values)
+    present = [F.lit(1), *[F.col(f"v{cols.index(c)}").isNotNull().cast("int") for c in gapped]]
+    long = (wide.select(*[p.cast("long").alias(f"p{i}") for i, p in enumerate(present)],
+                        F.explode(F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"v{i}").alias("value"))
+                                            for i in range(len(cols))])).alias("cell"))
+            .select("cell.column", "cell.value", *[f"p{i}" for i in range(len(present))]).where("value IS NOT NULL"))
+    counts = [f"n{i}" for i in range(len(present))]
+    freq = materialize(long.groupBy("column", "value").agg(*[F.sum(f"p{i}").alias(c) for i, c in enumerate(counts)]))
+    run = running_sums(freq, {c: f"before_{c}" for c in counts}, "value", ["column"], cuts_per_group=True)
+    ranks = materialize(run.select("column", "value", F.array(*[
+        F.col(f"before_{c}") + (F.col(c) + 1) / 2.0 for c in counts]).alias("rank")))      # read once per column
     sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = df
-    for c in cols:
-        rc = ranks.where(F.col("column") == c).select(F.col("value").alias(f"__v_{c}"), F.col("rank").alias(f"r_{c}"))
-        right = F.broadcast(rc) if sizes.get(c, 0) <= distinct_limit else rc
-        out = (out.withColumn(f"__v_{c}", nan_to_null(F.col(f"`{c}`").cast("double")))
-               .join(right, on=f"__v_{c}", how="left").drop(f"__v_{c}"))
-    return out
+    out = wide
+    for i in range(len(cols)):
+        one = ranks.where(F.col("column") == i).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
+        out = out.join(F.broadcast(one) if sizes.get(i, 0) <= distinct_limit else one, on=f"v{i}", how="left")
+    return out.select(*[f"r{i}" for i in range(len(cols))])
 
 
 def _spearman_stats(df: DataFrame, cols: list[str]) -> list[tuple]:
-    """Pearson on average ranks; a pair with gaps is ranked on its complete rows."""
+    """Pearson on average ranks; each pair is ranked on its complete rows."""
     cnt = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.count(nan_to_null(F.col(f"`{c}`").cast("double"))).alias(c) for c in cols]).collect()[0]
-    full = [c for c in cols if cnt[c] == cnt["n"]]
-    out = []
-    if len(full) >= 2:
-        rcols = [f"r_{c}" for c in full]
-        ranked = _ranked(df.select(*full), full).select(*rcols)
-        if len(full) * (len(full) - 1) // 2 > PAIR_CHUNK:
-            # several pair chunks read the ranks: join once, cut the lineage
-            ranked = materialize(ranked)
-        for i, j, a, b, n, r in _pair_stats(ranked, rcols):
-            out.append((cols.index(full[i]), cols.index(full[j]), full[i], full[j], n, r))
-    done = {(a, b) for _, _, a, b, _, _ in out}
-    for i, a in enumerate(cols):
-        for j in range(i + 1, len(cols)):
-            b = cols[j]
-            if (a, b) in done:
-                continue
-            sub = df.select(a, b).where(nan_to_null(F.col(a)).isNotNull() & nan_to_null(F.col(b)).isNotNull())
-            ranked = _ranked(sub, [a, b])
-            _, _, _, _, n, r = _pair_stats(ranked, [f"r_{a}", f"r_{b}"])[0]
-            out.append((i, j, a, b, n, r))
-    return sorted(out)
+                 *[F.count(nan_to_null(F.col(f"`{c}`").cast("double"))).alias(f"c{i}") for i, c in enumerate(cols)]).collect()[0]
+    gapped = [c for i, c in enumerate(cols) if cnt[f"c{i}"] < cnt["n"]]
+    pairs = [(i, j, cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    if not pairs:
+        return []
+    # several pair chunks read the ranks: join once, cut the lineage
+    ranked = materialize(_ranked(df, cols, gapped))
+
+    def among(i, partner):
+        return F.col(f"r{i}")[gapped.index(partner) + 1 if partner in gapped else 0]
+
+    found = _pearson(ranked, [(among(i, b), among(j, a)) for i, j, a, b in pairs])
+    return [(*pair, *stats) for pair, stats in zip(pairs, found)]
 
 
 def scatter_bins(df: DataFrame, x: str, y: str, group: str | None = None, bins: int = 50) -> DataFrame:

@@ -1,317 +1,101 @@
-"""Exact k-nearest-neighbour joins without an all-pairs join.
-
-The distance between two rows is never smaller than their gap on any one
-coordinate both rows have (NaN-aware Euclidean scales the present part up,
-never down).  So:
-
-1. *Radius*: each query row looks at donors in nearby cells of a grid
-   over up to three "band" coordinates, widening geometrically until it
-   has k eligible donors; the k-th distance found is an upper bound D on
-   its true k-th distance.
-2. *Exact*: a grid join with half-width D (an equi-join on cell ids, the
-   query side exploded over the hypercube of cells it covers) yields every
-   donor that can be among the k nearest; ``row_number() <= k`` per query
-   (planned as a map-side group limit) keeps the k nearest, ties broken by
-   donor key.
-
-Pairs grow with the local density, not with the table squared, and a
-value shared by many rows on one coordinate is split by the others.  Rows
-are taken by the coordinates they have, and each pair of such patterns is
-joined on coordinates both have, the widest spreads first.  The grid prunes
-on smooth, low-dimensional data; the models, which may have many
-dimensions, send training rows of checked size to the tasks instead.
+"""k-nearest-neighbour imputation and models on the exact pivot join (``pivots``).
+
+Imputation: rows are taken by the coordinates they have.  A gap is filled
+from donors that have the column; a recipient and a donor are compared on
+the coordinates both have, scaled up to all of them (NaN-aware Euclidean
+distance).  Each (column to fill, recipient pattern, donor pattern) is a
+lane of one pivot join, so lanes share all passes; the nearest of a
+recipient's lanes are merged afterwards.  Patterns are bounded by the
+schema, in practice a handful.
+
+Models: one lane over the whole feature vector, for any number of training
+rows; none is sent to the driver.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.numeric import nan_to_null
-from ..session import materialize
-
-MAX_GRID_DIMS = 3
-
-
-@dataclass
-class Grid:
-    dims: list           # band coordinate names (without side prefixes)
-    lo: list
-    width: list
-    cells: list          # highest cell index per dimension
-    span: float          # largest extent over the dimensions
-
-
-def make_grid(right: DataFrame, cols: list[str], prefix: str, k: int) -> Grid | None:
-    """Cells sized so the whole grid holds about 4k donors per cell."""
-    st = right.agg(F.count(F.lit(1)).alias("n"),
-                   *[F.min(prefix + c).alias(f"lo{i}") for i, c in enumerate(cols)],
-                   *[F.max(prefix + c).alias(f"hi{i}") for i, c in enumerate(cols)]).collect()[0]
-    n = st["n"]
-    if n == 0:
-        return None
-    per_dim = max(1, math.ceil((n / (4.0 * k)) ** (1.0 / len(cols))))
-    lo, width, cells, span = [], [], [], 0.0
-    for i in range(len(cols)):
-        a, b = float(st[f"lo{i}"]), float(st[f"hi{i}"])
-        w = (b - a) / per_dim if b > a else 1.0
-        lo.append(a)
-        width.append(w)
-        cells.append(per_dim)
-        span = max(span, b - a)
-    return Grid(list(cols), lo, width, cells, span)
-
+from .pivots import nearest
 
-def _cell(x: Column, lo: float, width: float) -> Column:
-    return F.floor((x - F.lit(lo)) / F.lit(width)).cast("long")
 
+def _presence(cols: list[str]) -> Column:
+    """The pattern of a row: a set of the columns it has, as the text of their places."""
+    return F.concat_ws(",", *[F.when(F.col(f"`{c}`").isNotNull(), F.lit(str(i))) for i, c in enumerate(cols)])
 
-def grid_join(left: DataFrame, right: DataFrame, grid: Grid, radius: Column,
-              lprefix: str = "l_", rprefix: str = "r_") -> DataFrame:
-    """Pairs whose band coordinates all differ by at most ``radius`` (per left row).
 
-    The left row is exploded over every cell of its hypercube; the right
-    side carries its own cell; the join is an equi-join on the cell ids.
-    """
-    l2, r2, keys = left, right, []
-    for i, d in enumerate(grid.dims):
-        key = f"__c{i}"
-        x = F.col(lprefix + d)
-        # both ends within the grid: a query far outside it looks at the outermost cell alone
-        last = F.lit(grid.cells[i])
-        lo_c = F.least(F.greatest(_cell(x - radius, grid.lo[i], grid.width[i]), F.lit(0)), last)
-        hi_c = F.least(F.greatest(_cell(x + radius, grid.lo[i], grid.width[i]), F.lit(0)), last)
-        l2 = l2.withColumn(key, F.explode(F.sequence(lo_c, hi_c)))
-        r2 = r2.withColumn(key, _cell(F.col(rprefix + d), grid.lo[i], grid.width[i]))
-        keys.append(key)
-    near = F.lit(True)
-    for d in grid.dims:
-        near = near & (F.abs(F.col(lprefix + d) - F.col(rprefix + d)) <= radius)
-    return l2.join(r2, on=keys).drop(*keys).where(near)
-
-
-def nan_euclidean(lcols: list[str], rcols: list[str]) -> Column:
-    """sqrt(p / m * sum over coordinates present on both sides); null when m = 0."""
-    p = len(lcols)
-    sq, m = F.lit(0.0), F.lit(0)
-    for a, b in zip(lcols, rcols):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        sq = sq + F.when(both, (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))).otherwise(F.lit(0.0))
-        m = m + F.when(both, F.lit(1)).otherwise(F.lit(0))
-    return F.when(m > 0, F.sqrt(F.lit(float(p)) / m * sq))
-
-
-def array_euclidean(a: str, b: str) -> Column:
-    diff = F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(diff, F.lit(0.0), lambda acc, v: acc + v))
-
-
-def radius_search(lanes: list, left: DataFrame, lkey: str, dist: Column, k: int, need: dict) -> DataFrame:
-    """(lkey, __radius): an upper bound on each left row's k-th eligible distance.
-
-    ``lanes`` is a list of (left part, right part, grid): every (left,
-    right) pair belongs to exactly one lane, whose grid uses coordinates
-    both sides have.  ``need`` maps a target name to (left-needs predicate,
-    pair-eligible predicate, number of donors within the left row's lanes,
-    a number or a column of the left row).  A left row is
-    settled once each target it needs has min(k, eligible) candidates over
-    all its lanes; unsettled rows retry with a 4x wider window until the
-    window spans every grid.
-    """
-    # each lane widens on its own scale (any candidates give a valid bound)
-    span = max(g.span for _, _, g in lanes)
-    unit = max(max(g.width) for _, _, g in lanes)
-    step = 1.0
-    pending, settled = None, []
-    while True:
-        radii = [min(g.width) * step for _, _, g in lanes]
-        full = all(r >= g.span for r, (_, _, g) in zip(radii, lanes))
-        pairs = _union([grid_join(lp if pending is None else lp.join(pending, on=lkey, how="left_semi"),
-                                  rp, g, F.lit(math.inf if r >= g.span else r))    # rows outside the grid too
-                        for r, (lp, rp, g) in zip(radii, lanes)]).withColumn("__d", dist)
-        rows = left if pending is None else left.join(pending, on=lkey, how="left_semi")
-        wanted, found = [], []
-        for t, (needs, eligible, n_elig) in need.items():
-            want = F.least(F.lit(k), n_elig if isinstance(n_elig, Column) else F.lit(n_elig))
-            w = Window.partitionBy(lkey).orderBy("__d")
-            found.append(pairs.where(eligible & F.col("__d").isNotNull())
-                         .withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
-                         .groupBy(lkey).agg(F.max("__d").alias("__kth"), F.count(F.lit(1)).alias("__have"))
-                         .withColumn("__t", F.lit(t)))
-            wanted.append(rows.where(needs).select(lkey, F.lit(t).alias("__t"), want.alias("__want")))
-        status = (_union(wanted).join(_union(found), on=[lkey, "__t"], how="left")
-                  .groupBy(lkey).agg(F.min(F.coalesce("__have", F.lit(0)) >= F.col("__want")).alias("__ok"),
-                                     F.max("__kth").alias("__kth")))
-        if full:
-            settled.append(status.select(lkey, F.coalesce(F.col("__kth"), F.lit(span + unit))
-                                         .alias("__radius")))
-            break
-        # checkpoint each round: the loop's plan stays flat (no nesting of
-        # earlier rounds) and a lost executor re-reads files, not rounds
-        status = materialize(status)
-        settled.append(status.where(F.col("__ok")).select(lkey, F.col("__kth").alias("__radius")))
-        left_over = status.where(~F.col("__ok")).select(lkey)
-        if left_over.limit(1).count() == 0:
-            break
-        pending = materialize(left_over)
-        step *= 4.0
-    return materialize(_union(settled))
+def _patterns(rows: DataFrame, cols: list[str]) -> list[frozenset]:
+    found = rows.select(_presence(cols).alias("p")).distinct().collect()          # bounded by the schema
+    return sorted((frozenset(int(i) for i in r["p"].split(",") if i) for r in found), key=sorted)
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def _in_lanes(rows: DataFrame, key: str, cols: list[str], lanes: list, side: str, value: Column) -> DataFrame:
+    """(lane, key, x, y) of every lane a row belongs to, by its pattern."""
+    pattern = _presence(cols)
+    entries = []
+    for number, lane in enumerate(lanes):
+        text = ",".join(str(i) for i in sorted(lane[side]))
+        entries.append(F.when(F.col("__p") == text, F.struct(
+            F.lit(number).alias("lane"), F.array(*[F.col(f"`{cols[i]}`") for i in sorted(lane["shared"])]).alias("x"),
+            value(lane).alias("y"))))
+    return (rows.withColumn("__p", pattern).select(F.col("__key").alias(key), F.explode(F.array_compact(F.array(*entries))).alias("e"))
+            .select("e.lane", key, "e.x", "e.y"))
 
 
-def pick_bands(stats, complete: list[str]) -> list[str]:
-    """Up to MAX_GRID_DIMS of the given columns, widest spread first."""
-    if not complete:
-        raise ValueError("exact k-NN needs a coordinate shared by both sides")
-    ranked = sorted(complete, key=lambda c: -(stats[f"sd_{c}"] or 0.0))
-    return [c for c in ranked if (stats[f"sd_{c}"] or 0.0) > 0][:MAX_GRID_DIMS] or ranked[:1]
-
-
-def _presence(prefix: str, cols: list[str]) -> Column:
-    bits = F.lit(0)
-    for i, c in enumerate(cols):
-        bits = bits + F.when(F.col(prefix + c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
-    return bits
-
-
-def _pattern_lanes(left: DataFrame, right: DataFrame, cols: list[str], st, k: int, band=None) -> list:
-    """One lane per (left presence pattern, right presence pattern) sharing a coordinate.
-
-    Patterns are bounded by the schema (at most 2^columns, in practice a
-    handful); each lane's grid uses the widest shared coordinates, so the
-    distance bound holds for every pair of the lane.
-    """
-    lp_col, rp_col = _presence("l_", cols), _presence("r_", cols)
-    lpats = [r["p"] for r in left.select(lp_col.alias("p")).distinct().collect()]
-    rpats = [r["p"] for r in right.select(rp_col.alias("p")).distinct().collect()]
-    # group donor patterns by the grid they get with each recipient pattern:
-    # one lane per (recipient pattern, grid dims); every pair is in exactly one lane
-    groups: dict = {}
-    for a in sorted(lpats):
-        for b in sorted(rpats):
-            common = [c for i, c in enumerate(cols) if (a >> i) & 1 and (b >> i) & 1]
-            if not common:
-                continue                 # no shared coordinate: distance undefined, never a donor
-            dims = tuple([band] if band in common else pick_bands(st, common))
-            groups.setdefault((a, dims), []).append(b)
-    lanes = []
-    for (a, dims), bs in groups.items():
-        rpart = right.where(rp_col.isin(*bs))
-        grid = make_grid(rpart, list(dims), "r_", k)
-        if grid is not None:
-            lanes.append((left.where(lp_col == a), rpart, grid))
-    return lanes
-
-
-def _reachable(right: DataFrame, cols: list[str], target: str) -> Column:
-    """Donors with ``target`` that share a coordinate with the left row, by its presence pattern."""
-    bit = 1 << cols.index(target)
-    donors = {r["p"]: r["n"] for r in right.groupBy(_presence("r_", cols).alias("p")).agg(
-        F.count(F.lit(1)).alias("n")).collect()}          # at most 2^columns patterns
-    shared = _presence("l_", cols)
-    total = F.lit(0)
-    for p, n in donors.items():
-        if p & bit:
-            total = total + F.when(shared.bitwiseAND(F.lit(p)) != 0, F.lit(n)).otherwise(F.lit(0))
-    return total
-
-
-def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, band: str | None = None) -> DataFrame:
+def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5) -> DataFrame:
     """Fill gaps in ``cols`` from the k nearest rows.
 
     NaN-aware Euclidean distance on the raw ``cols``; inverse-distance
     weights; if a chosen donor is at distance 0, the zero-distance donors
-    alone are averaged; a row sharing no coordinate with any donor gets the
-    column mean.  Columns that are entirely null are left as they are.
+    alone are averaged; equal distances go by key; a row sharing no
+    coordinate with any donor gets the column mean.  Columns that are
+    entirely null are left as they are.  ``key`` must be unique.
     """
-    base = df.select(F.col(key).alias("__key"), *[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
-    st = base.agg(F.count(F.lit(1)).alias("__n"), *[F.count(c).alias(c) for c in cols],
-                  *[F.stddev_pop(c).alias(f"sd_{c}") for c in cols],
-                  *[F.avg(c).alias(f"mean_{c}") for c in cols]).collect()[0]
-    n = st["__n"]
-    targets = [c for c in cols if 0 < st[c] < n]
-    usable = [c for c in cols if st[c] > 0]
+    base = df.select(F.col(f"`{key}`").alias("__key"), *[nan_to_null(F.col(f"`{c}`").cast("double")).alias(c) for c in cols])
+    st = base.agg(F.count(F.lit(1)).alias("__n"), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)],
+                  *[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
+    have = {c: st[f"n{i}"] for i, c in enumerate(cols)}
+    mean = {c: st[f"m{i}"] for i, c in enumerate(cols)}
+    usable = [c for c in cols if have[c] > 0]
+    targets = [c for c in usable if have[c] < st["__n"]]
     if not targets:
         return df
-    any_gap = F.lit(False)
-    for c in targets:
-        any_gap = any_gap | F.col(c).isNull()
-    left = (base.where(any_gap)
-            .select(F.col("__key").alias("l_key"), *[F.col(c).alias(f"l_{c}") for c in usable]))
-    right = base.select(F.col("__key").alias("r_key"), *[F.col(c).alias(f"r_{c}") for c in usable])
-    dist = nan_euclidean([f"l_{c}" for c in usable], [f"r_{c}" for c in usable])
-    lanes = _pattern_lanes(left, right, usable, st, k, band)
-    if not lanes:                        # no row with a gap shares a coordinate with any other
-        return df.select(*[F.coalesce(nan_to_null(F.col(f"`{c}`").cast("double")), F.lit(st[f"mean_{c}"])).alias(c)
-                           if c in targets else F.col(f"`{c}`") for c in df.columns])
-    need = {c: (F.col(f"l_{c}").isNull(), F.col(f"l_{c}").isNull() & F.col(f"r_{c}").isNotNull(),
-                _reachable(right, usable, c)) for c in targets}
-    radius = radius_search(lanes, left, "l_key", dist, k, need)
-    cand = (_union([grid_join(lp.join(radius, on="l_key"), rp, g, F.col("__radius")) for lp, rp, g in lanes])
-            .withColumn("__d", dist).where(F.col("__d").isNotNull()))
-    per_col = []
-    for c in targets:
-        w = Window.partitionBy("l_key").orderBy("__d", "r_key")
-        top = (cand.where(F.col(f"l_{c}").isNull() & F.col(f"r_{c}").isNotNull())
-               .select("l_key", "r_key", "__d", F.col(f"r_{c}").alias("__v"))
-               .withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k))
-        zero = F.col("__d") == 0
-        agg = top.groupBy("l_key").agg(
-            F.count_if(zero).alias("__z"),
-            F.avg(F.when(zero, F.col("__v"))).alias("__zavg"),
-            F.try_divide(F.sum(F.try_divide(F.col("__v"), F.col("__d"))),
-                         F.sum(F.try_divide(F.lit(1.0), F.col("__d")))).alias("__wavg"))
-        per_col.append(agg.select("l_key", F.lit(c).alias("__col"),
-                                  F.when(F.col("__z") > 0, F.col("__zavg")).otherwise(F.col("__wavg"))
-                                  .alias("__fill")))
-    wide = (_union(per_col).groupBy("l_key").pivot("__col", targets).agg(F.first("__fill"))
-            .select(F.col("l_key").alias("__key"), *[F.col(c).alias(f"__fill_{c}") for c in targets]))
-    out = df.withColumn("__key", F.col(key)).join(wide, on="__key", how="left")
-    return out.select(*[
-        F.coalesce(nan_to_null(F.col(c).cast("double")), F.col(f"__fill_{c}"),
-                   F.lit(st[f"mean_{c}"])).alias(c) if c in targets else F.col(c)
-        for c in df.columns])
-
-
-# Training values (rows x dimensions) sent to every task at most; beyond that the grid join runs.
-MAX_SENT_VALUES = 8_000_000
-
-
-def _nearest_sent(tr: DataFrame, te: DataFrame, k: int, l_kind: str, y_kind: str) -> DataFrame:
-    """(l_key, r_y) of the k nearest training rows: the training rows, of checked size, go to the
-    tasks, and every test row is compared there; linear in the test rows, nothing is shuffled."""
-    rows = tr.orderBy("r_key").collect()
-    y_type = to_arrow_type(tr.schema["r_y"].dataType)
-    shared = tr.sparkSession.sparkContext.broadcast(
-        (np.array([r["r_x"] for r in rows], float).reshape(len(rows), -1), [r["r_y"] for r in rows]))
-
-    def run(batches):
-        x, y = shared.value
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            out_keys, out = [], []
-            for key, v in zip(keys, batch.column(1).to_pylist()):
-                if v is None or not len(y):
-                    continue
-                d = np.sqrt(((x - np.array(v, float)) ** 2).cumsum(axis=1)[:, -1]) if x.shape[1] else np.zeros(len(y))
-                near = np.argsort(d, kind="stable")[:k]          # training rows stand in key order
-                out_keys += [key] * len(near)
-                out += [y[i] for i in near]
-            yield pa.RecordBatch.from_arrays([pa.array(out_keys, batch.column(0).type), pa.array(out, y_type)], ["l_key", "r_y"])
-
-    return te.select("l_key", "l_x").mapInArrow(run, f"l_key {l_kind}, r_y {y_kind}")
+    patterns = _patterns(base, usable)
+    lanes = []
+    for place, c in enumerate(usable):
+        if c not in targets:
+            continue
+        for mine in patterns:
+            for theirs in patterns:
+                shared = mine & theirs
+                if place not in mine and place in theirs and shared:
+                    lanes.append({"target": c, "recipient": mine, "donor": theirs, "shared": shared})
+    fills = None
+    if lanes:
+        asked = _in_lanes(base, "q", usable, lanes, "recipient", lambda lane: F.lit(0.0)).drop("y")
+        donors = _in_lanes(base, "key", usable, lanes, "donor", lambda lane: F.col(f"`{lane['target']}`"))
+        factors = {i: float(len(usable)) / len(lane["shared"]) for i, lane in enumerate(lanes)}
+        found = nearest(asked, donors, k, factors).rows
+        target = F.element_at(F.array(*[F.lit(targets.index(lane["target"])) for lane in lanes]), F.col("lane") + 1)
+        best = Window.partitionBy("q", "target").orderBy("d", "key")
+        top = (found.withColumn("target", target).withColumn("at", F.row_number().over(best)).where(F.col("at") <= k))
+        zero = F.col("d") == 0
+        per = top.groupBy("q", "target").agg(
+            F.count_if(zero).alias("z"), F.avg(F.when(zero, F.col("y"))).alias("zero_mean"),
+            F.try_divide(F.sum(F.try_divide(F.col("y"), F.col("d"))), F.sum(F.try_divide(F.lit(1.0), F.col("d")))).alias("weighted"))
+        fill = F.when(F.col("z") > 0, F.col("zero_mean")).otherwise(F.col("weighted"))
+        fills = per.groupBy("q").agg(*[F.max(F.when(F.col("target") == i, fill)).alias(f"__fill{i}") for i in range(len(targets))])
+    out = df.withColumn("__key", F.col(f"`{key}`"))
+    if fills is not None:
+        out = out.join(fills.withColumnRenamed("q", "__key"), on="__key", how="left")
+
+    def filled(c):
+        near = [F.col(f"__fill{targets.index(c)}")] if fills is not None else []
+        return F.coalesce(nan_to_null(F.col(f"`{c}`").cast("double")), *near, F.lit(mean[c])).alias(c)
+
+    return out.select(*[filled(c) if c in targets else F.col(f"`{c}`") for c in df.columns])
 
 
 def knn_predict(train: DataFrame, test: DataFrame, key: str, features: str, label: str, k: int = 5,
@@ -319,31 +103,13 @@ def knn_predict(train: DataFrame, test: DataFrame, key: str, features: str, labe
     """k-NN classifier (majority vote, smallest label on ties; vote shares by label as ``votes``)
     or regressor (uniform mean) over an array<double> column.
 
-    Exact.  Training rows of at most MAX_SENT_VALUES values are sent to the tasks; more are found
-    by a grid join over the array coordinates with the widest spread.  ``key`` must be unique in
-    the test rows.
+    Exact, at any size.  ``key`` must be unique in both frames; a test row with a null or missing
+    coordinate, or without any training row, gets no result.
     """
-    tr = train.select(F.col(key).alias("r_key"), F.col(features).cast("array<double>").alias("r_x"),
-                      F.col(label).alias("r_y"))
-    te = test.select(F.col(key).alias("l_key"), F.col(features).cast("array<double>").alias("l_x"))
-    size = tr.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("r_x")).alias("d")).first()
-    n_train, dims = size["n"], size["d"] or 0
-    if n_train * max(1, dims) <= MAX_SENT_VALUES:
-        top = _nearest_sent(tr, te, k, te.schema["l_key"].dataType.simpleString(), tr.schema["r_y"].dataType.simpleString())
-        return _vote(top, key, mode)
-    sds = tr.agg(*[F.stddev_pop(F.col("r_x")[i]).alias(f"s{i}") for i in range(dims)]).collect()[0]
-    ranked = sorted(range(dims), key=lambda i: -(sds[f"s{i}"] or 0.0))
-    picked = [i for i in ranked if (sds[f"s{i}"] or 0.0) > 0][:MAX_GRID_DIMS] or ranked[:1]
-    for j, i in enumerate(picked):
-        tr = tr.withColumn(f"r_b{j}", F.col("r_x")[i])
-        te = te.withColumn(f"l_b{j}", F.col("l_x")[i])
-    grid = make_grid(tr, [f"b{j}" for j in range(len(picked))], "r_", k)
-    dist = array_euclidean("l_x", "r_x")
-    need = {"y": (F.lit(True), F.lit(True), n_train)}
-    radius = radius_search([(te, tr, grid)], te, "l_key", dist, k, need)
-    w = Window.partitionBy("l_key").orderBy("__d", "r_key")
-    top = (grid_join(te.join(radius, on="l_key"), tr, grid, F.col("__radius"))
-           .withColumn("__d", dist).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k))
+    donors = train.select(F.lit(0).alias("lane"), F.col(f"`{key}`").alias("key"), F.col(features).cast("array<double>").alias("x"),
+                          F.col(label).alias("y"))
+    asked = test.select(F.lit(0).alias("lane"), F.col(f"`{key}`").alias("q"), F.col(features).cast("array<double>").alias("x"))
+    top = nearest(asked, donors, k).rows.select(F.col("q").alias("l_key"), F.col("y").alias("r_y"))
     return _vote(top, key, mode)
 
 

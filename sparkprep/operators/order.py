@@ -141,6 +141,12 @@ def running_sum(df: DataFrame, value: str, order_by: str, partition_by=(), out:
     points; the groups must then be few (e.g. one per column of a table),
     since their cut arrays and carries are broadcast.
     """
+    return running_sums(df, {value: out}, order_by, partition_by, inclusive, buckets, cuts_per_group)
+
+
+def running_sums(df: DataFrame, values: dict, order_by: str, partition_by=(), inclusive: bool = False,
+                 buckets: int | None = None, cuts_per_group: bool = False) -> DataFrame:
+    """``running_sum`` of several columns at once, as value -> name of its sum, over one shuffle and one carry."""
     groups = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     nb = buckets or default_buckets(df)
     if cuts_per_group and groups:
@@ -161,32 +167,33 @@ def running_sum(df: DataFrame, value: str, order_by: str, partition_by=(), out:
     else:
         data = df.withColumn(_B, bucket_of(F.col(order_by), cut_points(df, order_by, nb)))
     keys = groups + [_B]
+    names = list(values)
     w = (Window.partitionBy(*keys).orderBy(F.col(order_by).asc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = data.withColumn("__run", F.sum(value).over(w))
-    totals = data.groupBy(*keys).agg(F.sum(value).alias("__tot"))      # partial aggregate
+    local = data.withColumns({f"__run{i}": F.sum(v).over(w) for i, v in enumerate(names)})
+    totals = data.groupBy(*keys).agg(*[F.sum(v).alias(f"__tot{i}") for i, v in enumerate(names)])      # partial aggregate
+    carried = [f"__carry{i}" for i in range(len(names))]
     if groups and not cuts_per_group:
         cw = (Window.partitionBy(*groups).orderBy(F.col(_B).asc())
               .rowsBetween(Window.unboundedPreceding, -1))
-        carry = totals.select(*keys, F.coalesce(F.sum("__tot").over(cw), F.lit(0)).alias("__carry"))
+        carry = totals.select(*keys, *[F.coalesce(F.sum(f"__tot{i}").over(cw), F.lit(0)).alias(c) for i, c in enumerate(carried)])
         joined = local.join(carry, on=keys, how="left")
     else:
         # (#groups x buckets) rows, bounded: prefix sums on the driver, broadcast back
         rows = sorted(totals.collect(), key=lambda r: (tuple(r[g] for g in groups), r[_B]))
-        acc, carried = {}, []
+        acc, before = {}, []
         for r in rows:
             g = tuple(r[g] for g in groups)
-            carried.append((*g, r[_B], acc.get(g, 0)))
-            acc[g] = acc.get(g, 0) + (r["__tot"] or 0)
-        vtype = df.schema[value].dataType
-        schema = T.StructType([df.schema[g] for g in groups] + [T.StructField(_B, T.IntegerType()),
-                                                               T.StructField("__carry", _sum_type(vtype))])
-        carry = df.sparkSession.createDataFrame(carried, schema)
+            now = acc.setdefault(g, [0] * len(names))
+            before.append((*g, r[_B], *now))
+            acc[g] = [a + (r[f"__tot{i}"] or 0) for i, a in enumerate(now)]
+        schema = T.StructType([df.schema[g] for g in groups] + [T.StructField(_B, T.IntegerType())] +
+                              [T.StructField(c, _sum_type(df.schema[v].dataType)) for c, v in zip(carried, names)])
+        carry = df.sparkSession.createDataFrame(before, schema)
         joined = local.join(F.broadcast(carry), on=keys, how="left")
-    run = F.col("__run") + F.col("__carry")
-    if not inclusive:
-        run = run - F.col(value)
-    return joined.withColumn(out, run).drop("__run", "__carry", _B)
+    sums = {out: F.col(f"__run{i}") + F.col(f"__carry{i}") - (F.lit(0) if inclusive else F.col(v))
+            for i, (v, out) in enumerate(values.items())}
+    return joined.withColumns(sums).drop(*carried, *[f"__run{i}" for i in range(len(names))], _B)
 
 
 def _sum_type(dt):

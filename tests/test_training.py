@@ -69,14 +69,11 @@ def test_nearest_of_a_far_query_and_one_column(spark):
     assert filled.v == pytest.approx(14.5)                   # shares no coordinate with any row: the mean
     rows = [(i, [float(i % 5), float(i % 3)], i % 2) for i in range(60)]
     train = spark.createDataFrame(rows, "id long, x array<double>, y int")
-    far = spark.createDataFrame([(1000, [1e13, -1e13])], "id long, x array<double>")
-    sent = neighbors.knn_predict(train, far, "id", "x", "y").select("id", "prediction").collect()
-    limit, neighbors.MAX_SENT_VALUES = neighbors.MAX_SENT_VALUES, 0
-    try:
-        joined = neighbors.knn_predict(train, far, "id", "x", "y").select("id", "prediction").collect()
-    finally:
-        neighbors.MAX_SENT_VALUES = limit
-    assert sent == joined and len(sent) == 1
+    far = spark.createDataFrame([(1000, [1e13, -1e13]), (1001, None)], "id long, x array<double>")
+    found = neighbors.knn_predict(train, far, "id", "x", "y").select("id", "prediction").collect()
+    near = sorted((((1e13 - x[0]) ** 2 + (-1e13 - x[1]) ** 2) ** 0.5, i, y) for i, x, y in rows)[:5]
+    votes = [y for *_, y in near]
+    assert [(r.id, r.prediction) for r in found] == [(1000, 0 if votes.count(0) >= 3 else 1)]
 
 
 def test_many_cuts_place_like_few(spark):
