@@ -36,10 +36,19 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
         F.col(f"`{id_col}`").cast("long").alias("id"), x.alias("v"))
 
 
-def _dot(block: np.ndarray, q: np.ndarray, exact_float: bool) -> np.ndarray:
-    if exact_float:                      # every partial sum below 2**53: doubles are exact
-        return (block.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    return block @ q
+class Block:
+    """Vectors of one length with one list per dimension, sorted by component."""
+
+    def __init__(self, vecs: np.ndarray, ids: np.ndarray):
+        self.vecs, self.ids, self.n = vecs, ids, len(ids)
+        self.floats = vecs.astype(np.float64)
+        self.most = float(np.abs(vecs).max(initial=0))
+        self.lists = np.argsort(vecs, axis=0, kind="stable").astype(np.int32)      # [rank, dimension] -> row
+
+    def scores(self, rows: np.ndarray, q: np.ndarray, exact_float: bool) -> np.ndarray:
+        if exact_float:                  # every partial sum below 2**53: doubles are exact
+            return (self.floats[rows] @ q).astype(np.int64)
+        return self.vecs[rows] @ q
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int):
@@ -47,50 +56,52 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int):
     return score[order], ids[order]
 
 
-def threshold_topk(vecs: np.ndarray, ids: np.ndarray, lists: np.ndarray, q: np.ndarray, own: int, k: int,
-                   score: np.ndarray, found: np.ndarray):
+def threshold_topk(block: Block, q: np.ndarray, own: int, k: int, score: np.ndarray, found: np.ndarray):
     """Merge a block into a query's (score, id) of the k best so far; ties go to the smaller id.
 
-    lists[r, d] is the row with the r-th smallest component d.  Own rows are passed over.
-    Returns the merged pair and the number of list rows read.
+    Own rows are passed over.  Returns the merged pair and the depth to which the lists were read:
+    that at which the bound of what is unread falls below the k-th score, or nothing is left unmet.
     """
-    n = len(ids)
+    n, ids = block.n, block.ids
     dims = np.flatnonzero(q)
     if not len(dims):                    # every score is zero: the smallest ids win
         rest = np.sort(ids[ids != own])[:k]
         return (*_best(np.concatenate([score, np.zeros(len(rest), np.int64)]), np.concatenate([found, rest]), k), 0)
     weight = q[dims]
-    exact = float(np.abs(vecs).max(initial=0)) * float(np.abs(weight).max()) * len(dims) < 2.0 ** 52
-    up = weight > 0
-    seen = np.zeros(n, bool)
-    depth, step = 0, 32
-    while depth < n:
+    exact = block.most * float(np.abs(weight).max()) * len(dims) < 2.0 ** 52
+    wide = q.astype(np.float64) if exact else q
+    up, down = dims[weight > 0], dims[weight < 0]      # lists read from their largest and smallest ends
+    met = np.zeros(n, bool)
+    unmet, depth, step = n, 0, 32
+    while unmet:
         upto = min(n, depth + step)
-        ranks = np.arange(depth, upto)
-        rows = np.where(up, lists[n - 1 - ranks][:, dims], lists[ranks][:, dims])
-        new = np.unique(rows)
-        new = new[~seen[new]]
-        seen[new] = True
+        now = np.zeros(n, bool)
+        now[block.lists[n - upto:n - depth, up]] = True
+        now[block.lists[depth:upto, down]] = True
+        new = np.flatnonzero(now & ~met)
+        met[new] = True
+        unmet -= len(new)
         new = new[ids[new] != own]
         if len(new):
-            got = _dot(vecs[new][:, dims], weight, exact)
+            got = block.scores(new, wide, exact)
             if len(score) == k:
                 keep = got >= score[-1]
                 got, new = got[keep], new[keep]
             score, found = _best(np.concatenate([score, got]), np.concatenate([found, ids[new]]), k)
         depth, step = upto, step * 2
-        if len(score) == k:
-            bound = int((vecs[rows[-1], dims] * weight).sum())
+        if len(score) == k and unmet:
+            bound = (int((block.vecs[block.lists[n - upto, up], up] * q[up]).sum())
+                     + int((block.vecs[block.lists[upto - 1, down], down] * q[down]).sum()))
             if bound < score[-1]:        # strictly: an equal score could still win by its id
                 break
     return score, found, depth
 
 
-def _merge(queries: list[tuple[np.ndarray, np.ndarray]], k: int):
-    """queries: (ids, matrix) of each vector length."""
+def _merge(shared, k: int):
+    """``shared`` holds (ids, matrix) of each vector length."""
     def run(batches):
-        state = {len_: [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids] for ids, m in queries
-                 for len_ in [m.shape[1]]}
+        queries = shared.value
+        state = {m.shape[1]: [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids] for ids, m in queries}
 
         def block(table):
             width = np.asarray(pc.list_value_length(table.column(1)))
@@ -101,15 +112,23 @@ def _merge(queries: list[tuple[np.ndarray, np.ndarray]], k: int):
                 if not len(mine):
                     continue
                 flat = table.column(1).take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False)
-                vecs, own_ids = flat.reshape(len(mine), d), ids[mine]
-                lists = np.argsort(vecs, axis=0, kind="stable")
+                vectors = Block(flat.reshape(len(mine), d), ids[mine])
                 for i, qid in enumerate(qids):
                     score, found = state[d][i]
-                    state[d][i] = threshold_topk(vecs, own_ids, lists, matrix[i], qid, k, score, found)[:2]
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                block(batch.slice(at, BLOCK_ROWS))
+                    state[d][i] = threshold_topk(vectors, matrix[i], qid, k, score, found)[:2]
+
+        held, rows = [], 0
+        for batch in batches:            # small Arrow batches meet in a block
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= BLOCK_ROWS:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                for at in range(0, rows - rows % BLOCK_ROWS, BLOCK_ROWS):
+                    block(whole.slice(at, BLOCK_ROWS))
+                held = [whole.slice(rows - rows % BLOCK_ROWS)]
+                rows %= BLOCK_ROWS
+        if rows:
+            block(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
         for qids, m in queries:
             for qid, (score, found) in zip(qids, state[m.shape[1]]):
                 if len(score):
@@ -138,6 +157,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     if blocks > 1:
         asked = save(asked, "topk_queries")
     schema = "query_id long, vec_id long, score long"
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+
+    def ranked(found):
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
     parts = []
     for b in range(blocks):
         rows = asked.where(F.col("block") == b).orderBy("id").collect()
@@ -146,13 +170,17 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             by_len.setdefault(len(r["v"]), []).append(r)
         sent = [(np.array([r["id"] for r in g], np.int64), np.array([r["v"] for r in g], np.int64).reshape(len(g), n))
                 for n, g in by_len.items()]
-        if sent:
-            parts.append(candidates.select("id", "v").mapInArrow(_merge(sent, k), schema))
+        if not sent:
+            continue
+        shared = spark.sparkContext.broadcast(sent)
+        part = ranked(candidates.select("id", "v").mapInArrow(_merge(shared, k), schema))
+        if blocks > 1:                   # one block of queries is held at a time
+            part = save(part, "topk_block")
+            shared.destroy()
+        parts.append(part)
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast(T.IntegerType()).alias("rank"), "vec_id", "score"))
+    return found.select("query_id", F.col("rank").cast(T.IntegerType()).alias("rank"), "vec_id", "score")

@@ -49,16 +49,26 @@ def test_stops_before_the_lists_end():
     rng = np.random.RandomState(3)
     vecs = rng.randint(0, 100, (5000, 4)).astype(np.int64)
     vecs[17] = 10_000
-    lists = np.argsort(vecs, axis=0, kind="stable")
     none = np.zeros(0, np.int64)
-    score, found, depth = topk.threshold_topk(vecs, np.arange(5000), lists, np.array([1, 2, 3, 4]), -1, 1, none, none)
+    score, found, depth = topk.threshold_topk(topk.Block(vecs, np.arange(5000)), np.array([1, 2, 3, 4]), -1, 1, none, none)
     assert found.tolist() == [17] and depth < 100
 
 
+def test_reads_below_half_of_dense_lists():
+    rng = np.random.RandomState(4)
+    block = topk.Block((rng.randn(8192, 64) * 300).astype(np.int64), np.arange(8192))
+    none = np.zeros(0, np.int64)
+    for _ in range(5):
+        q = (rng.randn(64) * 300).astype(np.int64)
+        score, found, depth = topk.threshold_topk(block, q, -1, 10, none, none)
+        want = np.lexsort((block.ids, -(block.vecs @ q)))[:10]
+        assert found.tolist() == want.tolist() and depth < block.n / 2
+
+
 @pytest.mark.parametrize("scale", [1, 10 ** 8])
 def test_scores_are_exact_integers(scale):
     vecs = np.array([[3 * scale, -5 * scale], [7 * scale, 11 * scale + 1]], np.int64)
     none = np.zeros(0, np.int64)
     q = np.array([scale + 1, scale - 1])
-    score, found, _ = topk.threshold_topk(vecs, np.array([1, 2]), np.argsort(vecs, axis=0), q, 9, 2, none, none)
+    score, found, _ = topk.threshold_topk(topk.Block(vecs, np.array([1, 2])), q, 9, 2, none, none)
     assert dict(zip(found.tolist(), score.tolist())) == {i: int(v[0]) * int(q[0]) + int(v[1]) * int(q[1]) for i, v in zip((1, 2), vecs)}
