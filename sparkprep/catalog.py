@@ -469,6 +469,24 @@ def q_hist(spark, sf_dir):
     return before.unionByName(after)
 
 
+def _extreme_hist_sql() -> str:
+    return V(f"""
+, e AS (SELECT amt FROM extreme_orders),
+capped AS (SELECT CASE WHEN amt < q1 - 1.5 * (q3 - q1) THEN q1 - 1.5 * (q3 - q1)
+  WHEN amt > q3 + 1.5 * (q3 - q1) THEN q3 + 1.5 * (q3 - q1) ELSE amt END AS amt FROM e,
+  (SELECT quantile_cont(amt, 0.25) AS q1, quantile_cont(amt, 0.75) AS q3 FROM e) AS q)
+{_hist_sql('e', 'amt', 'before')}
+UNION ALL
+{_hist_sql('capped', 'amt', 'after')}""", "extreme_orders")
+
+
+@register("hist_before_after_extreme", _extreme_hist_sql())
+def q_hist_extreme(spark, sf_dir):
+    d = dirt.extreme_orders(spark, sf_dir).select("amt")
+    after = profile.histogram(outliers.cap_iqr(d, "amt"), "amt", stage="after")
+    return profile.histogram(d, "amt", stage="before").unionByName(after)
+
+
 @register("histogram_totalprice", _hist_sql("orders", "o_totalprice", "raw"))
 def q_hist_price(spark, sf_dir):
     return profile.histogram(table(spark, sf_dir, "orders"), "o_totalprice", stage="raw")
@@ -590,9 +608,22 @@ def q_corr_spearman_gaps(spark, sf_dir):
     return correlate.correlations(_gappy_lineitem(spark, sf_dir), method="spearman").select("col_a", "col_b", "n", "r")
 
 
-@register("corr_pvalues")
+def _pvalue_sql(panels: int = 200_000) -> str:
+    """Two-sided p of t by midpoints: with t = sqrt(df) tan(x) the density goes with cos(x) ** (df - 1)."""
+    return f"""
+WITH c AS ({_corr_sql('lineitem', _CORR_COLS).replace(', 4) AS r FROM', ', 15) AS r FROM')}),
+t AS (SELECT *, n - 2 AS df, CASE WHEN abs(r) < 1 THEN abs(r) * sqrt((n - 2) / (1 - r * r)) END AS t FROM c),
+x AS (SELECT *, atan(t / sqrt(df)) AS low, least(pi() / 2, 40 / sqrt(df)) AS reach FROM t),
+m AS (SELECT col_a, col_b, sum(CASE WHEN low + reach * (i + 0.5) / {panels} < pi() / 2
+        THEN exp((df - 1) * ln(cos(low + reach * (i + 0.5) / {panels}))) ELSE 0 END) AS tail,
+      sum(CASE WHEN reach * (i + 0.5) / {panels} < pi() / 2 THEN exp((df - 1) * ln(cos(reach * (i + 0.5) / {panels}))) ELSE 0 END) AS whole
+      FROM x, (SELECT unnest(range({panels})) AS i) AS p GROUP BY col_a, col_b)
+SELECT t.col_a, t.col_b, t.idx_a, t.idx_b, t.n, round(t.r, 4) AS r, round(tail / whole, 4) AS p FROM t JOIN m USING (col_a, col_b)"""
+
+
+@register("corr_pvalues", _pvalue_sql())
 def q_corr_pvalues(spark, sf_dir):
-    return correlate.correlations(table(spark, sf_dir, "lineitem"), _CORR_COLS, "pearson")
+    return correlate.correlations(table(spark, sf_dir, "lineitem"), _CORR_COLS, "pearson").drop("t")
 
 
 @register("significant_pairs")
@@ -1303,6 +1334,30 @@ def _manual(spark, sf_dir, method: str) -> DataFrame:
     return out.select("o_orderkey", "price_txt", "prio", "amt")
 
 
+@register("manual_clean_knn", V(f"""
+, conv AS (SELECT o_orderkey, {sql_coerce('price_txt')} AS price_txt, prio, amt, o_orderdate FROM dirty_orders),
+crit AS (SELECT * FROM (SELECT DISTINCT * FROM conv) AS x WHERE price_txt IS NOT NULL)
+SELECT o_orderkey, price_txt, coalesce(prio, {_mode_sql('crit', 'prio')}) AS prio, amt FROM crit""", "dirty_orders"))
+def q_manual_knn(spark, sf_dir):
+    """After the drop no numeric gap is left, so the neighbours change nothing; the gaps are manual_clean_knn_fill's."""
+    return _manual(spark, sf_dir, "knn")
+
+
+@register("manual_clean_knn_fill", V(f"""
+, base AS (SELECT p_partkey, CAST(p_partkey AS DOUBLE) AS f1, CAST(p_size AS DOUBLE) AS f2, CAST(p_retailprice AS DOUBLE) AS f3
+           FROM (SELECT DISTINCT * FROM gappy_part) AS x WHERE p_size IS NOT NULL),
+r AS (SELECT * FROM base WHERE f3 IS NULL),
+pairs AS (SELECT r.p_partkey AS rk, d.p_partkey AS dk, d.f3 AS v,
+  sqrt(3.0 / 2 * ((r.f1 - d.f1) * (r.f1 - d.f1) + (r.f2 - d.f2) * (r.f2 - d.f2))) AS dist FROM r, base AS d WHERE d.f3 IS NOT NULL),
+f AS (SELECT rk, CASE WHEN count(*) FILTER (WHERE dist = 0) > 0 THEN avg(v) FILTER (WHERE dist = 0) ELSE sum(v / dist) / sum(1.0 / dist) END AS fill
+      FROM (SELECT *, row_number() OVER (PARTITION BY rk ORDER BY dist, dk) AS rn FROM pairs) AS x WHERE rn <= 5 GROUP BY rk)
+SELECT p_partkey, f2 AS p_size, round(coalesce(f3, fill), 6) AS p_retailprice FROM base LEFT JOIN f ON rk = p_partkey""", "gappy_part"))
+def q_manual_knn_fill(spark, sf_dir):
+    part = dirt.gappy_part(spark, sf_dir).select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    out, _ = ManualClean(key="p_partkey", critical=["p_size"], method="knn").run(part)
+    return out.select("p_partkey", "p_size", F.round("p_retailprice", 6).alias("p_retailprice"))
+
+
 @register("manual_clean_ffill", _manual_order_sql("last_value", "UNBOUNDED PRECEDING"))
 def q_manual_ffill(spark, sf_dir):
     return _manual(spark, sf_dir, "ffill")

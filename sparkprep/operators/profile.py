@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.constants import HISTOGRAM_BINS
 from ..functions.numeric import nan_to_null, skew_label
 from ..functions.types import is_floating, numeric_columns
-from .clean import duplicate_count, missing_cells
+from .clean import duplicate_count, missing_expr
 from .quantiles import quantile_map
 
 # Pandas dtype names shown for Spark types.
@@ -75,10 +75,9 @@ def distinct_counts(df: DataFrame, cols=None) -> DataFrame:
 
 def overview(df: DataFrame) -> DataFrame:
     """rows, columns, missing cells, duplicate rows."""
-    rows = df.agg(F.count(F.lit(1)).alias("rows")).collect()[0]["rows"]
-    missing = missing_cells(df).collect()[0]["missing"]
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), missing_expr(df).alias("missing")).collect()[0]
     dupes = duplicate_count(df).collect()[0]["duplicates"]
-    return df.sparkSession.createDataFrame([(rows, len(df.columns), missing, dupes)],
+    return df.sparkSession.createDataFrame([(seen["rows"], len(df.columns), seen["missing"], dupes)],
                                            "rows long, columns long, missing long, duplicates long")
 
 

@@ -1,14 +1,14 @@
 """Exact linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``).
 
 ``auto`` takes columns with at most SMALL_DISTINCT (estimated) distinct
-values from their (value, count) table and refines the others: a bounded
-sample brackets every target rank, exact counts place the bracket, and
-when it holds at most ``max_collect`` rows its (value, count) pairs are
-collected and walked; otherwise the next round samples inside it.  A
-bracket that missed its rank is made wider, and a column that is still too
-wide after the last round goes to the rank walk, so what the driver
-receives is always bounded.  No round merges sketches or value maps in
-one task.
+values from their (value, count) table and refines the others: a small
+sample gives a column cut points, one pass counts exactly how many rows lie
+at and between them, and so places every target rank at a cut point or in
+a gap between two.  A gap of at most ``max_collect`` rows is collected as
+(value, count) pairs and walked; a larger one is sampled and counted again.
+Only counts of cells travel, so what the driver receives is always bounded,
+and a value held by many rows is found by its count.  No round merges
+sketches or value maps in one task.
 
 Other methods: ``frequency`` (always the value-count table), ``refine``
 (always the refinement), ``distributed`` (value frequencies + bucketed
@@ -19,13 +19,14 @@ is merged and sorted in one task), ``approx`` (sketch values).
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nan_to_null
-from .order import running_sum
+from .order import bucket_of, running_sum
 
 # Columns with at most this many (approximate, rsd 5%) distinct values are
 # answered from their (value, count) table: a hash aggregate whose partial
@@ -138,125 +139,147 @@ def _frequency(df: DataFrame, cols: list[str], probs: list[float], cap: int):
     return rows
 
 
-ACCURACY = 40_000          # values sampled from a bracket, about
+SAMPLE = 2_000             # values sampled from a gap, about
+CUTS = 255                 # cut points of a gap at most
 MAX_COLLECT = 20_000
 
 
-def _refine(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = ACCURACY,
-            max_collect: int = MAX_COLLECT, max_rounds: int = 12) -> DataFrame:
+def _refine(df: DataFrame, cols: list[str], probs: list[float], max_collect: int = MAX_COLLECT,
+            max_rounds: int = 12) -> DataFrame:
     # several passes read the same narrow projection: keep it (spillable) for
     # the rounds; lost blocks are recomputed from lineage
-    vals = (df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
+    # (adding zero makes one value of the two zeros)
+    vals = (df.select(*[(nan_to_null(F.col(f"`{c}`").cast("double")) + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(cols)])
             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        return _refine_rounds(df, vals, cols, probs, accuracy, max_collect, max_rounds)
+        return _refine_rounds(df, vals, cols, probs, max_collect, max_rounds)
     finally:
         vals.unpersist()
 
 
-def _refine_rounds(df: DataFrame, vals: DataFrame, cols: list[str], probs: list[float], accuracy: int,
-                   max_collect: int, max_rounds: int) -> DataFrame:
+@dataclass
+class _Rank:
+    """A rank of a column that is looked for: in the open interval (low, high), which holds ``rows`` rows
+    after ``before`` smaller ones, until ``value`` is known."""
+
+    col: int
+    rank: int
+    rows: int
+    before: int = 0
+    low: float | None = None
+    high: float | None = None
+    value: float | None = None
+
+    @property
+    def gap(self) -> tuple:
+        return self.col, self.low, self.high
+
+
+def _in_gap(gap: tuple):
+    col, low, high = gap
+    v = F.col(f"v{col}")
+    cond = v.isNotNull()
+    if low is not None:
+        cond = cond & (v > F.lit(low))
+    if high is not None:
+        cond = cond & (v < F.lit(high))
+    return cond
+
+
+def _gap_cuts(vals: DataFrame, sizes: dict, turn: int) -> dict:
+    """gap -> cut points out of about SAMPLE of its values, all gaps in one pass."""
+    gaps = list(sizes)
+    picks = F.array(*[F.when(_in_gap(g) & (F.rand(17 * turn + j) < F.lit(min(1.0, SAMPLE / sizes[g]))),
+                             F.struct(F.lit(j).alias("j"), F.col(f"v{g[0]}").alias("v"))) for j, g in enumerate(gaps)])
+    got = (vals.select(F.explode(F.filter(picks, lambda x: x.isNotNull())).alias("s")).select("s.j", "s.v")
+           .limit(4 * SAMPLE * len(gaps)).collect())
+    seen: dict = {}
+    for r in got:
+        seen.setdefault(r["j"], []).append(r["v"])
+    found = {}
+    for j, values in seen.items():
+        values.sort()
+        found[gaps[j]] = sorted({values[len(values) * i // (CUTS + 1)] for i in range(1, CUTS + 1)})
+    return found
+
+
+def _cell_counts(vals: DataFrame, cuts: dict) -> dict:
+    """gap -> {(cell, at its lower cut point): rows}, exactly, for all gaps in one pass."""
+    gaps = list(cuts)
+    cells = F.array(*[F.when(_in_gap(g), F.struct(F.lit(j).alias("j"), bucket_of(F.col(f"v{g[0]}"), cuts[g]).alias("cell"),
+                                                  F.col(f"v{g[0]}").isin(*[F.lit(x) for x in cuts[g]]).alias("at")))
+                      for j, g in enumerate(gaps)])
+    got = (vals.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("s"))
+           .groupBy("s.j", "s.cell", "s.at").agg(F.count(F.lit(1)).alias("n")).collect())
+    found: dict = {g: {} for g in gaps}
+    for r in got:
+        found[gaps[r["j"]]][r["cell"], r["at"]] = r["n"]
+    return found
+
+
+def _narrow(t: _Rank, cuts: list, cells: dict) -> None:
+    """Move a rank to the cut point or the gap in which it lies."""
+    before = t.before
+    for cell in range(len(cuts) + 1):
+        for at in (True, False):
+            n = cells.get((cell, at), 0)
+            if t.rank >= before + n:
+                before += n
+                continue
+            if at:
+                t.value = cuts[cell - 1]
+            else:
+                t.low = cuts[cell - 1] if cell else t.low
+                t.high = cuts[cell] if cell < len(cuts) else t.high
+                t.before, t.rows = before, n
+            return
+
+
+def _refine_rounds(df: DataFrame, vals: DataFrame, cols: list[str], probs: list[float], max_collect: int,
+                   max_rounds: int) -> DataFrame:
     spark = df.sparkSession
     counts = vals.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(cols))]).collect()[0]
-    margin = 4.0 / math.sqrt(accuracy)          # four standard errors of a sampled rank
-    targets = []
-    for i, c in enumerate(cols):
-        n = counts[f"n{i}"]
-        for p in probs:
-            if n == 0:
-                targets.append(dict(col=i, name=c, prob=p, empty=True))
-                continue
-            pos = p * (n - 1)
-            lo, hi = math.floor(pos), math.ceil(pos)
-            targets.append(dict(col=i, name=c, prob=p, empty=False, lo=lo, hi=hi, frac=pos - lo,
-                                L=None, U=None, offset=0, n_in=n, wide=margin))
-
-    def inside(col: int, lo, up):
-        v = F.col(f"v{col}")
-        cond = v.isNotNull()
-        if lo is not None:
-            cond = cond & (v >= F.lit(lo))
-        if up is not None:
-            cond = cond & (v <= F.lit(up))
-        return cond
-
-    live = [t for t in targets if not t["empty"]]
+    place = {(i, p): p * (counts[f"n{i}"] - 1) for i in range(len(cols)) for p in probs if counts[f"n{i}"]}
+    ranks = {(i, r): _Rank(i, r, counts[f"n{i}"]) for (i, _), pos in place.items() for r in (math.floor(pos), math.ceil(pos))}
     for turn in range(max_rounds):
-        wide = [t for t in live if t["n_in"] > max_collect]
+        wide = [t for t in ranks.values() if t.value is None and t.rows > max_collect]
         if not wide:
             break
-        # one pass samples every distinct bracket
-        keys = sorted({(t["col"], t["L"], t["U"], t["n_in"]) for t in wide}, key=repr)
-        picks = F.array(*[F.when(inside(*k[:3]) & (F.rand(17 * turn + j) < F.lit(min(1.0, accuracy / k[3]))),
-                                 F.struct(F.lit(j).alias("j"), F.col(f"v{k[0]}").alias("v"))) for j, k in enumerate(keys)])
-        got = (vals.select(F.explode(F.filter(picks, lambda x: x.isNotNull())).alias("s")).select("s.j", "s.v")
-               .limit(2 * accuracy * len(keys)).collect())
-        seen: dict = {}
-        for r in got:
-            seen.setdefault(r["j"], []).append(r["v"])
-        props = {}
+        cuts = _gap_cuts(vals, {t.gap: t.rows for t in wide}, turn)
+        cells = _cell_counts(vals, cuts)
         for t in wide:
-            k = (t["col"], t["L"], t["U"])
-            values = sorted(seen.get(keys.index((*k, t["n_in"])), []))
-            if not values:
-                continue
-            at = [(t[r] - t["offset"]) / t["n_in"] * len(values) for r in ("lo", "hi")]
-            low, high = int(at[0] - t["wide"] * len(values)) - 1, int(at[1] + t["wide"] * len(values)) + 1
-            props[id(t)] = (k, values[low] if low >= 0 else t["L"], values[high] if high < len(values) else t["U"])
-        # exact placement: rows below and inside each proposed bracket (deduplicated)
-        uniq = sorted({p for p in props.values()}, key=repr)
-        aggs = []
-        for j, (k, nl, nu) in enumerate(uniq):
-            v = F.col(f"v{k[0]}")
-            below = inside(*k) & (v < F.lit(nl)) if nl is not None else F.lit(False)
-            aggs += [F.count_if(below).alias(f"b{j}"), F.count_if(inside(k[0], nl, nu)).alias(f"i{j}")]
-        placed = vals.agg(*aggs).collect()[0] if aggs else {}
-        for t in wide:
-            if id(t) not in props:
-                continue
-            j = uniq.index(props[id(t)])
-            off, n_in = t["offset"] + placed[f"b{j}"], placed[f"i{j}"]
-            if off <= t["lo"] and off + n_in > t["hi"] and n_in < t["n_in"]:
-                t.update(L=props[id(t)][1], U=props[id(t)][2], offset=off, n_in=n_in)
-            else:
-                t["wide"] *= 2                # missed, or one value fills it: look wider, then elsewhere
-    # columns whose brackets stayed too wide (one value may hold them): exact ranks, nothing collected
-    left = sorted({t["col"] for t in live if t["n_in"] > max_collect})
+            if t.gap in cuts:
+                gap = t.gap
+                _narrow(t, cuts[gap], cells[gap])
+    # a column with a gap that stayed too wide: exact ranks, nothing collected
+    left = sorted({t.col for t in ranks.values() if t.value is None and t.rows > max_collect})
     walked = _rank_walk(df, [cols[i] for i in left], probs) if left else None
-    live = [t for t in live if t["col"] not in left]
+    gaps = sorted({t.gap for t in ranks.values() if t.value is None and t.col not in left}, key=repr)
+    if gaps:
+        # at most max_collect rows a gap
+        held = F.array(*[F.when(_in_gap(g), F.struct(F.lit(j).alias("j"), F.col(f"v{g[0]}").alias("v"))) for j, g in enumerate(gaps)])
+        got = (vals.select(F.explode(F.filter(held, lambda x: x.isNotNull())).alias("s")).groupBy("s.j", "s.v")
+               .agg(F.count(F.lit(1)).alias("n")).collect())
+        pairs: dict = {}
+        for r in got:
+            pairs.setdefault(gaps[r["j"]], []).append((r["v"], r["n"]))
+        for t in ranks.values():
+            if t.value is None and t.col not in left:
+                rank = t.before
+                for value, n in sorted(pairs[t.gap]):
+                    rank += n
+                    if t.rank < rank:
+                        t.value = value
+                        break
     rows = []
-    if live:
-        # per column: rows inside any of its brackets -> (column, value, count); bounded collect
-        parts = []
-        for i in sorted({t["col"] for t in live}):
-            cond = None
-            for _, lo, up in {(t["col"], t["L"], t["U"]) for t in live if t["col"] == i}:
-                c = inside(i, lo, up)
-                cond = c if cond is None else cond | c
-            parts.append(vals.where(cond).groupBy(F.col(f"v{i}").alias("v"))
-                         .agg(F.count(F.lit(1)).alias("cnt")).withColumn("c", F.lit(i)))
-        got = parts[0]
-        for p in parts[1:]:
-            got = got.unionByName(p)
-        per_col: dict = {}
-        for r in got.collect():
-            per_col.setdefault(r["c"], []).append((r["v"], r["cnt"]))
-        for seq in per_col.values():
-            seq.sort()
-        for t in live:
-            rank, v_lo, v_hi = t["offset"], None, None
-            for value, cnt in per_col.get(t["col"], []):
-                if (t["L"] is not None and value < t["L"]) or (t["U"] is not None and value > t["U"]):
-                    continue
-                if v_lo is None and rank + cnt > t["lo"]:
-                    v_lo = value
-                if rank + cnt > t["hi"]:
-                    v_hi = value
-                    break
-                rank += cnt
-            val = None if v_lo is None or v_hi is None else v_lo + (v_hi - v_lo) * t["frac"]
-            rows.append((t["name"], t["prob"], val))
-    rows += [(t["name"], t["prob"], None) for t in targets if t["empty"]]
+    for i, c in enumerate(cols):
+        for p in probs:
+            if (i, p) not in place:
+                rows.append((c, p, None))
+            elif i not in left:
+                pos = place[i, p]
+                lo, hi = ranks[i, math.floor(pos)].value, ranks[i, math.ceil(pos)].value
+                rows.append((c, p, lo + (hi - lo) * (pos - math.floor(pos))))
     found = spark.createDataFrame(rows, "column string, prob double, value double")
     return found.unionByName(walked) if walked is not None else found
 

@@ -66,9 +66,12 @@ def stratified_split(df: DataFrame, key: str, label: str, test_ratio: float = 0.
     cuts = materialize(top.select(F.col("__c").alias("__w"), "__hi").join(low, F.col("__c").eqNullSafe(F.col("__w")))
                        .select(F.col("__c").alias("__of"), (F.col("__hi") * 4096 + F.col("__lo")).alias("__cut"), "__left"))
     placed = df.join(cuts, cls.eqNullSafe(F.col("__of")), "left").withColumn("__h", h)
-    rank = F.row_number().over(Window.partitionBy("__of", "__h").orderBy(
-        F.col(f"`{key}`"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
-    edge = placed.where("__h = __cut").withColumn("__test", rank <= F.col("__left"))
+    # rows at the cut's own hash, few, are ranked by key; only rows of equal keys by all they hold
+    at_cut = Window.partitionBy("__of", "__h", F.col(f"`{key}`")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]),
+                                                                       *_orderable(df))
+    edge = placed.where("__h = __cut").withColumn("__copy", F.row_number().over(at_cut))
+    rank = F.row_number().over(Window.partitionBy("__of", "__h").orderBy(F.col(f"`{key}`"), "__copy"))
+    edge = edge.withColumn("__test", rank <= F.col("__left")).drop("__copy")
     rest = (placed.where("__cut IS NULL OR __h <> __cut")
             .withColumn("__test", F.coalesce(F.col("__h") < F.col("__cut"), F.lit(False))))
     done = rest.unionByName(edge)
@@ -76,6 +79,10 @@ def stratified_split(df: DataFrame, key: str, label: str, test_ratio: float = 0.
     return done.where("NOT __test").select(*cols), done.where("__test").select(*cols)
 
 
+def _orderable(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+
+
 def split_sizes(n: int, test_ratio: float) -> tuple[int, int]:
     """Estimated (train, test) sizes shown before a split."""
     train = int(n * (1 - test_ratio))

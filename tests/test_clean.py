@@ -135,7 +135,7 @@ def test_iqr_distributed_matches_builtin(spark):
     h_ = quantile_map(df, cols, probs, "auto")
     # tiny sketch and collect bound: forces several narrowing rounds
     d = {r["column"]: {} for r in []}
-    for r in _refine(df, cols, probs, accuracy=50, max_collect=40).collect():
+    for r in _refine(df, cols, probs, max_collect=40).collect():
         d.setdefault(r["column"], {})[r["prob"]] = r["value"]
     for c in cols:
         for p in a[c]:
