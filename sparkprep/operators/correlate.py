@@ -1,7 +1,7 @@
 """Pairwise correlations, p-values and grouped OLS lines.
 
-All pairs are computed in one aggregate (pairwise-complete: each pair only
-uses rows where both values are present).  p-values come from the
+All pairs are computed together (pairwise-complete: each pair only uses
+rows where both values are present).  p-values come from the
 Student-t distribution evaluated on the tiny per-pair table (bounded by
 the number of column pairs, not by rows).
 """
@@ -9,56 +9,103 @@ the number of column pairs, not by rows).
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
-
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nan_to_null
 from ..functions.types import numeric_columns
 from ..session import materialize
+from .blocks import slot_batch, summed
 from .order import running_sums
 
 
-# Pairs per aggregate: one aggregate over every pair generates a method too
-# large for the JVM to compile (it then runs interpreted); chunks stay small.
-PAIR_CHUNK = 4
+# The functions below travel to the Python workers by value: no copy of the package is needed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Columns of a tile: the sums of a pair of tiles are six matrices of this width squared.
+TILE = 64
+# Pairs of tiles whose sums a task holds in one pass over the rows (50 MB).
+PASS_TILES = 256
 
 
 def _pair_stats(df: DataFrame, cols: list[str]) -> list[tuple]:
     """[(i, j, a, b, n, r)] for i < j; r null when n < 3 or a side is constant."""
-    pairs = [(i, j, cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    found = _pearson(df, [(F.col(f"`{a}`"), F.col(f"`{b}`")) for _, _, a, b in pairs])
-    return [(*pair, *stats) for pair, stats in zip(pairs, found)]
-
-
-def _pearson(df: DataFrame, pairs: list) -> list[tuple]:
-    """[(n, r)] of pairs of expressions, each over the rows where both have a value (NaN is none).
-
-    Chunks of PAIR_CHUNK pairs are one code-generated aggregate each, exploded to one
-    row per pair and unioned into a single job.
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    found = _pearson(df, [F.col(f"`{c}`") for c in cols], pairs)
+    return [(i, j, cols[i], cols[j], *stats) for (i, j), stats in zip(pairs, found)]
+
+
+def _matrix(batch, width: int) -> np.ndarray:
+    return batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+
+
+def _column_sums(width: int):
+    """Sum and number of the values of every column; NaN is none."""
+    def run(batches):
+        total = np.zeros((2, width))
+        for batch in batches:
+            x = _matrix(batch, width)
+            total += np.nansum(x, axis=0), (~np.isnan(x)).sum(axis=0)
+        yield slot_batch([0], [total])
+    return run
+
+
+def _tile_sums(width: int, means: np.ndarray, tiles: list):
+    """Of each pair of tiles: rows with both values, and sums of x, y, x^2, y^2 and xy over them, around the means."""
+    def run(batches):
+        total = {slot: np.zeros((6, min(TILE, width - a), min(TILE, width - b))) for slot, a, b in tiles}
+        for batch in batches:
+            x = _matrix(batch, width) - means
+            here = ~np.isnan(x)
+            x = np.where(here, x, 0.0)
+            here = here.astype(float)
+            square = x * x
+            for slot, a, b in tiles:
+                left, right = slice(a, a + TILE), slice(b, b + TILE)
+                for k, (u, v) in enumerate(((here, here), (x, here), (here, x), (square, here), (here, square), (x, x))):
+                    total[slot][k] += u[:, left].T @ v[:, right]
+        yield slot_batch(list(total), list(total.values()))
+    return run
+
+
+def _pearson(df: DataFrame, columns: list, pairs: list) -> list[tuple]:
+    """[(n, r)] of pairs (i, j) of column expressions, each over the rows where both have a value (NaN is none).
+
+    One pass finds the means; one more, for every PASS_TILES pairs of tiles of TILE columns, all sums
+    around them, as matrix products in the tasks that meet in Spark.  The number of passes hangs on the
+    width of the table alone: two up to about a thousand columns.
     """
     if not pairs:
         return []
-    parts = []
-    for start in range(0, len(pairs), PAIR_CHUNK):
-        proj, structs = [], []
-        for k in range(start, min(start + PAIR_CHUNK, len(pairs))):
-            va, vb = (nan_to_null(e.cast("double")) for e in pairs[k])
-            both = va.isNotNull() & vb.isNotNull()
-            proj += [F.when(both, va).alias(f"x{k}"), F.when(both, vb).alias(f"y{k}")]
-            x, y = F.col(f"x{k}"), F.col(f"y{k}")
-            structs.append(F.struct(F.lit(k).alias("k"), F.count(x).alias("n"),
-                                    F.try_divide(F.covar_pop(x, y),
-                                                 F.stddev_pop(x) * F.stddev_pop(y)).alias("r")))
-        parts.append(df.select(*proj).agg(F.array(*structs).alias("s"))
-                     .select(F.explode("s").alias("s")).select("s.*"))
-    got = parts[0]
-    for part in parts[1:]:
-        got = got.unionByName(part)
-    by_k = {r["k"]: (int(r["n"]), r["r"]) for r in got.collect()}
-    return [(n, None if n < 3 or r is None or math.isnan(r) else r) for n, r in (by_k[k] for k in range(len(pairs)))]
+    width = len(columns)
+    rows = df.select(F.array(*[F.coalesce(nan_to_null(c.cast("double")), F.lit(float("nan"))) for c in columns]).alias("x"))
+    sums, counts = summed(rows.mapInArrow(_column_sums(width), "slot long, payload binary"), 2, 1).get(
+        0, np.zeros(2 * width)).reshape(2, width)
+    means = sums / np.maximum(counts, 1)
+    wanted = sorted({(i // TILE * TILE, j // TILE * TILE) for i, j in pairs})
+    found: dict = {}
+    for at in range(0, len(wanted), PASS_TILES):
+        tiles = [(k, a, b) for k, (a, b) in enumerate(wanted[at:at + PASS_TILES])]
+        got = summed(rows.mapInArrow(_tile_sums(width, means, tiles), "slot long, payload binary"), 2, len(tiles))
+        for k, a, b in tiles:
+            shape = 6, min(TILE, width - a), min(TILE, width - b)
+            found[a, b] = got[k].reshape(shape) if k in got else np.zeros(shape)
+    out = []
+    for i, j in pairs:
+        n, x, y, xx, yy, xy = found[i // TILE * TILE, j // TILE * TILE][:, i % TILE, j % TILE]
+        r = None
+        if n >= 3:
+            vx, vy = xx - x * x / n, yy - y * y / n
+            # deviations below the rounding of the values themselves are none: a constant side
+            if vx > 1e-28 * n * means[i] ** 2 and vy > 1e-28 * n * means[j] ** 2:
+                r = float((xy - x * y / n) / math.sqrt(vx * vy))
+                r = None if math.isnan(r) else max(-1.0, min(1.0, r))
+        out.append((int(n), r))
+    return out
 
 
 def t_statistic(r, n):
@@ -164,13 +211,15 @@ def _spearman_stats(df: DataFrame, cols: list[str]) -> list[tuple]:
     pairs = [(i, j, cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if not pairs:
         return []
-    # several pair chunks read the ranks: join once, cut the lineage
+    # both passes read the ranks: join once, cut the lineage
     ranked = materialize(_ranked(df, cols, gapped))
-
-    def among(i, partner):
-        return F.col(f"r{i}")[gapped.index(partner) + 1 if partner in gapped else 0]
-
-    found = _pearson(ranked, [(among(i, b), among(j, a)) for i, j, a, b in pairs])
+    # a column is ranked anew for each partner with gaps
+    among = {(i, gapped.index(b) + 1 if b in gapped else 0) for i, j, a, b in pairs} | {
+        (j, gapped.index(a) + 1 if a in gapped else 0) for i, j, a, b in pairs}
+    place = {key: k for k, key in enumerate(sorted(among))}
+    found = _pearson(ranked, [F.col(f"r{i}")[cls] for i, cls in sorted(among)],
+                     [(place[i, gapped.index(b) + 1 if b in gapped else 0], place[j, gapped.index(a) + 1 if a in gapped else 0])
+                      for i, j, a, b in pairs])
     return [(*pair, *stats) for pair, stats in zip(pairs, found)]
 
 
