@@ -1162,23 +1162,34 @@ def _trained(spark, sf_dir, problem: str, models=None):
     return tr, prep, tr.train(prep)
 
 
+_COMPARED: dict = {}
+
+
+def _compared(spark, sf_dir: str, problem: str) -> DataFrame:
+    """Metrics of every model of a problem; models are trained once a session and folder, as two queries report on them."""
+    key = spark.sparkContext.applicationId, sf_dir, problem
+    if key not in _COMPARED:
+        tr, prep, trained = _trained(spark, sf_dir, problem)
+        found = tr.evaluate(prep, trained)
+        _COMPARED[key] = [tuple(r) for r in found.collect()], found.schema          # a row a model
+        prep.release()
+    rows, schema = _COMPARED[key]
+    return spark.createDataFrame(rows, schema)
+
+
 @register("model_compare_clf")
 def q_model_compare_clf(spark, sf_dir):
-    tr, prep, trained = _trained(spark, sf_dir, "classification")
-    return metrics.compare(tr.evaluate(prep, trained), "f1")
+    return metrics.compare(_compared(spark, sf_dir, "classification"), "f1")
 
 
 @register("model_compare_reg")
 def q_model_compare_reg(spark, sf_dir):
-    tr, prep, trained = _trained(spark, sf_dir, "regression")
-    return metrics.compare(tr.evaluate(prep, trained), "rmse")
+    return metrics.compare(_compared(spark, sf_dir, "regression"), "rmse")
 
 
 @register("best_model")
 def q_best_model(spark, sf_dir):
-    tr, prep, trained = _trained(spark, sf_dir, "classification")
-    res = tr.evaluate(prep, trained)
-    return metrics.best_model(res, "f1")
+    return metrics.best_model(_compared(spark, sf_dir, "classification"), "f1")
 
 
 @register("importance_top20")

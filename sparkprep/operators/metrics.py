@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .order import running_sum
 
 
@@ -76,26 +77,23 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str, positive=
 
 def roc_auc(df: DataFrame, actual: str, score: str, positive=1) -> DataFrame:
     """One row ``auc``: (sum of positives' average ranks - n1(n1+1)/2) / (n1 n0)."""
-    pos = (F.col(actual) == F.lit(positive))
-    freq = (df.where(F.col(score).isNotNull())
-            .groupBy(F.col(score).cast("double").alias("s"))
-            .agg(F.count(F.lit(1)).alias("cnt"), F.count_if(pos).alias("npos")))
-    ranked = running_sum(freq, "cnt", "s", out="before")
-    return ranked.agg(
-        F.sum(F.col("npos") * (F.col("before") + (F.col("cnt") + 1) / 2.0)).alias("rs"),
-        F.sum("npos").cast("double").alias("n1"), F.sum(F.col("cnt") - F.col("npos")).cast("double").alias("n0")
-    ).select(F.try_divide(F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2.0,
-                          F.col("n1") * F.col("n0")).alias("auc"))
+    return roc_auc_ovr(df, actual, {positive: score})
 
 
 def roc_auc_ovr(df: DataFrame, actual: str, prob_cols: dict) -> DataFrame:
-    """Macro one-vs-rest AUC: mean over classes of AUC(actual == c, prob_c)."""
-    parts = [roc_auc(df.select(F.col(actual), F.col(f"`{col}`").alias("__s")), actual, "__s", positive=c)
-             for c, col in prob_cols.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.agg(F.avg("auc").alias("auc"))
+    """Macro one-vs-rest AUC: mean over classes of AUC(actual == c, prob_c).
+
+    All classes are ranked together: one count of (class, score) and one running count along the scores of each.
+    """
+    sides = [F.struct(F.lit(i).alias("c"), F.col(f"`{col}`").cast("double").alias("s"), (F.col(f"`{actual}`") == F.lit(c)).alias("own"))
+             for i, (c, col) in enumerate(prob_cols.items())]
+    freq = (df.select(F.explode(F.array(*sides)).alias("x")).select("x.*").where("s IS NOT NULL")
+            .groupBy("c", "s").agg(F.count(F.lit(1)).alias("cnt"), F.count_if("own").alias("npos")))
+    ranked = running_sum(materialize(freq), "cnt", "s", ["c"], out="before", cuts_per_group=True)
+    per = ranked.groupBy("c").agg(
+        F.sum(F.col("npos") * (F.col("before") + (F.col("cnt") + 1) / 2.0)).alias("rs"),
+        F.sum("npos").cast("double").alias("n1"), F.sum(F.col("cnt") - F.col("npos")).cast("double").alias("n0"))
+    return per.agg(F.avg(F.try_divide(F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * F.col("n0"))).alias("auc"))
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str, digits: int = 4) -> DataFrame:
