@@ -54,9 +54,9 @@ def test_stages_on_planted_cases(spark, tmp_path):
 def test_sql_twins(spark, name):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     found = queries.QUERIES[name](spark, folder)
     want = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in want.description]
-    assert sorted(map(tuple, found.select(*names).collect())) == sorted(want.fetchall())
+    assert sorted(map(tuple, found.select(*names).collect()), key=repr) == sorted(want.fetchall(), key=repr)
