@@ -30,7 +30,7 @@ LENGTH = 100               # bytes of a string that counts as repeated
 GRAM = 32                  # leading bytes by which suffixes first meet
 REACH = LENGTH - GRAM      # bytes before an anchor that a string around it can cover
 SPAN = REACH + LENGTH      # bytes of the surroundings
-CELL = 4096                # different surroundings compared in one cell
+CELL = 128                 # different surroundings compared in one cell; small, so that groups behave alike at every size
 SAMPLE = 200_000           # suffixes that the splitters are taken from, at most
 FLUSH = 1 << 18            # suffixes a task holds before it sends them
 PIECE = 1 << 20            # bytes of text hashed at a time
