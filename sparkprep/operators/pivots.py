@@ -51,15 +51,13 @@ class Cells:
     between: np.ndarray                # distances of the pivots from one another
 
 
-def distances(rows: np.ndarray, point: np.ndarray, factor: float) -> np.ndarray:
-    """Of every row from ``point``; the squares are added in the order of the coordinates."""
-    if not rows.shape[1]:
-        return np.zeros(len(rows))
-    return np.sqrt(factor * ((rows - point) ** 2).cumsum(axis=1)[:, -1])
-
-
-def _to_pivots(x: np.ndarray, pivots: np.ndarray, factor: float) -> np.ndarray:
-    return np.stack([distances(x, p, factor) for p in pivots], axis=1)
+def distances(rows: np.ndarray, points: np.ndarray, factor: float) -> np.ndarray:
+    """[row, point]: the squares are added in the order of the coordinates."""
+    total = np.zeros((len(rows), len(points)))
+    for j in range(rows.shape[1]):
+        gap = rows[:, j, None] - points[None, :, j]
+        total += gap * gap
+    return np.sqrt(factor * total)
 
 
 def _lanes_of(batch, lane_at: int, x_at: int):
@@ -77,7 +75,7 @@ def _placed(pivots: dict, factors: dict, x_at: int):
         for batch in batches:
             cell, r = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
             for lane, at, x in _lanes_of(batch, 0, x_at):
-                d = _to_pivots(x, pivots[lane], factors[lane])
+                d = distances(x, pivots[lane], factors[lane])
                 cell[at], r[at] = d.argmin(axis=1), d.min(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(r)], [*batch.schema.names, "cell", "r"])
     return run
@@ -129,7 +127,7 @@ def _packed(batches):
 def bounds(cells: Cells, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every query its distance to the pivots, an upper bound of its k-th distance, and whether a cell may hold one
     of its k nearest."""
-    to_pivots = _to_pivots(x, cells.pivots, cells.factor)
+    to_pivots = distances(x, cells.pivots, cells.factor)
     k = cells.nearest.shape[1]
     ways = (to_pivots[:, :, None] + cells.nearest[None]).reshape(len(x), -1)
     kth = np.partition(ways, k - 1, axis=1)[:, k - 1] * (1 + SLACK)
@@ -191,8 +189,8 @@ def _compared(k: int, factors: dict, kinds):
                     continue
                 lane, qs, kth = columns["lane"][i].as_py(), columns["qs"][i].values, columns["kth"][i].values.to_numpy()
                 found_q, found_at, found_d = [], [], []
-                for j, point in enumerate(np.frombuffer(raw, np.float64).reshape(len(qs), -1)):
-                    d = distances(donors, point, factors[lane])
+                apart = distances(np.frombuffer(raw, np.float64).reshape(len(qs), -1), donors, factors[lane])
+                for j, d in enumerate(apart):
                     near = np.flatnonzero(d <= kth[j])
                     near = near[np.argsort(d[near], kind="stable")[:k]]        # equal distances stand by key
                     found_q.append(np.full(len(near), j))
@@ -252,7 +250,7 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, factors: dict[int, fl
                 .groupBy("lane", "cell").agg(F.sort_array(F.collect_list("r")).alias("rs")))
     extent = placed.groupBy("lane", "cell").agg(F.min("r").alias("low"), F.max("r").alias("high"))
     cells = {lane: Cells(factors[lane], p, np.full(len(p), np.inf), np.full(len(p), -np.inf), np.full((len(p), k), np.inf),
-                         _to_pivots(p, p, factors[lane])) for lane, p in pivots.items()}
+                         distances(p, p, factors[lane])) for lane, p in pivots.items()}
     for r in extent.join(smallest, ["lane", "cell"]).collect():                  # a row a cell
         c = cells[r["lane"]]
         c.low[r["cell"]], c.high[r["cell"]] = r["low"], r["high"]
