@@ -32,7 +32,7 @@ REACH = LENGTH - GRAM      # bytes before an anchor that a string around it can
 SPAN = REACH + LENGTH      # bytes of the surroundings
 CELL = 128                 # different surroundings compared in one cell; small, so that groups behave alike at every size
 SAMPLE = 200_000           # suffixes that the splitters are taken from, at most
-FLUSH = 1 << 18            # suffixes a task holds before it sends them
+FLUSH = 1 << 16            # suffixes a task holds before it sends them
 PIECE = 1 << 20            # bytes of text hashed at a time
 
 _ODD = 0x9E3779B97F4A7C15
@@ -195,8 +195,8 @@ def _meet(rows: DataFrame) -> DataFrame:
         is_open = first & (several | border)
         for mask, flag in ((~first, False), (is_open, True)):
             where = np.flatnonzero(mask)
-            for lo in range(0, len(where), 100_000):
-                pick = where[lo:lo + 100_000]
+            for lo in range(0, len(where), 20_000):
+                pick = where[lo:lo + 20_000]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(pick), flag)), pa.array(lead[pick].view(np.int64)), pa.array(key[pick]),
                      pa.array(at[pick]), pa.array(np.minimum(at[pick], REACH).astype(np.int32)),
@@ -299,7 +299,7 @@ def _compare(batches):
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[0] != last and len(held) >= 20_000:
+            if row[0] != last and len(held) >= 5_000:
                 yield solve(held)
                 held = []
             last = row[0]
@@ -331,7 +331,7 @@ def _contexts(open_rows: DataFrame, texts: DataFrame) -> DataFrame:
                 raw = zstandard.decompress(packed.as_buffer())
                 for lead, at, before, after in zip(*(f.to_pylist() for f in found.values.flatten())):
                     out.append((lead, key, at, before, after, 0, REACH, raw[at - before:at + after]))
-                if len(out) > 50_000:
+                if len(out) > 5_000:
                     yield _batch(out)
                     out = []
             if out:
