@@ -626,10 +626,10 @@ def q_corr_pvalues(spark, sf_dir):
     return correlate.correlations(table(spark, sf_dir, "lineitem"), _CORR_COLS, "pearson").drop("t")
 
 
-@register("significant_pairs")
+@register("significant_pairs", f"SELECT * FROM ({_pvalue_sql()}) AS s WHERE idx_a < idx_b AND p < 0.05")
 def q_significant(spark, sf_dir):
     corr = correlate.correlations(table(spark, sf_dir, "lineitem"), _CORR_COLS, "pearson")
-    return correlate.significant_pairs(corr)
+    return correlate.significant_pairs(corr).drop("t")
 
 
 @register("ols_by_group", """
