@@ -140,7 +140,7 @@ def _frequency(df: DataFrame, cols: list[str], probs: list[float], cap: int):
 
 
 SAMPLE = 2_000             # values sampled from a gap, about
-CUTS = 255                 # cut points of a gap at most
+CUTS = 63                  # cut points of a gap at most (they are literals of generated code)
 MAX_COLLECT = 20_000
 
 
