@@ -196,10 +196,19 @@ def _ranked(df: DataFrame, cols: list[str], gapped: list[str], distinct_limit: i
     ranks = materialize(run.select("column", "value", F.array(*[
         F.col(f"before_{c}") + (F.col(c) + 1) / 2.0 for c in counts]).alias("rank")))      # read once per column
     sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = wide
-    for i in range(len(cols)):
-        one = ranks.where(F.col("column") == i).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
-        out = out.join(F.broadcast(one) if sizes.get(i, 0) <= distinct_limit else one, on=f"v{i}", how="left")
+    # wide tables first, while the rows hold no ranks
+    large = [i for i in range(len(cols)) if sizes.get(i, 0) > distinct_limit]
+    # rows without a value match nothing, yet a join by shuffle would send them all to one task: they go by all their values
+    out = wide.withColumn("__spread", F.xxhash64(*wide.columns)) if large else wide
+    for i in [*large, *[i for i in range(len(cols)) if i not in large]]:
+        one = ranks.where(F.col("column") == i).select(F.col("value").alias(f"v{i}"), F.col("column").cast("long").alias("__of"),
+                                                       F.col("rank").alias(f"r{i}"))
+        if i not in large:
+            out = out.join(F.broadcast(one.drop("__of")), on=f"v{i}", how="left")
+            continue
+        # a literal on the side of the ranks would be no key of the join
+        of = F.when(F.col(f"v{i}").isNull(), F.col("__spread")).otherwise(F.lit(i))
+        out = out.withColumn("__of", of).join(one, on=[f"v{i}", "__of"], how="left").drop("__of")
     return out.select(*[f"r{i}" for i in range(len(cols))])
 
 

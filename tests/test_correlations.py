@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkprep.operators import correlate
 
@@ -71,3 +72,20 @@ def test_no_rows(spark):
     for method in ("pearson", "spearman"):
         r = correlate.correlations(df, method=method).collect()
         assert [(x.n, x.r, x.p) for x in r] == [(0, None, None)]
+
+
+def test_rows_without_a_value_are_spread(spark):
+    """A rank table too wide to broadcast is joined by shuffle; the rows without a value do not meet in one task."""
+    rng = random.Random(3)
+    rows = [(rng.random() if i % 2 else None, float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(4)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = correlate._ranked(df, ["b", "a"], ["a"], distinct_limit=0)
+        gaps = [r["n"] for r in got.where("r1 IS NULL").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(gaps) == 200 and max(gaps) < 100
