@@ -139,3 +139,20 @@ def test_metrics_of_many_classes_send_no_grid(spark):
     with pytest.raises(ValueError, match="classes"):
         metrics.confusion(df, "a", "p")
     assert metrics.confusion_counts(df, "a", "p").count() == 5000
+
+
+def test_place_of_one_needs_no_dense_vector(spark):
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.sql import types as T
+    far = 2_000_000_000                                     # a dense copy would take 16 GB
+    rows = [(0, SparseVector(far, [far - 1], [1.0])), (1, SparseVector(far, [0], [1.0])), (2, SparseVector(far, [], [])), (3, None)]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("id", T.IntegerType()), T.StructField("x", VectorUDT())]))
+    got = df.select("id", encode.place_of_one("x").alias("place")).collect()
+    assert {r.id: r.place for r in got} == {0: far - 1, 1: 0, 2: -1, 3: None}
+
+
+def test_wide_onehot_makes_no_dense_vector(spark):
+    from sparkprep import catalog
+    hot = catalog.QUERIES["onehot_wide"](spark, "/root/testdata/sf0.001")
+    assert "vector_to_array" not in hot._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "UDF(name_onehot" not in hot._jdf.queryExecution().optimizedPlan().toString()
