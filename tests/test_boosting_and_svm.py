@@ -141,3 +141,33 @@ def test_blocks_keep_every_row(spark, monkeypatch):
     held = [r for b in got.collect() for r in np.frombuffer(b.x, np.float64).reshape(-1, 3)[:, 0]]
     assert sorted(held) == [3.0 * i for i in range(20)] and tasks == 1 and max(r.n for r in got.collect()) == 2
     assert got.select(F.sum("n")).first()[0] == 20
+
+
+def test_a_level_is_one_job(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "TASK_ROWS", 30)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 3))
+    y = (x[:, 0] > 0).astype(float) + (x[:, 1] > 0)
+    df = frame(spark, x, y).repartition(3).persist()
+    df.count()
+
+    def jobs(rounds):
+        group = f"boost{rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        model = boosting.fit(df, "features", "label", 3, 3, 90, boosting.Settings(rounds=rounds, depth=2))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), model
+
+    (few, _), (more, small) = jobs(1), jobs(4)
+    assert more - few <= 3 * 2
+    monkeypatch.setattr(boosting, "DRIVER_VALUES", 0)           # the same splits where histograms meet by a shuffle
+    _, large = jobs(4)
+    for a, b in zip(small.rounds, large.rounds, strict=True):
+        for s, t in zip(a, b, strict=True):
+            assert (s.feature == t.feature).all() and (s.cut == t.cut).all() and np.allclose(s.value, t.value)
+
+
+def test_forests_keep_the_nodes_of_rows():
+    from sparkprep.operators import models
+    for zoo in (models.classifiers(), models.regressors()):
+        assert zoo["Random Forest"](100, 3).getCacheNodeIds()
