@@ -81,10 +81,11 @@ class AutoClean:
             log.add("sentinel_mask", ",".join(num), "masked", masked.get["masked"])
         else:
             log.add("sentinel_mask", "", "skipped", 0)
+        # texts first: their modes are counted on the written rows, not through the neighbour search
+        d, fills = impute.mode_fill(d, text_columns(d))
         narrow = numeric_columns(d)
         if narrow:
             d = neighbors.knn_impute(d, self.key, narrow, self.k_neighbors)
-        d, fills = impute.mode_fill(d, text_columns(d))
         log.add("impute", "*", "missing_before", gaps.get["missing"])
         d = materialize(d)
         d, fences = outliers.cap_all(d, [c for c in any_numeric_columns(d) if c != self.key])

@@ -71,3 +71,28 @@ def test_one_cell_of_many_rows_is_many_blocks(spark, monkeypatch):
     queries = [(0, i, [float(i) / 1e6]) for i in range(0, 700, 50)]
     got, found = run(spark, queries, donors, 4)
     assert got == brute(queries, donors, 4) and max(r.donors for r in found.met.collect()) <= 50
+
+
+def test_a_query_meets_no_more_rows_when_there_are_more(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 64), ("CHUNK_ROWS", 16), ("PIVOTS", 9)):
+        monkeypatch.setattr(pivots, name, value)
+    rng, met = random.Random(8), []
+    queries = [(0, i, [rng.uniform(0, 1000), rng.uniform(0, 9)]) for i in range(100)]
+    for n in (1500, 12000):
+        donors = [(0, i, [rng.uniform(0, 1000), rng.uniform(0, 9)], "y") for i in range(n)]
+        got, found = run(spark, queries, donors, 5)
+        met.append(found.pairs_compared())
+        assert n > 1500 or got == brute(queries, donors, 5)
+    assert met[1] < 2 * met[0]
+
+
+def test_sampled_trees_and_a_leaf_of_many_queries(spark, monkeypatch):
+    from sparkprep.operators import kdtree
+    for module, name, value in ((pivots, "BLOCK_ROWS", 40), (kdtree, "LEAVES", 64), (kdtree, "TASK_QUERIES", 10), (kdtree, "PAIRS", 300)):
+        monkeypatch.setattr(module, name, value)
+    rng = random.Random(9)
+    donors = [(lane, i, [1e9 + rng.choice([0.0, rng.random()]), float(rng.randint(0, 40)), rng.gauss(0, 1e-3)], "y") for lane in (0, 1) for i in range(1500)]
+    queries = [(0, i, donors[7][2]) for i in range(60)] + [(1, i, [1e9, rng.uniform(-5, 45), 0.0]) for i in range(60)]
+    queries += [(1, 99, [float("inf"), 1.0, 0.0])]
+    factors = {0: 3.0, 1: 1.5}
+    assert run(spark, queries, donors, 4, factors)[0] == brute(queries, donors, 4, factors)
