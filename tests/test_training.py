@@ -117,3 +117,35 @@ def test_stratified_split_keeps_rows_with_a_null_key(spark):
         train, test = split.stratified_split(df, "id", "cls", ratio, 7)
         tr, te = [r.n for r in train.collect()], [r.n for r in test.collect()]
         assert sorted(tr + te) == list(range(120)) and len(te) == wanted
+
+
+@pytest.mark.parametrize("query", ["best_model", "model_compare_clf", "model_compare_reg"])
+def test_a_failing_model_is_the_query_s_error(spark, tmp_path, monkeypatch, query):
+    from sparkprep import catalog
+
+    class Few(ModelTrainer):
+        def __post_init__(self):
+            super().__post_init__()
+            self.models, self.sizes = ["Decision Tree", "Gradient Boosted Trees"], SMALL
+
+    spark.range(120).select(F.col("id").alias("o_orderkey"), (F.col("id") * 1.5).alias("o_totalprice"), (F.col("id") % 9).alias("o_custkey"),
+                            F.lit("1-URGENT").alias("o_orderpriority"), F.when(F.col("id") % 2 == 0, "F").otherwise("O").alias("o_orderstatus")
+                            ).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(120).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("id").alias("l_partkey"),
+                            F.col("id").alias("l_suppkey"), F.lit("1995-01-01").alias("l_shipdate"),
+                            (F.col("id") % 50).cast("double").alias("l_quantity"), F.lit(0.1).alias("l_discount"), F.lit(0.0).alias("l_tax"),
+                            F.lit("N").alias("l_returnflag"), (F.col("id") * 2.5).alias("l_extendedprice")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(catalog, "ModelTrainer", Few)
+    fit = ModelTrainer._fit
+
+    def failing(self, name, spec, prep):
+        if name == "Gradient Boosted Trees":
+            raise OSError("lost")
+        return fit(self, name, spec, prep)
+
+    monkeypatch.setattr(ModelTrainer, "_fit", failing)
+    with pytest.raises(RuntimeError, match="Gradient Boosted Trees.*lost"):
+        catalog.QUERIES[query](spark, str(tmp_path))
+    monkeypatch.setattr(ModelTrainer, "_fit", fit)                  # nothing of the failure is kept
+    rows = catalog.QUERIES[query](spark, str(tmp_path)).collect()
+    assert len(rows) == (1 if query == "best_model" else 2)
