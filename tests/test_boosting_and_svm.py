@@ -171,3 +171,23 @@ def test_forests_keep_the_nodes_of_rows():
     from sparkprep.operators import models
     for zoo in (models.classifiers(), models.regressors()):
         assert zoo["Random Forest"](100, 3).getCacheNodeIds()
+
+
+@pytest.mark.parametrize("classes", [3, 2, None])
+def test_counted_cells_give_the_trees_of_the_rows(spark, monkeypatch, classes):
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.integers(0, 9, 500), rng.integers(0, 5, 500)], axis=1).astype(float)
+    y = (x[:, 0] + 2 * x[:, 1] + rng.integers(0, 5, 500)) * (1.0 if classes is None else 1 / 9)
+    y = y if classes is None else np.floor(y).clip(0, classes - 1)
+    df, s = frame(spark, x, y), boosting.Settings(rounds=4, depth=3)
+    passes = []
+    monkeypatch.setattr(boosting, "feature_blocks", lambda *a, **b: passes.append(1) or blocks.feature_blocks(*a, **b))
+    few = boosting.fit(df, "features", "label", classes, 2, 500, s)
+    assert not passes                                            # no blocks of rows, so no pass a level
+    monkeypatch.setattr(boosting, "CELL_VALUES", 0)
+    rows = boosting.fit(df, "features", "label", classes, 2, 500, s)
+    assert passes and len(few.rounds) == len(rows.rounds) == 4
+    for a, b in zip(few.rounds, rows.rounds, strict=True):
+        for t, u in zip(a, b, strict=True):
+            assert (t.feature == u.feature).all() and (t.cut == u.cut).all()
+            assert np.allclose(t.value, u.value) and np.allclose(t.gain, u.gain)
