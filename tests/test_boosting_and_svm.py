@@ -191,3 +191,42 @@ def test_counted_cells_give_the_trees_of_the_rows(spark, monkeypatch, classes):
         for t, u in zip(a, b, strict=True):
             assert (t.feature == u.feature).all() and (t.cut == u.cut).all()
             assert np.allclose(t.value, u.value) and np.allclose(t.gain, u.gain)
+
+
+def test_huber_machine_is_at_the_minimum_that_mllib_nears(spark, monkeypatch):
+    from pyspark.ml.regression import LinearRegression
+    monkeypatch.setattr(blocks, "TASK_ROWS", 200)
+    monkeypatch.setattr(kernel_svm, "SLICE", 70)
+    rng = np.random.default_rng(2)
+    x = rng.uniform(-2, 2, (600, 2))
+    y = 50 + 10 * np.sin(x[:, 0]) + 5 * x[:, 1] + rng.standard_t(2, 600)
+    df = frame(spark, x, y)
+    model = kernel_svm.fit_huber(df, "features", "label", 2, 600, dims=30)
+
+    def loss(w, s):
+        r = np.abs(z @ w - y) / s
+        return s * (1 + np.where(r <= 1.35, r * r, 2 * 1.35 * r - 1.35 ** 2)).sum()
+
+    z = model.fourier(x)
+    best = loss(model.weights, model.scale)
+    mapped = spark.createDataFrame([(r.tolist(), float(t)) for r, t in zip(z[:, :-1], y)], "a array<double>, label double").select(
+        array_to_vector("a").alias("features"), "label")
+    theirs = LinearRegression(loss="huber", maxIter=100).fit(mapped)
+    their = loss(np.r_[theirs.coefficients.toArray(), theirs.intercept], theirs.scale)
+    assert their * 0.95 < best <= their * (1 + 1e-6)          # theirs stops after 100 iterations
+    out = sorted(model.apply(df, "features").collect(), key=lambda r: r.id)
+    assert np.allclose([r.prediction for r in out], z @ model.weights)
+    flat = kernel_svm.fit_huber(frame(spark, x, np.full(600, 7.0)), "features", "label", 2, 600, dims=10)
+    assert np.allclose(flat.fourier(x) @ flat.weights, 7.0)
+
+
+def test_the_kernel_regressor_keeps_no_projected_rows(spark):
+    from sparkprep.operators.models import Sizes
+    from sparkprep.plans.training import ModelTrainer
+    df = spark.createDataFrame([(i, float(i % 17), float((i * 7) % 11), float(i % 17) * 2 + (i * 7) % 11) for i in range(200)],
+                               "id long, a double, b double, y double")
+    tr = ModelTrainer(target="y", key="id", problem="regression", models=["SVR"], sizes=Sizes(fourier=32))
+    prep = tr.prepare(df)
+    trained = tr.train(prep)
+    assert tr.log == [] and trained["SVR"].kind == "blocks" and tr.evaluate(prep, trained).first().r2 > 0.8
+    prep.release()
