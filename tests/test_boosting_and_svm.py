@@ -220,7 +220,8 @@ def test_huber_machine_is_at_the_minimum_that_mllib_nears(spark, monkeypatch):
     assert np.allclose(flat.fourier(x) @ flat.weights, 7.0)
 
 
-def test_the_kernel_regressor_keeps_no_projected_rows(spark):
+def test_the_kernel_regressor_keeps_no_projected_rows(spark, monkeypatch):
+    monkeypatch.setattr(kernel_svm, "HELD_VALUES", 0)              # many rows
     from sparkprep.operators.models import Sizes
     from sparkprep.plans.training import ModelTrainer
     df = spark.createDataFrame([(i, float(i % 17), float((i * 7) % 11), float(i % 17) * 2 + (i * 7) % 11) for i in range(200)],
